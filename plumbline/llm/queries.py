@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import bpe
+from plumbline.llm import bpe, grammar_ids, jaccard
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -18,5 +18,13 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
-QUERIES = {"op7_bpe": op7_bpe}
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
+def op9_grammar_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grammar_ids.read_documents(grammar_ids.write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), end_id=2))
+
+
+QUERIES = {"op2_jaccard": op2_jaccard, "op7_bpe": op7_bpe, "op9_grammar_ids": op9_grammar_ids}
 ORACLE_SQL: dict[str, str] = {}
