@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, grammar_ids, jaccard
+from plumbline.llm import bpe, grammar_ids, jaccard, langid, maxent
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -22,9 +23,21 @@ def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = langid.held_out(F.col("doc_id"), 5)
+    found = langid.predict(docs, langid.train(docs.where(~held)), keep=["doc_id"])
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op9_grammar_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grammar_ids.read_documents(grammar_ids.write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), end_id=2))
 
 
-QUERIES = {"op2_jaccard": op2_jaccard, "op7_bpe": op7_bpe, "op9_grammar_ids": op9_grammar_ids}
+def op10_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return maxent.lm_scores(docs, train=~langid.held_out(F.col("doc_id"), 10))
+
+
+QUERIES = {"op2_jaccard": op2_jaccard, "op7_bpe": op7_bpe, "op8_langid": op8_langid, "op9_grammar_ids": op9_grammar_ids, "op10_maxent": op10_maxent}
 ORACLE_SQL: dict[str, str] = {}
