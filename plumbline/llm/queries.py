@@ -6,19 +6,29 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, grammar_ids, jaccard, langid, maxent
+from plumbline.llm import bpe, decontam, grammar_ids, jaccard, langid, maxent, sharding
 
 VOCABULARY = "word_bpe_49k.json"
+#: The byte limit of a shard.
+SHARD_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"), SHARD_BYTES, keep=["doc_id"])
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op1_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
 
@@ -39,5 +49,5 @@ def op10_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.lm_scores(docs, train=~langid.held_out(F.col("doc_id"), 10))
 
 
-QUERIES = {"op2_jaccard": op2_jaccard, "op7_bpe": op7_bpe, "op8_langid": op8_langid, "op9_grammar_ids": op9_grammar_ids, "op10_maxent": op10_maxent}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op1_decontam": op1_decontam, "op2_jaccard": op2_jaccard, "op6_sharding": op6_sharding, "op7_bpe": op7_bpe, "op8_langid": op8_langid, "op9_grammar_ids": op9_grammar_ids, "op10_maxent": op10_maxent}
+ORACLE_SQL: dict[str, str] = {"op1_decontam": decontam.contaminated_sql(), "op6_sharding": sharding.assign_sql(SHARD_BYTES)}
