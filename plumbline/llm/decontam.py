@@ -36,17 +36,19 @@ def _words(text: Column) -> Column:
 def _shingled(rows: DataFrame, text: str) -> DataFrame:
     """Adds _s: the hash of each run of five words in order; of the whole sequence where there are fewer; none without words.
 
-    Columns that are used more than once are columns of their own, so that they are computed once.
+    explode() of a single value keeps the optimiser from writing it out in every place that uses it, which would hash
+    all words again for each shingle.
     """
-    hashed = rows.withColumn("_h", F.transform(_words(F.col(text)), lambda w: F.xxhash64(w)))
+    hashed = rows.select("*", F.explode(F.array(F.transform(_words(F.col(text)), lambda w: F.xxhash64(w)))).alias("_h"))
     runs = F.transform(F.sequence(F.lit(1), F.size("_h") - (WORDS - 1)), lambda i: F.xxhash64(*[F.element_at(F.col("_h"), i + k) for k in range(WORDS)]))
-    return hashed.withColumn("_s", F.when(F.size("_h") >= WORDS, runs).when(F.size("_h") > 0, F.array(F.xxhash64(F.col("_h")))).otherwise(F.array().cast("array<bigint>"))).drop("_h")
+    whole = F.when(F.size("_h") >= WORDS, runs).when(F.size("_h") > 0, F.array(F.xxhash64(F.col("_h")))).otherwise(F.array().cast("array<bigint>"))
+    return hashed.select("*", F.explode(F.array(whole)).alias("_s")).drop("_h", text)
 
 
 def _with_print(rows: DataFrame, shingles: str, name: str) -> DataFrame:
     """Adds the SimHash: a bit is set if more than half of the shingles have it. Four counters of 16 bits share a sum.
 
-    explode() of a single value keeps the optimiser from repeating the sums in each bit, and the bits in each use.
+    explode() again keeps the sums from being repeated in each bit, and the bits in each use.
     """
 
     def lanes(k: int) -> Column:

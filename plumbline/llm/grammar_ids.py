@@ -21,6 +21,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +38,7 @@ def compress(ids: np.ndarray, least_use: int = 4, least_gain: float = 0.02) -> t
     """(base, rules of each round, rules, lengths, sequence). A round that shortens the sequence by less than least_gain is the last."""
     base = int(ids.max()) + 1 if len(ids) else 1
     sequence, following = ids.astype(np.int64), base
-    bits = max(10, int(np.ceil(np.log2(max(2, len(ids))))))
+    bits = int(np.clip(np.ceil(np.log2(max(2, len(ids)))), 10, 17))  # a table that stays in the processor's cache
     rules, generations, lengths = [], [], [np.ones(base, np.int64)]
     while len(sequence) > 2 * least_use:
         pair = sequence[:-1] << 32 | sequence[1:]
@@ -116,6 +117,7 @@ class LibraryRuns(dict):
 
     LIMIT = 1_200_000
     MARKED = re.compile(rb"[\x21-\x7e]*[A-Za-z][.,;:!?]")
+    PLAIN = re.compile(rb"[a-z]+")
 
     def __init__(self, path: str):
         super().__init__()
@@ -133,18 +135,27 @@ class LibraryRuns(dict):
             return [run[:-1].lower(), run[-1:]]
         return [run.lower()]
 
+    def learn(self, runs: set[bytes]) -> None:
+        """Runs of letters a to z are single pieces as they are, and go straight to the library's model."""
+        parts = {run: self.parts(run) for run in runs}
+        missing = {p for ps in parts.values() for p in ps if p not in self}
+        plain = {p for p in missing if self.PLAIN.fullmatch(p)}
+        tokenize = self.tokenizer.model.tokenize
+        for run in plain:
+            self[run] = array("I", [t.id for t in tokenize(run.decode())]).tobytes()
+        other = list(missing - plain)
+        for run, found in zip(other, self.tokenizer.encode_batch_fast([r.decode() for r in other], add_special_tokens=False)):
+            self[run] = array("I", found.ids).tobytes()
+        for run, ps in parts.items():
+            self[run] = b"".join([self[p] for p in ps])
+
     def texts(self, texts: list[bytes]) -> list[bytes]:
         if len(self) > self.LIMIT:
             self.clear()
         runs = [t.split() for t in texts]
-        new = set().union(*runs).difference(self)
-        parts = {run: self.parts(run) for run in new}
-        missing = list({p for ps in parts.values() for p in ps}.difference(self))
-        for run, found in zip(missing, self.tokenizer.encode_batch_fast([r.decode() for r in missing], add_special_tokens=False)):
-            self[run] = np.array(found.ids, "<u4").tobytes()
-        for run, ps in parts.items():
-            self[run] = b"".join([self[p] for p in ps])
-        return [b"".join(map(self.__getitem__, r)) for r in runs]
+        found = [list(map(self.get, r)) for r in runs]
+        self.learn({run for r, f in zip(runs, found) if None in f for run, ids in zip(r, f) if ids is None})
+        return [b"".join(map(self.__getitem__, r) if None in f else f) for r, f in zip(runs, found)]
 
 
 _libraries: dict[str, LibraryRuns] = {}
