@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, decontam, grammar_ids, jaccard, langid, maxent, sharding, urlfilter, warc
+from plumbline.llm import bpe, decontam, grammar_ids, hnsw, jaccard, langid, maxent, sharding, urlfilter, warc
 
 VOCABULARY = "word_bpe_49k.json"
 #: The byte limit of a shard.
@@ -28,6 +28,10 @@ def op4_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op5_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.nearest(table(spark, sf_dir, "embeddings"), is_query=F.col("vec_id") % 20 == 0)
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), SHARD_BYTES, keep=["doc_id"])
 
@@ -60,5 +64,5 @@ def op10_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.lm_scores(docs, train=~langid.held_out(F.col("doc_id"), 10))
 
 
-QUERIES = {"op1_decontam": op1_decontam, "op2_jaccard": op2_jaccard, "op3_warc": op3_warc, "op4_urlfilter": op4_urlfilter, "op6_sharding": op6_sharding, "op7_bpe": op7_bpe, "op8_langid": op8_langid, "op9_grammar_ids": op9_grammar_ids, "op10_maxent": op10_maxent}
+QUERIES = {"op1_decontam": op1_decontam, "op2_jaccard": op2_jaccard, "op3_warc": op3_warc, "op4_urlfilter": op4_urlfilter, "op5_hnsw": op5_hnsw, "op6_sharding": op6_sharding, "op7_bpe": op7_bpe, "op8_langid": op8_langid, "op9_grammar_ids": op9_grammar_ids, "op10_maxent": op10_maxent}
 ORACLE_SQL: dict[str, str] = {"op1_decontam": decontam.contaminated_sql(), "op3_warc": warc.captures_sql(), "op6_sharding": sharding.assign_sql(SHARD_BYTES)}
