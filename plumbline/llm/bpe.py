@@ -20,6 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 from tokenizers import Tokenizer
 
 from plumbline.llm.common import binary_list
@@ -169,7 +170,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, text: str = "text", keep: li
     """
     names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("bpe_ids", "bpe_decoded")]
     source = docs.select(*[docs[c] for c in names], docs[text].cast("string").alias("_bpe_text"))
-    schema = source.drop("_bpe_text").schema.add("bpe_ids", "array<int>").add("bpe_decoded", "string")
+    schema = source.drop("_bpe_text").schema.add("bpe_ids", ArrayType(IntegerType())).add("bpe_decoded", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(vocabulary)
