@@ -39,8 +39,8 @@ def line_windows(files: DataFrame, size: int, least_lines: int) -> DataFrame:
 
 def independent(starts: Column, size: int) -> Column:
     """How many of the sorted starts do not overlap, taken greedily from the left."""
-    zero = F.struct(F.lit(0).alias("n"), F.lit(-(10**9)).alias("last"))
-    return F.aggregate(starts, zero, lambda acc, s: F.when(s - acc["last"] >= size, F.struct((acc["n"] + 1).alias("n"), s.alias("last"))).otherwise(acc))["n"]
+    zero = F.struct(F.lit(0).alias("n"), F.lit(-(10**9)).cast("long").alias("last"))
+    return F.aggregate(starts, zero, lambda acc, s: F.when(s - acc["last"] >= size, F.struct((acc["n"] + 1).alias("n"), s.cast("long").alias("last"))).otherwise(acc))["n"]
 
 
 def repeated_line_windows(files: DataFrame, size: int, least_lines: int) -> DataFrame:
