@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import binary_list, partitions, written
+from plumbline.llm.common import binary_list, mix, partitions, written
 
 SHARD_SCHEMA = "part int, shard int, offset long, n_ids long, doc_ids array<long>, ends array<long>, base int, generations array<int>, rules binary, lengths binary, sequence binary"
 
@@ -108,54 +108,139 @@ class Grammar:
         return self.expand(self.sequence[a : b + 1])[start - before : end - before]
 
 
-class LibraryRuns(dict):
-    """run of non-space bytes -> ids as bytes, made by the tokenizers library and remembered up to a bound.
+class RunTable:
+    """64-bit keys -> stretches of ids: open addressing in numpy, so that a batch of runs is looked up at once."""
+
+    def __init__(self, bits: int = 22, limit: int = 1_500_000):
+        self.bits, self.limit = bits, limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = np.zeros(1 << self.bits, np.uint64)  # 0 is a free place
+        self.entry = np.zeros(1 << self.bits, np.int32)
+        self.start, self.size, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(4096, np.uint32)
+        self.entries = self.used = 0
+
+    def _places(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The entry of each key, or -1."""
+        out, place, left = np.full(len(keys), -1, np.int64), self._places(keys), np.arange(len(keys))
+        while len(left):
+            there = self.keys[place[left]]
+            hit = there == keys[left]
+            out[left[hit]] = self.entry[place[left[hit]]]
+            left = left[~hit & (there != 0)]
+            place[left] = (place[left] + 1) & (len(self.keys) - 1)
+        return out
+
+    def add(self, keys: np.ndarray, ids: list[bytes]) -> None:
+        """Different keys that are not there yet."""
+        size = np.array([len(x) // 4 for x in ids], np.int32)
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        grown = lambda a, n: a if n <= len(a) else np.concatenate([a, np.zeros(max(n - len(a), len(a)), a.dtype)])
+        first, self.entries = self.entries, self.entries + len(keys)
+        self.start, self.size, self.ids = grown(self.start, self.entries), grown(self.size, self.entries), grown(self.ids, self.used + len(flat))
+        self.start[first : self.entries], self.size[first : self.entries] = self.used + np.cumsum(size) - size, size
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        number, place, left = np.arange(first, self.entries), self._places(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[place[left]] == 0]
+            self.keys[place[free]] = keys[free]  # of those that want one place, the last gets it
+            got = free[self.keys[place[free]] == keys[free]]
+            self.entry[place[got]] = number[got]
+            left = left[self.keys[place[left]] != keys[left]]
+            place[left] = (place[left] + 1) & (len(self.keys) - 1)
+
+    def gather(self, entries: np.ndarray) -> np.ndarray:
+        """All ids of the entries, one after the other."""
+        size = self.size[entries]
+        ends = np.cumsum(size, dtype=np.int64)
+        return self.ids[np.repeat(self.start[entries] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def run_keys(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, 64-bit keys) of the runs of non-space bytes."""
+    space = _SPACE[np.frombuffer(b" " + data + b" " * 9, np.uint8)]
+    edge = np.flatnonzero(space[1:] != space[:-1])
+    starts, ends = edge[::2], edge[1::2]
+    padded = data + b"\0" * 8
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    key = mix((ends - starts).astype(np.uint64))
+    left, at, who = ends - starts, starts.copy(), np.arange(len(starts))
+    while len(who):
+        n = np.minimum(left, 8)
+        part = eight[at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(8) * (8 - n).astype(np.uint64)))
+        key[who] = mix(key[who] * np.uint64(0x9E3779B97F4A7C15) + part)
+        more = left > 8
+        who, at, left = who[more], at[more] + 8, left[more] - 8
+    return starts, ends, np.maximum(key, np.uint64(1))
+
+
+class LibraryRuns:
+    """Encodes texts with the tokenizers library, once for each different run of non-space bytes (remembered up to a bound).
 
     White space is a border of the file's pieces, and neither normalising nor merging reaches over it, so a text's ids
-    are those of its runs. ASCII letters count in lower case, and one mark after a letter is a piece of its own.
+    are those of its runs. ASCII letters count in lower case, and one mark after a letter is a piece of its own. Runs
+    are told apart by 64-bit keys.
     """
 
-    LIMIT = 1_200_000
+    LIMIT = 600_000
     MARKED = re.compile(rb"[\x21-\x7e]*[A-Za-z][.,;:!?]")
     PLAIN = re.compile(rb"[a-z]+")
 
     def __init__(self, path: str):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-
-    def parts(self, run: bytes) -> list[bytes]:
-        if b"<|" in run or not run.isascii():
-            return [run]
-        if self.MARKED.fullmatch(run):
-            return [run[:-1].lower(), run[-1:]]
-        return [run.lower()]
-
-    def learn(self, runs: set[bytes]) -> None:
-        """Runs of letters a to z are single pieces as they are, and go straight to the library's model."""
-        parts = {run: self.parts(run) for run in runs}
-        missing = {p for ps in parts.values() for p in ps if p not in self}
-        plain = {p for p in missing if self.PLAIN.fullmatch(p)}
-        tokenize = self.tokenizer.model.tokenize
-        for run in plain:
-            self[run] = array("I", [t.id for t in tokenize(run.decode())]).tobytes()
-        other = list(missing - plain)
-        for run, found in zip(other, self.tokenizer.encode_batch_fast([r.decode() for r in other], add_special_tokens=False)):
-            self[run] = array("I", found.ids).tobytes()
-        for run, ps in parts.items():
-            self[run] = b"".join([self[p] for p in ps])
-
-    def texts(self, texts: list[bytes]) -> list[bytes]:
-        if len(self) > self.LIMIT:
-            self.clear()
-        runs = [t.split() for t in texts]
-        found = [list(map(self.get, r)) for r in runs]
-        self.learn({run for r, f in zip(runs, found) if None in f for run, ids in zip(r, f) if ids is None})
-        return [b"".join(map(self.__getitem__, r) if None in f else f) for r, f in zip(runs, found)]
+        self.table, self.cores = RunTable(), {}
+
+    def encode(self, runs: list[bytes]) -> list[bytes]:
+        """The ids of each run. Runs of letters a to z are single pieces as they are, and go straight to the library's model."""
+        if len(self.cores) > self.LIMIT:
+            self.cores.clear()
+        cores, tokenize, other, out = self.cores, self.tokenizer.model.tokenize, [], []
+        for run in runs:
+            ascii_run = run.isascii() and b"<|" not in run
+            marked = ascii_run and self.MARKED.fullmatch(run)
+            parts = ((run[:-1].lower(), run[-1:]) if marked else (run.lower(),)) if ascii_run else (run,)
+            for p in parts:
+                if p not in cores:
+                    if self.PLAIN.fullmatch(p):
+                        cores[p] = array("I", [t.id for t in tokenize(p.decode())]).tobytes()
+                    else:
+                        cores[p] = None
+                        other.append(p)
+            out.append(parts)
+        for p, found in zip(other, self.tokenizer.encode_batch_fast([r.decode() for r in other], add_special_tokens=False)):
+            cores[p] = array("I", found.ids).tobytes()
+        return [cores[p[0]] if len(p) == 1 else cores[p[0]] + cores[p[1]] for p in out]
+
+    def texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids one after the other, how many each text has)."""
+        data = b"\n".join(texts)
+        starts, ends, keys = run_keys(data)
+        if self.table.entries > self.table.limit:
+            self.table.clear()
+        found = self.table.find(keys)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            unique, first = np.unique(keys[new], return_index=True)
+            at = new[first]
+            self.table.add(unique, self.encode([data[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())]))
+            found[new] = self.table.find(keys[new])
+        borders = np.cumsum([len(t) + 1 for t in texts])
+        of = np.searchsorted(borders, starts, "right")
+        return self.table.gather(found), np.bincount(of, self.table.size[found], minlength=len(texts)).astype(np.int64)
 
 
 _libraries: dict[str, LibraryRuns] = {}
@@ -200,8 +285,10 @@ def write_shards(docs: DataFrame, vocabulary: str, end_id: int | None = None, id
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
                 texts = [t or b"" for t in binary_list(some.column(1))]
-                for doc, raw in zip(some.column(0).to_pylist(), _libraries[vocabulary].texts(texts)):
-                    raw += end
+                flat, sizes = _libraries[vocabulary].texts(texts)
+                raws, borders = flat.astype("<u4").tobytes(), (4 * np.concatenate([[0], np.cumsum(sizes)])).tolist()
+                for doc, a, b in zip(some.column(0).to_pylist(), borders, borders[1:]):
+                    raw = raws[a:b] + end
                     if held and held + len(raw) // 4 > shard_ids:
                         yield row()
                     ids.append(raw)
