@@ -123,7 +123,7 @@ class BpeModel:
 class RunEncoder(dict):
     """run of non-space bytes -> its ids as little-endian unsigned 32-bit integers; forgets all at a bound."""
 
-    def __init__(self, model: BpeModel, limit: int = 1_200_000):
+    def __init__(self, model: BpeModel, limit: int = 350_000):
         super().__init__()
         self.model, self.limit, self.merged = model, limit, {}
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import batched_groups, binary_list, connected_components, mix, partitions, shingle_set, written
 
-CHUNK_SHINGLES, CHUNK_DOCS = 4_000_000, 20_000
+CHUNK_SHINGLES, CHUNK_DOCS = 1_500_000, 20_000
 TILE_DOCS, TILE_SHINGLES = 1024, 2_000_000
 
 
