@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 from tokenizers import Tokenizer
 
-from plumbline.llm.common import binary_list
+from plumbline.llm.common import binary_list, fresh
 
 
 def byte_symbols() -> list[str]:
@@ -169,8 +169,9 @@ def encode_decode(docs: DataFrame, vocabulary: str, text: str = "text", keep: li
     another type is read as a string. Existing columns bpe_ids and bpe_decoded are replaced.
     """
     names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("bpe_ids", "bpe_decoded")]
-    source = docs.select(*[docs[c] for c in names], docs[text].cast("string").alias("_bpe_text"))
-    schema = source.drop("_bpe_text").schema.add("bpe_ids", ArrayType(IntegerType())).add("bpe_decoded", "string")
+    helper = fresh("_text", names)
+    source = docs.select(*[docs[c] for c in names], docs[text].cast("string").alias(helper))
+    schema = source.drop(helper).schema.add("bpe_ids", ArrayType(IntegerType())).add("bpe_decoded", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(vocabulary)

@@ -36,6 +36,13 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name that is not taken, for a helper column beside those of a caller."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     """How many parts a shuffle of the whole input gets: the session's own setting, which follows the input's size."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -21,6 +21,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import fresh
+
 #: A shingle has this many words.
 WORDS = 5
 #: At similarity 0.8 fingerprints differ by 10 of 64 bits on average (standard deviation 3).
@@ -116,8 +118,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without the contaminated ones; columns and names stay as they are. Rows with a null id stay."""
     id_column = options.get("id_column", "doc_id")
-    gone = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_column] == F.col("_gone"), "left_anti")
+    gone = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias(fresh("_gone", docs.columns))).distinct()
+    return docs.join(gone, docs[id_column] == gone[0], "left_anti")
 
 
 def contaminated_sql(similarity: float = 0.8, documents: str = "documents", benchmark: str = "benchmark") -> str:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import batched_groups, binary_list, connected_components, mix, partitions, shingle_set, written
+from plumbline.llm.common import batched_groups, binary_list, connected_components, fresh, mix, partitions, shingle_set, written
 
 CHUNK_SHINGLES, CHUNK_DOCS = 1_500_000, 20_000
 TILE_DOCS, TILE_SHINGLES = 1024, 2_000_000
@@ -252,8 +252,9 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "d
 
     Columns and names stay as they are. Rows with a null id stay.
     """
-    classes = jaccard_components(docs, k, percent, id_column, text).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(classes, docs[id_column].cast("long") == F.col("_gone"), "left_anti")
+    classes = jaccard_components(docs, k, percent, id_column, text).where("doc_id <> component_id").select(F.col("doc_id").alias(fresh("_gone", docs.columns))).distinct()
+    kept = docs.join(classes, docs[id_column].cast("long") == classes[0], "left_anti")
+    place = fresh("_place", docs.columns)
     order = Window.partitionBy(id_column).orderBy(F.col(text).asc_nulls_last())
-    once = kept.where(F.col(id_column).isNotNull()).withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_place")
+    once = kept.where(F.col(id_column).isNotNull()).withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).drop(place)
     return once.unionByName(kept.where(F.col(id_column).isNull()))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import written
+from plumbline.llm.common import fresh, written
 
 #: Bits of a hash; a bucket at this depth is not split further.
 BITS = 60
@@ -69,12 +69,14 @@ def assign(docs: DataFrame, byte_limit: int, key: str = "doc_id", text: str = "t
     narrow = written(docs.select(hash_bits(docs[key]).alias("bits"), weight.alias("bytes")), "shard-rows")
     shards = written(directory(narrow, byte_limit), "shards")
     depths = sorted(r["depth"] for r in shards.select("depth").distinct().collect())
+    prefix = fresh("_prefix", [*names, *made])
     low = F.concat(F.lit("0" * BITS), F.bin("prefix"))
-    entries = shards.select(F.col("depth").alias("shard_depth"), F.col("prefix").alias("_prefix"), F.substring(low, F.length(low) - F.col("depth") + 1, F.col("depth")).alias("shard"), "shard_rows", "shard_bytes")
+    entries = shards.select(F.col("depth").alias("shard_depth"), F.col("prefix").alias(prefix), F.substring(low, F.length(low) - F.col("depth") + 1, F.col("depth")).alias("shard"), "shard_rows", "shard_bytes")
     # each row has one shard: that depth at which its prefix is in the directory
-    wide = docs.select(*[docs[c] for c in names], hash_bits(docs[key]).alias("_bits"))
-    tried = wide.withColumn("_depth", F.explode(F.array(*[F.lit(d) for d in depths] or [F.lit(0)])))
-    joined = tried.withColumn("_at", _prefix(F.col("_bits"), F.col("_depth"))).join(entries, (F.col("_depth") == F.col("shard_depth")) & (F.col("_at") == F.col("_prefix")))
+    bits, depth = (fresh(n, [*names, *made]) for n in ("_bits", "_depth"))
+    wide = docs.select(*[docs[c] for c in names], hash_bits(docs[key]).alias(bits))
+    tried = wide.withColumn(depth, F.explode(F.array(*[F.lit(d) for d in depths] or [F.lit(0)])))
+    joined = tried.join(entries, (tried[depth] == entries["shard_depth"]) & (_prefix(tried[bits], tried[depth]) == entries[prefix]))
     return joined.select(*[F.col(f"`{c}`") for c in names], *made)
 
 

@@ -226,3 +226,17 @@ def test_lm_model_is_a_distribution():
 def test_digest_of_an_empty_text(spark):
     r = bpe.digests(spark.createDataFrame([(1, None)], "doc_id long, text string"), PATH).first()
     assert tuple(r) == (1, 0, hashlib.sha256(b"").hexdigest(), hashlib.sha256(b"").hexdigest())
+
+
+def test_clashing_helper_columns(spark):
+    """Callers' columns may have the names of any helper column."""
+    from plumbline.llm import sharding
+
+    extra = ["_gone", "_place", "_text", "_bits", "_depth", "_prefix", "shard", "prefix", "score", "component_id", "a", "b"]
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, text), (2, text + " more"), (3, None)], "doc_id long, text string").select("*", *[F.lit(n).alias(n) for n in extra])
+    bench = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(20)))], "item_id long, text string")
+    assert sorted(r["doc_id"] for r in jaccard.keep_one(docs).collect()) == [1, 3]
+    assert [r["doc_id"] for r in decontam.decontaminate(docs, bench).collect()] == [3]
+    assert bpe.encode_decode(docs, PATH).count() == 3 and langid.predict(docs, None).count() == 3
+    assert {r["_prefix"] for r in sharding.assign(docs, 100).collect()} == {"_prefix"}
