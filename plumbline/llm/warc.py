@@ -34,7 +34,7 @@ def urlkey(url: Column) -> Column:
     return F.coalesce(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), rest), F.lit(""))
 
 
-def write_archives(pages: DataFrame, id_column: str = "page_id", url: str = "url", html: str = "html", records_per_file: int = 5000) -> str:
+def write_archives(pages: DataFrame, id_column: str = "page_id", url: str = "url", html: str = "html", records_per_file: int = 2000) -> str:
     """Write a WARC record for each page and return the folder of the archives.
 
     Of pages with equal payloads of at least 1000 bytes, that with the largest page_id is a response, others revisit it;
@@ -78,8 +78,7 @@ _NUMBER = re.compile(rb"<urn:page:(-?\d+)>")
 
 def parse(archive: bytes) -> Iterator[tuple[dict[bytes, bytes], bytes]]:
     """The header fields and the payload of each record, by the records' own lengths."""
-    data = memoryview(zlib.decompress(archive, 31))
-    raw, at = bytes(data), 0
+    raw, at = zlib.decompress(archive, 31), 0
     while at < len(raw):
         end = raw.index(b"\r\n\r\n", at)
         fields = dict(x.split(b": ", 1) for x in raw[at:end].split(b"\r\n")[1:])
