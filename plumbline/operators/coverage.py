@@ -55,3 +55,19 @@ def all_lines(files: DataFrame) -> DataFrame:
     """Every line of an untracked file is changed: files (file, text) -> (file, line)."""
     n = F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1
     return files.select("file", F.explode(F.sequence(F.lit(1), n)).alias("line"))
+
+
+def map_sources(entries: DataFrame, files: DataFrame, report_folder: str) -> DataFrame:
+    """entries (source, ...) with the path of the analysed file: relative to the report's folder, else to the root; unmapped ones go."""
+    paths = files.select("path").distinct()
+    near = paths.select(F.col("path").alias("_near"))
+    root = paths.select(F.col("path").alias("_root"))
+    below = F.concat(F.lit(report_folder.rstrip("/") + "/" if report_folder else ""), F.col("source"))
+    joined = entries.join(near, below == F.col("_near"), "left").join(root, F.col("source") == F.col("_root"), "left")
+    return joined.withColumn("path", F.coalesce("_near", "_root")).where(F.col("path").isNotNull()).drop("_near", "_root")
+
+
+def fresh_only(entries: DataFrame, files: DataFrame, report_time) -> DataFrame:
+    """Entries of files (path, modified) that are not newer than the report by more than a millisecond."""
+    old = files.where(F.col("modified") <= report_time + F.expr("interval '0.001' second")).select("path")
+    return entries.join(old, "path", "left_semi")

@@ -49,3 +49,12 @@ def evidence(rows: DataFrame, column: str, fields: dict[str, str]) -> DataFrame:
     """Adds the named fields of a JSON column, read as a variant; a missing or badly typed field is null."""
     parsed = rows.withColumn("_evidence", F.try_parse_json(column))
     return parsed.select("*", *[F.try_variant_get("_evidence", f"$.{n}", kind).alias(n) for n, kind in fields.items()]).drop("_evidence")
+
+
+def snapshot_digest(files: DataFrame) -> DataFrame:
+    """One row (files, digest): equal for equal sets of (path, content), whatever the order; partial results combine.
+
+    The digest is the exclusive or of the first 60 bits of a SHA-256 of each file's path and content hash.
+    """
+    each = F.sha2(F.concat_ws("\0", "path", F.sha2("code", 256)).cast("binary"), 256)
+    return files.select(F.conv(F.substring(each, 1, 15), 16, 10).cast("long").alias("h")).agg(F.count("*").alias("files"), F.bit_xor("h").alias("digest"))

@@ -49,3 +49,15 @@ def nesting_depth(opened: Column) -> Column:
         return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
 
     return F.aggregate(opened, zero, step)["most"]
+
+
+def outside_spans(points: DataFrame, spans: DataFrame, by: str) -> DataFrame:
+    """points (by, at, ...) that lie in none of the spans (by, start, stop): an anti-join by key and range."""
+    inside = spans.select(F.col(by).alias("_by"), "start", "stop")
+    return points.join(inside, (F.col(by) == F.col("_by")) & (F.col("start") <= F.col("at")) & (F.col("at") <= F.col("stop")), "left_anti")
+
+
+def first_seen(rows: DataFrame, value: str, order: str) -> DataFrame:
+    """(value, place) in the order in which the values come first, from 0; the values are few, as rules are."""
+    first = rows.groupBy(value).agg(F.min(order).alias("_first"))
+    return first.select(value, (F.row_number().over(Window.orderBy("_first", value)) - 1).alias("place"))

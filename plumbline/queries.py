@@ -348,3 +348,32 @@ def q_number_formats(spark, d):
 def q_finding_ids(spark, d):
     grouped = table(spark, d, "orders").groupBy(F.concat(F.lit("c"), F.col("o_custkey").cast("string"), F.lit("/"), F.col("o_orderpriority")).alias("path")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("k"))
     return grouped.select(S.short_id(F.col("path"), F.col("n").cast("string")).alias("id"), "path", "n", S.clone_key(F.array("path", F.concat(F.lit("c"), F.col("k").cast("string")))).alias("key"), F.concat("path", F.lit(":"), F.col("k").cast("string")).alias("location"))
+
+
+@query("""with s as (select user_id, ts as start, ts + interval 2 hour as stop from events where event_type = 'purchase')
+    select event_id, e.user_id from events e where event_type <> 'purchase' and not exists (select 1 from s where s.user_id = e.user_id and e.ts between start and stop)""")
+def q_outside_spans(spark, d):
+    events = table(spark, d, "events")
+    spans = events.where("event_type = 'purchase'").select("user_id", F.col("ts").alias("start"), F.expr("ts + interval '2' hour").alias("stop"))
+    points = events.where("event_type <> 'purchase'").select("event_id", "user_id", F.col("ts").alias("at"))
+    return scopes.outside_spans(points, spans, "user_id").select("event_id", "user_id")
+
+
+@query("select rule, cast(row_number() over (order by f, rule) - 1 as integer) as place from (select event_type || '/' || k as rule, min(event_id) as f from (select event_type, event_id, cast(json_extract(props, '$.k') as bigint) % 10 as k from events) group by 1)")
+def q_rule_order(spark, d):
+    seen = files.evidence(table(spark, d, "events"), "props", {"k": "bigint"}).select(F.concat_ws("/", "event_type", (F.col("k") % 10).cast("string")).alias("rule"), "event_id")
+    return scopes.first_seen(seen, "rule", "event_id")
+
+
+@query("""with f as (select 'lib/p' || p_partkey as path from part where p_partkey % 3 = 0 union all select 'p' || p_partkey from part where p_partkey % 3 <> 2), e as (select 'p' || l_partkey as source, l_orderkey, l_linenumber from lineitem)
+    select e.*, coalesce(a.path, b.path) as path from e left join f a on a.path = 'lib/' || source left join f b on b.path = source where coalesce(a.path, b.path) is not null""")
+def q_source_mapping(spark, d):
+    part, name = table(spark, d, "part"), F.concat(F.lit("p"), F.col("p_partkey").cast("string"))
+    paths = part.where("p_partkey % 3 = 0").select(F.concat(F.lit("lib/"), name).alias("path")).union(part.where("p_partkey % 3 <> 2").select(name))
+    entries = table(spark, d, "lineitem").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("source"), "l_orderkey", "l_linenumber")
+    return coverage.map_sources(entries, paths, "lib")
+
+
+@query(f"select count(*) as files, bit_xor(cast('0x' || substr(sha256(path || chr(0) || sha256(code)), 1, 15) as bigint)) as digest from {DOCS}")
+def q_snapshot_digest(spark, d):
+    return files.snapshot_digest(documents(spark, d))
