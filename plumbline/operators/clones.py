@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.scalars import nonblank_lines, tokens
+from plumbline.functions.scalars import nonblank_lines, percent, tokens
 from plumbline.operators.tables import held
 
 
@@ -53,11 +53,9 @@ def repeated_line_windows(files: DataFrame, size: int, least_lines: int) -> Data
 
 def clone_density(files: DataFrame, size: int = 50, least_lines: int = 5) -> DataFrame:
     """One row (duplicated_lines, total_lines, density): distinct lines under a repeated window, of all non-blank ones."""
-    lines = repeated_line_windows(files, size, least_lines).select("path", F.explode(F.sequence("line", "end_line")).alias("line")).distinct().agg(F.count("*").alias("duplicated_lines"))
-    total = files.agg(F.coalesce(F.sum(nonblank_lines(F.col("code"))), F.lit(0)).alias("total_lines"))
-    both = lines.crossJoin(F.broadcast(total))  # one row with one row
-    from plumbline.functions.scalars import percent
-
+    lines = repeated_line_windows(files, size, least_lines).select("path", F.explode(F.sequence("line", "end_line")).alias("line")).distinct().select(F.lit(1).cast("long").alias("d"), F.lit(0).cast("long").alias("t"))
+    total = files.select(F.lit(0).cast("long").alias("d"), F.coalesce(nonblank_lines(F.col("code")), F.lit(0)).alias("t"))
+    both = lines.unionByName(total).agg(F.coalesce(F.sum("d"), F.lit(0)).alias("duplicated_lines"), F.coalesce(F.sum("t"), F.lit(0)).alias("total_lines"))
     return both.select("duplicated_lines", "total_lines", percent(F.col("duplicated_lines"), F.col("total_lines")).alias("density"))
 
 

@@ -20,11 +20,9 @@ def threshold_findings(measurements: DataFrame, policies: DataFrame) -> DataFram
 
 def gate(findings: DataFrame, incomplete: bool | DataFrame = False) -> DataFrame:
     """One row (status, blocking, warnings): incomplete before failed before passed. Counts are partial sums."""
-    counts = findings.agg(F.count_if("blocking").alias("blocking"), F.count_if(~F.col("blocking")).alias("warnings"))
+    marks = findings.select(F.col("blocking").alias("b"), (~F.col("blocking")).alias("w"), F.lit(False).alias("e"))
     if isinstance(incomplete, DataFrame):  # diagnostics with required and severity
-        errors = incomplete.agg(F.count_if(F.col("required") & (F.col("severity") == "error")).alias("errors"))
-        counts = counts.crossJoin(F.broadcast(errors))  # one row with one row
-    else:
-        counts = counts.withColumn("errors", F.lit(int(incomplete)))
+        marks = marks.unionByName(incomplete.select(F.lit(False).alias("b"), F.lit(False).alias("w"), (F.col("required") & (F.col("severity") == "error")).alias("e")))
+    counts = marks.agg(F.count_if("b").alias("blocking"), F.count_if("w").alias("warnings"), (F.count_if("e") + int(incomplete is True)).alias("errors"))
     status = F.when(F.col("errors") > 0, "incomplete").when(F.col("blocking") > 0, "failed").otherwise("passed")
     return counts.select(status.alias("status"), "blocking", "warnings")
