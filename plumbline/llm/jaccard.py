@@ -59,7 +59,7 @@ def _deal(batches: Iterator[pa.RecordBatch], k: int, buckets: int) -> Iterator[p
         h = np.concatenate([sets[i] for i in own]) if len(own) else np.empty(0, np.uint64)
         owner = np.repeat(own.astype("<u2"), n[own])
         bucket = (h >> np.uint64(40)) % np.uint64(buckets)
-        order = np.argsort(bucket.astype(np.uint16), kind="stable")
+        order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
         six = h[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
         owner, ends = owner[order], np.cumsum(np.bincount(bucket.astype(np.int64), minlength=buckets))
         info = pa.array([np.array([-1 if i is None else i for i in ids], np.int64).tobytes() + np.array([i is None for i in ids], np.int64).tobytes() + n.tobytes() + whole.tobytes() + copy_of.astype(np.int64).tobytes()], pa.binary())
