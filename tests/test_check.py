@@ -132,3 +132,17 @@ def test_streamed_attempts(spark, tmp_path):
     q.awaitTermination(120)
     got = spark.table("attempts").orderBy(F.col("at")).collect()
     assert [(r["attempt"], r["blocks"]) for r in got] == [(1, True), (2, True), (3, False), (1, True)]
+
+
+def test_snapshots_follow_moves(spark, tmp_path):
+    from plumbline.plans import snapshots
+
+    deep = lambda n: "def deep(a):\n" + "".join("    " * (i + 1) + "if a:\n" for i in range(n)) + "    " * (n + 1) + "pass\n"
+    frame = lambda files: spark.createDataFrame(list(files.items()), "path string, code string")
+    snapshots.save(plan.check_files(frame({"a.py": deep(6), "gone.py": deep(7), "same.py": "x = 1\n"})), str(tmp_path), "main")
+    now = plan.check_files(frame({"moved.py": deep(6), "new.py": deep(8), "same.py": "x = 1\n"}))
+    measured, found = snapshots.against(spark, now, str(tmp_path), "main")
+    kinds = {(r["rule"], r["key"]): r["classification"] for r in found.where("rule = 'complexity.nesting_depth'").collect()}
+    assert kinds == {("complexity.nesting_depth", "moved.py::deep"): "existing", ("complexity.nesting_depth", "new.py::deep"): "new", ("complexity.nesting_depth", "gone.py::deep"): "resolved"}
+    assert {r["classification"] for r in measured.where("key = 'moved.py::deep'").collect()} == {"existing"}
+    assert [(r["section"], r["rank"], r["key"], r["omitted"]) for r in snapshots.to_fix(now, 1).collect()] == [("hotspots", 1, "new.py::deep", 1)]

@@ -172,3 +172,30 @@ def test_adapters_and_evidence(spark):
     assert rows(files.adapter_summary(df, ["go", "java", "py"])) == [("go", 1, True), ("java", 0, True), ("py", 2, False)]
     e = spark.createDataFrame([('{"k": 3}',), ("{}",), (None,), ("nonsense",)], "j string")
     assert [r["k"] for r in files.evidence(e, "j", {"k": "int"}).collect()] == [3, None, None, None]
+
+
+def test_outside_spans(spark):
+    points = spark.createDataFrame([("u", 1), ("u", 5), ("v", 5), (None, 5), ("u", None)], "k string, at int")
+    spans = spark.createDataFrame([("u", 4, 6)], "k string, start int, stop int")
+    assert sorted((r["k"] or "", r["at"] or 0) for r in scopes.outside_spans(points, spans, "k").collect()) == [("", 5), ("u", 0), ("u", 1), ("v", 5)]
+
+
+def test_first_seen(spark):
+    df = spark.createDataFrame([("b", 1), ("a", 2), ("b", 3), ("c", 2)], "r string, at int")
+    assert rows(scopes.first_seen(df, "r", "at")) == [("a", 1), ("b", 0), ("c", 2)]
+
+
+def test_mapped_sources_and_stale_files(spark):
+    entries = spark.createDataFrame([("a.py",), ("b.py",), ("c.py",)], "source string")
+    paths = spark.createDataFrame([("lib/a.py",), ("a.py",), ("b.py",)], "path string")
+    mapped = coverage.map_sources(entries, paths, "lib/")
+    assert rows(mapped) == [("a.py", "lib/a.py"), ("b.py", "b.py")]
+    times = spark.sql("select * from values ('lib/a.py', timestamp '2024-01-01 00:00:00'), ('b.py', timestamp '2024-01-02 00:00:00') t(path, modified)")
+    assert rows(coverage.fresh_only(mapped, times, F.lit("2024-01-01").cast("timestamp"))) == [("lib/a.py", "a.py")]
+
+
+def test_snapshot_digest(spark):
+    df = spark.createDataFrame([("a", "x"), ("b", "y")], "path string, code string")
+    one = files.snapshot_digest(df).first()
+    assert one == files.snapshot_digest(df.orderBy(F.desc("path"))).first()
+    assert one != files.snapshot_digest(spark.createDataFrame([("a", "y"), ("b", "x")], "path string, code string")).first()
