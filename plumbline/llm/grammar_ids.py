@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.bpe import byte_symbols
 from plumbline.llm.common import binary_list, mix, partitions, written
 
 SHARD_SCHEMA = "part int, shard int, offset long, n_ids long, doc_ids array<long>, ends array<long>, base int, generations array<int>, rules binary, lengths binary, sequence binary"
@@ -187,13 +188,14 @@ class LibraryRuns:
     """Encodes texts with the tokenizers library, once for each different run of non-space bytes (remembered up to a bound).
 
     White space is a border of the file's pieces, and neither normalising nor merging reaches over it, so a text's ids
-    are those of its runs. ASCII letters count in lower case, and one mark after a letter is a piece of its own. Runs
-    are told apart by 64-bit keys.
+    are those of its runs. Letters count in lower case, and one mark after letters is a piece of its own. Runs are told
+    apart by 64-bit keys.
     """
 
     LIMIT = 600_000
-    MARKED = re.compile(rb"[\x21-\x7e]*[A-Za-z][.,;:!?]")
-    PLAIN = re.compile(rb"[a-z]+")
+    #: A word of letters up to U+00FF, which NFC leaves as they are, and a mark.
+    WORD = re.compile(r"([a-zß-öø-ÿ]+)([.,;:!?]?)")
+    SYMBOLS = str.maketrans({chr(b): c for b, c in enumerate(byte_symbols())})
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -205,25 +207,32 @@ class LibraryRuns:
         self.table, self.cores = RunTable(), {}
 
     def encode(self, runs: list[bytes]) -> list[bytes]:
-        """The ids of each run. Runs of letters a to z are single pieces as they are, and go straight to the library's model."""
+        """The ids of each run. Words and marks are single pieces, and go straight to the library's model."""
         if len(self.cores) > self.LIMIT:
             self.cores.clear()
-        cores, tokenize, other, out = self.cores, self.tokenizer.model.tokenize, [], []
+        cores, match, out, other = self.cores, self.WORD.fullmatch, [], []
         for run in runs:
-            ascii_run = run.isascii() and b"<|" not in run
-            marked = ascii_run and self.MARKED.fullmatch(run)
-            parts = ((run[:-1].lower(), run[-1:]) if marked else (run.lower(),)) if ascii_run else (run,)
-            for p in parts:
-                if p not in cores:
-                    if self.PLAIN.fullmatch(p):
-                        cores[p] = array("I", [t.id for t in tokenize(p.decode())]).tobytes()
-                    else:
-                        cores[p] = None
-                        other.append(p)
-            out.append(parts)
-        for p, found in zip(other, self.tokenizer.encode_batch_fast([r.decode() for r in other], add_special_tokens=False)):
-            cores[p] = array("I", found.ids).tobytes()
-        return [cores[p[0]] if len(p) == 1 else cores[p[0]] + cores[p[1]] for p in out]
+            text = run.decode()
+            if found := match(text.lower()):
+                word, mark = found.groups()
+                if (ids := cores.get(word)) is None:
+                    ids = cores[word] = self.piece(word)
+                if mark:
+                    if mark not in cores:
+                        cores[mark] = self.piece(mark)
+                    ids += cores[mark]
+                out.append(ids)
+            else:
+                other.append((len(out), text))
+                out.append(b"")
+        for (i, _), found in zip(other, self.tokenizer.encode_batch_fast([t for _, t in other], add_special_tokens=False)):
+            out[i] = array("I", found.ids).tobytes()
+        return out
+
+    def piece(self, text: str) -> bytes:
+        """The ids of a single piece in lower case, by the library's model; its symbols stand for UTF-8 bytes."""
+        symbols = text if text.isascii() else text.encode().decode("latin-1").translate(self.SYMBOLS)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(symbols)]).tobytes()
 
     def texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids one after the other, how many each text has)."""

@@ -240,3 +240,11 @@ def test_clashing_helper_columns(spark):
     assert [r["doc_id"] for r in decontam.decontaminate(docs, bench).collect()] == [3]
     assert bpe.encode_decode(docs, PATH).count() == 3 and langid.predict(docs, None).count() == 3
     assert {r["_prefix"] for r in sharding.assign(docs, 100).collect()} == {"_prefix"}
+
+
+def test_run_encoder_on_random_text(library):
+    coder, r = grammar_ids.LibraryRuns(PATH), random.Random(6)
+    alphabet = "abAB 's'll 12\t\x0b\x1c\x85　ΣσςİéÉÀßẞKÅ½ªºµ÷×中\U0001f600̀<|endoftext|>-_.,!?"
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 40))) for _ in range(3000)] + ["", " ", "x" * 3000]
+    ids, sizes = coder.texts([t.encode() for t in texts])
+    assert ids.tolist() == [i for t in texts for i in library.encode(t, add_special_tokens=False).ids] and sizes.sum() == len(ids)
