@@ -123,7 +123,7 @@ class BpeModel:
 class RunEncoder(dict):
     """run of non-space bytes -> its ids as little-endian unsigned 32-bit integers; forgets all at a bound."""
 
-    def __init__(self, model: BpeModel, limit: int = 350_000):
+    def __init__(self, model: BpeModel, limit: int = 300_000):
         super().__init__()
         self.model, self.limit, self.merged = model, limit, {}
 
@@ -150,14 +150,14 @@ class RunEncoder(dict):
         return b"".join(map(self.__getitem__, data.split()))
 
 
-_encoders: dict[str, RunEncoder] = {}
+_models: dict[str, BpeModel] = {}
 
 
 def encoder(path: str) -> RunEncoder:
-    """This worker's encoder for a vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = RunEncoder(BpeModel.load(path))
-    return _encoders[path]
+    """A task's encoder for a vocabulary file. The worker keeps the model, and what was remembered goes with the task."""
+    if path not in _models:
+        _models[path] = BpeModel.load(path)
+    return RunEncoder(_models[path])
 
 
 def encode_decode(docs: DataFrame, vocabulary: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
