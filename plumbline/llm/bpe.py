@@ -42,7 +42,11 @@ def byte_symbols() -> list[str]:
 class BpeModel:
     """A vocabulary file's model: normaliser (NFC, lower case), splitting pattern, merges, vocabulary, special strings."""
 
+    #: How many pieces' ids are remembered.
+    MERGED = 500_000
+
     def __init__(self, spec: dict):
+        self.merged: dict[bytes, bytes] = {}
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model.get("end_of_word_suffix") or ""
@@ -120,32 +124,46 @@ class BpeModel:
         return " ".join([strings[i] for i in ids if i in strings])
 
 
+#: A word of letters up to U+00FF, and a mark.
+WORD = regex.compile(r"([a-zß-öø-ÿ]+)([.,;:!?]?)")
+
+
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class RunEncoder(dict):
     """run of non-space bytes -> its ids as little-endian unsigned 32-bit integers; forgets all at a bound."""
 
     def __init__(self, model: BpeModel, limit: int = 300_000):
         super().__init__()
-        self.model, self.limit, self.merged = model, limit, {}
+        self.model, self.limit = model, limit
 
     def __missing__(self, run: bytes) -> bytes:
         if len(self) >= self.limit:
             self.clear()
-        if len(self.merged) >= self.limit:
-            self.merged.clear()
         model, text = self.model, run.decode()
-        if model.special_pattern and model.special_pattern.search(text):
-            ids = model.encode(text)
+        if found := WORD.fullmatch(text.lower()):  # a word and a mark are single pieces, and NFC leaves them as they are
+            value = b"".join([self.piece(p.encode()) for p in found.groups() if p])
+        elif model.special_pattern and model.special_pattern.search(text):
+            value = packed(model.encode(text))
         else:
-            ids = []
-            for piece in model.pieces(text):
-                if (known := self.merged.get(piece)) is None:
-                    known = self.merged[piece] = model.merge(piece)
-                ids += known
-        value = struct.pack(f"<{len(ids)}I", *ids)
+            value = b"".join(map(self.piece, model.pieces(text)))
         if len(run) < 256:
             self[run] = value
         return value
 
+    def piece(self, piece: bytes) -> bytes:
+        """The ids of one piece; the worker keeps these longer than a task."""
+        merged = self.model.merged
+        if (ids := merged.get(piece)) is None:
+            if len(merged) >= self.model.MERGED:
+                merged.clear()
+            ids = packed(self.model.merge(piece))
+            if len(piece) < 256:
+                merged[piece] = ids
+        return ids
+
     def text(self, data: bytes) -> bytes:
         return b"".join(map(self.__getitem__, data.split()))
 
