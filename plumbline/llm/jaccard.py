@@ -53,16 +53,17 @@ def _deal(batches: Iterator[pa.RecordBatch], k: int, buckets: int) -> Iterator[p
         n = np.array([len(s) for s in sets], np.int64)
         whole = np.array([int(np.bitwise_xor.reduce(s)) if len(s) else 0 for s in sets], np.uint64)
         whole = mix(whole + n.astype(np.uint64)).view(np.int64)
-        _, first, which = np.unique(np.stack([whole, n]), axis=1, return_index=True, return_inverse=True)
-        copy_of = first[which.ravel()]  # equal sets of a chunk are dealt once
-        own = np.flatnonzero((copy_of == np.arange(len(n))) & (n > 0))
+        none = np.array([i is None for i in ids], np.int64)
+        _, first, which = np.unique(np.stack([whole, n, none]), axis=1, return_index=True, return_inverse=True)
+        copy_of = first[which.ravel()]  # equal sets of a chunk are dealt once, by a row that has an id
+        own = np.flatnonzero((copy_of == np.arange(len(n))) & (n > 0) & (none == 0))
         h = np.concatenate([sets[i] for i in own]) if len(own) else np.empty(0, np.uint64)
         owner = np.repeat(own.astype("<u2"), n[own])
         bucket = (h >> np.uint64(40)) % np.uint64(buckets)
         order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
         six = h[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
         owner, ends = owner[order], np.cumsum(np.bincount(bucket.astype(np.int64), minlength=buckets))
-        info = pa.array([np.array([-1 if i is None else i for i in ids], np.int64).tobytes() + np.array([i is None for i in ids], np.int64).tobytes() + n.tobytes() + whole.tobytes() + copy_of.astype(np.int64).tobytes()], pa.binary())
+        info = pa.array([np.array([-1 if i is None else i for i in ids], np.int64).tobytes() + none.tobytes() + n.tobytes() + whole.tobytes() + copy_of.astype(np.int64).tobytes()], pa.binary())
         spans = list(zip([0, *ends[:-1].tolist()], ends.tolist()))
         made = pa.RecordBatch.from_arrays(
             [
@@ -141,7 +142,7 @@ def _keys(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Record
         who = owner[of]
         band = _band(n[who], percent)
         key = np.concatenate([mix(shared[0, of].view(np.uint64) * np.uint64(3) + (band + up).astype(np.uint64)).view(np.int64) for up in (0, 1)])
-        copies = np.flatnonzero((copy_of != np.arange(len(n))) & (none == 0) & (none[copy_of] == 0) & (n > 0))
+        copies = np.flatnonzero((copy_of != np.arange(len(n))) & (none == 0) & (n > 0))
         column = lambda a, b, c: np.concatenate([a, b, c])
         doc = column(ids, ids[copies], np.tile(ids[who], 2))
         yield pa.RecordBatch.from_arrays(

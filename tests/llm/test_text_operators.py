@@ -121,6 +121,21 @@ def test_jaccard_equals_brute_force(spark, near, k, percent, monkeypatch):
     assert got == {i: (len(sets[i]), expected[i]) for i in sets}
 
 
+def test_jaccard_with_null_ids_first(spark):
+    """A row without an id takes nothing from equal rows that have one, in its chunk or in others."""
+    words = [f"w{i}" for i in range(60)]
+    text = " ".join(words)
+    rows = [(None, text), (5, text), (9, text), (12, text + " x"), (None, text + " x"), (20, "alone " + " ".join(words[::-1])), (None, "alone " + " ".join(words[::-1]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    other = spark.createDataFrame([(3, text + " y"), (None, text)], "doc_id long, text string").coalesce(1)
+    components = lambda d: sorted((r["doc_id"], r["component_id"]) for r in jaccard.jaccard_components(d).where("doc_id is not null").collect())
+    assert components(docs) == [(5, 5), (9, 5), (12, 5), (20, 20)]
+    both = docs.union(other)
+    assert components(both) == [(3, 3), (5, 3), (9, 3), (12, 3), (20, 20)]
+    assert jaccard.jaccard_components(both).where("doc_id is null and component_id is null").count() == 4
+    assert sorted(r["doc_id"] for r in jaccard.keep_one(both).where("doc_id is not null").collect()) == [3, 20]
+
+
 def test_keep_one(spark):
     text = " ".join(f"w{i}" for i in range(40))
     docs = spark.createDataFrame([(1, text, "a"), (2, text + " x", "b"), (2, text + " x", "b"), (3, "other", "c"), (3, "other", "c"), (None, "n", "d"), (None, text, "e"), (5, None, "f")], "doc_id long, text string, component string")
