@@ -6,7 +6,8 @@ import os
 import duckdb
 import pytest
 
-from plumbline.queries import ORACLE_SQL, QUERIES
+from plumbline.operators import coverage
+from plumbline.queries import ORACLE_SQL, QUERIES, lcov_report
 
 DATA = "/root/testdata/sf0.001"
 
@@ -43,3 +44,13 @@ def test_query_equals_its_sql(spark, duck, name):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE_SQL)
+
+
+def test_lcov_report_takes_the_whole_table_in_small_reports(spark, duck):
+    lines = lcov_report(spark.read.parquet(f"{DATA}/lineitem.parquet"))
+    got = sorted(tuple(r) for r in coverage.covered(coverage.lcov_entries(lines), ["source"]).drop("percent").collect())
+    expected = duck.sql("""select 'p' || l_partkey, 'branch', count(*) filter (where l_orderkey % 2 = 1 and l_returnflag <> 'N'), count(*) filter (where l_returnflag <> 'N') from lineitem group by l_partkey
+        union all select 'p' || l_partkey, 'line', count(*) filter (where l_quantity % 3 >= 1), count(*) from lineitem group by l_partkey""").fetchall()
+    assert got == sorted(expected)
+    hot = duck.sql("select max(n) from (select count(*) as n from lineitem group by l_orderkey)").fetchall()[0][0]
+    assert max(r["count"] for r in lines.groupBy("report").count().collect()) == 4 * hot
