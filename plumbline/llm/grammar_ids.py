@@ -35,50 +35,69 @@ from plumbline.llm.common import binary_list, mix, partitions, written
 SHARD_SCHEMA = "part int, shard int, offset long, n_ids long, doc_ids array<long>, ends array<long>, base int, generations array<int>, rules binary, lengths binary, sequence binary"
 
 
-def compress(ids: np.ndarray, least_use: int = 4, least_gain: float = 0.02) -> tuple[int, list[int], np.ndarray, np.ndarray, np.ndarray]:
-    """(base, rules of each round, rules, lengths, sequence). A round that shortens the sequence by less than least_gain is the last."""
+def compress(ids: np.ndarray, least_use: int = 4, least_gain: float = 0.0) -> tuple[int, list[int], np.ndarray, np.ndarray, np.ndarray]:
+    """(base, rules of each round, rules, lengths, sequence). A round that shortens the sequence by less than least_gain is the last.
+
+    Counts are exact, and of x x x only every second pair counts. The pair with the highest count wins wherever it
+    stands, so each round makes a rule until no pair is left with least_use places. A pair that is too rare stays so, as
+    replacing makes pairs of new symbols only: each round looks at the frequent places and those beside new symbols.
+    """
     base = int(ids.max()) + 1 if len(ids) else 1
     sequence, following = ids.astype(np.int64), base
-    bits = int(np.clip(np.ceil(np.log2(max(2, len(ids)))), 10, 17))  # a table that stays in the processor's cache
-    rules, generations, lengths = [], [], [np.ones(base, np.int64)]
-    while len(sequence) > 2 * least_use:
-        pair = sequence[:-1] << 32 | sequence[1:]
-        slot = ((pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
-        owner = np.empty(1 << bits, np.int64)
-        owner[slot] = pair  # of pairs that meet in a slot, one is counted in this round
-        owned = owner[slot] == pair
-        count = np.bincount(slot[owned], minlength=1 << bits)
-        rank = np.where(owned, count[slot] << bits | slot, 0)
-        best = rank >= (least_use << bits)
-        best[1:] &= rank[1:] >= rank[:-1]
-        best[:-1] &= rank[:-1] >= rank[1:]
-        at = np.flatnonzero(best)
-        if len(at) == 0:
-            break
-        # neighbours that are both best are the same pair (a a a): every second one is taken
-        first = np.empty(len(at), bool)
-        first[0] = True
-        first[1:] = at[1:] != at[:-1] + 1
-        at = at[(at - at[np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))]) % 2 == 0]
-        used = np.bincount(slot[at], minlength=1 << bits) >= least_use
-        at = at[used[slot[at]]]
-        if len(at) < max(1, least_gain * len(sequence)):
+    live = np.ones(len(sequence), bool)  # places whose pair may be frequent
+    rules, generations = [], []
+    known = np.ones(base, np.int64)
+    while len(sequence) > 1:
+        live[-1] = False
+        place = np.flatnonzero(live)
+        left, right = sequence[place], sequence[place + 1]
+        pair = left << 32 | right
+        slot = ((pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
+        may = np.bincount(slot, minlength=1 << 20)[slot] >= least_use  # of all pairs in a slot: at least the pair's own count
+        place, pair, same = place[may], pair[may], (left == right)[may]
+        order = np.argsort(pair)
+        kinds = np.concatenate([[True], pair[order][1:] != pair[order][:-1]])[: len(order)]
+        kind = np.empty(len(pair), np.int64)
+        kind[order] = np.cumsum(kinds) - 1
+        counts = np.ones(len(pair), bool)
+        if same.any():
+            at = np.flatnonzero(same)
+            begins = np.concatenate([[True], (place[at[1:]] != place[at[:-1]] + 1)])
+            counts[at] = (np.arange(len(at)) - np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))) % 2 == 0
+        n = np.bincount(kind[counts], minlength=int(kinds.sum()))
+        frequent = n[kind] >= least_use
+        taken = frequent & counts
+        rank = np.zeros(len(sequence), np.int64)
+        rank[place[taken]] = n[kind[taken]] << 32 | kind[taken]
+        own = np.flatnonzero(taken)
+        here = place[own]
+        best = (rank[here] > rank[here - 1]) | (here == 0)
+        best &= rank[here] > rank[here + 1]
+        own = own[best]
+        used = np.bincount(kind[own], minlength=len(n)) >= least_use
+        own = own[used[kind[own]]]
+        if len(own) < max(1, least_gain * len(sequence)):
             break
-        slots = np.flatnonzero(used)
-        number = np.empty(1 << bits, np.int64)
-        number[slots] = np.arange(following, following + len(slots))
-        made = np.stack([owner[slots] >> 32, owner[slots] & 0xFFFFFFFF], 1)
-        sequence[at] = number[slot[at]]
+        at, made_of = place[own], np.flatnonzero(used)
+        number = np.empty(len(n), np.int64)
+        number[made_of] = np.arange(following, following + len(made_of))
+        some = pair[order[np.flatnonzero(kinds)[made_of]]]
+        made = np.stack([some >> 32, some & 0xFFFFFFFF], 1)
+        sequence[at] = number[kind[own]]
+        live[:] = False
+        live[place[frequent]] = True
         keep = np.ones(len(sequence), bool)
         keep[at + 1] = False
-        sequence = sequence[keep]
+        sequence, live = sequence[keep], live[keep]
+        at = at - np.arange(len(at))
+        live[at] = True
+        live[np.maximum(at - 1, 0)] = True
         rules.append(made)
-        generations.append(len(slots))
-        known = np.concatenate(lengths)
-        lengths.append(known[made].sum(1))
-        following += len(slots)
+        generations.append(len(made_of))
+        known = np.concatenate([known, known[made].sum(1)])
+        following += len(made_of)
     made = np.concatenate(rules) if rules else np.empty((0, 2), np.int64)
-    return base, generations, made.astype("<u4"), np.concatenate(lengths)[base:].astype("<u4"), sequence.astype("<u4")
+    return base, generations, made.astype("<u4"), known[base:].astype("<u4"), sequence.astype("<u4")
 
 
 class Grammar:
@@ -89,10 +108,12 @@ class Grammar:
         self.lengths = np.concatenate([np.ones(base, np.int64), np.frombuffer(lengths, "<u4").astype(np.int64)])
         self.ends = np.cumsum(self.lengths[self.sequence])
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
-        self.flat = np.arange(base, dtype=np.uint32)
+        self.flat = np.empty(int(self.lengths.sum()), np.uint32)
+        self.flat[:base] = np.arange(base)
         made, at = np.frombuffer(rules, "<u4").astype(np.int64).reshape(-1, 2), 0
         for n in generations:
-            self.flat = np.concatenate([self.flat, self.expand(made[at : at + n].ravel())])
+            ids = self.expand(made[at : at + n].ravel())
+            self.flat[self.starts[base + at] : self.starts[base + at] + len(ids)] = ids
             at += n
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:

@@ -72,6 +72,25 @@ def test_grammar_random_access(kinds):
         assert (shard.ids(a, b) == ids[a:b]).all()
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_grammar_leaves_no_pair_that_is_worth_a_rule(seed):
+    """Also where pairs are more than any table's slots, and where a round gains little."""
+    rng = np.random.default_rng(seed)
+    rare = rng.integers(0, 40000, 300_000)
+    words = rng.integers(0, 40000, (9000, 2))[rng.integers(0, 9000, 60_000)].ravel()
+    ids = np.concatenate([rare, words, np.full(2001, 7), np.tile([1, 1, 2], 50)]).astype("<u4")
+    base, generations, rules, lengths, sequence = grammar_ids.compress(ids)
+    shard = grammar_ids.Grammar(base, generations, rules.tobytes(), lengths.tobytes(), sequence.tobytes())
+    assert (shard.ids() == ids).all()
+    uses, i, s = Counter(), 0, sequence.tolist()
+    last = {}
+    for i, p in enumerate(zip(s, s[1:])):
+        if p[0] != p[1] or last.get(p) != i - 1:  # of x x x one pair
+            uses[p] += 1
+            last[p] = i
+    assert max(uses.values()) < 4
+
+
 def sets_of(text, k):
     words = (text or "").encode().lower().split()
     return set() if not words else {tuple(words)} if len(words) < k else {tuple(words[i : i + k]) for i in range(len(words) - k + 1)}
