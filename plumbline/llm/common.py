@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,13 +17,16 @@ WORD_BREAKS = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
+    """The folder that the driver and all executors share, which the cluster names in spark.checkpoint.dir.
 
-    The cluster names it in spark.checkpoint.dir. Only where that is unset (tests, one machine) is a
-    temporary folder taken, and the session then keeps it.
+    Where that is unset, one machine (a local master, as in tests) takes a temporary folder, and the session then
+    keeps it. On a cluster that would lose data, so it is an error there.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.conf.get("spark.master", "local")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir has to name a folder that all executors share (master {master})")
         where = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
@@ -83,37 +87,97 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, remembered up to a bound and then forgotten as a whole."""
-
-    LIMIT = 200_000
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= self.LIMIT:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_word_hashes = WordHashes()
-
-
-def hash_words(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_word_hashes.__getitem__, words), np.uint64, len(words))
-
-
-def shingle_set(words: list[bytes], k: int) -> np.ndarray:
-    """The sorted distinct hashes of all runs of k words; of the whole sequence where there are fewer; empty without words."""
-    if not words:
-        return np.empty(0, np.uint64)
-    h = hash_words(words)
-    size = min(k, len(h))
-    out = np.full(len(h) - size + 1, size, np.uint64)
-    for i in range(size):
-        out = mix(out * _GOLDEN + h[i : len(h) - size + 1 + i])
-    return np.unique(out)
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Texts are hashed in pieces of about so many bytes, so that the arrays of a batch stay small.
+PIECE = 1 << 20
+
+
+def run_keys(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, 64-bit keys) of the runs of non-space bytes. No key is 0."""
+    import xxhash
+
+    space = _SPACE[np.frombuffer(b" " + data + b" " * 9, np.uint8)]
+    edge = np.flatnonzero(space[1:] != space[:-1])
+    starts, ends = edge[::2], edge[1::2]
+    padded = data + b"\0" * 8
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    key = mix((ends - starts).astype(np.uint64))
+    left, at, who = ends - starts, starts.copy(), np.arange(len(starts))
+    for _ in range(8):
+        n = np.minimum(left, 8)
+        part = eight[at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(8) * (8 - n).astype(np.uint64)))
+        key[who] = mix(key[who] * _GOLDEN + part)
+        more = left > 8
+        who, at, left = who[more], at[more] + 8, left[more] - 8
+        if not len(who):
+            break
+    for i, a in zip(who.tolist(), at.tolist()):  # the rest of runs of more than 64 bytes
+        key[i] = (int(key[i]) + xxhash.xxh3_64_intdigest(data[a : ends[i]])) & 0xFFFFFFFFFFFFFFFF
+    return starts, ends, np.maximum(key, np.uint64(1))
+
+
+def _pieces(text: bytes) -> Iterator[bytes]:
+    """The text in pieces of about PIECE bytes, cut at white space."""
+    at = 0
+    while len(text) - at > PIECE:
+        border = _BREAK.search(text, at + PIECE)
+        end = border.end() if border else len(text)
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+_BREAK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of all texts' words one after the other, how many words each text has)."""
+    counts, keys = np.zeros(len(texts), np.int64), []
+    held: list[bytes] = []
+    owners: list[int] = []
+    size = 0
+
+    def flush() -> None:
+        starts, _, found = run_keys(b"\n".join(held))
+        borders = np.cumsum([len(t) + 1 for t in held])
+        counts[:] += np.bincount(np.array(owners)[np.searchsorted(borders, starts, "right")], minlength=len(texts))
+        keys.append(found)
+        held.clear()
+        owners.clear()
+
+    for i, text in enumerate(texts):
+        for piece in _pieces(text):
+            if held and size + len(piece) > PIECE:
+                flush()
+                size = 0
+            held.append(piece)
+            owners.append(i)
+            size += len(piece)
+    if held:
+        flush()
+    return np.concatenate(keys) if keys else np.empty(0, np.uint64), counts
+
+
+def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
+    """Of each text the sorted distinct hashes of all runs of k words; of the whole sequence where there are fewer; empty without words."""
+    h, counts = hashed_words(texts)
+    starts = np.cumsum(counts) - counts
+    full = np.full(max(0, len(h) - k + 1), k, np.uint64)
+    for i in range(k if len(full) else 0):  # also over borders of texts; those are not read below
+        full = mix(full * _GOLDEN + h[i : len(full) + i])
+    out = []
+    for start, n in zip(starts.tolist(), counts.tolist()):
+        if n >= k:
+            out.append(np.unique(full[start : start + n - k + 1]))
+        elif n:
+            one = np.full(1, n, np.uint64)
+            for i in range(start, start + n):
+                one = mix(one * _GOLDEN + h[i])
+            out.append(one)
+        else:
+            out.append(np.empty(0, np.uint64))
+    return out
 
 
 def connected_components(edges: DataFrame, tag: str = "components") -> DataFrame:

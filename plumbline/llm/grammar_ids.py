@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.bpe import byte_symbols
-from plumbline.llm.common import binary_list, mix, partitions, written
+from plumbline.llm.common import binary_list, partitions, run_keys, written
 
 SHARD_SCHEMA = "part int, shard int, offset long, n_ids long, doc_ids array<long>, ends array<long>, base int, generations array<int>, rules binary, lengths binary, sequence binary"
 
@@ -183,28 +183,6 @@ class RunTable:
         return self.ids[np.repeat(self.start[entries] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-
-
-def run_keys(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, 64-bit keys) of the runs of non-space bytes."""
-    space = _SPACE[np.frombuffer(b" " + data + b" " * 9, np.uint8)]
-    edge = np.flatnonzero(space[1:] != space[:-1])
-    starts, ends = edge[::2], edge[1::2]
-    padded = data + b"\0" * 8
-    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
-    key = mix((ends - starts).astype(np.uint64))
-    left, at, who = ends - starts, starts.copy(), np.arange(len(starts))
-    while len(who):
-        n = np.minimum(left, 8)
-        part = eight[at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(8) * (8 - n).astype(np.uint64)))
-        key[who] = mix(key[who] * np.uint64(0x9E3779B97F4A7C15) + part)
-        more = left > 8
-        who, at, left = who[more], at[more] + 8, left[more] - 8
-    return starts, ends, np.maximum(key, np.uint64(1))
-
-
 class LibraryRuns:
     """Encodes texts with the tokenizers library, once for each different run of non-space bytes (remembered up to a bound).
 

@@ -140,6 +140,45 @@ def test_jaccard_equals_brute_force(spark, near, k, percent, monkeypatch):
     assert got == {i: (len(sets[i]), expected[i]) for i in sets}
 
 
+@pytest.mark.parametrize("percent", [50, 80, 90, 95])
+def test_similar_sets_have_a_common_key(percent):
+    """Pairs that are just similar enough, of all sizes, and with the larger one first or second."""
+    rng = np.random.default_rng(percent)
+    for n in [*range(1, 40), 64, 100, 333, 1000]:
+        for _ in range(12):
+            m = int(rng.integers(n, 100 * n // percent + 1))
+            common = -(-percent * (n + m) // (100 + percent))
+            if common > n:
+                continue
+            h = rng.integers(0, 2**64, n + m - common, np.uint64)
+            x, y = np.unique(h[:n]), np.unique(np.concatenate([h[:common], h[n:]]))
+            assert len(x) == n and len(y) == m and 100 * common >= percent * (n + m - common)
+            keys, owner = jaccard._keys([x, y], percent)
+            assert np.array_equal(x, y) or set(keys[owner == 0].tolist()) & set(keys[owner == 1].tolist()), (n, m, common)
+
+
+def test_jaccard_with_hot_keys(spark, monkeypatch):
+    """Keys that many documents of a chunk have, in one chunk and in several."""
+    monkeypatch.setattr(jaccard, "HOT", 2)
+    words = [f"w{i}" for i in range(50)]
+    rows = [(i, " ".join([*words, *[f"x{i}"] * (i % 4)])) for i in range(1, 60)] + [(i, " ".join(words[:30] + [f"y{i}"] * 9)) for i in range(60, 70)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = {i: sets_of(t, 3) for i, t in rows}
+    pairs = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(docs, 3, 90).collect()}
+    assert got == components(pairs, sets)
+
+
+def test_word_hashes_do_not_depend_on_pieces(monkeypatch):
+    from plumbline.llm import common
+
+    texts = [b"", b"a b", b"word " * 400 + b"x" * 300, b" ", b"y" * 70 + b" z"]
+    whole, counts = common.hashed_words(texts)
+    monkeypatch.setattr(common, "PIECE", 100)
+    again, same = common.hashed_words(texts)
+    assert (whole == again).all() and (counts == same).all() and counts.tolist() == [0, 2, 401, 0, 2] and len(set(whole.tolist())) == 6
+
+
 def test_jaccard_with_null_ids_first(spark):
     """A row without an id takes nothing from equal rows that have one, in its chunk or in others."""
     words = [f"w{i}" for i in range(60)]
@@ -177,7 +216,8 @@ def similarity(a, b):
     return common / (sum(a.values()) + sum(b.values()) - common)
 
 
-def test_decontamination_equals_all_windows(spark):
+@pytest.mark.parametrize("broadcast_bytes", [32 << 20, 0])
+def test_decontamination_equals_all_windows(spark, broadcast_bytes):
     r = random.Random(11)
     items = {i: [f"v{r.randrange(300)}" for _ in range(n)] for i, n in enumerate([3, 8, 20, 40, 60, 40])}
     items[5] = items[3]
@@ -198,12 +238,27 @@ def test_decontamination_equals_all_windows(spark):
             if best >= 0.8:
                 expected[d, i] = best
     rows = [(d, (", " if d % 2 else "\n").join(w).upper(), 1) for d, w in docs.items()] + [(900, None, 1), (901, "", 1)]
-    got = decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string, item_id long"), spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()] + [(77, None), (78, "")], "item_id long, text string"))
+    got = decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string, item_id long"), spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()] + [(77, None), (78, "")], "item_id long, text string"), broadcast_bytes=broadcast_bytes)
     found = {(r["doc_id"], r["item_id"]): r["similarity"] for r in got.collect()}
     assert set(found) == set(expected) and len(expected) > 20
     assert all(abs(found[k] - expected[k]) < 1e-12 for k in found)
 
 
+def test_decontamination_of_very_long_items(spark):
+    """More shingles than a lane of the SimHash counts, repeated ones too."""
+    item = [f"v{i}" for i in range(99_000)] + ["again"] * 1000
+    docs = spark.createDataFrame([(1, "x y z " + " ".join(item) + " end"), (2, " ".join(item[:-3])), (3, " ".join(item[:50_000])), (4, "again " * 500)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["similarity"], r["word_start"]) for r in decontam.contaminated(docs, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()}
+    assert set(got) == {1, 2} and got[1] == (1.0, 3) and abs(got[2][0] - 99_993 / 99_996) < 1e-9
+
+
+def test_decontaminate_judges_each_row_by_its_text(spark):
+    passage = " ".join(f"b{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, passage), (1, "clean text"), (None, passage), (None, "also clean")], "doc_id long, text string")
+    kept = decontam.decontaminate(docs, spark.createDataFrame([(1, passage)], "item_id long, text string"))
+    assert sorted(r["text"] for r in kept.collect()) == ["also clean", "clean text"]
+
+
 def test_decontaminate_keeps_clean_rows(spark):
     passage = " ".join(f"b{i}" for i in range(20))
     docs = spark.createDataFrame([(1, "x " + passage + " y", "l"), (2, "clean text", "l"), (None, "n", "l"), (3, None, "l")], "doc_id long, text string, _gone string")
