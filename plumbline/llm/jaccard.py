@@ -294,11 +294,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_column
 
     hot = rows.where(f"kind = {HOT_KEY}").select("a", "c")
     hot = hot.join(hot.groupBy("c").agg(F.min("a").alias("b")), "c").select("a", "b").where("a <> b")
-    star = rows.where(f"kind = {NEAR}").select("a", "b").unionByName(hot).select("b", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    star = rows.where(f"kind = {NEAR}").select("a", "b").unionByName(hot).distinct().select("b", F.col("a").alias("doc_id"))
+    star = star.unionByName(star.select("b", F.col("b").alias("doc_id")).distinct())
     singles = described.where("n > 0 and doc_id is not null").distinct().join(copies.select(F.col("a").alias("doc_id"), F.col("c").alias("content")), ["doc_id", "content"], "left_anti")
     members = star.join(singles, "doc_id").select(F.col("b").alias("group"), "doc_id", "n")
     tiles = written(_tiles(written(members, "members"), percent), "tiles")
-    verified = tiles.join(source, "doc_id").repartition(buckets, "tile").sortWithinPartitions("tile").mapInArrow(lambda b: _verify(b, k, percent), "a long, b long")
+    verified = tiles.hint("merge").join(source, "doc_id").repartition(buckets, "tile").sortWithinPartitions("tile").mapInArrow(lambda b: _verify(b, k, percent), "a long, b long")
     found = connected_components(verified.unionByName(copies.select("a", "b")), "links")
     joined = described.join(found, described["doc_id"] == found["node"], "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
