@@ -2,8 +2,8 @@
 
 Each piece of text is a doubly linked list of symbols. A heap holds (rank, position) of the merges that are
 possible; the lowest is taken, and entries that no longer describe the list are skipped. A run of bytes
-between white space encodes alike wherever it stands, so each Python worker remembers the runs it has met
-(a bounded memory), and the heap works once for each different run.
+between white space encodes alike wherever it stands, so each task remembers the runs it has met (bounded in
+bytes, and gone with the task), and the heap works once for each different run.
 """
 
 from __future__ import annotations
@@ -42,11 +42,7 @@ def byte_symbols() -> list[str]:
 class BpeModel:
     """A vocabulary file's model: normaliser (NFC, lower case), splitting pattern, merges, vocabulary, special strings."""
 
-    #: How many pieces' ids are remembered.
-    MERGED = 500_000
-
     def __init__(self, spec: dict):
-        self.merged: dict[bytes, bytes] = {}
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model.get("end_of_word_suffix") or ""
@@ -133,15 +129,28 @@ def packed(ids: list[int]) -> bytes:
 
 
 class RunEncoder(dict):
-    """run of non-space bytes -> its ids as little-endian unsigned 32-bit integers; forgets all at a bound."""
+    """run of non-space bytes -> its ids as little-endian unsigned 32-bit integers; forgets all at a bound of bytes."""
+
+    #: What an entry takes beside its bytes.
+    ENTRY = 200
 
-    def __init__(self, model: BpeModel, limit: int = 300_000):
+    def __init__(self, model: BpeModel, limit: int = 48 << 20):
         super().__init__()
-        self.model, self.limit = model, limit
+        self.model, self.limit, self.held = model, limit, 0
+        self.pieces: dict[bytes, bytes] = {}
+
+    def _room(self, key: bytes, value: bytes) -> bool:
+        """Makes room for an entry; long ones are not kept."""
+        if len(key) >= 256:
+            return False
+        self.held += len(key) + len(value) + self.ENTRY
+        if self.held > self.limit:
+            self.clear()
+            self.pieces.clear()
+            self.held = len(key) + len(value) + self.ENTRY
+        return True
 
     def __missing__(self, run: bytes) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
         model, text = self.model, run.decode()
         if found := WORD.fullmatch(text.lower()):  # a word and a mark are single pieces, and NFC leaves them as they are
             value = b"".join([self.piece(p.encode()) for p in found.groups() if p])
@@ -149,19 +158,16 @@ class RunEncoder(dict):
             value = packed(model.encode(text))
         else:
             value = b"".join(map(self.piece, model.pieces(text)))
-        if len(run) < 256:
+        if self._room(run, value):
             self[run] = value
         return value
 
     def piece(self, piece: bytes) -> bytes:
-        """The ids of one piece; the worker keeps these longer than a task."""
-        merged = self.model.merged
-        if (ids := merged.get(piece)) is None:
-            if len(merged) >= self.model.MERGED:
-                merged.clear()
+        """The ids of one piece."""
+        if (ids := self.pieces.get(piece)) is None:
             ids = packed(self.model.merge(piece))
-            if len(piece) < 256:
-                merged[piece] = ids
+            if self._room(piece, ids):
+                self.pieces[piece] = ids
         return ids
 
     def text(self, data: bytes) -> bytes:
@@ -172,7 +178,7 @@ _models: dict[str, BpeModel] = {}
 
 
 def encoder(path: str) -> RunEncoder:
-    """A task's encoder for a vocabulary file. The worker keeps the model, and what was remembered goes with the task."""
+    """A task's encoder for a vocabulary file. The worker keeps the model; what is remembered goes with the task."""
     if path not in _models:
         _models[path] = BpeModel.load(path)
     return RunEncoder(_models[path])
