@@ -3,11 +3,24 @@
 from __future__ import annotations
 
 import ast
+import io
+import re
+import tokenize
 
 NESTED = (ast.FunctionDef, ast.AsyncFunctionDef, ast.Lambda)
 LOOPS = (ast.For, ast.AsyncFor, ast.While)
 
 
+def _body(function) -> list:
+    """The statements of a def, or a lambda's expression; decorators and defaults do not belong to it."""
+    return function.body if isinstance(function.body, list) else [function.body]
+
+
+def _given(function) -> list:
+    """Decorators and default values, which are evaluated outside of the function."""
+    return [*getattr(function, "decorator_list", []), *function.args.defaults, *(d for d in function.args.kw_defaults if d is not None)]
+
+
 def _parameters(node) -> int:
     a = node.args
     return len(a.posonlyargs) + len(a.args) + len(a.kwonlyargs) + bool(a.vararg) + bool(a.kwarg)
@@ -29,7 +42,8 @@ def _is_default(case: ast.match_case) -> bool:
 
 def cyclomatic(function) -> int:
     """1, and 1 for each if, loop, handler, conditional, case but the default, comprehension clause and logical operator."""
-    total, left = 1, [c for c in _children(function)]
+    total, left = 1, _body(function)
+    left = list(left)
     while left:
         node = left.pop()
         if isinstance(node, NESTED):
@@ -90,14 +104,11 @@ def cognitive(function, lines: list[str]) -> int:
                 else:
                     leaves.append(v)
             return own + many(leaves, depth)
-        if isinstance(node, ast.Lambda):
-            return one(node.body, depth + 1)
         if isinstance(node, NESTED):
-            return many(node.decorator_list + node.args.defaults, depth) + many(node.body, depth + 1)
+            return many(_given(node), depth) + many(_body(node), depth + 1)
         return many(_children(node), depth)
 
-    body = function.body if isinstance(function.body, list) else [function.body]
-    return many(body, 0)
+    return many(_body(function), 0)
 
 
 def nesting(function) -> int:
@@ -113,12 +124,20 @@ def nesting(function) -> int:
             depth += 1
         return deepest(_children(node), depth)
 
-    return deepest(function.body if isinstance(function.body, list) else [function.body], 0)
+    return deepest(_body(function), 0)
+
+
+def _comments(code: str) -> dict[int, int]:
+    """line -> the column where its comment begins; a # inside a string is none."""
+    try:
+        return {t.start[0]: t.start[1] for t in tokenize.generate_tokens(io.StringIO(code, newline=None).readline) if t.type == tokenize.COMMENT}
+    except (tokenize.TokenError, SyntaxError):
+        return {}
 
 
-def _source_lines(lines: list[str], start: int, end: int) -> int:
+def _source_lines(lines: list[str], comments: dict[int, int], start: int, end: int) -> int:
     """Lines that are neither blank nor a comment alone."""
-    return sum(1 for line in lines[start - 1 : end] if line.strip() and not line.strip().startswith("#"))
+    return sum(1 for no in range(start, end + 1) if lines[no - 1][: comments.get(no)].strip())
 
 
 def _dynamic(call: ast.Call) -> str | None:
@@ -131,10 +150,11 @@ def _dynamic(call: ast.Call) -> str | None:
 def facts(code: str) -> dict:
     """functions, imports and the error, if the file cannot be parsed (then the others are empty)."""
     try:
-        tree = ast.parse(code.lstrip("﻿"))
+        code = code.lstrip("﻿")
+        tree = ast.parse(code)
     except (SyntaxError, ValueError, RecursionError) as e:
         return {"functions": [], "imports": [], "error": f"{getattr(e, 'lineno', None) or 1}: {e}"[:300]}
-    lines = code.splitlines()
+    lines, comments = re.split("\r\n|\r|\n", code), _comments(code)
     functions, imports = [], []
 
     def visit(node, class_name, enclosing):
@@ -142,7 +162,7 @@ def facts(code: str) -> dict:
             if isinstance(child, NESTED):
                 name = getattr(child, "name", "<lambda>")
                 symbol = ".".join(x for x in (class_name, enclosing, name) if x)
-                functions.append((symbol, child.lineno, child.end_lineno, float(cyclomatic(child)), float(cognitive(child, lines)), float(nesting(child)), float(_source_lines(lines, child.lineno, child.end_lineno)), float(_parameters(child))))
+                functions.append((symbol, child.lineno, child.end_lineno, float(cyclomatic(child)), float(cognitive(child, lines)), float(nesting(child)), float(_source_lines(lines, comments, child.lineno, child.end_lineno)), float(_parameters(child))))
                 visit(child, class_name, name)
             elif isinstance(child, ast.ClassDef):
                 visit(child, child.name, enclosing)

@@ -61,6 +61,35 @@ def clone_key(members: Column) -> Column:
     return F.concat(F.lit("clone:"), F.array_join(F.array_sort(members), "|"))
 
 
+def folder(path: Column) -> Column:
+    """The folder of a path; empty for the root."""
+    return F.regexp_replace(path, "/?[^/]*$", "")
+
+
+def extension(path: Column) -> Column:
+    """The last dot of the name and what follows it, in lower case; empty without a dot."""
+    return F.lower(F.regexp_extract(path, r"(\.[^./]*)$", 1))
+
+
+def with_file(key: Column, file: Column, new: Column) -> Column:
+    """A key that is a file, or begins with file::, for another file; other keys stay."""
+    return F.when(key == file, new).when(F.startswith(key, F.concat(file, F.lit("::"))), F.concat(new, F.substring(key, F.length(file) + 1, F.length(key)))).otherwise(key)
+
+
+def is_regression(classification: Column) -> Column:
+    return F.coalesce(classification.isin("new", "worsened"), F.lit(False))
+
+
+def blocks_gate(blocking: Column, classification: Column) -> Column:
+    """A blocking finding that is not resolved."""
+    return F.coalesce(blocking, F.lit(False)) & (F.coalesce(classification, F.lit("new")) != "resolved")
+
+
+def utc_millis(at: Column) -> Column:
+    """A time as text in UTC with milliseconds; the session's time zone has to be UTC for times without one."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
 def nonblank_lines(code: Column) -> Column:
     return F.size(F.filter(F.split(code, "\n", -1), lambda line: line.rlike(r"[^ \t\x0B\f\r]"))).cast("long")
 

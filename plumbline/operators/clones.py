@@ -5,14 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.scalars import nonblank_lines, percent, tokens
+from plumbline.functions.scalars import clone_key, nonblank_lines, percent, tokens
 from plumbline.operators.tables import held
 
 
+def _hashes(words: Column) -> Column:
+    return F.transform(words, lambda t: F.xxhash64(t))
+
+
+def _print(hashes: Column) -> Column:
+    """Two hashes with different seeds over a window's token hashes: 128 bits, so that chance repeats do not count."""
+    return F.struct(F.xxhash64(hashes).alias("a"), F.xxhash64(F.lit(1), hashes).alias("b"))
+
+
 def windows(files: DataFrame, size: int) -> DataFrame:
-    """files (path, code) -> (path, place, h): a hash of each window of size tokens; place counts from 1."""
-    split = held(files.select("path", "code"), "t", tokens(F.col("code")))
-    hashed = F.when(F.size("t") >= size, F.transform(F.sequence(F.lit(1), F.size("t") - (size - 1)), lambda i: F.xxhash64(F.slice(F.col("t"), i, size))))
+    """files (path, code) -> (path, place, h): a hash of each window of size tokens; place counts from 1. Tokens are hashed once."""
+    split = held(files.select("path", "code"), "t", _hashes(tokens(F.col("code"))))
+    hashed = F.when(F.size("t") >= size, F.transform(F.sequence(F.lit(1), F.size("t") - (size - 1)), lambda i: _print(F.slice(F.col("t"), i, size))))
     return held(split, "w", hashed).select("path", F.posexplode("w").alias("p", "h")).select("path", (F.col("p") + 1).alias("place"), "h")
 
 
@@ -29,12 +38,12 @@ def repeated_windows(files: DataFrame, size: int) -> DataFrame:
 
 def line_windows(files: DataFrame, size: int, least_lines: int) -> DataFrame:
     """(path, place, line, end_line, h) of windows of size tokens that stretch over least_lines lines or more."""
-    by_line = F.transform(F.split("code", "\n", -1), lambda text, i: F.transform(tokens(text), lambda t: F.struct(t.alias("t"), (i + 1).alias("line"))))
+    by_line = F.transform(F.split("code", "\n", -1), lambda text, i: F.transform(tokens(text), lambda t: F.struct(F.xxhash64(t).alias("t"), (i + 1).alias("line"))))
     split = held(files.select("path", "code"), "k", F.flatten(by_line))
     split = held(held(split, "t", F.col("k.t")), "n", F.col("k.line"))
     made = F.when(F.size("t") >= size, F.filter(F.transform(F.sequence(F.lit(1), F.size("t") - (size - 1)), lambda i: F.struct(i.alias("place"), F.element_at("n", i).alias("line"), F.element_at("n", i + (size - 1)).alias("end_line"))), lambda w: w["end_line"] - w["line"] + 1 >= least_lines))
     found = held(split, "w", made).select("path", "t", F.explode("w").alias("w"))
-    return found.select("path", "w.*", F.xxhash64(F.slice("t", F.col("w.place"), size)).alias("h"))
+    return found.select("path", "w.*", _print(F.slice("t", F.col("w.place"), size)).alias("h"))
 
 
 def independent(starts: Column, size: int) -> Column:
@@ -53,12 +62,29 @@ def repeated_line_windows(files: DataFrame, size: int, least_lines: int) -> Data
 
 def clone_density(files: DataFrame, size: int = 50, least_lines: int = 5) -> DataFrame:
     """One row (duplicated_lines, total_lines, density): distinct lines under a repeated window, of all non-blank ones."""
-    lines = repeated_line_windows(files, size, least_lines).select("path", F.explode(F.sequence("line", "end_line")).alias("line")).distinct().select(F.lit(1).cast("long").alias("d"), F.lit(0).cast("long").alias("t"))
+    repeated = repeated_line_windows(files, size, least_lines).select("path", "line", "end_line")
+    order = Window.partitionBy("path").orderBy("line", "end_line").rowsBetween(Window.unboundedPreceding, -1)
+    seen = F.greatest(F.coalesce(F.max("end_line").over(order), F.lit(0)), F.col("line") - 1)  # lines up to here are counted
+    lines = repeated.select(F.greatest(F.col("end_line") - seen, F.lit(0)).cast("long").alias("d"), F.lit(0).cast("long").alias("t"))
     total = files.select(F.lit(0).cast("long").alias("d"), F.coalesce(nonblank_lines(F.col("code")), F.lit(0)).alias("t"))
     both = lines.unionByName(total).agg(F.coalesce(F.sum("d"), F.lit(0)).alias("duplicated_lines"), F.coalesce(F.sum("t"), F.lit(0)).alias("total_lines"))
     return both.select("duplicated_lines", "total_lines", percent(F.col("duplicated_lines"), F.col("total_lines")).alias("density"))
 
 
+def clone_findings(groups: DataFrame) -> DataFrame:
+    """groups (clone, tokens, file, symbol, start, stop), a row for each copy -> (key, clone, copies, lines, message).
+
+    The key names the files, with the function where there is one, of all copies, and from the second clone with the
+    same names on its number in the order of clone. lines are those of all copies together.
+    """
+    member = F.concat("file", F.when(F.coalesce("symbol", F.lit("")) != "", F.concat(F.lit("::"), "symbol")).otherwise(""))
+    each = groups.groupBy("clone", "tokens").agg(clone_key(F.collect_list(member)).alias("base"), F.count("*").alias("copies"), F.sum(F.col("stop") - F.col("start") + 1).cast("long").alias("lines"))
+    n = F.row_number().over(Window.partitionBy("base").orderBy("clone"))
+    key = F.when(n > 1, F.concat("base", F.lit("#"), n.cast("string"))).otherwise(F.col("base"))
+    message = F.concat(F.lit("The same "), F.col("tokens").cast("string"), F.lit("-token block appears in "), F.col("copies").cast("string"), F.lit(" locations, "), F.col("lines").cast("string"), F.lit(" lines in all"))
+    return each.select(key.alias("key"), "clone", "copies", "lines", message.alias("message"))
+
+
 def clone_regions(files: DataFrame, size: int = 50) -> DataFrame:
     """(path, start, tokens, copies): maximal runs of windows that repeat together.
 

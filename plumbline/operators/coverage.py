@@ -6,22 +6,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import percent
+from plumbline.operators.tables import fresh
 
 
 def lcov_entries(lines: DataFrame) -> DataFrame:
     """lines (report, no, text) -> (report, source, kind, line, branch, hits): DA and BRDA entries of each record.
 
-    A record begins with SF and ends with end_of_record, the next SF or the end. Entries before the first SF and those
-    with bad numbers are skipped; of several DA entries for a line the last counts; a taken count of - is null.
+    A record begins with SF and ends with end_of_record or the end of the report; one that another SF cuts off is
+    dropped. Entries outside of records and those with bad numbers are skipped; of several DA entries for a line the last
+    counts; a taken count that is no number is null. Carriage returns at the end of lines do not count.
     """
-    order = Window.partitionBy("report").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
-    closed = F.when(F.col("text").startswith("SF:"), F.expr("substring(text, 4)")).when(F.trim("text") == "end_of_record", F.lit(""))
-    record = F.sum(F.col("text").startswith("SF:").cast("int")).over(order)
-    placed = lines.withColumn("source", F.last(closed, ignorenulls=True).over(order)).withColumn("record", record).where("source <> ''")
-    da = placed.where(F.col("text").rlike(r"^DA:\d+,\d+(,.*)?$")).select("report", "record", "source", "no", F.lit("line").alias("kind"), F.regexp_extract("text", r"^DA:(\d+)", 1).cast("int").alias("line"), F.lit(None).cast("string").alias("branch"), F.regexp_extract("text", r"^DA:\d+,(\d+)", 1).cast("long").alias("hits"))
-    last = da.groupBy("report", "record", "source", "kind", "line").agg(F.max_by("hits", "no").alias("hits")).withColumn("branch", F.lit(None).cast("string"))
-    br = placed.where(F.col("text").rlike(r"^BRDA:\d+,[^,]*,[^,]*,(\d+|-)$")).select("report", "record", "source", F.lit("branch").alias("kind"), F.regexp_extract("text", r"^BRDA:(\d+)", 1).cast("int").alias("line"), F.regexp_extract("text", r"^BRDA:\d+,([^,]*,[^,]*)", 1).alias("branch"), F.expr("try_cast(regexp_extract(text, ',([0-9]+|-)$', 1) as bigint)").alias("hits"))
-    return last.unionByName(br).select("report", "source", "kind", "line", "branch", "hits")
+    read = lines.select("report", "no", F.regexp_replace("text", r"\r+$", "").alias("text"))
+    order = Window.partitionBy("report").orderBy("no")
+    before, after = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(1, Window.unboundedFollowing)
+    begins, ends = F.col("text").startswith("SF:"), F.col("text") == "end_of_record"
+    named = F.when(begins, F.expr("substring(text, 4)")).when(ends, F.lit(""))
+    placed = read.withColumn("source", F.last(named, ignorenulls=True).over(before)).withColumn("record", F.sum(begins.cast("int")).over(before))
+    placed = placed.withColumn("next", F.first(F.when(begins, "SF").when(ends, "end"), ignorenulls=True).over(after)).where("source <> '' and coalesce(next, 'end') = 'end'")
+    whole = r"[+-]?\d+"
+    da = placed.where(F.col("text").rlike(rf"^DA:{whole},{whole}(,.*)?$")).select("report", "record", "source", "no", F.regexp_extract("text", rf"^DA:({whole})", 1).cast("int").alias("line"), F.regexp_extract("text", rf"^DA:{whole},({whole})", 1).cast("long").alias("hits"))
+    last = da.groupBy("report", "record", "source", "line").agg(F.max_by("hits", "no").alias("hits")).select("report", "source", F.lit("line").alias("kind"), "line", F.lit(None).cast("string").alias("branch"), "hits")
+    taken = F.regexp_extract("text", rf"^BRDA:{whole},[^,]*,[^,]*,([^,]*)", 1)
+    br = placed.where(F.col("text").rlike(rf"^BRDA:{whole}(,.*)?$")).select("report", "source", F.lit("branch").alias("kind"), F.regexp_extract("text", rf"^BRDA:({whole})", 1).cast("int").alias("line"), F.regexp_extract("text", rf"^BRDA:{whole},([^,]*,[^,]*)", 1).alias("branch"), F.when(taken.rlike(rf"^{whole}$"), taken).cast("long").alias("hits"))
+    return last.unionByName(br)
 
 
 def covered(entries: DataFrame, by: list[str]) -> DataFrame:
@@ -41,6 +48,7 @@ def added_lines(lines: DataFrame) -> DataFrame:
 
     '+++ b/x' names the file, any other '+++ ' clears it. A hunk's missing count is 1, and a count of 0 adds nothing.
     """
+    lines = lines.select("diff", "no", F.regexp_replace("text", r"\r+$", "").alias("text"))
     order = Window.partitionBy("diff").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
     named = F.when(F.col("text").startswith("+++ b/"), F.expr("substring(text, 7)")).when(F.col("text").startswith("+++ "), F.lit(""))
     hunk = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
@@ -60,14 +68,32 @@ def all_lines(files: DataFrame) -> DataFrame:
 def map_sources(entries: DataFrame, files: DataFrame, report_folder: str) -> DataFrame:
     """entries (source, ...) with the path of the analysed file: relative to the report's folder, else to the root; unmapped ones go."""
     paths = files.select("path").distinct()
-    near = paths.select(F.col("path").alias("_near"))
-    root = paths.select(F.col("path").alias("_root"))
+    n, r = fresh("_near", entries.columns), fresh("_root", entries.columns)
+    near, root = paths.select(F.col("path").alias(n)), paths.select(F.col("path").alias(r))
     below = F.concat(F.lit(report_folder.rstrip("/") + "/" if report_folder else ""), F.col("source"))
-    joined = entries.join(near, below == F.col("_near"), "left").join(root, F.col("source") == F.col("_root"), "left")
-    return joined.withColumn("path", F.coalesce("_near", "_root")).where(F.col("path").isNotNull()).drop("_near", "_root")
+    joined = entries.join(near, below == F.col(n), "left").join(root, F.col("source") == F.col(r), "left")
+    return joined.withColumn("path", F.coalesce(n, r)).where(F.col("path").isNotNull()).drop(n, r)
 
 
 def fresh_only(entries: DataFrame, files: DataFrame, report_time) -> DataFrame:
     """Entries of files (path, modified) that are not newer than the report by more than a millisecond."""
     old = files.where(F.col("modified") <= report_time + F.expr("interval '0.001' second")).select("path")
     return entries.join(old, "path", "left_semi")
+
+
+#: The metrics of an entry's kind, over all lines and over changed ones.
+METRICS = {("line", False): "coverage.line", ("branch", False): "coverage.branch", ("line", True): "coverage.changed_line", ("branch", True): "coverage.changed_branch"}
+
+
+def measurements(entries: DataFrame, changed: DataFrame | None = None) -> DataFrame:
+    """entries (source, kind, line, hits) -> (metric, key, value): percentages of each file, null where nothing counts.
+
+    changed (source, line) adds those of the changed lines, for files that it names.
+    """
+    sets = [(entries, False)] + ([(on_changed_lines(entries, changed), True)] if changed is not None else [])
+    out = None
+    for rows, is_changed in sets:
+        kinds = F.create_map(*[F.lit(x) for (k, c), m in METRICS.items() if c == is_changed for x in (k, m)])
+        found = covered(rows, ["source"]).select(kinds[F.col("kind")].alias("metric"), F.col("source").alias("key"), F.col("percent").alias("value"))
+        out = found if out is None else out.unionByName(found)
+    return out

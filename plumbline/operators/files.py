@@ -9,8 +9,8 @@ from plumbline.functions.scalars import glob_any, tokens
 
 #: Extensions of the languages that are known; a header counts as C.
 EXTENSIONS = {
-    ".c": "C", ".h": "C", ".cc": "C++", ".cpp": "C++", ".cxx": "C++", ".hh": "C++", ".hpp": "C++", ".hxx": "C++", ".go": "Go", ".java": "Java",
-    ".js": "JavaScript", ".jsx": "JavaScript", ".mjs": "JavaScript", ".cjs": "JavaScript", ".py": "Python", ".pyi": "Python", ".ts": "TypeScript", ".tsx": "TypeScript", ".mts": "TypeScript", ".cts": "TypeScript",
+    ".c": "C", ".h": "C", ".cc": "C++", ".cpp": "C++", ".cxx": "C++", ".c++": "C++", ".hh": "C++", ".hpp": "C++", ".hxx": "C++", ".h++": "C++", ".go": "Go", ".java": "Java",
+    ".js": "JavaScript", ".jsx": "JavaScript", ".mjs": "JavaScript", ".cjs": "JavaScript", ".py": "Python", ".pyw": "Python", ".ts": "TypeScript", ".tsx": "TypeScript", ".mts": "TypeScript", ".cts": "TypeScript",
 }
 
 
@@ -32,6 +32,19 @@ def token_totals(files: DataFrame) -> DataFrame:
     return sets.select(F.when(F.col("whole") == 1, "repository").otherwise("file").alias("scope"), F.when(F.col("whole") == 1, "repository").otherwise(F.col("path")).alias("key"), "tokens")
 
 
+def total_tokens(files: DataFrame) -> DataFrame:
+    """files (code, ok) -> one row (status, tokens): not_applicable without files, unavailable if any could not be analysed."""
+    counts = files.agg(F.count("*").alias("n"), F.count_if(~F.col("ok")).alias("lost"), F.coalesce(F.sum(F.when(F.col("ok"), F.greatest(F.size(tokens(F.col("code"))), F.lit(0)))), F.lit(0)).cast("long").alias("t"))
+    status = F.when(F.col("n") == 0, "not_applicable").when(F.col("lost") > 0, "unavailable").otherwise("measured")
+    return counts.select(status.alias("status"), F.when(status == "measured", F.col("t")).alias("tokens"))
+
+
+def corpus_report(files: DataFrame, by: list[str]) -> DataFrame:
+    """files (by, code, ok, functions) -> (by, files, parsed, failed, functions, bytes); functions of failed files do not count."""
+    ok = F.coalesce("ok", F.lit(False))
+    return files.groupBy(*by).agg(F.count("*").alias("files"), F.count_if(ok).alias("parsed"), F.count_if(~ok).alias("failed"), F.coalesce(F.sum(F.when(ok, F.col("functions"))), F.lit(0)).cast("long").alias("functions"), F.coalesce(F.sum(F.octet_length("code")), F.lit(0)).cast("long").alias("bytes"))
+
+
 def scope_of(files: DataFrame, include: list[str], exclude: list[str]) -> DataFrame:
     """Adds scope: excluded before included; what nothing includes is unmatched."""
     path = F.col("path")

@@ -73,6 +73,12 @@ def cycles(edges: DataFrame) -> DataFrame:
     return keyed.select(F.array_join("m", "|").alias("cycle_key"), F.size("m").cast("long").alias("members"), F.explode("m").alias("member"))
 
 
+def external_diagnostic(imports: DataFrame) -> DataFrame:
+    """imports (resolution) -> one row (code, severity, message) if any is external, else none."""
+    count = imports.agg(F.count_if(F.col("resolution") == "external").alias("n")).where("n > 0")
+    return count.select(F.lit("dependency.external_not_analyzed").alias("code"), F.lit("info").alias("severity"), F.concat(F.col("n").cast("string"), F.lit(" imports are external")).alias("message"))
+
+
 def owner(path: Column, layers: list[tuple[str, list[str]]]) -> Column:
     """The first layer, in the order of declaration, with a pattern that matches the path; null without one."""
     out = F.lit(None).cast("string")

@@ -2,21 +2,42 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet in the folder that the cluster names in spark.checkpoint.dir, and read it again."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Only one machine (a local master, as in tests) may do without, in a temporary folder."""
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:  # one machine, as in tests
+    if not where:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "local")):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         where = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where}/plumbline-{tag}-{uuid.uuid4().hex}"
+    return where
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name that is not taken, for a helper column beside those of a caller."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out over all cores where its source has fewer parts than that (small or unsplittable files)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """Write df as Parquet in the folder that the cluster names in spark.checkpoint.dir, and read it again."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/plumbline-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -5,7 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.scalars import excess
+from plumbline.functions.scalars import excess, glob_any
+
+
+def kept(findings: DataFrame, rules: list[str] = (), paths: list[str] = ()) -> DataFrame:
+    """findings (rule, files, ...) of the given rules and with any file that matches any of the path patterns; none given: all."""
+    out = findings.where(F.col("rule").isin(list(rules))) if rules else findings
+    return out.where(F.exists("files", lambda f: glob_any(f, list(paths)))) if paths else out
+
+
+def ordered_sections(entries: DataFrame) -> DataFrame:
+    """entries (section, rule, key, current, rules, excess, file, line) with their rank in their section.
+
+    structure goes by rule and key, clones by lines (current) from the largest and key, all others by rules and excess
+    from the largest, file, line and key. A missing current counts as 0.
+    """
+    structure, is_clone = F.col("section") == "structure", F.col("section") == "clones"
+    size = F.when(is_clone, -F.coalesce("current", F.lit(0.0))).when(~structure, -F.col("rules").cast("double"))
+    other = F.when(~structure & ~is_clone, -F.col("excess"))
+    by = Window.partitionBy("section").orderBy(F.when(structure, F.col("rule")), size, other, F.when(~structure & ~is_clone, F.col("file")), F.when(~structure & ~is_clone, F.col("line")), "key")
+    return entries.withColumn("rank", F.row_number().over(by))
 
 
 def places(findings: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.python_facts import facts
 from plumbline.functions.scalars import glob_any, tokens
-from plumbline.operators import clones, files, graph, policy, resolve, scopes
+from plumbline.operators import clones, coverage, files, graph, policy, resolve, scopes
 from plumbline.operators.tables import written
 from plumbline.sources import config as configuration
 from plumbline.sources.tree import read_tree
@@ -41,15 +41,23 @@ def python_facts(sources: DataFrame) -> DataFrame:
     return sources.select("path", "code").mapInPandas(run, FACTS)
 
 
-def check_files(sources: DataFrame, config: dict | None = None) -> Report:
-    """sources (path, code) -> the report. Excluded before included; other languages are measured by file only."""
+def function_measurements(parsed: DataFrame) -> DataFrame:
+    """parsed (path, functions) -> (key, metric, value), five of each function."""
+    functions = parsed.select("path", F.posexplode("functions").alias("n", "f")).select("path", "n", "f.*")
+    named = scopes.symbol_ordinals(functions, ["path"], "name", ["line", "n"]).withColumn("key", F.concat_ws("::", "path", "symbol"))
+    return named.unpivot(["key"], list(FUNCTION_METRICS), "metric", "value").replace(FUNCTION_METRICS, subset=["metric"])
+
+
+def check_files(sources: DataFrame, config: dict | None = None, lcov: DataFrame | None = None, changed: DataFrame | None = None) -> Report:
+    """sources (path, code) -> the report. Excluded before included; other languages are measured by file only.
+
+    lcov (source, kind, line, hits), mapped to paths, and changed (source, line) add coverage.
+    """
     spark, config = sources.sparkSession, configuration.checked(config or configuration.default_config())
-    taken = files.language_of(sources.where(~glob_any(F.col("path"), config["exclude"]) & glob_any(F.col("path"), config["include"])))
+    taken = written(files.language_of(sources.where(~glob_any(F.col("path"), config["exclude"]) & glob_any(F.col("path"), config["include"]))), "sources")  # read once
     parsed = written(python_facts(taken.where("language = 'Python'")), "facts")
 
-    functions = parsed.select("path", F.posexplode("functions").alias("n", "f")).select("path", "n", "f.*")
-    named = scopes.symbol_ordinals(functions, ["path"], "name", ["line", "n"]).withColumn("key", F.concat_ws("::", "path", "symbol"))
-    measured = named.unpivot(["key"], list(FUNCTION_METRICS), "metric", "value").replace(FUNCTION_METRICS, subset=["metric"])
+    measured = function_measurements(parsed)
     size = taken.join(parsed.where("error is not null").select("path"), "path", "left_anti").select(F.col("path").alias("key"), F.lit("size.file_tokens").alias("metric"), F.size(tokens(F.col("code"))).cast("double").alias("value"))
     density = clones.clone_density(taken, config["clones"]["minTokens"], config["clones"]["minLines"]).select(F.lit("repository").alias("key"), F.lit("duplication.token_clone_density").alias("metric"), F.col("density").alias("value"))
 
@@ -58,7 +66,11 @@ def check_files(sources: DataFrame, config: dict | None = None) -> Report:
     edges = graph.edges_of(resolved.where("resolution = 'internal'").select(F.col("path").alias("src"), F.col("target").alias("dst"), "line", F.struct("path", "seq").alias("ord")))
     fan = graph.fan_metrics(edges, taken.select(F.col("path").alias("node")))
     coupling = fan.select(F.col("node").alias("key"), F.expr("stack(2, 'coupling.module_fan_out', cast(fan_out as double), 'coupling.module_fan_in', cast(fan_in as double)) as (metric, value)"))
-    measurements = measured.unionByName(size).unionByName(density).unionByName(coupling)
+    states = taken.join(parsed.select("path", F.col("error").isNull().alias("ok")), "path", "left").select("code", F.coalesce("ok", F.lit(True)).alias("ok"))
+    total = files.total_tokens(states).select(F.lit("repository").alias("key"), F.lit("size.total_tokens").alias("metric"), F.col("tokens").cast("double").alias("value"))
+    measurements = measured.unionByName(size).unionByName(total).unionByName(density).unionByName(coupling)
+    if lcov is not None:
+        measurements = measurements.unionByName(coverage.measurements(lcov, changed))
 
     rules = lambda rule, key, message: [F.sha2(F.concat_ws("\0", F.lit(rule), key), 256).substr(1, 20).alias("finding_id"), F.lit(rule).alias("rule"), key.alias("key"), F.lit(1.0).alias("current"), F.lit(0.0).alias("threshold"), F.lit("error").alias("severity"), F.lit(True).alias("blocking"), message.alias("message")]
     loops = graph.cycles(edges).select("cycle_key", "members").distinct()
@@ -72,6 +84,8 @@ def check_files(sources: DataFrame, config: dict | None = None) -> Report:
     failed = parsed.where("error is not null").select(F.lit("python.parse_failed").alias("code"), F.lit("error").alias("severity"), "error", "path", F.lit(True).alias("required"))
     lost = resolved.where("resolution = 'unresolved'").select(F.lit("dependency.import_unresolved").alias("code"), F.lit("warning").alias("severity"), F.col("specifier").alias("error"), "path", F.lit(False).alias("required"))
     diagnostics = failed.unionByName(lost).withColumnRenamed("error", "message").withColumnRenamed("path", "file")
+    external = graph.external_diagnostic(resolved).select("code", "severity", "message", F.lit("").alias("file"), F.lit(False).alias("required"))
+    diagnostics = diagnostics.unionByName(external)
     return Report(taken, measurements, found, diagnostics, policy.gate(found, diagnostics))
 
 

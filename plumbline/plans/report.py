@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Severities and SARIF levels.
@@ -15,19 +15,47 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").option("ignoreNullFields", "false").json(path)
 
 
+def visible(diagnostics: DataFrame) -> DataFrame:
+    """Diagnostics that are more than information."""
+    return diagnostics.where(F.col("severity") != "info")
+
+
+#: The order of each kind of rows in a report.
+ORDERS = {"measurements": ["metric", "key"], "findings": ["rule", "key", "finding_id"], "diagnostics": ["code", "file", "message"]}
+
+
+def ordered(rows: DataFrame, kind: str) -> DataFrame:
+    """rows in the fixed order of their kind, nulls first; a range sort, no single task."""
+    return rows.orderBy(*[F.asc_nulls_first(c) for c in ORDERS[kind]])
+
+
+def sarif_rules(findings: DataFrame) -> DataFrame:
+    """(ruleId, ruleIndex, level) of the rules in the order in which ordered findings name them first."""
+    level = F.create_map(*[F.lit(x) for kv in LEVELS.items() for x in kv])[F.col("severity")]
+    rules = findings.groupBy(F.col("rule").alias("ruleId")).agg(F.min(F.struct("key", "finding_id", F.coalesce(level, F.lit("warning")).alias("level"))).alias("first"))
+    return rules.select("ruleId", (F.row_number().over(Window.orderBy("ruleId")) - 1).alias("ruleIndex"), "first.level")
+
+
 def sarif_results(findings: DataFrame) -> DataFrame:
-    """A SARIF result for each finding: rule, level, message, location, fingerprint."""
+    """A SARIF result for each finding: rule and its index, level, message, location, fingerprint. Rules are few and configured."""
     level = F.create_map(*[F.lit(x) for kv in LEVELS.items() for x in kv])[F.col("severity")]
     file = F.regexp_extract("key", "^(.*?)(::|$)", 1)
     place = F.array(F.struct(F.struct(F.struct(file.alias("uri")).alias("artifactLocation")).alias("physicalLocation")))
-    return findings.select(F.col("rule").alias("ruleId"), F.coalesce(level, F.lit("warning")).alias("level"), F.struct(F.col("message").alias("text")).alias("message"), place.alias("locations"), F.struct(F.col("finding_id").alias("findingId")).alias("partialFingerprints"))
+    own = findings.join(sarif_rules(findings).select(F.col("ruleId").alias("rule"), "ruleIndex"), "rule")
+    return own.select(F.col("rule").alias("ruleId"), "ruleIndex", F.coalesce(level, F.lit("warning")).alias("level"), F.struct(F.col("message").alias("text")).alias("message"), place.alias("locations"), F.struct(F.col("finding_id").alias("findingId")).alias("partialFingerprints"))
+
+
+def sarif_notifications(diagnostics: DataFrame) -> DataFrame:
+    """A SARIF notification for each visible diagnostic."""
+    level = F.create_map(*[F.lit(x) for kv in LEVELS.items() for x in kv])[F.col("severity")]
+    return visible(diagnostics).select(F.col("code").alias("descriptorId"), F.coalesce(level, F.lit("warning")).alias("level"), F.struct(F.col("message").alias("text")).alias("message"), F.col("file").alias("uri"))
 
 
 def summary(gate: DataFrame, findings: DataFrame, diagnostics: DataFrame) -> str:
     """The gate, and at most ten findings and ten diagnostics that are not only information."""
     status = gate.first()
     lines = [f"{status['status']}: {status['blocking']} blocking, {status['warnings']} warnings"]
-    for title, df, order, text in (("findings", findings, ["rule", "key"], lambda r: f"{r['rule']} {r['key']}: {r['message']}"), ("diagnostics", diagnostics.where("severity <> 'info'"), ["code", "file", "message"], lambda r: f"{r['code']} {r['file']}: {r['message']}")):
+    for title, df, order, text in (("findings", findings, ["rule", "key"], lambda r: f"{r['rule']} {r['key']}: {r['message']}"), ("diagnostics", visible(diagnostics), ["code", "file", "message"], lambda r: f"{r['code']} {r['file']}: {r['message']}")):
         total, shown = df.count(), df.orderBy(*order).limit(SHOWN).collect()
         lines += [text(r) for r in shown] + ([f"... and {total - SHOWN} more {title}"] if total > SHOWN else [])
     return "\n".join(lines)

@@ -6,13 +6,18 @@ nations modules and regions their layers, events runs and logs, orders before an
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalars as S
-from plumbline.operators import clones, compare, coverage, files, graph, policy, scopes, worklist
+from plumbline.operators import clones, compare, coverage, files, graph, policy, resolve, scopes, worklist
+from plumbline.operators.tables import shared_dir, spread
+from plumbline.plans import report
+from plumbline.plans.check import FUNCTION_METRICS, function_measurements, python_facts
+from plumbline.sources import baseline
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -33,7 +38,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("code"), "lang", "doc_id")
+    return spread(table(spark, d, "documents")).select(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("code"), "lang", "doc_id")
 
 
 DOCS = "(select concat_ws('/', source, lang, cast(doc_id as varchar)) as path, text as code, lang, doc_id from documents)"
@@ -256,23 +261,18 @@ def lcov_report(item: DataFrame) -> DataFrame:
     return texts.select(F.col("l_orderkey").alias("report"), F.posexplode(F.split("text", "\n")).alias("no", "text"))
 
 
-def even_suppliers(spark: SparkSession, d: str) -> DataFrame:
-    """The half of lineitem that the SQL of the two queries below asks for; lcov_report itself takes the whole table."""
-    return table(spark, d, "lineitem").where("l_suppkey % 2 = 0")
-
-
-@query("""with i as (select l_suppkey as report, 'p' || l_partkey as source, l_orderkey, l_linenumber, l_quantity, l_returnflag from lineitem where l_suppkey % 2 = 0),
+@query("""with i as (select l_suppkey as report, 'p' || l_partkey as source, l_orderkey, l_linenumber, l_quantity, l_returnflag from lineitem),
     e as (select report, source, 'line' as kind, l_quantity % 3 >= 1 as hit, true as known from i union all select report, source, 'branch', l_orderkey % 2 = 1, l_returnflag <> 'N' from i)
     select source, kind, count(*) filter (where hit and known) as covered, count(*) filter (where known) as total, case when count(*) filter (where known) > 0 then round(count(*) filter (where hit and known) / count(*) filter (where known) * 100.0 * 100) / 100 end as percent from e group by all""")
 def q_lcov_coverage(spark, d):
-    return coverage.covered(coverage.lcov_entries(lcov_report(even_suppliers(spark, d))), ["source"])
+    return coverage.covered(coverage.lcov_entries(lcov_report(table(spark, d, "lineitem"))), ["source"])
 
 
-@query("""with i as (select 'p' || l_partkey as source, l_linenumber as line, l_quantity from lineitem where l_suppkey % 2 = 0), c as (select distinct 'p' || p_partkey as source, 1 + p_size % 7 as line from part)
+@query("""with i as (select 'p' || l_partkey as source, l_linenumber as line, l_quantity from lineitem), c as (select distinct 'p' || p_partkey as source, 1 + p_size % 7 as line from part)
     select source, 'line' as kind, count(*) filter (where l_quantity % 3 >= 1) as covered, count(*) as total, round(count(*) filter (where l_quantity % 3 >= 1) / count(*) * 100.0 * 100) / 100 as percent from i semi join c using (source, line) group by source""")
 def q_changed_coverage(spark, d):
     changed = table(spark, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("source"), (1 + F.col("p_size") % 7).alias("line")).distinct()
-    lines = coverage.lcov_entries(lcov_report(even_suppliers(spark, d))).where("kind = 'line'")
+    lines = coverage.lcov_entries(lcov_report(table(spark, d, "lineitem"))).where("kind = 'line'")
     return coverage.covered(coverage.on_changed_lines(lines, changed), ["source"])
 
 
@@ -381,3 +381,230 @@ def q_source_mapping(spark, d):
 @query(f"select count(*) as files, bit_xor(cast('0x' || substr(sha256(path || chr(0) || sha256(code)), 1, 15) as bigint)) as digest from {DOCS}")
 def q_snapshot_digest(spark, d):
     return files.snapshot_digest(documents(spark, d))
+
+
+def imports_of_suppliers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(imports, files): a nation is a package, its suppliers are modules, and line items import by absolute and relative names."""
+    own = table(spark, d, "supplier").select(F.concat(F.lit("pkg"), F.col("s_nationkey").cast("string")).alias("pkg"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("m"), "s_suppkey")
+    paths = own.select(F.concat("pkg", F.lit("/"), "m", F.lit(".py")).alias("path")).union(own.select(F.concat("pkg", F.lit("/__init__.py"))).distinct())
+    name = F.concat(F.lit("s"), (F.col("l_partkey") % 40).cast("string"))
+    spec = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("."), name)).otherwise(F.concat(F.lit("pkg"), (F.col("l_orderkey") % 40).cast("string"), F.lit("."), name))
+    lines = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", spec.alias("specifier"))
+    return lines.join(own, F.col("l_suppkey") == F.col("s_suppkey")).select(F.concat("pkg", F.lit("/"), "m", F.lit(".py")).alias("path"), "specifier", "l_orderkey", "l_linenumber"), paths
+
+
+_IMPORTS = """with own as (select 'pkg' || s_nationkey as pkg, 's' || s_suppkey as m, s_suppkey from supplier),
+    f as (select pkg || '/' || m || '.py' as path from own union select pkg || '/__init__.py' from own),
+    i as (select pkg, pkg || '/' || m || '.py' as path, case when l_linenumber % 2 = 0 then '.' || n else 'pkg' || (l_orderkey % 40) || '.' || n end as specifier, case when l_linenumber % 2 = 0 then pkg else 'pkg' || (l_orderkey % 40) end as place, n, l_orderkey, l_linenumber
+        from (select *, 's' || (l_partkey % 40) as n from lineitem) join own on l_suppkey = s_suppkey),
+    r as (select i.path, specifier, l_orderkey, l_linenumber, coalesce(case when specifier like '.%' or a.path <> i.path then a.path end, b.path) as target from i left join f a on a.path = place || '/' || n || '.py' left join f b on b.path = place || '/__init__.py')"""
+
+
+@query(_IMPORTS + " select path, specifier, l_orderkey, l_linenumber, target, case when target is not null then 'internal' else 'external' end as resolution from r")
+def q_python_imports(spark, d):
+    imports, paths = imports_of_suppliers(spark, d)
+    return resolve.resolve_python(imports, paths).select("path", "specifier", "l_orderkey", "l_linenumber", "target", "resolution")
+
+
+@query(_IMPORTS + " select 'dependency.external_not_analyzed' as code, 'info' as severity, count(*) || ' imports are external' as message from r where target is null having count(*) > 0")
+def q_external_imports(spark, d):
+    return graph.external_diagnostic(resolve.resolve_python(*imports_of_suppliers(spark, d)))
+
+
+def python_sources(spark: SparkSession, d: str) -> DataFrame:
+    """A Python file of each order: imports, and a function with as many ifs inside each other as the key says; some cannot be parsed."""
+    deep, names = F.col("o_orderkey") % 5, F.col("o_custkey") % 4
+    ifs = F.array_join(F.transform(F.sequence(F.lit(0), deep), lambda i: F.concat(F.repeat(F.lit(" "), i + 1), F.when(i == deep, "pass").otherwise("if a:"))), "\n")
+    head = F.concat(F.lit("from . import c"), F.col("o_custkey").cast("string"), F.lit("\n\ndef f("), F.array_join(F.transform(F.sequence(F.lit(0), names), lambda i: F.concat(F.lit("p"), i.cast("string"))), ", "), F.when(F.col("o_orderkey") % 32 == 7, ":\n").otherwise("):\n # a comment\n"))
+    return table(spark, d, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string"), F.lit(".py")).alias("path"), F.concat(head, ifs, F.lit("\n")).alias("code"))
+
+
+@query(f"""with o as (select 'o' || o_orderkey || '.py::f' as key, o_orderkey % 5 as n, o_custkey % 4 as k from orders where o_orderkey % 32 <> 7)
+    select key, unnest(['complexity.cyclomatic', 'complexity.cognitive', 'complexity.nesting_depth', 'size.function_lines', 'size.parameter_count']) as metric, cast(unnest([n + 1, n * (n + 1) // 2, n, n + 2, k + 1]) as double) as value from o""")
+def q_function_measures(spark, d):
+    return function_measurements(python_facts(spread(python_sources(spark, d))))
+
+
+@query("select 'o' || o_orderkey || '.py' as path, '.c' || o_custkey as specifier, 1 as line from orders where o_orderkey % 32 <> 7")
+def q_import_facts(spark, d):
+    return python_facts(spread(python_sources(spark, d))).select("path", F.explode("imports").alias("i")).select("path", "i.specifier", "i.line")
+
+
+@query("select 'python.parse_failed' as code, 'o' || o_orderkey || '.py' as file from orders where o_orderkey % 32 = 7")
+def q_parse_failures(spark, d):
+    return python_facts(spread(python_sources(spark, d))).where("error is not null").select(F.lit("python.parse_failed").alias("code"), F.col("path").alias("file"))
+
+
+@query("select p.path, o_orderkey from (select 'c' || o_custkey as path, o_orderkey from orders) p join (select 'c' || o_custkey as path from orders group by o_custkey having max(o_orderdate) <= timestamp '1998-01-01' + interval 1 millisecond) f using (path)")
+def q_stale_sources(spark, d):
+    name = F.concat(F.lit("c"), F.col("o_custkey").cast("string"))
+    orders = table(spark, d, "orders")
+    modified = orders.groupBy(name.alias("path")).agg(F.max("o_orderdate").alias("modified"))
+    return coverage.fresh_only(orders.select(name.alias("path"), "o_orderkey"), modified, F.lit("1998-01-01").cast("timestamp_ntz"))
+
+
+@query("""with i as (select 'p' || l_partkey as key, l_linenumber as line, l_quantity, l_orderkey, l_returnflag from lineitem), c as (select distinct 'p' || p_partkey as key, 1 + p_size % 7 as line from part),
+    e as (select key, line, 'line' as kind, l_quantity % 3 >= 1 as hit, true as known from i union all select key, line, 'branch', l_orderkey % 2 = 1, l_returnflag <> 'N' from i),
+    everything as (select 'coverage.' || kind as metric, key, hit, known from e union all select 'coverage.changed_' || kind, key, hit, known from e semi join c using (key, line))
+    select metric, key, case when count(*) filter (where known) > 0 then round(count(*) filter (where hit and known) / count(*) filter (where known) * 100.0 * 100) / 100 end as value from everything group by all""")
+def q_coverage_measurements(spark, d):
+    changed = table(spark, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("source"), (1 + F.col("p_size") % 7).alias("line")).distinct()
+    return coverage.measurements(coverage.lcov_entries(lcov_report(table(spark, d, "lineitem"))), changed)
+
+
+_COMPARED = ORACLE_SQL["q_compare_findings"]
+
+
+@query(f"select rule, classification <> 'resolved' as active, count(*) as findings from ({_COMPARED}) group by all")
+def q_active_findings(spark, d):
+    found = q_compare_findings(spark, d)
+    counts = lambda rows, is_active: rows.groupBy("rule").agg(F.count("*").alias("findings")).withColumn("active", F.lit(is_active))
+    return counts(compare.active(found), True).unionByName(counts(compare.resolved(found), False)).select("rule", "active", "findings")
+
+
+@query(f"select rule, key, current from ({_COMPARED})")
+def q_stripped_findings(spark, d):
+    return compare.stripped(q_compare_findings(spark, d))
+
+
+@query(f"""select rule, key, coalesce(classification in ('new', 'worsened'), false) as regression, coalesce(p.blocking, false) and classification <> 'resolved' as blocks from ({_COMPARED}) join (values {_POLICY_ROWS}) p(metric, enabled, threshold, severity, blocking) on rule = metric""")
+def q_finding_predicates(spark, d):
+    rules = policies(spark).select(F.col("metric").alias("rule"), "blocking")
+    return q_compare_findings(spark, d).join(F.broadcast(rules), "rule").select("rule", "key", S.is_regression(F.col("classification")).alias("regression"), S.blocks_gate(F.col("blocking"), F.col("classification")).alias("blocks"))
+
+
+@query(f"""with c as ({_findings_sql(f"(select * from orders where o_orderdate >= {_SPLIT})")}), p as ({_findings_sql(f"(select * from orders where o_orderdate < {_SPLIT})")}), m as (select metric as rule, key, value as measured from ({_measures_sql(f"(select * from orders where o_orderdate < {_SPLIT})")})),
+    j as (select rule, key, c.current, p.current as before, c.rule is null as gone, p.rule is null as fresh, case when c.rule is null then p.current else coalesce(m.measured, p.current) end as baseline from c full join p using (rule, key) left join m using (rule, key))
+    select rule, key, current, baseline, case when gone then -before else current - baseline end as delta, case when gone then 'resolved' when fresh then 'new' when current - baseline > 0 then 'worsened' else 'existing' end as classification from j""")
+def q_findings_by_measurement(spark, d):
+    orders = table(spark, d, "orders")
+    old = F.col("o_orderdate") < F.lit("1997-01-01").cast("timestamp_ntz")
+    found = lambda rows: policy.threshold_findings(order_measurements(rows), policies(spark)).select("rule", "key", "current")
+    measured = order_measurements(orders.where(old)).select(F.col("metric").alias("rule"), "key", F.col("value").alias("baseline"))
+    return compare.compare_findings(found(orders.where(~old)), found(orders.where(old)), ["rule", "key"], measured)
+
+
+@query(f"select finding_id, rule, key from (select *, replace(key, '::', '/') || '.py' as file from ({_findings_sql()})) where rule in ('orders.count', 'orders.urgent') and regexp_matches(file, '{S.glob_regex("customer/*[02468].py")}')")
+def q_worklist_filter(spark, d):
+    files_of = F.array(F.concat(F.replace("key", F.lit("::"), F.lit("/")), F.lit(".py")))
+    return worklist.kept(q_policy_findings(spark, d).withColumn("files", files_of), ["orders.count", "orders.urgent"], ["customer/*[02468].py"]).select("finding_id", "rule", "key")
+
+
+_ENTRIES = f"""select case c_mktsegment when 'BUILDING' then 'structure' when 'MACHINERY' then 'clones' else 'hotspots' end as section, rule, key, current, 1 + length(key) % 3 as rules, current / threshold as excess, c_name as file, c_custkey % 9 as line from ({_findings_sql()}) f join customer on f.key = 'customer::' || c_custkey"""
+
+
+@query(f"""select section, rule, key, cast(row_number() over (partition by section order by case when section = 'structure' then rule end, case when section = 'clones' then -current when section = 'hotspots' then -rules end, case when section = 'hotspots' then -excess end, case when section = 'hotspots' then file end, case when section = 'hotspots' then line end, key, rule) as integer) as rank from ({_ENTRIES.replace("rule, key, current, 1", "rule, key || '/' || rule as key, current, 1")})""")
+def q_worklist_sections(spark, d):
+    segment = F.when(F.col("c_mktsegment") == "BUILDING", "structure").when(F.col("c_mktsegment") == "MACHINERY", "clones").otherwise("hotspots")
+    who = table(spark, d, "customer").select(F.concat(F.lit("customer::"), F.col("c_custkey").cast("string")).alias("key"), segment.alias("section"), F.col("c_name").alias("file"), (F.col("c_custkey") % 9).alias("line"))
+    entries = q_policy_findings(spark, d).join(who, "key").select("section", "rule", F.concat_ws("/", "key", "rule").alias("key"), "current", (1 + F.length("key") % 3).alias("rules"), S.excess(F.col("current"), F.col("threshold")).alias("excess"), "file", "line")
+    return worklist.ordered_sections(entries).select("section", "rule", "key", "rank")
+
+
+@query(f"select rule as \"ruleId\", cast(dense_rank() over (order by rule) - 1 as integer) as \"ruleIndex\", severity as level, message as text, regexp_extract(key, '^(.*?)(::|$)', 1) as uri, finding_id as fingerprint from ({_findings_sql()})")
+def q_sarif_results(spark, d):
+    return report.sarif_results(q_policy_findings(spark, d)).select("ruleId", "ruleIndex", "level", "message.text", F.col("locations")[0]["physicalLocation"]["artifactLocation"]["uri"].alias("uri"), F.col("partialFingerprints.findingId").alias("fingerprint"))
+
+
+_DIAGNOSTICS = "select event_type as code, 'u' || user_id as file, 'event ' || event_id as message, case when event_type = 'error' then 'error' when event_type = 'purchase' then 'warning' else 'info' end as severity from events"
+
+
+def event_diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    severity = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "purchase", "warning").otherwise("info")
+    return table(spark, d, "events").select(F.col("event_type").alias("code"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("file"), F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("message"), severity.alias("severity"))
+
+
+@query(f"select code, file, message, severity from ({_DIAGNOSTICS}) where severity <> 'info' order by code, file, message")
+def q_ordered_diagnostics(spark, d):
+    return report.ordered(report.visible(event_diagnostics(spark, d)), "diagnostics")
+
+
+@query(f"select * from ({_findings_sql()}) order by rule, key, finding_id")
+def q_ordered_findings(spark, d):
+    return report.ordered(q_policy_findings(spark, d), "findings")
+
+
+@query(f"select metric, key, value from ({_measures_sql('orders')}) order by metric, key")
+def q_ordered_measurements(spark, d):
+    return report.ordered(order_measurements(table(spark, d, "orders")), "measurements")
+
+
+@query(f"select code as \"descriptorId\", severity as level, message as text, file as uri from ({_DIAGNOSTICS}) where severity <> 'info'")
+def q_sarif_notifications(spark, d):
+    return report.sarif_notifications(event_diagnostics(spark, d)).select("descriptorId", "level", "message.text", "uri")
+
+
+@query(f"select case when bool_and(length(code) < 20000) then 'measured' else 'unavailable' end as status, case when bool_and(length(code) < 20000) then cast(sum(len({TOKENS})) as bigint) end as tokens from {DOCS} where lang <> 'xx'")
+def q_total_tokens(spark, d):
+    return files.total_tokens(documents(spark, d).select("code", (F.length("code") < 20000).alias("ok")))
+
+
+@query(f"select lang, count(*) as files, count(*) filter (where length(code) < 5000) as parsed, count(*) filter (where length(code) >= 5000) as failed, cast(coalesce(sum(len(regexp_extract_all(code, '[A-Z][a-z]+'))) filter (where length(code) < 5000), 0) as bigint) as functions, cast(sum(strlen(code)) as bigint) as bytes from {DOCS} group by lang")
+def q_corpus_report(spark, d):
+    rows = documents(spark, d).select("lang", "code", (F.length("code") < 5000).alias("ok"), F.size(F.regexp_extract_all("code", F.lit("[A-Z][a-z]+"), F.lit(0))).alias("functions"))
+    return files.corpus_report(rows, ["lang"])
+
+
+@query("""with c as (select l_orderkey as clone, 's' || l_suppkey as file, case when l_returnflag = 'R' then 'f' || l_linestatus else '' end as symbol, l_linenumber * 10 as start, l_linenumber * 10 + cast(l_quantity as integer) as stop from lineitem),
+    g as (select clone, 'clone:' || array_to_string(list_sort(list(file || case when symbol <> '' then '::' || symbol else '' end)), '|') as base, count(*) as copies, cast(sum(stop - start + 1) as bigint) as lines from c group by clone)
+    select case when n > 1 then base || '#' || n else base end as key, clone, copies, lines, 'The same 50-token block appears in ' || copies || ' locations, ' || lines || ' lines in all' as message from (select *, row_number() over (partition by base order by clone) as n from g)""")
+def q_clone_findings(spark, d):
+    start = F.col("l_linenumber") * 10
+    copies = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("clone"), F.lit(50).alias("tokens"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("file"), F.when(F.col("l_returnflag") == "R", F.concat(F.lit("f"), "l_linestatus")).otherwise("").alias("symbol"), start.alias("start"), (start + F.col("l_quantity").cast("int")).alias("stop"))
+    return clones.clone_findings(copies)
+
+
+@query("select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') as at from events")
+def q_utc_times(spark, d):
+    return table(spark, d, "events").select("event_id", S.utc_millis(F.col("ts")).alias("at"))
+
+
+@query(f"select page_id, regexp_replace(path, '/?[^/]*$', '') as folder, lower(regexp_extract(path, '([.][^./]*)$', 1)) as extension from (select page_id, {_PAGE} as path from pages)")
+def q_path_parts(spark, d):
+    paths = table(spark, d, "pages").select("page_id", page_path(F.col("url")).alias("path"))
+    return paths.select("page_id", S.folder(F.col("path")).alias("folder"), S.extension(F.col("path")).alias("extension"))
+
+
+@query("""with k as (select o_orderkey, 'c' || o_custkey || '.py' as file, case o_orderkey % 3 when 0 then 'c' || o_custkey || '.py' when 1 then 'c' || o_custkey || '.py::f' || o_orderkey else 'clone:c' || o_custkey end as key from orders)
+    select o_orderkey, case when key = file then 'moved/' || file when starts_with(key, file || '::') then 'moved/' || key else key end as key from k""")
+def q_moved_keys(spark, d):
+    file = F.concat(F.lit("c"), F.col("o_custkey").cast("string"), F.lit(".py"))
+    key = F.when(F.col("o_orderkey") % 3 == 0, file).when(F.col("o_orderkey") % 3 == 1, F.concat(file, F.lit("::f"), F.col("o_orderkey").cast("string"))).otherwise(F.concat(F.lit("clone:c"), F.col("o_custkey").cast("string")))
+    return table(spark, d, "orders").select("o_orderkey", S.with_file(key, file, F.concat(F.lit("moved/"), file)).alias("key"))
+
+
+@query("""select conv_id, turn, case when turn % 3 = 0 then 'C.' else '' end || case when turn % 2 = 0 then 'outer.' else '' end || role as symbol from conversations""")
+def q_symbol_names(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", S.symbol_name(F.when(F.col("turn") % 3 == 0, "C"), F.when(F.col("turn") % 2 == 0, "outer"), F.col("role")).alias("symbol"))
+
+
+_NAMES = ", ".join(f"({i}, '{e}', '{n}')" for i, (e, n) in enumerate(files.EXTENSIONS.items()))
+
+
+@query(f"""select coalesce(n, 'Unknown') as language, count(*) as files from (select doc_id % {len(files.EXTENSIONS) + 2} as i from documents) left join (values {_NAMES}) t(i, e, n) using (i) group by 1""")
+def q_languages(spark, d):
+    ends = F.array(*[F.lit("A/b" + e.upper()) for e in files.EXTENSIONS], F.lit("Makefile"), F.lit("x.unknown"))
+    paths = table(spark, d, "documents").select(F.get(ends, (F.col("doc_id") % (len(files.EXTENSIONS) + 2)).cast("int")).alias("path"))
+    return files.language_of(paths).groupBy("language").agg(F.count("*").alias("files"))
+
+
+@query("select conv_id, turn, cast(max(line) as integer) as last, count(*) as lines from (select conv_id, turn, unnest(generate_series(1, len(string_split(text, chr(10))))) as line from conversations) group by all")
+def q_untracked_lines(spark, d):
+    texts = table(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("file"), "text")
+    return coverage.all_lines(texts).groupBy("file.conv_id", "file.turn").agg(F.max("line").alias("last"), F.count("*").alias("lines"))
+
+
+@query(f"select rule, key, current from ({_findings_sql()})")
+def q_baseline_round_trip(spark, d):
+    """Findings saved as a baseline and loaded again."""
+    root = f"{shared_dir(spark)}/plumbline-baselines"
+    baseline.save({"findings": compare.stripped(q_policy_findings(spark, d)).select("rule", "key", "current")}, root, "round-trip", replace=True)
+    return baseline.load(spark, root, "round-trip", "findings")
+
+
+@query(f"select finding_id, rule, key, current, threshold, severity, blocking, message from ({_findings_sql()})")
+def q_json_report(spark, d):
+    """Findings written as JSON lines and read again."""
+    found, path = q_policy_findings(spark, d), f"{shared_dir(spark)}/plumbline-json-{uuid.uuid4().hex}"
+    report.write_json(found, path)
+    return spark.read.schema(found.schema).json(path)

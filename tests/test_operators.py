@@ -147,6 +147,41 @@ def test_lcov(spark):
     assert coverage.on_changed_lines(entries, changed).count() == 1
 
 
+def test_lcov_records_that_are_cut_off(spark):
+    text = ["SF:a.py\r", "DA:1,1\r", "end_of_record\r", "SF:cut.py", "DA:1,1", "SF:b.py", "DA:2,-1", "DA:3", "BRDA:4", "BRDA:5,0,0,x", "BRDA:6,0,0,2", "end_of_record", "SF:last.py", "DA:9,1,abc"]
+    lines = spark.createDataFrame([(1, i, t) for i, t in enumerate(text)], "report int, no int, text string")
+    got = sorted((r["source"], r["kind"], r["line"], r["hits"]) for r in coverage.lcov_entries(lines).where("hits is not null").collect())
+    assert got == [("a.py", "line", 1, 1), ("b.py", "branch", 6, 2), ("b.py", "line", 2, -1), ("last.py", "line", 9, 1)]
+    assert coverage.lcov_entries(lines).where("hits is null").count() == 2
+
+
+def test_coverage_measurements(spark):
+    entries = spark.createDataFrame([("a", "line", 1, 1), ("a", "line", 2, 0), ("a", "branch", 1, None)], "source string, kind string, line int, hits long")
+    changed = spark.createDataFrame([("a", 2)], "source string, line int")
+    assert sorted((r["metric"], r["value"]) for r in coverage.measurements(entries, changed).collect()) == [("coverage.branch", None), ("coverage.changed_line", 0.0), ("coverage.line", 50.0)]
+
+
+def test_worklist_filter_and_clone_findings(spark):
+    f = spark.createDataFrame([("r", ["a/x.py", "b/y.py"]), ("r", []), ("s", ["a/x.py"])], "rule string, files array<string>")
+    assert worklist.kept(f).count() == 3 and worklist.kept(f, ["r"]).count() == 2 and rows(worklist.kept(f, ["r"], ["b/*"]).select("rule")) == [("r",)]
+    groups = spark.createDataFrame([(1, 50, "a", "f", 1, 5), (1, 50, "b", None, 3, 7), (2, 60, "b", "", 10, 12), (2, 60, "a", "f", 20, 22)], "clone int, tokens int, file string, symbol string, start int, stop int")
+    assert rows(clones.clone_findings(groups).select("key", "lines")) == [("clone:a::f|b", 10), ("clone:a::f|b#2", 6)]
+
+
+def test_findings_take_the_measurements_baseline_first(spark):
+    now = spark.createDataFrame([("a", 5.0), ("b", 5.0)], "k string, current double")
+    old = spark.createDataFrame([("a", 1.0), ("z", 2.0)], "k string, current double")
+    measured = spark.createDataFrame([("a", 7.0), ("b", 3.0)], "k string, baseline double")
+    found = compare.compare_findings(now, old, ["k"], measured)
+    assert rows(found.select("k", "baseline", "delta", "classification")) == [("a", 7.0, -2.0, "existing"), ("b", 3.0, 2.0, "new"), ("z", 2.0, -2.0, "resolved")]
+    assert compare.active(found).count() == 2 and compare.resolved(found).count() == 1 and compare.stripped(found).columns == ["k", "current"]
+
+
+def test_total_tokens(spark):
+    df = spark.createDataFrame([("a b", True), (None, True), ("c", False)], "code string, ok boolean")
+    assert [tuple(files.total_tokens(x).first()) for x in (df.limit(0), df, df.where("ok"))] == [("not_applicable", None), ("unavailable", None), ("measured", 2)]
+
+
 def test_diff(spark):
     text = ["+++ b/x", "@@ -1,2 +5,2 @@", "+y", "@@ -1 +9 @@", "@@ -4,2 +7,0 @@", "+++ /dev/null", "@@ -1 +1 @@"]
     lines = spark.createDataFrame([(1, i, t) for i, t in enumerate(text)], "diff int, no int, text string")
