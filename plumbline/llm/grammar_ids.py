@@ -192,8 +192,8 @@ class LibraryRuns:
     """
 
     LIMIT = 600_000
-    #: A word of letters up to U+00FF, which NFC leaves as they are, and a mark.
-    WORD = re.compile(r"([a-zß-öø-ÿ]+)([.,;:!?]?)")
+    #: Of each line: a word of letters up to U+00FF, which NFC leaves as they are, and a mark; else nothing.
+    WORD = re.compile(r"^(?:([a-zß-öø-ÿ]+)([.,;:!?]?)$)?", re.MULTILINE)
     SYMBOLS = str.maketrans({chr(b): c for b, c in enumerate(byte_symbols())})
 
     def __init__(self, path: str):
@@ -209,11 +209,11 @@ class LibraryRuns:
         """The ids of each run. Words and marks are single pieces, and go straight to the library's model."""
         if len(self.cores) > self.LIMIT:
             self.cores.clear()
-        cores, match, out, other = self.cores, self.WORD.fullmatch, [], []
-        for run in runs:
-            text = run.decode()
-            if found := match(text.lower()):
-                word, mark = found.groups()
+        cores, out, other = self.cores, [], []
+        joined = b"\n".join(runs).decode()
+        texts = joined.split("\n")
+        for i, (word, mark) in enumerate(self.WORD.findall(joined.lower())):
+            if word:
                 if (ids := cores.get(word)) is None:
                     ids = cores[word] = self.piece(word)
                 if mark:
@@ -222,7 +222,7 @@ class LibraryRuns:
                     ids += cores[mark]
                 out.append(ids)
             else:
-                other.append((len(out), text))
+                other.append((i, texts[i]))
                 out.append(b"")
         for (i, _), found in zip(other, self.tokenizer.encode_batch_fast([t for _, t in other], add_special_tokens=False)):
             out[i] = array("I", found.ids).tobytes()
