@@ -2,8 +2,9 @@
 
 Equal vectors are one node. Nodes are dealt to shards of bounded size by a hash; each shard is built on its own and
 stored as flat arrays (vectors, and for each layer its nodes and a matrix of neighbours). A query goes through every
-shard, a block of queries at a time, and the shards' results are merged. Largest inner product becomes nearest
-direction by one more coordinate that gives all vectors of a shard the same length.
+shard: blocks of queries are sent to where a shard's graph is, which moves only once for many blocks, and the
+shards' results are merged. Largest inner product becomes nearest direction by one more coordinate that gives all
+vectors of a shard the same length. Graphs hold scaled single-precision vectors; scores come from the given ones.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from plumbline.llm.common import batched_groups, written
 
 SHARD_ROWS = 8192
 QUERY_BLOCK = 1024
+#: So many blocks of queries go to one copy of a shard's graph.
+TASK_BLOCKS = 64
 LINKS, BUILD_WIDTH, SEARCH_WIDTH = 16, 64, 128
 
 
@@ -161,23 +164,32 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+INDEX = "shard int, members array<array<long>>, exact binary, vectors binary, levels array<int>, layer_nodes binary, neighbours binary"
+
+
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """Vectors over their largest component: the order of inner products stays, and single precision holds them."""
+    return vectors / np.abs(vectors).max(initial=1e-300)
+
+
 def build_index(nodes: DataFrame, shards: int) -> DataFrame:
-    """nodes (members, vector) -> (shard, members, vectors, levels, layer_nodes, neighbours), written in the shared folder."""
+    """nodes (members, vector) -> a row of INDEX for each shard, written in the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in batched_groups(batches, "shard"):
-            vectors = _matrix_of(group.column("vector")).astype(np.float32)
-            norm2 = np.einsum("ij,ij->i", vectors.astype(np.float64), vectors.astype(np.float64))
-            longer = np.concatenate([vectors, np.sqrt(np.maximum(0, norm2.max() - norm2))[:, None].astype(np.float32)], 1)
-            graph = Graph.build(longer, seed=len(vectors))
+            exact = _matrix_of(group.column("vector")).astype(np.float64)
+            scaled = _scaled(exact)
+            norm2 = np.einsum("ij,ij->i", scaled, scaled)
+            longer = np.concatenate([scaled, np.sqrt(np.maximum(0, norm2.max() - norm2))[:, None]], 1).astype(np.float32)
+            graph = Graph.build(longer, seed=len(longer))
             shard = group.column("shard")[0].as_py()
             members = pa.array([group.column("members").to_pylist()], pa.list_(pa.list_(pa.int64())))
-            made = [longer.astype("<f4").tobytes(), [len(m) for m, _ in graph.layers], b"".join(m.astype("<i4").tobytes() for m, _ in graph.layers), b"".join(x.astype("<i4").tobytes() for _, x in graph.layers)]
-            kinds = [pa.binary(), pa.list_(pa.int32()), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), members, *(pa.array([x], k) for x, k in zip(made, kinds))], names=["shard", "members", "vectors", "levels", "layer_nodes", "neighbours"])
+            made = [exact.astype("<f8").tobytes(), longer.astype("<f4").tobytes(), [len(m) for m, _ in graph.layers], b"".join(m.astype("<i4").tobytes() for m, _ in graph.layers), b"".join(x.astype("<i4").tobytes() for _, x in graph.layers)]
+            kinds = [pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), members, *(pa.array([x], k) for x, k in zip(made, kinds))], names=[x.split()[0] for x in INDEX.split(", ")])
 
     placed = nodes.withColumn("shard", F.expr(f"cast(pmod(xxhash64(vector), {shards}) as int)"))
-    built = placed.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, "shard int, members array<array<long>>, vectors binary, levels array<int>, layer_nodes binary, neighbours binary")
+    built = placed.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, INDEX)
     return written(built, "hnsw")
 
 
@@ -196,7 +208,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, id_column: str = "ve
 
     Every row but the query's own is a candidate. score is the inner product in double precision of the vectors as
     stored; ties go to the smaller id. Vectors that are null, zero or hold null or non-finite components, and null ids,
-    take no part; so do vectors of another length than the longest common one. With fewer than k candidates all of a
+    take no part; so do vectors of another length than the most common one (of equally common ones the longest). With fewer than k candidates all of a
     shard's reach are returned. Other columns are not read; an empty table gives no rows.
     """
     spark = rows.sparkSession
@@ -214,34 +226,45 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, id_column: str = "ve
     asked = source.where(F.coalesce(F.col("is_query"), F.lit(False))).select("id", "vector")
     distinct = written(asked.select("vector").distinct().withColumn("query", F.xxhash64("vector")), "queries")
     blocks = max(1, -(-distinct.count() // QUERY_BLOCK))
-    placed = distinct.withColumn("block", F.expr(f"cast(pmod(query, {blocks}) as int)"))
-    packed = placed.groupBy("block").agg(F.collect_list(F.struct("query", "vector")).alias("q"))  # about QUERY_BLOCK queries
-    pairs = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed, "block").repartition(max(1, shards * blocks), "shard", "block")
+    groups = -(-blocks // TASK_BLOCKS)
+    packed = distinct.groupBy(F.expr(f"cast(pmod(query, {blocks}) as int)").alias("block")).agg(F.collect_list(F.struct("query", "vector")).alias("q"))  # about QUERY_BLOCK queries
+    task = (F.col("shard") * groups + F.col("group")).cast("int").alias("task")
+    graphs = index.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select(task, F.lit(-1).alias("block"), *[x.split()[0] for x in INDEX.split(", ")])
+    sent = packed.select("block", F.expr(f"block % {groups}").alias("group"), "q", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")).select(task, "block", "q")
+    rows_of_tasks = graphs.unionByName(sent, allowMissingColumns=True).repartitionById(shards * groups, "task").sortWithinPartitions("task", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        members, exact, graph = [], np.empty((0, 1)), None
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {n: batch.column(n)[i] for n in ("members", "vectors", "levels", "layer_nodes", "neighbours", "q")}
-                members, q = row["members"].as_py(), row["q"].values
-                graph = load(row["vectors"].as_py(), row["levels"].as_py(), row["layer_nodes"].as_py(), row["neighbours"].as_py(), len(members))
-                keys = q.field("query").to_pylist()
-                queries = _matrix_of(q.field("vector"))
-                longer = np.concatenate([queries, np.zeros((len(queries), 1))], 1).astype(np.float32)
-                found = graph.search(longer)
-                own = graph.vectors[:, :-1].astype(np.float64)
-                out = []
-                for j, near in enumerate(found):
+                row = {n: batch.column(n)[i] for n in batch.schema.names}
+                if row["block"].as_py() < 0:
+                    members = row["members"].as_py()
+                    exact = np.frombuffer(row["exact"].as_py(), "<f8").reshape(len(members), -1)
+                    graph = load(row["vectors"].as_py(), row["levels"].as_py(), row["layer_nodes"].as_py(), row["neighbours"].as_py(), len(members))
+                    continue
+                if graph is None:  # a shard without vectors
+                    continue
+                q = row["q"].values
+                keys, queries = q.field("query").to_pylist(), _matrix_of(q.field("vector"))
+                longer = np.concatenate([queries / np.abs(queries).max(1, keepdims=True), np.zeros((len(queries), 1))], 1).astype(np.float32)
+                found = [[], [], []]
+                for j, near in enumerate(graph.search(longer)):
                     near = near[near >= 0]
-                    score = own[near] @ queries[j]
+                    score = exact[near] @ queries[j]
                     best = np.lexsort(([members[x][0] for x in near], -score))[: k + 1]
                     ids = [(s, m) for x, s in zip(near[best].tolist(), score[best].tolist()) for m in members[x]]
-                    out.append([{"score": s, "id": m} for s, m in sorted(ids, key=lambda t: (-t[0], t[1]))[: k + 1]])
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.list_(pa.struct([("score", pa.float64()), ("id", pa.int64())])))], names=["query", "found"])
-
-    results = pairs.select("members", "vectors", "levels", "layer_nodes", "neighbours", "q").mapInArrow(run, "query long, found array<struct<score: double, id: long>>")
-    # k + 1 of each shard are merged to k + 1 of all; one of them may be the query's own row
-    nearer = F.transform("all", lambda x: F.struct((-x["score"]).alias("s"), x["id"].alias("id")))
-    merged = results.groupBy("query").agg(F.flatten(F.collect_list("found")).alias("all")).select("query", F.slice(F.array_sort(nearer), 1, k + 1).alias("best"))
+                    for s, m in sorted(ids, key=lambda t: (-t[0], t[1]))[: k + 1]:
+                        found[0].append(keys[j])
+                        found[1].append(s)
+                        found[2].append(m)
+                yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.float64()), pa.array(found[2], pa.int64())], names=["query", "score", "id"])
+
+    results = rows_of_tasks.mapInArrow(run, "query long, score double, id long")
+    # k + 1 of each shard are merged to k + 1 of all, limited before the shuffle too; one of them may be the query's own row
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    merged = results.withColumn("p", F.row_number().over(best)).where(F.col("p") <= k + 1)
+    merged = merged.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("p", "id", "score"))).alias("best"))
     of = asked.select("id", F.xxhash64("vector").alias("query")).join(merged, "query")
     mine = of.select(F.col("id").alias("query_id"), F.slice(F.filter("best", lambda x: x["id"] != F.col("id")), 1, k).alias("best"))
-    return mine.select("query_id", F.posexplode("best").alias("rank", "x")).select("query_id", (F.col("rank") + 1).alias("rank"), F.col("x.id").alias("vec_id"), (-F.col("x.s")).alias("score"))
+    return mine.select("query_id", F.posexplode("best").alias("rank", "x")).select("query_id", (F.col("rank") + 1).alias("rank"), F.col("x.id").alias("vec_id"), F.col("x.score").alias("score"))

@@ -102,6 +102,34 @@ def test_nearest_neighbours(spark, monkeypatch):
     assert hnsw.nearest(df.where("vec_id >= 5000 and vec_id < 5100"), df["vec_id"] > 0).count() == 0
 
 
+def test_nearest_in_double_precision(spark, monkeypatch):
+    """Scores are those of the given vectors; huge components do not disturb the search; many blocks share a graph."""
+    monkeypatch.setattr(hnsw, "SHARD_ROWS", 100)
+    monkeypatch.setattr(hnsw, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(hnsw, "TASK_BLOCKS", 3)
+    x = np.random.default_rng(5).standard_normal((300, 6))
+    for big in (1.0, 1e150):
+        y = x * big
+        df = spark.createDataFrame([(i, [float(v) for v in y[i]]) for i in range(300)], "vec_id long, embedding array<double>")
+        got = hnsw.nearest(df, df["vec_id"] % 10 == 0).collect()
+        assert len(got) == 30 * 20
+        hits = 0
+        for r in got:
+            exact = float(y[r["query_id"]] @ y[r["vec_id"]])
+            assert abs(r["score"] - exact) <= 1e-12 * big * big
+        for q in range(0, 300, 10):
+            best = [i for i in np.argsort(-(x @ x[q]), kind="stable") if i != q][:20]
+            hits += len({r["vec_id"] for r in got if r["query_id"] == q} & set(best))
+        assert hits >= 0.95 * 600
+
+
+def test_url_sample_is_of_different_urls(spark):
+    """A hot URL does not fill the sample."""
+    rows = [(i, "http://a.com/same") for i in range(300)] + [(1000 + i, f"http://b{i}.com/news") for i in range(80)] + [(2000 + i, f"http://c{i}.net/es/x") for i in range(80)] + [(9999, "http://b7.org/news")]
+    got = {r["page_id"]: r["verdict"] for r in urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string"), URL_RULES, sample_rows=100).collect()}
+    assert len(got) == len(rows) and got[9999] == "allow"
+
+
 def test_sharding_against_recursion(spark):
     r = random.Random(4)
     rows = [(i, "x" * r.choice([0, 10, 500])) for i in range(400)] + [(7, "y" * 3000), (7, "y" * 3000), (None, "z"), (999, None)]
