@@ -113,8 +113,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_column: str = "page
 
     rules are (host/path, allow or block). A rule fits its host and all subdomains where the path begins with the
     rule's; the longest wins and gives the verdict. Without a rule the models do: score above the calibrated limit is
-    allow, and score is null where a rule decides. The models learn from at most sample_rows URLs of each verdict that
-    rules decide, those with the smallest hashes. A null or empty URL has empty host and path and score 0. If rules
+    allow, and score is null where a rule decides. The models learn from at most sample_rows different URLs of each
+    verdict that rules decide, those with the smallest hashes; others are left out before they are ordered. A null or empty URL has empty host and path and score 0. If rules
     decide for no URL of one kind, that model is empty and still defined. Other columns are not read; repeated rows are
     judged one by one.
     """
@@ -125,7 +125,10 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_column: str = "page
     known = ruled.withColumn("decided", verdicts[F.col("rule")] if rules else F.lit(None).cast("string"))
     sample = []
     for verdict in ("allow", "block"):
-        chosen = known.where(F.col("decided") == verdict).select("url", F.xxhash64("url").alias("h")).orderBy("h", "url").limit(sample_rows).collect()
+        urls = known.where(F.col("decided") == verdict).select("url", F.xxhash64("url").alias("h"))
+        kinds = urls.agg(F.approx_count_distinct("url", 0.02)).first()[0]  # twice the error's margin is left
+        share = min(1_000_000, math.ceil(1e6 * (1.1 * sample_rows + 500) / max(1, kinds)))
+        chosen = urls.where(F.pmod("h", F.lit(1_000_000)) < share).distinct().orderBy("h", "url").limit(sample_rows).collect()
         sample += [(r["h"], r["url"].encode(), verdict == "allow") for r in chosen]
     sample.sort()
     shared = pages.sparkSession.sparkContext.broadcast(fit([s[1] for s in sample], [s[2] for s in sample]))
