@@ -16,7 +16,10 @@ URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table, dealt out over all cores where its files have fewer parts than that."""
+    read = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return read.repartition(cores) if read.rdd.getNumPartitions() < cores else read
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
