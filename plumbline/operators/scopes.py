@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.tables import written
+
 
 def symbol_ordinals(functions: DataFrame, by: list[str], name: str, order: list[str]) -> DataFrame:
     """Adds symbol: the name, with #n from its second occurrence on."""
@@ -25,10 +27,36 @@ def runs_between(rows: DataFrame, by: str, is_border: Column, order: list[str])
     return marked.where(~F.col("_border")).groupBy(by, "run").agg(F.count("*").alias("rows"))
 
 
+def _position(df: DataFrame, name: str) -> Column:
+    """A place as a long: integers as they are, dates and timestamps in microseconds."""
+    kind = df.schema[name].dataType.typeName()
+    return F.unix_micros(F.col(name).cast("timestamp")) if kind in ("date", "timestamp", "timestamp_ntz") else F.col(name).cast("long")
+
+
 def enclosing_span(points: DataFrame, spans: DataFrame, by: str) -> DataFrame:
-    """points (by, point_id, at) with the innermost span (by, span_id, start, stop) around each: of equal extents the smallest id."""
-    joined = points.join(spans, by, "left").where((F.col("start") <= F.col("at")) & (F.col("at") <= F.col("stop")))
-    return joined.groupBy(by, "point_id").agg(F.min_by("span_id", F.struct((F.col("stop") - F.col("start")).alias("extent"), F.col("span_id").alias("id"))).alias("span_id"))
+    """points (by, point_id, at) with the innermost span (by, span_id, start, stop) around each: of equal extents the smallest id.
+
+    Places are integers, dates or timestamps; both ends belong to a span. Points in no span are left out, and so is
+    what has a null key, id or place, or a stop before its start; repeated rows count once.
+    A span is cut into the aligned blocks of 2^level places that make it up (at most two a level), and of all spans with
+    the same block only the innermost is kept; a point looks up its block of each level. So a key with any number of
+    spans and points is an equi-join of many blocks, not of all its pairs.
+    """
+    level = F.col("_level").cast("int")
+    ends = spans.select(F.col(by).alias("_by"), "span_id", _position(spans, "start").alias("_lo"), (_position(spans, "stop") + 1).alias("_hi")).where("_lo < _hi and _by is not null and span_id is not null")
+    cut = ends.select("*", F.explode(F.expr("sequence(0, cast(ceil(log2(_hi - _lo)) as int))")).alias("_level"))
+    # the bounds in blocks of this level, and the blocks at the bounds that no block of a higher level takes in
+    first = F.call_function("shiftright", F.col("_lo") + F.call_function("shiftleft", F.lit(1).cast("long"), level) - 1, level)
+    cut = cut.select("*", first.alias("_first"), F.call_function("shiftright", F.col("_hi"), level).alias("_end")).where("_first < _end")
+    blocks = F.expr("filter(array(if(_first & 1 = 1, _first, null), if(_end & 1 = 1, _end - 1, null)), b -> b is not null)")
+    rank = F.struct((F.col("_hi") - F.col("_lo")).alias("extent"), F.col("span_id").alias("id"))
+    covered = cut.select("_by", "_level", F.explode(blocks).alias("_block"), rank.alias("_rank")).groupBy("_by", "_level", "_block").agg(F.min("_rank").alias("_rank"))
+    covered = written(covered, "blocks")
+    levels = [r["_level"] for r in covered.select("_level").distinct().collect()]  # at most 64
+    own = points.select(F.col(by).alias("_by"), "point_id", _position(points, "at").alias("_at"), F.explode(F.array(*[F.lit(n) for n in levels] or [F.lit(0)])).alias("_level"))
+    own = own.select("_by", "point_id", "_level", F.call_function("shiftright", F.col("_at"), level).alias("_block"))
+    found = own.join(covered, ["_by", "_level", "_block"]).where("point_id is not null")
+    return found.groupBy(F.col("_by").alias(by), "point_id").agg(F.min("_rank")["id"].alias("span_id"))
 
 
 def prefix_parent(symbols: DataFrame) -> DataFrame:
@@ -52,12 +80,31 @@ def nesting_depth(opened: Column) -> Column:
 
 
 def outside_spans(points: DataFrame, spans: DataFrame, by: str) -> DataFrame:
-    """points (by, at, ...) that lie in none of the spans (by, start, stop): an anti-join by key and range."""
-    inside = spans.select(F.col(by).alias("_by"), "start", "stop")
-    return points.join(inside, (F.col(by) == F.col("_by")) & (F.col("start") <= F.col("at")) & (F.col("at") <= F.col("stop")), "left_anti")
+    """points (by, at, ...) that lie in none of the spans (by, start, stop), whose ends belong to them.
+
+    In the order of places, a point is inside if the largest stop of the spans that began is not before it: one sort of
+    each key's points and spans, no pairs. Points with a null key or place stay, spans with a null are in no one's way;
+    repeated points stay as often as they come.
+    """
+    kind = points.schema["at"].dataType
+    row = F.struct(*[F.col(f"`{c}`") for c in points.columns])
+    events = points.select(F.col(by).alias("_by"), F.col("at").alias("_at"), F.lit(1).alias("_is_point"), F.lit(None).cast(spans.schema["stop"].dataType).alias("_stop"), row.alias("_row"))
+    known = spans.where(F.col(by).isNotNull() & F.col("start").isNotNull() & F.col("stop").isNotNull())
+    begun = known.select(F.col(by).alias("_by"), F.col("start").cast(kind).alias("_at"), F.lit(0).alias("_is_point"), F.col("stop").alias("_stop"), F.lit(None).cast(events.schema["_row"].dataType).alias("_row"))
+    upto = Window.partitionBy("_by").orderBy("_at", "_is_point").rowsBetween(Window.unboundedPreceding, 0)
+    swept = events.unionByName(begun).withColumn("_open", F.max("_stop").over(upto))
+    return swept.where((F.col("_is_point") == 1) & ~F.coalesce(F.col("_open") >= F.col("_at"), F.lit(False))).select("_row.*")
 
 
 def first_seen(rows: DataFrame, value: str, order: str) -> DataFrame:
-    """(value, place) in the order in which the values come first, from 0; the values are few, as rules are."""
-    first = rows.groupBy(value).agg(F.min(order).alias("_first"))
-    return first.select(value, (F.row_number().over(Window.orderBy("_first", value)) - 1).alias("place"))
+    """(value, place) in the order in which the values come first, from 0; a null value is one of them.
+
+    Ranges of the order are numbered apart, and each is moved by the number of values before it; only these numbers,
+    one for each range, meet in one task.
+    """
+    ranges = rows.groupBy(value).agg(F.min(order).alias("_first")).repartitionByRange("_first", value)
+    dealt = written(ranges.withColumn("_range", F.spark_partition_id()), "first-seen")
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy("_first", value))
+    return dealt.withColumn("_own", own).join(F.broadcast(before), "_range").select(value, (F.col("_own") - 1 + F.col("_before")).cast("int").alias("place"))

@@ -247,8 +247,9 @@ def q_import_runs(spark, d):
     select o_custkey, point_id, arg_min(span_id, {'a': extent, 'b': span_id}) as span_id from j group by all""")
 def q_enclosing_span(spark, d):
     orders = table(spark, d, "orders")
-    points = orders.select("o_custkey", F.col("o_orderkey").alias("point_id"), F.col("o_orderdate").alias("at"))
-    spans = orders.select("o_custkey", F.col("o_orderkey").alias("span_id"), F.col("o_orderdate").alias("start"), F.expr("o_orderdate + make_dt_interval(cast(o_orderkey % 400 as int))").alias("stop"))
+    day = F.unix_date(F.col("o_orderdate").cast("date"))
+    points = orders.select("o_custkey", F.col("o_orderkey").alias("point_id"), day.alias("at"))
+    spans = orders.select("o_custkey", F.col("o_orderkey").alias("span_id"), day.alias("start"), (day + F.col("o_orderkey") % 400).alias("stop"))
     return scopes.enclosing_span(points, spans, "o_custkey")
 
 

@@ -215,6 +215,21 @@ def test_outside_spans(spark):
     assert sorted((r["k"] or "", r["at"] or 0) for r in scopes.outside_spans(points, spans, "k").collect()) == [("", 5), ("u", 0), ("u", 1), ("v", 5)]
 
 
+def test_spans_equal_all_pairs(spark):
+    r = random.Random(5)
+    points = [(r.choice("kkkkm"), i, r.randint(-40, 120)) for i in range(150)] + [(None, 900, 3), ("k", 901, None), ("z", 902, 3)]
+    spans = [(r.choice("kkkkm"), i, a, a + r.randint(-1, 60)) for i, a in enumerate(r.randint(-40, 100) for _ in range(80))] + [(None, 99, -90, 200), ("k", 98, None, 9), ("k", 97, 9, None)]
+    p = spark.createDataFrame(points, "k string, point_id int, at int")
+    s = spark.createDataFrame(spans, "k string, span_id int, start int, stop int")
+    around = lambda k, at: [(stop - start, i) for key, i, start, stop in spans if None not in (k, at, key, start, stop) and k == key and start <= at <= stop]
+    assert {x["point_id"]: x["span_id"] for x in scopes.enclosing_span(p, s, "k").collect()} == {i: min(around(k, at))[1] for k, i, at in points if around(k, at)}
+    assert sorted(x["point_id"] for x in scopes.outside_spans(p, s, "k").collect()) == sorted(i for k, i, at in points if not around(k, at))
+    assert scopes.enclosing_span(p, s.limit(0), "k").count() == 0 and scopes.outside_spans(p, s.limit(0), "k").count() == len(points)
+    days = lambda df, *names: df.select(*[F.expr(f"timestamp '2024-01-01' + make_dt_interval({c})").alias(c) if c in names else c for c in df.columns])
+    timed = scopes.enclosing_span(days(p, "at"), days(s, "start", "stop"), "k")
+    assert rows(timed) == rows(scopes.enclosing_span(p, s, "k"))
+
+
 def test_first_seen(spark):
     df = spark.createDataFrame([("b", 1), ("a", 2), ("b", 3), ("c", 2)], "r string, at int")
     assert rows(scopes.first_seen(df, "r", "at")) == [("a", 1), ("b", 0), ("c", 2)]
