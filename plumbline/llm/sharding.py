@@ -81,10 +81,10 @@ def assign(docs: DataFrame, byte_limit: int, key: str = "doc_id", text: str = "t
 
 
 def assign_sql(byte_limit: int, deepest: int = 24, documents: str = "documents") -> str:
-    """DuckDB SQL of assign() with the column doc_id, for data whose shards are not deeper than deepest."""
+    """DuckDB SQL of assign() with the column doc_id, for data whose shards are not deeper than deepest, but for those of a key over the limit."""
     return f"""
-    with d as (select doc_id, cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, {BITS // 4}) as bigint) as bits, cast(coalesce(strlen(text), 0) as bigint) as bytes from {documents}),
-    n as (select doc_id, bits, k, bits >> ({BITS} - k) as prefix, count(*) over (partition by k, bits >> ({BITS} - k)) as shard_rows, cast(sum(bytes) over (partition by k, bits >> ({BITS} - k)) as bigint) as shard_bytes
-        from d, (select unnest(generate_series(0, {deepest})) as k)),
-    f as (select *, row_number() over (partition by doc_id order by k) as r from n where shard_bytes <= {byte_limit})
+    with d as (select doc_id, row_number() over () as own, cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, {BITS // 4}) as bigint) as bits, cast(coalesce(strlen(text), 0) as bigint) as bytes from {documents}),
+    n as (select doc_id, own, k, bits >> ({BITS} - k) as prefix, count(*) over (partition by k, bits >> ({BITS} - k)) as shard_rows, cast(sum(bytes) over (partition by k, bits >> ({BITS} - k)) as bigint) as shard_bytes
+        from d, (select unnest(generate_series(0, {deepest})) as k union all select {BITS})),
+    f as (select *, row_number() over (partition by own order by k) as r from n where shard_bytes <= {byte_limit} or k = {BITS})
     select doc_id, case when k = 0 then '' else right(repeat('0', {BITS}) || to_binary(prefix), cast(k as bigint)) end as shard, cast(k as integer) as shard_depth, shard_rows, shard_bytes from f where r = 1"""

@@ -147,6 +147,10 @@ def test_sharding_against_recursion(spark):
     assert sorted((x["shard_depth"], x["shard"], x["shard_rows"], x["shard_bytes"]) for x in got) == expected
     assert max(d for d, *_ in expected) == 60 and len(got) == len(rows)
     assert sharding.assign(df.limit(0), 2000).count() == 0
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    assert sorted((d, s, n, b) for _, s, d, n, b in con.sql(sharding.assign_sql(2000)).fetchall()) == expected
 
 
 @pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="no pipeline")
