@@ -306,13 +306,22 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_column
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one document of each component: that with the smallest id; of rows with that same id, one.
+    """docs with one document of each component: that with the smallest id, of equal ids that with the smallest text hash.
 
-    Columns and names stay as they are. Rows with a null id stay.
+    A row is judged by its own text, also where its id is null or another row has it too: rows are told apart by a hash
+    of id and text. Rows without an id are kept only where no row with one is in their component. Of rows with
+    equal id and text one stays; rows with neither an id nor a word all stay. Columns and names stay as they are.
     """
-    classes = jaccard_components(docs, k, percent, id_column, text).where("doc_id <> component_id").select(F.col("doc_id").alias(fresh("_gone", docs.columns))).distinct()
-    kept = docs.join(classes, docs[id_column].cast("long") == classes[0], "left_anti")
-    place = fresh("_place", docs.columns)
-    order = Window.partitionBy(id_column).orderBy(F.col(text).asc_nulls_last())
-    once = kept.where(F.col(id_column).isNotNull()).withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).drop(place)
-    return once.unionByName(kept.where(F.col(id_column).isNull()))
+    names = docs.columns
+    key, place, stays = fresh("_key", names), fresh("_place", names), fresh("_stays", names)
+    own_id, own_text = docs[id_column].cast("long"), docs[text].cast("string")
+    keyed = docs.withColumn(key, F.xxhash64(own_id, own_text))
+    classes = jaccard_components(keyed.select(F.col(key).alias("doc_id"), own_text.alias("text")), k, percent).select("doc_id", "component_id").distinct()
+    ids = keyed.select(F.col(key).alias("doc_id"), own_id.alias("id")).distinct()
+    rank = F.struct(F.col("id").isNull().alias("no_id"), "id", "doc_id")
+    first = classes.join(ids, "doc_id").groupBy("component_id").agg(F.min(rank)["doc_id"].alias(stays))
+    kept = keyed.join(first.select(stays), F.col(key) == F.col(stays), "left_semi")
+    same = Window.partitionBy(key, own_id, own_text).orderBy(own_id)
+    once = kept.withColumn(place, F.row_number().over(same))
+    wordless = own_id.isNull() & ~F.coalesce(own_text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return once.where((F.col(place) == 1) | wordless).select(*[F.col(f"`{c}`") for c in names])

@@ -196,10 +196,10 @@ def test_jaccard_with_null_ids_first(spark):
 
 def test_keep_one(spark):
     text = " ".join(f"w{i}" for i in range(40))
-    docs = spark.createDataFrame([(1, text, "a"), (2, text + " x", "b"), (2, text + " x", "b"), (3, "other", "c"), (3, "other", "c"), (None, "n", "d"), (None, text, "e"), (5, None, "f")], "doc_id long, text string, component string")
+    docs = spark.createDataFrame([(1, text, "a"), (2, text + " x", "b"), (2, text + " x", "b"), (3, "other", "c"), (3, "other", "c"), (None, "n", "d"), (None, text, "e"), (5, None, "f"), (3, "an id again with a text of its own", "g"), (3, text + " y", "h"), (None, "no id " + text[::-1], "i"), (None, "no id " + text[::-1], "i"), (None, None, "j"), (None, "", "k"), (None, "", "k")], "doc_id long, text string, component string")
     kept = jaccard.keep_one(docs)
     assert kept.columns == docs.columns
-    assert sorted((r["doc_id"] or 0, r["component"]) for r in kept.collect()) == [(0, "d"), (0, "e"), (1, "a"), (3, "c"), (5, "f")]
+    assert sorted((r["doc_id"] or 0, r["component"]) for r in kept.collect()) == [(0, "d"), (0, "i"), (0, "j"), (0, "k"), (0, "k"), (1, "a"), (3, "c"), (3, "g"), (5, "f")]
     assert jaccard.keep_one(docs.limit(0)).count() == 0
 
 
