@@ -287,6 +287,29 @@ def test_language_held_out_accuracy(spark):
     assert {r["lang_pred"] for r in langid.predict(odd, None).collect()} == {"und"}
 
 
+def test_language_rejects_what_is_not_learned(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rare = spark.createDataFrame([(-i, f"zuxq{i} wuxqa zuxqo quxza", "rare") for i in range(3)], "doc_id long, text string, lang string")
+    held = langid.held_out(F.col("doc_id"), 5)
+    model = langid.train(docs.where(~held).unionByName(rare), sample_rows=400, calibration_rows=300)
+    assert "rare" in model.labels and len(model.labels) == 5
+    kept = langid.predict(docs.where(held), model).select("lang", "rejected").collect()
+    assert sum(r["rejected"] for r in kept) <= 2
+    foreign = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw, są oni obdarzeni rozumem i sumieniem",
+        "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan, heille on annettu järki ja omatunto",
+        "minden emberi lény szabadon születik és egyenlő méltósága és joga van, az emberek ésszel és lelkiismerettel bírnak",
+        "все люди рождаются свободными и равными",
+    ]
+    got = langid.predict(spark.createDataFrame(list(enumerate(foreign)), "doc_id long, text string"), model).collect()
+    assert all(r["rejected"] and r["lang_pred"] in model.labels for r in got)
+
+
+def test_language_quotas():
+    assert langid._quotas({"a": 1000, "b": 1000, "c": 5}, 105) == {"a": 50, "b": 50, "c": 5}
+    assert langid._quotas({"a": 3, "b": 2}, 100) == {"a": 3, "b": 2} and min(langid._quotas({"a": 9, "b": 9}, 1).values()) == 1
+
+
 def test_lm_scores(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(9001, None), (9002, ""), (9002, ""), (None, "Unseen-word the")], "doc_id long, text string"))
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
