@@ -292,6 +292,8 @@ def test_language_rejects_what_is_not_learned(spark):
     rare = spark.createDataFrame([(-i, f"zuxq{i} wuxqa zuxqo quxza", "rare") for i in range(3)], "doc_id long, text string, lang string")
     held = langid.held_out(F.col("doc_id"), 5)
     model = langid.train(docs.where(~held).unionByName(rare), sample_rows=400, calibration_rows=300)
+    few = langid.train(rare)
+    assert few.labels == ["rare"] and not few.threshold and not few.familiar
     assert "rare" in model.labels and len(model.labels) == 5
     kept = langid.predict(docs.where(held), model).select("lang", "rejected").collect()
     assert sum(r["rejected"] for r in kept) <= 2
