@@ -3,8 +3,10 @@
 Writing: a page whose payload equals a later one's is stored as a revisit without it. Each task sorts its records by
 URL key and time and writes them as an archive, so every archive is a sorted run. Archives are gzip files; records end
 with two line breaks, as the format wants, which Spark's text writer adds.
-Reading: each archive is parsed by the records' own lengths. Its index is cut at key boundaries that all archives share
-(taken from a bounded sample of keys); where a range meets, the k runs are merged by a loser tree.
+Reading: each archive is decompressed in windows and parsed by the records' own lengths; a capture keeps its archive and
+its place there. An archive's index is cut at key boundaries that all archives share (taken from a bounded sample of
+keys), so many that a range holds a bounded number of captures on average; where a range meets, the k runs are merged by
+a loser tree, which turns a few rows of each run at a time into Python values.
 """
 
 from __future__ import annotations
@@ -15,16 +17,24 @@ import uuid
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import partitions, shared_dir
+from plumbline.llm.common import batched_groups, partitions, shared_dir, written
 
 LEAST_BYTES = 1000
 CRLF = "\r\n"
-INDEX = "urlkey string, captured string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+_KINDS = {"string": pa.string(), "long": pa.int64()}
+INDEX = "urlkey string, captured string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, offset long"
+COLUMNS = {x.split()[0]: _KINDS[x.split()[1]] for x in INDEX.split(", ")}
+RUNS = ", ".join(f"{n} array<{k}>" for n, k in (x.split() for x in INDEX.split(", ")))
+#: Bytes of pages of usual length in one archive, before compression.
+ARCHIVE_BYTES = 64 << 20
+#: Bytes that decompressing an archive reads and makes at once, captures of a key range, and rows of a run or of the result that are Python values at once.
+WINDOW, RANGE, ROWS = 1 << 20, 500_000, 1000
 
 
 def urlkey(url: Column) -> Column:
@@ -40,9 +50,12 @@ def write_archives(pages: DataFrame, id_column: str = "page_id", url: str = "url
     Of pages with equal payloads of at least 1000 bytes, that with the largest page_id is a response, others revisit it;
     all smaller ones are responses. A null payload is empty, a null URL too. Of repeated rows with the same largest id
     all are responses; a null id is a response without a number. The capture time is the page_id in seconds after 2020
-    (pages have none of their own). Other columns are not read.
+    (pages have none of their own). Other columns are not read. An archive has at most records_per_file records, and
+    fewer where pages are so long on average that it would have more than ARCHIVE_BYTES.
     """
     source = pages.select(pages[id_column].cast("long").alias("page_id"), F.coalesce(pages[url].cast("string"), F.lit("")).alias("url"), F.coalesce(pages[html].cast("string"), F.lit("")).alias("html"))
+    usual = source.agg(F.avg(F.octet_length("html"))).first()[0] or 0
+    records_per_file = max(1, min(records_per_file, ARCHIVE_BYTES // (int(usual) + 1)))
     marked = source.withColumn("digest", F.sha1("html")).withColumn("size", F.octet_length("html"))
     # only digests that several pages have; counted before they are joined, one row for each task and digest
     shared = marked.where(F.col("size") >= LEAST_BYTES).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -76,18 +89,49 @@ def write_archives(pages: DataFrame, id_column: str = "page_id", url: str = "url
 _NUMBER = re.compile(rb"<urn:page:(-?\d+)>")
 
 
-def parse(archive: bytes) -> Iterator[tuple[dict[bytes, bytes], bytes]]:
-    """The header fields and the payload of each record, by the records' own lengths."""
-    raw, at = zlib.decompress(archive, 31), 0
-    while at < len(raw):
-        end = raw.index(b"\r\n\r\n", at)
-        fields = dict(x.split(b": ", 1) for x in raw[at:end].split(b"\r\n")[1:])
+def _inflated(archive: bytes) -> Iterator[bytes]:
+    """What the archive's gzip members hold, one after the other, in windows."""
+    stream, at, pending, within = zlib.decompressobj(31), 0, b"", False
+    while pending or at < len(archive):
+        if not pending:
+            pending, at = archive[at : at + WINDOW], at + WINDOW
+        yield stream.decompress(pending, WINDOW)
+        within = not stream.eof
+        pending = stream.unconsumed_tail if within else stream.unused_data
+        if not within:
+            stream = zlib.decompressobj(31)
+    if within:
+        yield stream.flush()
+        if not stream.eof:
+            raise ValueError("an archive ends within a member")
+
+
+def parse(archive: bytes) -> Iterator[tuple[int, dict[bytes, bytes], bytes]]:
+    """The place in the decompressed archive, the header fields and the payload of each record, by the records' own lengths."""
+    source, held, begin = _inflated(archive), bytearray(), 0
+
+    def reaches(size: int) -> bool:
+        while len(held) < size:
+            more = next(source, None)
+            if more is None:
+                return False
+            held.extend(more)
+        return True
+
+    while reaches(1):
+        end, searched = -1, 0
+        while (end := held.find(b"\r\n\r\n", searched)) < 0:
+            searched = max(0, len(held) - 3)
+            if not reaches(len(held) + 1):
+                raise ValueError("an archive ends within a header")
+        fields = dict(x.split(b": ", 1) for x in bytes(held[:end]).split(b"\r\n")[1:])
         start = end + 4
         stop = start + int(fields[b"Content-Length"])
-        if raw[stop : stop + 4] != b"\r\n\r\n":
+        if not reaches(stop + 4) or held[stop : stop + 4] != b"\r\n\r\n":
             raise ValueError("a record does not end where its length says")
-        yield fields, raw[start:stop]
-        at = stop + 4
+        yield begin, fields, bytes(held[start:stop])
+        del held[: stop + 4]
+        begin += stop + 4
 
 
 class LoserTree:
@@ -128,36 +172,52 @@ def _sort_key(row: tuple) -> tuple:
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The captures of each archive, in its order; a payload's digest and length are taken from what is stored."""
-    names = [x.split()[0] for x in INDEX.split(", ")]
     for batch in batches:
         for i in range(batch.num_rows):
             rows = []
-            for fields, payload in parse(batch.column(1)[i].as_py()):
+            for offset, fields, payload in parse(batch.column(1)[i].as_py()):
                 number = lambda name: int(m[1]) if (m := _NUMBER.search(fields.get(name, b""))) else None  # noqa: B023, E731
                 revisit = fields[b"WARC-Type"] == b"revisit"
                 digest = fields[b"WARC-Payload-Digest"].split(b":")[1].decode() if revisit else hashlib.sha1(payload).hexdigest()
                 size = int(fields[b"X-Payload-Length"]) if revisit else len(payload)
-                rows.append((fields[b"X-URL-Key"].decode(), fields[b"WARC-Date"].decode(), number(b"WARC-Record-ID"), size, digest, "revisit" if revisit else "response", number(b"WARC-Refers-To")))
-            columns = list(zip(*rows)) or [()] * 7
-            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-            lists = [pa.array([list(c)], pa.list_(k)) for c, k in zip(columns, kinds)]
-            yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()]), *lists], names=["run", *names])
+                rows.append((fields[b"X-URL-Key"].decode(), fields[b"WARC-Date"].decode(), number(b"WARC-Record-ID"), size, digest, "revisit" if revisit else "response", number(b"WARC-Refers-To"), offset))
+            columns = list(zip(*rows)) or [()] * len(COLUMNS)
+            lists = [pa.array([list(c)], pa.list_(k)) for c, k in zip(columns, COLUMNS.values())]
+            yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()]), *lists], names=["archive", *COLUMNS])
+
+
+def _captures(run: pa.RecordBatch | pa.Table, i: int) -> Iterator[tuple]:
+    """(sort key, (archive, *columns)) of the captures of row i, a few of them at once."""
+    archive, lists = run.column("archive")[i].as_py(), [run.column(n)[i].values for n in COLUMNS]
+    for at in range(0, len(lists[0]), ROWS):
+        for row in zip(*(x.slice(at, ROWS).to_pylist() for x in lists)):
+            yield _sort_key(row), (archive, *row)
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each capture of a part, in order; the runs stay Arrow arrays until their rows are next."""
+    for group in batched_groups(batches, "part"):
+        part, place = group.column("part")[0].as_py(), 0
+        merged = (row for _, row in LoserTree([_captures(group, i) for i in range(group.num_rows)]))
+        while some := list(islice(merged, ROWS)):
+            made = [pa.array(c, k) for c, k in zip(zip(*some), [pa.string(), *COLUMNS.values()])]
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(some), pa.int32()), pa.array(range(place, place + len(some)), pa.int64()), *made], names=["part", "place", "archive", *COLUMNS])
+            place += len(some)
 
 
 def read_histories(spark, folder: str, sample_keys: int = 10_000) -> DataFrame:
     """All captures of the archives in a folder in the order of (urlkey, captured, page_id), with their place.
 
-    Returns (part, place, urlkey, captured, page_id, payload_bytes, payload_digest, record_type, refers_to): parts follow
-    each other, place is the order within one. An empty folder gives no rows.
+    Returns (part, place, archive, urlkey, captured, page_id, payload_bytes, payload_digest, record_type, refers_to,
+    offset): parts follow each other, place is the order within one, and the record begins at the offset of its archive's
+    decompressed bytes. An archive may have one gzip member or one for each record. Captures with the same key, time
+    and id are ordered by archive. An empty folder gives no rows.
     """
-    names = [x.split()[0] for x in INDEX.split(", ")]
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder).select("path", "content")
-    from plumbline.llm.common import written
-
-    runs = written(files.mapInArrow(_index, "run string, " + ", ".join(f"{n} array<{k}>" for n, k in (x.split() for x in INDEX.split(", ")))), "capture-runs")
-    parts = partitions(spark)
+    runs = written(files.mapInArrow(_index, f"archive string, {RUNS}"), "capture-runs")
     # boundaries from every n-th key of each run: at most sample_keys and a few for each run reach the driver
     total = runs.agg(F.sum(F.size("page_id"))).first()[0] or 0
+    parts = max(partitions(spark), -(-total // RANGE))
     step = max(1, -(-total // sample_keys))
     some = runs.select(F.explode(F.filter(F.arrays_zip("urlkey", "captured"), lambda x, i: i % step == 0)).alias("k")).select("k.*").orderBy(F.rand(1)).limit(sample_keys).collect()
     keys = sorted((r["urlkey"], r["captured"]) for r in some)
@@ -166,30 +226,16 @@ def read_histories(spark, folder: str, sample_keys: int = 10_000) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                urls, times = batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
+                urls, times = batch.column("urlkey")[i].as_py(), batch.column("captured")[i].as_py()
                 part = [bisect_right(bounds, k) for k in zip(urls, times)]
                 starts = [j for j in range(len(part)) if j == 0 or part[j] != part[j - 1]]
                 pieces = [(a, b - a) for a, b in zip(starts, [*starts[1:], len(part)])]
-                columns = [pa.concat_arrays([pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), batch.column(c)[i].values.slice(a, n)) for a, n in pieces]) for c in range(1, 8)] if pieces else []
+                columns = [pa.concat_arrays([pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), batch.column(c)[i].values.slice(a, n)) for a, n in pieces]) for c in COLUMNS] if pieces else []
                 if pieces:
-                    yield pa.RecordBatch.from_arrays([pa.array([part[a] for a, _ in pieces], pa.int32()), pa.array([batch.column(0)[i].as_py()] * len(pieces)), *columns], names=["part", "run", *names])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from plumbline.llm.common import batched_groups
-
-        for group in batched_groups(batches, "part"):
-            columns = [group.column(n).to_pylist() for n in names]
-            def rows(i):
-                return ((_sort_key(r), r) for r in zip(*(c[i] for c in columns)))
-            merged = [r for _, r in LoserTree([rows(i) for i in range(group.num_rows)])]
-            part = group.column("part")[0].as_py()
-            for at in range(0, len(merged), 10_000):
-                some = merged[at : at + 10_000]
-                kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array([part] * len(some), pa.int32()), pa.array(range(at, at + len(some)), pa.int64()), *(pa.array(c, k) for c, k in zip(zip(*some), kinds))], names=["part", "place", *names])
-
-    dealt = runs.mapInArrow(cut, "part int, run string, " + ", ".join(f"{n} array<{k}>" for n, k in (x.split() for x in INDEX.split(", "))))
-    return dealt.repartition(parts, "part").sortWithinPartitions("part", "run").mapInArrow(merge, "part int, place long, " + INDEX)
+                    yield pa.RecordBatch.from_arrays([pa.array([part[a] for a, _ in pieces], pa.int32()), pa.array([batch.column("archive")[i].as_py()] * len(pieces)), *columns], names=["part", "archive", *COLUMNS])
+
+    dealt = runs.mapInArrow(cut, f"part int, archive string, {RUNS}")
+    return dealt.repartition(parts, "part").sortWithinPartitions("part", "archive").mapInArrow(_merge, f"part int, place long, archive string, {INDEX}")
 
 
 def captures_sql(pages: str = "pages") -> str:

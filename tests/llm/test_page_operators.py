@@ -1,5 +1,6 @@
 """WARC, URL filter, nearest neighbours, sharding, pipeline."""
 
+import gzip
 import hashlib
 import importlib.util
 import os
@@ -40,9 +41,27 @@ def test_warc(spark):
         data = (html or "").encode()
         assert (by[i]["payload_bytes"], by[i]["payload_digest"]) == (len(data), hashlib.sha1(data).hexdigest())
     assert {i: r["refers_to"] for i, r in by.items() if r["record_type"] == "revisit"} == {1: 9, 2: 9, 3: 4}
+    for r in got:  # each capture's record begins where its index row says
+        raw = gzip.decompress(open(r["archive"].removeprefix("file:"), "rb").read())
+        assert raw[r["offset"] :].startswith(b"WARC/1.1\r\nWARC-Type: " + r["record_type"].encode())
     assert warc.read_histories(spark, warc.write_archives(pages.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("members", [False, True])
+def test_warc_windows(members, monkeypatch):
+    """An archive of one gzip member, or of one for each record, is read alike in windows of any size."""
+    payloads = [b"", b"\r\n\r\n", b"x" * 5000, bytes(range(256)) * 9]
+    records = [b"WARC/1.1\r\nContent-Length: %d\r\n\r\n%b\r\n\r\n" % (len(p), p) for p in payloads]
+    archive = b"".join(map(gzip.compress, records)) if members else gzip.compress(b"".join(records))
+    places = [sum(map(len, records[:i])) for i in range(len(records))]
+    for window in (1, 7, 64, 1 << 20):
+        monkeypatch.setattr(warc, "WINDOW", window)
+        got = list(warc.parse(archive))
+        assert [(at, payload) for at, _, payload in got] == list(zip(places, payloads))
+        with pytest.raises(ValueError):
+            list(warc.parse(archive[:-5]))
+
+
 @pytest.mark.parametrize("k", [0, 1, 2, 3, 7])
 def test_loser_tree(k):
     r = random.Random(k)
