@@ -76,13 +76,19 @@ def with_file(key: Column, file: Column, new: Column) -> Column:
     return F.when(key == file, new).when(F.startswith(key, F.concat(file, F.lit("::"))), F.concat(new, F.substring(key, F.length(file) + 1, F.length(key)))).otherwise(key)
 
 
+def is_active(classification: Column) -> Column:
+    """Not resolved; what was not compared counts as new."""
+    return F.coalesce(classification, F.lit("new")) != "resolved"
+
+
 def is_regression(classification: Column) -> Column:
-    return F.coalesce(classification.isin("new", "worsened"), F.lit(False))
+    """New or worsened; what was not compared counts as new."""
+    return F.coalesce(classification, F.lit("new")).isin("new", "worsened")
 
 
 def blocks_gate(blocking: Column, classification: Column) -> Column:
-    """A blocking finding that is not resolved."""
-    return F.coalesce(blocking, F.lit(False)) & (F.coalesce(classification, F.lit("new")) != "resolved")
+    """A blocking finding that is new or worsened: what was there before and grew no worse does not fail the gate."""
+    return F.coalesce(blocking, F.lit(False)) & is_regression(classification)
 
 
 def utc_millis(at: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.scalars import exceeds, number_text, short_id
+from plumbline.functions.scalars import blocks_gate, exceeds, is_active, number_text, short_id
 
 
 def threshold_findings(measurements: DataFrame, policies: DataFrame) -> DataFrame:
@@ -19,8 +19,14 @@ def threshold_findings(measurements: DataFrame, policies: DataFrame) -> DataFram
 
 
 def gate(findings: DataFrame, incomplete: bool | DataFrame = False) -> DataFrame:
-    """One row (status, blocking, warnings): incomplete before failed before passed. Counts are partial sums."""
-    marks = findings.select(F.col("blocking").alias("b"), (~F.col("blocking")).alias("w"), F.lit(False).alias("e"))
+    """One row (status, blocking, warnings): incomplete before failed before passed. Counts are partial sums.
+
+    Where findings have a classification, only new and worsened ones block, and resolved ones are no warnings; without
+    one all are new. A null blocking is a warning. No findings: passed.
+    """
+    kind = F.col("classification") if "classification" in findings.columns else F.lit(None).cast("string")
+    blocking = F.coalesce("blocking", F.lit(False))
+    marks = findings.select(blocks_gate(blocking, kind).alias("b"), (~blocking & is_active(kind)).alias("w"), F.lit(False).alias("e"))
     if isinstance(incomplete, DataFrame):  # diagnostics with required and severity
         marks = marks.unionByName(incomplete.select(F.lit(False).alias("b"), F.lit(False).alias("w"), (F.col("required") & (F.col("severity") == "error")).alias("e")))
     counts = marks.agg(F.count_if("b").alias("blocking"), F.count_if("w").alias("warnings"), (F.count_if("e") + int(incomplete is True)).alias("errors"))

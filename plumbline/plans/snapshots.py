@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators import compare, worklist
+from plumbline.operators import compare, policy, worklist
 from plumbline.plans.check import Report
 from plumbline.sources import baseline
 
@@ -25,12 +25,22 @@ def _renamed(rows: DataFrame, renames: DataFrame) -> DataFrame:
 
 
 def against(spark: SparkSession, report: Report, root: str, name: str) -> tuple[DataFrame, DataFrame]:
-    """(measurements, findings) with baseline, delta and classification. Unedited moves are followed."""
+    """(measurements, findings) with baseline, delta and classification. Unedited moves are followed.
+
+    A finding's baseline is that of its measurement, else of the previous finding. Findings have severity and blocking
+    for the gate; both are null for resolved ones.
+    """
     old = {t: baseline.load(spark, root, name, t) for t in ("measurements", "findings", "files")}
     renames = compare.infer_renames(report.files.select("path", F.sha2("code", 256).alias("hash")), old["files"])
     measured = compare.compare_measurements(report.measurements.select("metric", "key", "value"), _renamed(old["measurements"], renames).withColumn("ord", F.lit(0)), ["metric", "key"])
-    found = compare.compare_findings(report.findings.select("rule", "key", "current"), _renamed(old["findings"], renames), ["rule", "key"])
-    return measured, found
+    baselines = measured.where("baseline is not null").select(F.col("metric").alias("rule"), "key", "baseline")
+    found = compare.compare_findings(report.findings.select("rule", "key", "current"), _renamed(old["findings"], renames), ["rule", "key"], baselines)
+    return measured, found.join(report.findings.select("rule", "key", "severity", "blocking").distinct(), ["rule", "key"], "left")
+
+
+def gate_against(report: Report, found: DataFrame) -> DataFrame:
+    """The gate of a report whose findings were compared by against(): only what is new or worsened blocks."""
+    return policy.gate(found, report.diagnostics)
 
 
 def to_fix(report: Report, n: int = 20) -> DataFrame:

@@ -468,12 +468,21 @@ def q_stripped_findings(spark, d):
     return compare.stripped(q_compare_findings(spark, d))
 
 
-@query(f"""select rule, key, coalesce(classification in ('new', 'worsened'), false) as regression, coalesce(p.blocking, false) and classification <> 'resolved' as blocks from ({_COMPARED}) join (values {_POLICY_ROWS}) p(metric, enabled, threshold, severity, blocking) on rule = metric""")
+@query(f"""select rule, key, classification in ('new', 'worsened') as regression, p.blocking and classification in ('new', 'worsened') as blocks from ({_COMPARED}) join (values {_POLICY_ROWS}) p(metric, enabled, threshold, severity, blocking) on rule = metric""")
 def q_finding_predicates(spark, d):
     rules = policies(spark).select(F.col("metric").alias("rule"), "blocking")
     return q_compare_findings(spark, d).join(F.broadcast(rules), "rule").select("rule", "key", S.is_regression(F.col("classification")).alias("regression"), S.blocks_gate(F.col("blocking"), F.col("classification")).alias("blocks"))
 
 
+@query(f"""with c as (select classification, p.blocking from ({_COMPARED}) join (values {_POLICY_ROWS}) p(metric, enabled, threshold, severity, blocking) on rule = metric),
+    n as (select count(*) filter (where blocking and classification in ('new', 'worsened')) as blocking, count(*) filter (where not blocking and classification <> 'resolved') as warnings from c)
+    select case when blocking > 0 then 'failed' else 'passed' end as status, blocking, warnings from n""")
+def q_gate_against(spark, d):
+    """The gate after a comparison: what was there before does not block."""
+    rules = policies(spark).select(F.col("metric").alias("rule"), "blocking")
+    return policy.gate(q_compare_findings(spark, d).join(F.broadcast(rules), "rule"))
+
+
 @query(f"""with c as ({_findings_sql(f"(select * from orders where o_orderdate >= {_SPLIT})")}), p as ({_findings_sql(f"(select * from orders where o_orderdate < {_SPLIT})")}), m as (select metric as rule, key, value as measured from ({_measures_sql(f"(select * from orders where o_orderdate < {_SPLIT})")})),
     j as (select rule, key, c.current, p.current as before, c.rule is null as gone, p.rule is null as fresh, case when c.rule is null then p.current else coalesce(m.measured, p.current) end as baseline from c full join p using (rule, key) left join m using (rule, key))
     select rule, key, current, baseline, case when gone then -before else current - baseline end as delta, case when gone then 'resolved' when fresh then 'new' when current - baseline > 0 then 'worsened' else 'existing' end as classification from j""")

@@ -171,4 +171,10 @@ def test_snapshots_follow_moves(spark, tmp_path):
     kinds = {(r["rule"], r["key"]): r["classification"] for r in found.where("rule = 'complexity.nesting_depth'").collect()}
     assert kinds == {("complexity.nesting_depth", "moved.py::deep"): "existing", ("complexity.nesting_depth", "new.py::deep"): "new", ("complexity.nesting_depth", "gone.py::deep"): "resolved"}
     assert {r["classification"] for r in measured.where("key = 'moved.py::deep'").collect()} == {"existing"}
+    new = now.findings.where("blocking and key like 'new.py%'").count()
+    assert new and now.gate.first()["blocking"] > new
+    assert tuple(snapshots.gate_against(now, found).first())[:2] == ("failed", new)
+    same = plan.check_files(frame({"moved.py": deep(6), "same.py": "x = 1\n"}))
+    assert same.gate.first()["status"] == "failed"
+    assert snapshots.gate_against(same, snapshots.against(spark, same, str(tmp_path), "main")[1]).first()["status"] == "passed"
     assert [(r["section"], r["rank"], r["key"], r["omitted"]) for r in snapshots.to_fix(now, 1).collect()] == [("hotspots", 1, "new.py::deep", 1)]

@@ -63,6 +63,9 @@ def test_threshold_is_strict_and_null_is_never_above(spark):
     assert [(r["key"], r["message"]) for r in found.collect()] == [("b", "m is 12.5; the limit is 12")]
     assert tuple(policy.gate(found).first()) == ("failed", 1, 0)
     assert tuple(policy.gate(found.limit(0)).first()) == ("passed", 0, 0)
+    compared = spark.createDataFrame([(b, c) for b in (True, False) for c in ("new", "worsened", "existing", "resolved", None)] + [(None, "resolved")], "blocking boolean, classification string")
+    assert tuple(policy.gate(compared).first()) == ("failed", 3, 4)
+    assert tuple(policy.gate(compared.where("classification in ('existing', 'resolved')")).first()) == ("passed", 0, 1)
     assert policy.gate(found, spark.createDataFrame([(True, "error")], "required boolean, severity string")).first()["status"] == "incomplete"
 
 
