@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, decontam, grammar_ids, hnsw, jaccard, langid, maxent, sharding, urlfilter, warc
+from plumbline.llm import bpe, decontam, grammar_ids, hnsw, jaccard, langid, maxent, merkle, sharding, urlfilter, warc
 
 VOCABULARY = "word_bpe_49k.json"
 #: The byte limit of a shard.
@@ -67,5 +67,15 @@ def op10_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.lm_scores(docs, train=~langid.held_out(F.col("doc_id"), 10))
 
 
-QUERIES = {"op1_decontam": op1_decontam, "op2_jaccard": op2_jaccard, "op3_warc": op3_warc, "op4_urlfilter": op4_urlfilter, "op5_hnsw": op5_hnsw, "op6_sharding": op6_sharding, "op7_bpe": op7_bpe, "op8_langid": op8_langid, "op9_grammar_ids": op9_grammar_ids, "op10_maxent": op10_maxent}
-ORACLE_SQL: dict[str, str] = {"op1_decontam": decontam.contaminated_sql(), "op3_warc": warc.captures_sql(), "op6_sharding": sharding.assign_sql(SHARD_BYTES)}
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    rows = docs.select("doc_id", "source", merkle.leaf(*fields, F.col("text")).alias("leaf"), F.when(tampered, merkle.leaf(*fields, lower)).alias("changed"))
+    found = merkle.folded(merkle.manifest(rows, "source", ["doc_id"]), F.coalesce("changed", "leaf"))
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2(F.col("proof").cast("binary"), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+QUERIES = {"op1_decontam": op1_decontam, "op2_jaccard": op2_jaccard, "op3_warc": op3_warc, "op4_urlfilter": op4_urlfilter, "op5_hnsw": op5_hnsw, "op6_sharding": op6_sharding, "op7_bpe": op7_bpe, "op8_langid": op8_langid, "op9_grammar_ids": op9_grammar_ids, "op10_maxent": op10_maxent, "op13_merkle": op13_merkle}
+ORACLE_SQL: dict[str, str] = {"op1_decontam": decontam.contaminated_sql(), "op3_warc": warc.captures_sql(), "op6_sharding": sharding.assign_sql(SHARD_BYTES), "op13_merkle": merkle.manifest_sql()}
