@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, collocations, decontam, grammar_ids, hnsw, jaccard, langid, maxent, merkle, sharding, urlfilter, warc
+from plumbline.llm import bpe, collocations, decontam, grammar_ids, hnsw, jaccard, langid, maxent, merkle, quality, sharding, urlfilter, warc
 
 VOCABULARY = "word_bpe_49k.json"
 #: The byte limit of a shard.
@@ -67,6 +67,13 @@ def op10_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.lm_scores(docs, train=~langid.held_out(F.col("doc_id"), 10))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), quality.held_out(F.col("doc_id"), 4, 2)
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held))
+    found = quality.score(docs, model, keep=["doc_id"])
+    return found.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = collocations.collocations(table(spark, sf_dir, "documents"), top=2000, least=30)
     return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
@@ -82,5 +89,5 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "leaf", "subroot", "root", F.sha2(F.col("proof").cast("binary"), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
-QUERIES = {"op1_decontam": op1_decontam, "op2_jaccard": op2_jaccard, "op3_warc": op3_warc, "op4_urlfilter": op4_urlfilter, "op5_hnsw": op5_hnsw, "op6_sharding": op6_sharding, "op7_bpe": op7_bpe, "op8_langid": op8_langid, "op9_grammar_ids": op9_grammar_ids, "op10_maxent": op10_maxent, "op12_collocations": op12_collocations, "op13_merkle": op13_merkle}
+QUERIES = {"op1_decontam": op1_decontam, "op2_jaccard": op2_jaccard, "op3_warc": op3_warc, "op4_urlfilter": op4_urlfilter, "op5_hnsw": op5_hnsw, "op6_sharding": op6_sharding, "op7_bpe": op7_bpe, "op8_langid": op8_langid, "op9_grammar_ids": op9_grammar_ids, "op10_maxent": op10_maxent, "op11_quality": op11_quality, "op12_collocations": op12_collocations, "op13_merkle": op13_merkle}
 ORACLE_SQL: dict[str, str] = {"op1_decontam": decontam.contaminated_sql(), "op3_warc": warc.captures_sql(), "op6_sharding": sharding.assign_sql(SHARD_BYTES), "op12_collocations": collocations.collocations_sql(), "op13_merkle": merkle.manifest_sql()}
