@@ -2,23 +2,23 @@
 
 Texts become one line of words with single blanks between them. Prefix polynomials over its bytes (modulo 2^64, whose odd
 base has an inverse) give the fingerprint of any n-gram with two look-ups, so that longer phrases cost no more than short
-ones. A task adds up its fingerprints before they are shuffled.
+ones. The shuffle adds up, for each fingerprint, its occurrences, a second fingerprint (20 bits, another base) of each of
+them, and keeps the smallest doc_id as a pointer to an occurrence; a task does the same before.
 
 Only phrases with least occurrences are wanted, and a phrase has no more of them than its parts. So words are counted
 first, then pairs of frequent words, then phrases of three and four whose pairs are all frequent. What is frequent goes
 to the tasks as a bitmap of fingerprints of a fixed size (filter_bits): a collision lets a rare phrase through to the next
 count, and never loses one. A bitmap that fills up at very large inputs shuffles more and changes no result.
 
-The last pass cuts phrases out of the text where their fingerprint is frequent. All occurrences of a fingerprint in a
-block are compared with the first one byte by byte, and those that differ are counted by themselves; beyond a block
-phrases are counted by their text. So counts are exact whatever the fingerprints do, and only phrases that may be
-frequent become strings. Each has a pointer to its first occurrence (by doc_id and byte).
+Only where a fingerprint's pointer points, the phrase is cut out of the text. It is verified by its text: the sum of the
+second fingerprints has to be that of the text times the occurrences. Where it is not, different phrases share the
+fingerprint, and all occurrences of those are compared byte by byte and counted by their text.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +28,11 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import binary_list, mix, written
 
 LONGEST = 4
-#: Blocks of text have about so many bytes; a task holds so many fingerprints or phrases before it sends their counts.
-PIECE, HELD, HELD_PHRASES = 1 << 20, 1 << 21, 1 << 18
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Blocks of text have about so many bytes; a task holds so many fingerprints before it sends their counts.
+PIECE, HELD = 1 << 20, 1 << 21
+_BASE, _SECOND = 0x9E3779B97F4A7C15, 0xA0761D6478BD642F
+#: The pointer of a null doc_id.
+_NONE = -(1 << 63)
 _BORDER, _BLANK = 2, 1
 _KIND = np.zeros(256, np.uint8)
 _KIND[[9, 32]] = _BLANK
@@ -43,22 +44,22 @@ _BORDERS = [bytes([b]) for b in range(256) if _KIND[b] == _BORDER]
 
 
 class Powers:
-    """The powers of the base and of its inverse, as far as they were needed."""
+    """The powers of a base and of its inverse, as far as they were needed."""
 
-    def __init__(self) -> None:
+    def __init__(self, base: int = _BASE) -> None:
+        self.bases = base, pow(base, -1, 1 << 64)
         self.up = self.down = np.ones(1, np.uint64)
 
     def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            steps = lambda x: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, x, np.uint64)]), dtype=np.uint64)
-            self.up, self.down = steps(_BASE), steps(_INVERSE)
+            self.up, self.down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, x, np.uint64)]), dtype=np.uint64) for x in self.bases)
         return self.up[:n], self.down[:n]
 
 
 class Block:
     """Some texts as one line of words: starts and ends of words in it, prefix polynomials, and where n-grams may stand."""
 
-    def __init__(self, data: bytes, carried: int, seed: int, powers: Powers):
+    def __init__(self, data: bytes, carried: int, seed: int, powers: Powers, second: Powers | None = None, key_bits: int = 64):
         raw = _LOWER[np.frombuffer(data + b"\n", np.uint8)]
         kind = _KIND[raw]
         word = kind == 0
@@ -70,8 +71,13 @@ class Block:
         self.starts = self.ends - (behind - begins)
         self.piece = np.cumsum(kind == _BORDER, dtype=np.int32)[begins]
         self.carried, self.seed = carried, np.uint64(seed)
-        up, self.down = powers.of(len(self.line) + 1)
-        self.prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.line * up[:-1], dtype=np.uint64)])
+        self.mask = np.uint64((1 << 64) - (1 << (64 - key_bits)))
+        self.prefix, self.down = self._prefix(powers)
+        self.other = self._prefix(second) if second else None
+
+    def _prefix(self, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
+        up, down = powers.of(len(self.line) + 1)
+        return np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.line * up[:-1], dtype=np.uint64)]), down
 
     def words(self) -> int:
         return len(self.starts) - self.carried
@@ -86,7 +92,12 @@ class Block:
     def keys(self, at: np.ndarray, n: int) -> np.ndarray:
         """The fingerprints of the n words from each of the words at on."""
         begin = self.starts[at]
-        return mix((self.prefix[self.ends[at + n - 1]] - self.prefix[begin]) * self.down[begin] + self.seed)
+        return mix((self.prefix[self.ends[at + n - 1]] - self.prefix[begin]) * self.down[begin] + self.seed) & self.mask
+
+    def checks(self, at: np.ndarray, n: int) -> np.ndarray:
+        """Their second fingerprints, of 20 bits, so that sums of 10^12 of them are exact."""
+        (prefix, down), begin = self.other, self.starts[at]
+        return (mix((prefix[self.ends[at + n - 1]] - prefix[begin]) * down[begin]) >> np.uint64(44)).astype(np.int64)
 
 
 def _tail(text: bytes, begin: int, end: int) -> tuple[int, int]:
@@ -132,17 +143,16 @@ def _has(bits: np.ndarray, keys: np.ndarray, filter_bits: int) -> np.ndarray:
     return (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
 
 
-def wanted(block: Block, step: int, filters: list[np.ndarray], filter_bits: int) -> list[np.ndarray]:
-    """The fingerprints that step counts: words, then pairs of frequent words, then three and four words with frequent pairs."""
+def wanted(block: Block, step: int, filters: list[np.ndarray], filter_bits: int) -> list[tuple[np.ndarray, int]]:
+    """(first words, words) of the n-grams that step counts: words, then pairs of frequent words, then three and four words with frequent pairs."""
     if step == 1:
-        return [block.keys(np.flatnonzero(block.stands(1)), 1)]
+        return [(np.flatnonzero(block.stands(1)), 1)]
     singles = np.arange(len(block.starts))
     if not len(singles):
         return []
     frequent = _has(filters[0], block.keys(singles, 1), filter_bits)
     if step == 2:
-        at = np.flatnonzero(block.stands(2) & frequent[:-1] & frequent[1:])
-        return [block.keys(at, 2)]
+        return [(np.flatnonzero(block.stands(2) & frequent[:-1] & frequent[1:]), 2)]
     pair = np.zeros(len(singles), bool)
     at = np.flatnonzero((block.piece[:-1] == block.piece[1:]) & frequent[:-1] & frequent[1:])
     pair[at] = _has(filters[1], block.keys(at, 2), filter_bits)
@@ -151,7 +161,7 @@ def wanted(block: Block, step: int, filters: list[np.ndarray], filter_bits: int)
         ok = block.stands(n)
         for i in range(n - 1):
             ok &= pair[i : i + len(ok)]
-        out.append(block.keys(np.flatnonzero(ok), n))
+        out.append((np.flatnonzero(ok), n))
     return out
 
 
@@ -170,29 +180,25 @@ def differs(line: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray)
     return out
 
 
-def phrases(block: Block, filters: list[np.ndarray], filter_bits: int, pointer: Callable) -> Iterator[tuple[int, bytes, int, int]]:
-    """(words, phrase, occurrences, first occurrence) of a block's phrases whose fingerprint is frequent; pointer orders the words' places."""
-    order_of = pointer(block.raw_starts)
+def phrases(block: Block, bits: np.ndarray, filter_bits: int) -> Iterator[tuple[int, int, bytes, int, int]]:
+    """(words, fingerprint, phrase, occurrences, first word of the first one) of a block's phrases whose fingerprint is in the bitmap."""
+    text = block.line.tobytes()
     for n in range(1, LONGEST + 1):
         at = np.flatnonzero(block.stands(n))
         keys = block.keys(at, n)
-        known = _has(filters[min(n, 3) - 1], keys, filter_bits)
+        known = _has(bits, keys, filter_bits)
         at, keys = at[known], keys[known]
-        if not len(at):
-            continue
-        sort = np.lexsort((order_of[at], keys))  # of equal fingerprints the first occurrence comes first
-        at, keys = at[sort], keys[sort]
-        new = np.concatenate([np.ones(1, bool), keys[1:] != keys[:-1]])
-        first, group = np.flatnonzero(new), np.cumsum(new) - 1
-        begin, length = block.starts[at], block.ends[at + n - 1] - block.starts[at]
-        model = first[group]
-        wrong = (length != length[model]) | differs(block.line, begin, begin[model], np.minimum(length, length[model]))
-        count = np.bincount(group[~wrong], minlength=len(first))
-        text = block.line.tobytes()
-        for i, c in zip(first.tolist(), count.tolist()):
-            yield n, text[begin[i] : begin[i] + length[i]], c, int(order_of[at[i]])
-        for i in np.flatnonzero(wrong).tolist():  # fingerprints of different phrases that are equal
-            yield n, text[begin[i] : begin[i] + length[i]], 1, int(order_of[at[i]])
+        while len(at):  # those that equal the first one of their fingerprint; then what is left
+            order = np.argsort(keys, kind="stable")
+            at, keys = at[order], keys[order]
+            new = np.concatenate([np.ones(1, bool), keys[1:] != keys[:-1]])
+            first, group = np.flatnonzero(new), np.cumsum(new) - 1
+            begin, length = block.starts[at], block.ends[at + n - 1] - block.starts[at]
+            model = first[group]
+            other = (length != length[model]) | differs(block.line, begin, begin[model], np.minimum(length, length[model]))
+            for i, count in zip(first.tolist(), np.bincount(group[~other], minlength=len(first)).tolist()):
+                yield n, int(keys[i].view(np.int64)), text[begin[i] : begin[i] + length[i]], count, int(at[i])
+            at, keys = at[other], keys[other]
 
 
 def _seed(lang: str) -> int:
@@ -201,113 +207,163 @@ def _seed(lang: str) -> int:
     return xxhash.xxh3_64_intdigest(lang.encode())
 
 
-def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, list[int], list[bytes]]]:
-    """(language, rows, texts) of a batch (lang, text, ...)."""
-    langs, texts = batch.column(0).to_pylist(), binary_list(batch.column(1))
+def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, list[bytes]]]:
+    """(language, pointers, texts) of a batch (lang, text, pointer), in the order of pointers."""
+    langs, texts, ids = batch.column(0).to_pylist(), binary_list(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False)
     rows: dict[str, list[int]] = {}
-    for i, x in enumerate(langs):
-        rows.setdefault(x, []).append(i)
+    for i in np.argsort(ids, kind="stable").tolist():
+        rows.setdefault(langs[i], []).append(i)
     for lang, own in rows.items():
-        yield lang, own, [texts[i] for i in own]
+        yield lang, ids[own], [texts[i] for i in own]
+
 
+def _text_blocks(batches: Iterator[pa.RecordBatch], key_bits: int) -> Iterator[tuple[str, Block, np.ndarray, np.ndarray]]:
+    """(language, block, pointers of its words' documents, places of its words in those documents)"""
+    powers, second = Powers(), Powers(_SECOND)
+    for batch in batches:
+        for lang, ids, texts in _by_lang(batch):
+            for data, carried, parts in blocks(texts):
+                block = Block(data, carried, _seed(lang), powers, second, key_bits)
+                begins, owner, offset = (np.array(x, np.int64) for x in zip(*parts))
+                part = np.searchsorted(begins, block.raw_starts, "right") - 1
+                yield lang, block, ids[owner[part]], block.raw_starts - begins[part] + offset[part]
 
-def _frequent(docs: DataFrame, step: int, filters: list, least: int, filter_bits: int) -> np.ndarray:
-    """The bitmap of the fingerprints that step counts and that occur least times or more in a language."""
 
-    def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        found, which = np.unique(np.concatenate(keys), return_inverse=True)
-        return found, np.bincount(which, np.concatenate(counts), len(found)).astype(np.int64)
+def _summed(columns: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """(key, n, sum of checks, least pointer) of each key."""
+    key, n, check, doc = (np.concatenate(c) for c in zip(*columns))
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([np.ones(1, bool), key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    if not len(first):
+        return key, n, check, doc
+    return key[first], np.add.reduceat(n[order], first), np.add.reduceat(check[order], first), np.minimum.reduceat(doc[order], first)
+
+
+def _counted(source: DataFrame, step: int, filters: list, least: int, filter_bits: int, key_bits: int) -> DataFrame:
+    """(key, n, check, doc) of the fingerprints that step counts and that occur least times or more in a language: a written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, known = Powers(), [f.value for f in filters]
-        keys, counts, size = [], [], 0
-
-        def sent() -> pa.RecordBatch:
-            found, n = summed(keys, counts)
-            return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["key", "n"])
-
-        for batch in batches:
-            for lang, _, texts in _by_lang(batch):
-                for data, carried, _ in blocks(texts):
-                    for own in wanted(Block(data, carried, _seed(lang), powers), step, known, filter_bits):
-                        found, n = np.unique(own, return_counts=True)
-                        keys.append(found)
-                        counts.append(n)
-                        size += len(found)
-                    if size > HELD:
-                        found, n = summed(keys, counts)
-                        keys, counts, size = [found], [n], len(found)
-                        if size > HELD // 2:
-                            yield sent()
-                            keys, counts, size = [], [], 0
+        known = [f.value for f in filters]
+        found: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def sent(rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(rows[0].view(np.int64)), *(pa.array(c) for c in rows[1:])], names=["key", "n", "check", "doc"])
+
+        for _, block, docs, _ in _text_blocks(batches, key_bits):
+            for at, n in wanted(block, step, known, filter_bits):
+                found.append(_summed([(block.keys(at, n), np.ones(len(at), np.int64), block.checks(at, n), docs[at])]))
+                size += len(found[-1][0])
+            if size > HELD:
+                found = [_summed(found)]
+                size = len(found[0][0])
+                if size > HELD // 2:
+                    yield sent(found[0])
+                    found, size = [], 0
         if size:
-            yield sent()
+            yield sent(_summed(found))
+
+    each = source.mapInArrow(run, "key long, n long, check long, doc long")
+    return written(each.groupBy("key").agg(F.sum("n").alias("n"), F.sum("check").alias("check"), F.min("doc").alias("doc")).where(F.col("n") >= least), "fingerprints")
 
-    counted = docs.select("lang", "text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+
+def _bitmap(keys: DataFrame, filter_bits: int) -> np.ndarray:
+    """A bit for each key, by its first filter_bits bits: 2^filter_bits bits at most come to the driver."""
     place = F.shiftrightunsigned("key", 64 - filter_bits)
-    rows = counted.select(F.expr("1").alias("_"), place.alias("place")).groupBy(F.expr("place div 32768").alias("bucket")).agg(F.bitmap_construct_agg(F.col("place") % 32768).alias("bits"))
+    rows = keys.select(place.alias("place")).groupBy(F.expr("place div 32768").alias("bucket")).agg(F.bitmap_construct_agg(F.col("place") % 32768).alias("bits"))
     out = np.zeros(max(4096, (1 << filter_bits) // 8), np.uint8)
-    for r in rows.toLocalIterator():  # 2^filter_bits bits at most
+    for r in rows.toLocalIterator():
         out[r["bucket"] * 4096 : (r["bucket"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
-def counted_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", id_column: str = "doc_id", least: int = 30, filter_bits: int = 27) -> DataFrame:
+def _pair(key: Column, doc: Column) -> Column:
+    return key.bitwiseXOR(F.shiftleft(doc.bitwiseXOR(F.shiftright(doc, 27)), 37))
+
+
+def _pairs(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """The same in a task: a key whose first bits depend on the document too."""
+    return keys ^ ((docs ^ (docs >> 27)) << 37).view(np.uint64)
+
+
+def _pointed(source: DataFrame, counted: DataFrame, filter_bits: int, key_bits: int) -> DataFrame:
+    """(key, lang, words, phrase, one, doc, at): the phrases where the pointers of counted point, with their second fingerprint.
+
+    The tasks get a bitmap of keys with their documents; what it lets through besides is for the caller to drop, and a
+    phrase may come out several times. A row with words 0 has a block's number of words as one.
+    """
+    context = source.sparkSession.sparkContext
+    every = context.broadcast(_bitmap(counted, filter_bits))
+    pairs = context.broadcast(_bitmap(counted.select(_pair(F.col("key"), F.col("doc")).alias("key")), filter_bits))
+    schema = "key long, lang string, words int, phrase string, one long, doc long, at long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, block, docs, places in _text_blocks(batches, key_bits):
+            text, found = block.line.tobytes(), []
+            for n in range(1, LONGEST + 1):
+                at = np.flatnonzero(block.stands(n))
+                keys = block.keys(at, n)
+                known = _has(every.value, keys, filter_bits)
+                at, keys = at[known], keys[known]
+                own = _has(pairs.value, _pairs(keys, docs[at]), filter_bits)
+                at, keys = at[own], keys[own]
+                order = np.argsort(keys, kind="stable")  # a key's occurrences stay in the order of documents and places
+                at, keys = at[order], keys[order]
+                new = np.concatenate([np.ones(1, bool), (keys[1:] != keys[:-1]) | (docs[at[1:]] != docs[at[:-1]])])[: len(at)]
+                at, keys = at[new], keys[new]
+                cut = [text[a:b] for a, b in zip(block.starts[at].tolist(), block.ends[at + n - 1].tolist())]
+                found.append((keys.view(np.int64), np.full(len(at), n, np.int32), cut, block.checks(at, n), docs[at], places[at]))
+            found.append((np.zeros(1, np.int64), np.zeros(1, np.int32), [b""], np.array([block.words()]), np.zeros(1, np.int64), np.zeros(1, np.int64)))
+            key, words, cut, one, doc, place = zip(*found)
+            cut = pa.array([c for part in cut for c in part], pa.binary()).cast(pa.string())
+            columns = [pa.array(np.concatenate(key)), pa.array([lang] * len(cut), pa.string()), pa.array(np.concatenate(words)), cut, *(pa.array(np.concatenate(c)) for c in (one, doc, place))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "lang", "words", "phrase", "one", "doc", "at"])
+
+    return source.mapInArrow(run, schema)
+
+
+def _by_text(source: DataFrame, keys: DataFrame, filter_bits: int, key_bits: int) -> DataFrame:
+    """(lang, words, phrase, f, doc, at) of all phrases whose fingerprint is one of keys, counted by their text."""
+    shared = source.sparkSession.sparkContext.broadcast(_bitmap(keys, filter_bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, block, docs, places in _text_blocks(batches, key_bits):
+            rows = [(key, lang, n, text.decode(), count, int(docs[at]), int(places[at])) for n, key, text, count, at in phrases(block, shared.value, filter_bits)]
+            kinds = (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["key", "lang", "words", "phrase", "f", "doc", "at"])
+
+    found = source.mapInArrow(run, "key long, lang string, words int, phrase string, f long, doc long, at long").join(keys.select("key"), "key", "left_semi")
+    return found.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"), F.min(F.struct("doc", "at")).alias("first")).select("lang", "words", "phrase", "f", "first.doc", "first.at")
+
+
+def counted_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", id_column: str = "doc_id", least: int = 30, filter_bits: int = 27, key_bits: int = 64) -> DataFrame:
     """(lang, words, phrase, f, doc_id, at) of all phrases of 1 to 4 words that occur least times or more in a language.
 
     f counts all contiguous occurrences within pieces, overlaps included. doc_id and at point to the first one (the smallest
     id, nulls first, then byte in the text). One more row a language has words 0 and all its words as f. A null language
     is `und`, a null text is empty. Whole texts are read; repeated rows count each. The result is a written table.
+    key_bits is less than 64 in tests only, where fingerprints have to collide.
     """
-    spark = docs.sparkSession
-    source = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.col(id_column).cast("long").alias("id"))
-    filters: list = []
+    context = docs.sparkSession.sparkContext
+    source = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(id_column).cast("long"), F.lit(_NONE)).alias("doc"))
+    counted, filters = [], []
     for step in (1, 2, 3):
-        filters.append(spark.sparkContext.broadcast(_frequent(source, step, list(filters), least, filter_bits)))
-    schema = "lang string, words int, phrase string, f long, doc_id long, at long"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, known = Powers(), [f.value for f in filters]
-        held: dict[tuple, list] = {}
-
-        def sent() -> pa.RecordBatch:
-            columns = [[k[i] for k in held] for i in range(3)] + [[v[i] for v in held.values()] for i in range(3)]
-            columns[2] = [p.decode("utf-8", "replace") for p in columns[2]]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["lang", "words", "phrase", "f", "doc_id", "at"])
-
-        for batch in batches:
-            ids = batch.column(2).to_pylist()
-            for lang, rows, texts in _by_lang(batch):
-                order = sorted(range(len(rows)), key=lambda i: (ids[rows[i]] is not None, ids[rows[i]] or 0))
-                rank = np.empty(len(rows), np.int64)
-                rank[order] = np.arange(len(rows))
-                for data, carried, parts in blocks(texts):
-                    block = Block(data, carried, _seed(lang), powers)
-                    begins, owner, offset = (np.array(x, np.int64) for x in zip(*parts))
-
-                    def pointer(places: np.ndarray, begins=begins, owner=owner, offset=offset) -> np.ndarray:
-                        part = np.searchsorted(begins, places, "right") - 1
-                        return (rank[owner[part]] << 40) + places - begins[part] + offset[part]
-
-                    total = held.setdefault((lang, 0, b""), [0, None, None])
-                    total[0] += block.words()
-                    for n, phrase, count, first in phrases(block, known, filter_bits, pointer):
-                        doc, at = ids[rows[order[first >> 40]]], first & ((1 << 40) - 1)
-                        own = held.get((lang, n, phrase))
-                        if own is None:
-                            held[lang, n, phrase] = [count, doc, at]
-                        else:
-                            own[0] += count
-                            if ((doc is not None), doc or 0, at) < ((own[1] is not None), own[1] or 0, own[2]):
-                                own[1:] = doc, at
-                    if len(held) > HELD_PHRASES:
-                        yield sent()
-                        held = {}
-        if held:
-            yield sent()
-
-    found = source.mapInArrow(run, schema).groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"), F.min(F.struct("doc_id", "at")).alias("first"))
-    return written(found.where((F.col("f") >= least) | (F.col("words") == 0)).select("lang", "words", "phrase", "f", "first.doc_id", "first.at"), "phrases")
+        counted.append(_counted(source, step, list(filters), least, filter_bits, key_bits))
+        if step < 3:
+            filters.append(context.broadcast(_bitmap(counted[-1], filter_bits)))
+    frequent = counted[0].unionByName(counted[1]).unionByName(counted[2])
+    pointed = written(_pointed(source, frequent, filter_bits, key_bits), "pointed")
+    own = pointed.where("words > 0").groupBy("key", "lang", "words", "phrase", "one", "doc").agg(F.min("at").alias("at"))
+    found = written(own.join(frequent, ["key", "doc"]), "phrases")
+    shared = found.groupBy("key").agg(F.count("*").alias("_n"), F.bool_or(F.col("one") * F.col("n") != F.col("check")).alias("_differs")).where("_n > 1 or _differs").select("key")
+    counted_once = lambda rows: rows.select("lang", "words", "phrase", F.col("n").alias("f"), "doc", "at")
+    counts = counted_once(found)
+    if not shared.isEmpty():
+        shared = written(shared, "collisions")
+        counts = counted_once(found.join(shared, "key", "left_anti")).unionByName(_by_text(source, shared, filter_bits, key_bits).where(F.col("f") >= least))
+    totals = pointed.where("words = 0").groupBy("lang").agg(F.sum("one").alias("f")).select("lang", F.lit(0).alias("words"), F.lit("").alias("phrase"), "f", F.lit(_NONE).alias("doc"), F.lit(None).cast("long").alias("at"))
+    return written(counts.unionByName(totals).select("lang", "words", "phrase", "f", F.when(F.col("doc") != _NONE, F.col("doc")).alias("doc_id"), "at"), "phrases")
 
 
 def scored(counts: DataFrame) -> DataFrame:
