@@ -1,10 +1,11 @@
 """Nearest neighbours by largest inner product: a hierarchical navigable small-world graph for each shard.
 
-Equal vectors are one node. Nodes are dealt to shards of bounded size by a hash; each shard is built on its own and
-stored as flat arrays (vectors, and for each layer its nodes and a matrix of neighbours). A query goes through every
-shard: blocks of queries are sent to where a shard's graph is, which moves only once for many blocks, and the
+Equal vectors are one node. Vectors of one length and of norms between two powers of two are a band; a band's nodes are
+dealt to shards of bounded size by a hash; each shard is built on its own and stored as flat arrays (vectors, and for each layer its nodes and a matrix of neighbours). A query goes through every
+shard of its length: blocks of queries are sent to where a shard's graph is, which moves only once for many blocks, and the
 shards' results are merged. Largest inner product becomes nearest direction by one more coordinate that gives all
-vectors of a shard the same length. Graphs hold scaled single-precision vectors; scores come from the given ones.
+vectors of a shard the same norm; within a band it is as large as the others, so that single precision tells vectors
+apart however unequal the norms of all are. Graphs hold scaled single-precision vectors; scores come from the given ones.
 """
 
 from __future__ import annotations
@@ -172,8 +173,29 @@ def _scaled(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.abs(vectors).max(initial=1e-300)
 
 
-def build_index(nodes: DataFrame, shards: int) -> DataFrame:
-    """nodes (members, vector) -> a row of INDEX for each shard, written in the shared folder."""
+def band(vector: Column) -> Column:
+    """The power of two at or below a vector's norm, without overflow; rounding may put a norm near a border beyond it."""
+    most = F.array_max(F.transform(vector, F.abs))
+    squares = F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + (x / most) * (x / most))
+    return F.floor(F.log2(most) + F.log2(squares) / 2).cast("int")
+
+
+def dealt(nodes: DataFrame) -> tuple[DataFrame, dict[int, tuple[int, int]]]:
+    """nodes (members, vector) with their shard, and the first and last shard of each length. Lengths and bands are few."""
+    marked = nodes.withColumn("n", F.size("vector")).withColumn("band", band(F.col("vector")))
+    rows, spans, first = [], {}, 0
+    for r in marked.groupBy("n", "band").count().orderBy("n", "band").collect():
+        count = -(-r["count"] // SHARD_ROWS)
+        rows.append((r["n"], r["band"], first, count))
+        first += count
+        spans[r["n"]] = spans.get(r["n"], (first - count, 0))[0], first - 1
+    bands = nodes.sparkSession.createDataFrame(rows, "n int, band int, first int, count int")
+    placed = marked.join(F.broadcast(bands), ["n", "band"])  # a row for each length and power of two
+    return placed.select("members", "vector", (F.col("first") + F.expr("cast(pmod(xxhash64(vector), count) as int)")).alias("shard")), spans
+
+
+def build_index(placed: DataFrame, shards: int) -> DataFrame:
+    """placed (members, vector, shard) -> a row of INDEX for each shard, written in the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in batched_groups(batches, "shard"):
@@ -188,7 +210,6 @@ def build_index(nodes: DataFrame, shards: int) -> DataFrame:
             kinds = [pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), members, *(pa.array([x], k) for x, k in zip(made, kinds))], names=[x.split()[0] for x in INDEX.split(", ")])
 
-    placed = nodes.withColumn("shard", F.expr(f"cast(pmod(xxhash64(vector), {shards}) as int)"))
     built = placed.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, INDEX)
     return written(built, "hnsw")
 
@@ -208,29 +229,29 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, id_column: str = "ve
 
     Every row but the query's own is a candidate. score is the inner product in double precision of the vectors as
     stored; ties go to the smaller id. Vectors that are null, zero or hold null or non-finite components, and null ids,
-    take no part; so do vectors of another length than the most common one (of equally common ones the longest). With fewer than k candidates all of a
-    shard's reach are returned. Other columns are not read; an empty table gives no rows.
+    take no part. Vectors of different lengths have no product: a query's candidates are those of its own length. With
+    fewer than k candidates all that a shard reaches are returned. Other columns are not read; an empty table gives no rows.
     """
     spark = rows.sparkSession
     source = rows.select(rows[id_column].cast("long").alias("id"), rows[vector].cast("array<double>").alias("vector"), is_query.alias("is_query")).where(F.col("id").isNotNull() & usable(F.col("vector")))
-    size = source.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    if size is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    source = source.where(F.size("vector") == size["n"])
     # of equal vectors the k + 1 smallest ids are enough for any answer; the limit works before the shuffle
     place = F.row_number().over(Window.partitionBy("vector").orderBy("id"))
     nodes = written(source.withColumn("p", place).where(F.col("p") <= k + 1).groupBy("vector").agg(F.sort_array(F.collect_set("id")).alias("members")), "vectors")
-    shards = max(1, -(-nodes.count() // SHARD_ROWS))
-    index = build_index(nodes, shards)
+    placed, spans = dealt(nodes)
+    if not spans:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    shards = max(last for _, last in spans.values()) + 1
+    index = build_index(placed, shards)
 
     asked = source.where(F.coalesce(F.col("is_query"), F.lit(False))).select("id", "vector")
     distinct = written(asked.select("vector").distinct().withColumn("query", F.xxhash64("vector")), "queries")
     blocks = max(1, -(-distinct.count() // QUERY_BLOCK))
     groups = -(-blocks // TASK_BLOCKS)
-    packed = distinct.groupBy(F.expr(f"cast(pmod(query, {blocks}) as int)").alias("block")).agg(F.collect_list(F.struct("query", "vector")).alias("q"))  # about QUERY_BLOCK queries
+    packed = distinct.groupBy(F.size("vector").alias("n"), F.expr(f"cast(pmod(query, {blocks}) as int)").alias("block")).agg(F.collect_list(F.struct("query", "vector")).alias("q"))  # about QUERY_BLOCK queries
     task = (F.col("shard") * groups + F.col("group")).cast("int").alias("task")
     graphs = index.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select(task, F.lit(-1).alias("block"), *[x.split()[0] for x in INDEX.split(", ")])
-    sent = packed.select("block", F.expr(f"block % {groups}").alias("group"), "q", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")).select(task, "block", "q")
+    of_length = lambda i: F.create_map(*[F.lit(x) for n, span in spans.items() for x in (n, span[i])])[F.col("n")]
+    sent = packed.select("block", F.expr(f"block % {groups}").alias("group"), "q", F.explode(F.sequence(of_length(0), of_length(1))).alias("shard")).select(task, "block", "q")
     rows_of_tasks = graphs.unionByName(sent, allowMissingColumns=True).repartitionById(shards * groups, "task").sortWithinPartitions("task", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -33,6 +33,8 @@ COLUMNS = {x.split()[0]: _KINDS[x.split()[1]] for x in INDEX.split(", ")}
 RUNS = ", ".join(f"{n} array<{k}>" for n, k in (x.split() for x in INDEX.split(", ")))
 #: Bytes of pages of usual length in one archive, before compression.
 ARCHIVE_BYTES = 64 << 20
+#: Salts of the join by digest, and the page_ids of the first second of the year 1 and the last one of 9999.
+SALTS, EARLIEST, LATEST = 16, -63_713_433_600, 251_824_463_999
 #: Bytes that decompressing an archive reads and makes at once, captures of a key range, and rows of a run or of the result that are Python values at once.
 WINDOW, RANGE, ROWS = 1 << 20, 500_000, 1000
 
@@ -49,8 +51,10 @@ def write_archives(pages: DataFrame, id_column: str = "page_id", url: str = "url
 
     Of pages with equal payloads of at least 1000 bytes, that with the largest page_id is a response, others revisit it;
     all smaller ones are responses. A null payload is empty, a null URL too. Of repeated rows with the same largest id
-    all are responses; a null id is a response without a number. The capture time is the page_id in seconds after 2020
-    (pages have none of their own). Other columns are not read. An archive has at most records_per_file records, and
+    all are responses; a null id is a response whose record id has no number. The capture time is the page_id in seconds
+    after 2020 (pages have none of their own), at the earliest the first second of the year 1 and at the latest the last
+    one of 9999, in UTC; captures beyond are told apart by their ids, so that the order by time is that of all ids.
+    A response's block is an HTTP response with the page as its body. Other columns are not read. An archive has at most records_per_file records, and
     fewer where pages are so long on average that it would have more than ARCHIVE_BYTES.
     """
     source = pages.select(pages[id_column].cast("long").alias("page_id"), F.coalesce(pages[url].cast("string"), F.lit("")).alias("url"), F.coalesce(pages[html].cast("string"), F.lit("")).alias("html"))
@@ -59,15 +63,20 @@ def write_archives(pages: DataFrame, id_column: str = "page_id", url: str = "url
     marked = source.withColumn("digest", F.sha1("html")).withColumn("size", F.octet_length("html"))
     # only digests that several pages have; counted before they are joined, one row for each task and digest
     shared = marked.where(F.col("size") >= LEAST_BYTES).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n")
-    placed = marked.join(shared, "digest", "left").withColumn("refers_to", F.when((F.col("size") >= LEAST_BYTES) & (F.col("page_id") < F.col("last")), F.col("last")))
-    at = F.date_format(F.timestamp_seconds(F.lit(1577836800) + F.coalesce(F.col("page_id"), F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    # pages move by digest and salt, so that one common page is dealt to SALTS tasks
+    salts = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = marked.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    placed = salted.join(salts, ["digest", "salt"], "left").withColumn("refers_to", F.when((F.col("size") >= LEAST_BYTES) & (F.col("page_id") < F.col("last")), F.col("last")))
+    seconds = F.least(F.greatest(F.coalesce(F.col("page_id"), F.lit(0)), F.lit(EARLIEST)), F.lit(LATEST)).alias("seconds")
+    at = F.date_format(F.lit("2020-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     urn = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
     line = lambda name, value: F.concat(F.lit(name + ": "), value, F.lit(CRLF))
     is_revisit = F.col("refers_to").isNotNull()
+    http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("size").cast("string"), F.lit(CRLF * 2))
     record = F.concat(
         F.lit("WARC/1.1" + CRLF),
         line("WARC-Type", F.when(is_revisit, "revisit").otherwise("response")),
-        F.coalesce(line("WARC-Record-ID", urn(F.col("page_id"))), F.lit("")),
+        line("WARC-Record-ID", F.coalesce(urn(F.col("page_id")), F.concat(F.lit("<urn:unnumbered:"), F.hex(F.xxhash64("url", "digest")), F.lit("-"), F.monotonically_increasing_id().cast("string"), F.lit(">")))),
         line("WARC-Date", F.col("at")),
         line("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]", "")),
         line("X-URL-Key", F.regexp_replace("urlkey", r"[\r\n]", "")),
@@ -75,10 +84,10 @@ def write_archives(pages: DataFrame, id_column: str = "page_id", url: str = "url
         line("X-Payload-Length", F.col("size").cast("string")),
         F.coalesce(line("WARC-Refers-To", urn(F.col("refers_to"))), F.lit("")),
         F.when(is_revisit, line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))).otherwise(""),
-        line("Content-Type", F.lit("text/html")),
-        line("Content-Length", F.when(is_revisit, "0").otherwise(F.col("size").cast("string"))),
+        line("Content-Type", F.lit("application/http; msgtype=response")),
+        line("Content-Length", F.when(is_revisit, "0").otherwise((F.octet_length(http) + F.col("size")).cast("string"))),
         F.lit(CRLF),
-        F.when(is_revisit, "").otherwise(F.col("html")),
+        F.when(is_revisit, "").otherwise(F.concat(http, F.col("html"))),
     )
     folder = f"{shared_dir(pages.sparkSession)}/plumbline-warc-{uuid.uuid4().hex}"
     runs = placed.withColumn("urlkey", urlkey(F.col("url"))).withColumn("at", at).sortWithinPartitions("urlkey", "at", "page_id")
@@ -107,7 +116,7 @@ def _inflated(archive: bytes) -> Iterator[bytes]:
 
 
 def parse(archive: bytes) -> Iterator[tuple[int, dict[bytes, bytes], bytes]]:
-    """The place in the decompressed archive, the header fields and the payload of each record, by the records' own lengths."""
+    """The place in the decompressed archive, the header fields and the block of each record, by the records' own lengths."""
     source, held, begin = _inflated(archive), bytearray(), 0
 
     def reaches(size: int) -> bool:
@@ -178,6 +187,8 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for offset, fields, payload in parse(batch.column(1)[i].as_py()):
                 number = lambda name: int(m[1]) if (m := _NUMBER.search(fields.get(name, b""))) else None  # noqa: B023, E731
                 revisit = fields[b"WARC-Type"] == b"revisit"
+                if not revisit:  # the body of the HTTP response
+                    payload = payload[payload.index(b"\r\n\r\n") + 4 :]
                 digest = fields[b"WARC-Payload-Digest"].split(b":")[1].decode() if revisit else hashlib.sha1(payload).hexdigest()
                 size = int(fields[b"X-Payload-Length"]) if revisit else len(payload)
                 rows.append((fields[b"X-URL-Key"].decode(), fields[b"WARC-Date"].decode(), number(b"WARC-Record-ID"), size, digest, "revisit" if revisit else "response", number(b"WARC-Refers-To"), offset))

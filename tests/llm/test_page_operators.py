@@ -47,6 +47,26 @@ def test_warc(spark):
     assert warc.read_histories(spark, warc.write_archives(pages.limit(0))).count() == 0
 
 
+def test_warc_order_of_any_ids(spark):
+    """Ids that are times beyond the years 1 to 9999 keep their order; a record without a number has a record id too."""
+    ids = [10**12, -(10**12), 9 * 10**18, -9 * 10**18, 2**63 - 1, -(2**63), 0, 5, 251_824_463_999, 251_824_464_000, -63_713_433_600, None, None]
+    page = "x" * 2000
+    pages = spark.createDataFrame([(i, "http://a.com/", page if i is None or i % 2 else "short") for i in ids], "page_id long, url string, html string").repartition(3)
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        folder = warc.write_archives(pages)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    got = warc.read_histories(spark, folder).orderBy("part", "place").collect()
+    order = [r["page_id"] for r in got if r["page_id"] is not None]
+    assert order == sorted(i for i in ids if i is not None) and len(got) == len(ids)
+    assert {r["captured"] for r in got if abs(r["page_id"] or 0) < 10} == {"2020-01-01T00:00:00Z", "2020-01-01T00:00:05Z"}
+    assert all(len(r["captured"]) == 20 for r in got) and max(r["captured"] for r in got) == "9999-12-31T23:59:59Z"
+    assert {(r["page_id"], r["refers_to"]) for r in got if r["record_type"] == "revisit"} == {(i, 2**63 - 1) for i in ids if i is not None and i % 2 and i < 2**63 - 1}
+    records = [f for name in os.listdir(folder.removeprefix("file:")) if name.endswith(".gz") for _, f, _ in warc.parse(open(os.path.join(folder.removeprefix("file:"), name), "rb").read())]
+    assert len({f[b"WARC-Record-ID"] for f in records}) == len(ids)
+
+
 @pytest.mark.parametrize("members", [False, True])
 def test_warc_windows(members, monkeypatch):
     """An archive of one gzip member, or of one for each record, is read alike in windows of any size."""
@@ -121,6 +141,29 @@ def test_nearest_neighbours(spark, monkeypatch):
     assert hnsw.nearest(df.where("vec_id >= 5000 and vec_id < 5100"), df["vec_id"] > 0).count() == 0
 
 
+def test_nearest_with_unequal_norms_and_lengths(spark, monkeypatch):
+    """One vector 10,000 times longer than the others does not hide them, and every length is answered."""
+    monkeypatch.setattr(hnsw, "SHARD_ROWS", 1500)
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((3000, 32)).astype(np.float32)
+    x[17] *= 10_000
+    x[1000:1500] *= rng.random((500, 1)).astype(np.float32) * 30
+    y = rng.standard_normal((200, 7)).astype(np.float32)
+    rows = [(i, [float(v) for v in u]) for i, u in enumerate([*x, *y])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = defaultdict(list)
+    for r in hnsw.nearest(df, df["vec_id"] % 20 == 0).collect():
+        got[r["query_id"]].append(r["vec_id"])
+    for part, first in ((x, 0), (y, 3000)):
+        hits, asked = 0, [q for q in range(first, first + len(part)) if q % 20 == 0]
+        for q in asked:
+            score = part.astype(float) @ part[q - first].astype(float)
+            best = [i + first for i in np.argsort(-score, kind="stable") if i + first != q][:20]
+            assert len(got[q]) == 20
+            hits += len(set(got[q]) & set(best))
+        assert hits >= 0.9 * 20 * len(asked)
+
+
 def test_nearest_in_double_precision(spark, monkeypatch):
     """Scores are those of the given vectors; huge components do not disturb the search; many blocks share a graph."""
     monkeypatch.setattr(hnsw, "SHARD_ROWS", 100)
