@@ -148,14 +148,14 @@ def _dynamic(call: ast.Call) -> str | None:
 
 
 def facts(code: str) -> dict:
-    """functions, imports and the error, if the file cannot be parsed (then the others are empty)."""
+    """functions, imports, the lines of import statements, and the error, if the file cannot be parsed (then the others are empty)."""
     try:
         code = code.lstrip("﻿")
         tree = ast.parse(code)
     except (SyntaxError, ValueError, RecursionError) as e:
-        return {"functions": [], "imports": [], "error": f"{getattr(e, 'lineno', None) or 1}: {e}"[:300]}
+        return {"functions": [], "imports": [], "spans": [], "error": f"{getattr(e, 'lineno', None) or 1}: {e}"[:300]}
     lines, comments = re.split("\r\n|\r|\n", code), _comments(code)
-    functions, imports = [], []
+    functions, imports, spans = [], [], []
 
     def visit(node, class_name, enclosing):
         for child in ast.iter_child_nodes(node):
@@ -167,6 +167,8 @@ def facts(code: str) -> dict:
             elif isinstance(child, ast.ClassDef):
                 visit(child, child.name, enclosing)
             else:
+                if isinstance(child, (ast.Import, ast.ImportFrom)):
+                    spans.append((child.lineno, child.end_lineno))
                 if isinstance(child, ast.Import):
                     imports.extend((a.name, child.lineno, "static") for a in child.names)
                 elif isinstance(child, ast.ImportFrom):
@@ -177,4 +179,4 @@ def facts(code: str) -> dict:
                 visit(child, class_name, enclosing)
 
     visit(tree, None, None)
-    return {"functions": functions, "imports": imports, "error": None}
+    return {"functions": functions, "imports": imports, "spans": spans, "error": None}

@@ -1,28 +1,50 @@
-"""Exact token clones: repeated windows, independent copies, covered lines, regions."""
+"""Exact token clones: repeated windows, independent copies, covered lines, regions and their members.
+
+A window's fingerprint has 128 bits and comes from prefix polynomials (functions/rolling.py). Windows never cross the
+lines of spans (import declarations), where files have such a column.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions import rolling
 from plumbline.functions.scalars import clone_key, nonblank_lines, percent, tokens
-from plumbline.operators.tables import held
+from plumbline.operators.tables import held, written
 
+_WINDOW = "path string, place long, line long, end_line long, last long, h struct<a: long, b: long>"
 
-def _hashes(words: Column) -> Column:
-    return F.transform(words, lambda t: F.xxhash64(t))
 
+def windows(files: DataFrame, size: int) -> DataFrame:
+    """files (path, code, and maybe spans, an array of (line, end_line)) -> (path, place, line, end_line, last, h) of each window of size tokens.
 
-def _print(hashes: Column) -> Column:
-    """Two hashes with different seeds over a window's token hashes: 128 bits, so that chance repeats do not count."""
-    return F.struct(F.xxhash64(hashes).alias("a"), F.xxhash64(F.lit(1), hashes).alias("b"))
+    place counts tokens from 1, last is the last place of the window's run. A null code has no windows.
+    """
+    spans = F.col("spans") if "spans" in files.columns else F.lit(None).cast("array<struct<line: int, end_line: int>>")
+    source = files.select(F.col("path").cast("string"), F.col("code").cast("string").alias("code"), spans.alias("spans")).where(F.col("code").isNotNull())
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, code, cut in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                found = rolling.windows(code.encode(), size, [tuple(s.values()) for s in cut or []])
+                for at in range(0, len(found["place"]), 100_000):
+                    part = {k: pa.array(v[at : at + 100_000].astype(np.int64)) for k, v in found.items()}
+                    paths = pa.array([path], pa.string()).take(pa.array(np.zeros(len(part["place"]), np.int64)))
+                    yield pa.RecordBatch.from_arrays([paths, *(part[c] for c in ("place", "line", "end_line", "last")), pa.StructArray.from_arrays([part["a"], part["b"]], ["a", "b"])], names=["path", "place", "line", "end_line", "last", "h"])
 
-def windows(files: DataFrame, size: int) -> DataFrame:
-    """files (path, code) -> (path, place, h): a hash of each window of size tokens; place counts from 1. Tokens are hashed once."""
-    split = held(files.select("path", "code"), "t", _hashes(tokens(F.col("code"))))
-    hashed = F.when(F.size("t") >= size, F.transform(F.sequence(F.lit(1), F.size("t") - (size - 1)), lambda i: _print(F.slice(F.col("t"), i, size))))
-    return held(split, "w", hashed).select("path", F.posexplode("w").alias("p", "h")).select("path", (F.col("p") + 1).alias("place"), "h")
+    return source.mapInArrow(run, _WINDOW)
+
+
+def _repeating(found: DataFrame) -> DataFrame:
+    """The windows whose fingerprint occurs twice or more. Only one half of it is counted and compared, partial counts first."""
+    half = F.col("h.a")
+    twice = found.groupBy(half.alias("_a")).agg(F.count("*").alias("_n")).where("_n > 1").select("_a")
+    return found.withColumn("_a", half).join(twice, "_a", "left_semi").drop("_a")
 
 
 def repeated_windows(files: DataFrame, size: int) -> DataFrame:
@@ -33,17 +55,8 @@ def repeated_windows(files: DataFrame, size: int) -> DataFrame:
     repeated = windows(files, size).groupBy("h").agg(F.count("*").alias("occurrences"), F.min(F.struct("path", "place")).alias("first")).where("occurrences > 1")
     places = repeated.groupBy("first.path").agg(F.collect_list(F.struct("first.place", "occurrences")).alias("at"))
     texts = held(files.select("path", "code").join(places, "path"), "t", tokens(F.col("code")))
-    return texts.select("t", F.explode("at").alias("a")).select(F.sha2(F.array_join(F.slice("t", F.col("a.place"), size), "\0"), 256).alias("fingerprint"), F.col("a.occurrences").alias("occurrences"))
-
-
-def line_windows(files: DataFrame, size: int, least_lines: int) -> DataFrame:
-    """(path, place, line, end_line, h) of windows of size tokens that stretch over least_lines lines or more."""
-    by_line = F.transform(F.split("code", "\n", -1), lambda text, i: F.transform(tokens(text), lambda t: F.struct(F.xxhash64(t).alias("t"), (i + 1).alias("line"))))
-    split = held(files.select("path", "code"), "k", F.flatten(by_line))
-    split = held(held(split, "t", F.col("k.t")), "n", F.col("k.line"))
-    made = F.when(F.size("t") >= size, F.filter(F.transform(F.sequence(F.lit(1), F.size("t") - (size - 1)), lambda i: F.struct(i.alias("place"), F.element_at("n", i).alias("line"), F.element_at("n", i + (size - 1)).alias("end_line"))), lambda w: w["end_line"] - w["line"] + 1 >= least_lines))
-    found = held(split, "w", made).select("path", "t", F.explode("w").alias("w"))
-    return found.select("path", "w.*", _print(F.slice("t", F.col("w.place"), size)).alias("h"))
+    window = F.slice("t", F.col("a.place").cast("int"), size)
+    return texts.select("t", F.explode(F.col("at")).alias("a")).select(F.sha2(F.array_join(window, "\0"), 256).alias("fingerprint"), F.col("a.occurrences").alias("occurrences"))
 
 
 def independent(starts: Column, size: int) -> Column:
@@ -52,17 +65,35 @@ def independent(starts: Column, size: int) -> Column:
     return F.aggregate(starts, zero, lambda acc, s: F.when(s - acc["last"] >= size, F.struct((acc["n"] + 1).alias("n"), s.cast("long").alias("last"))).otherwise(acc))["n"]
 
 
-def repeated_line_windows(files: DataFrame, size: int, least_lines: int) -> DataFrame:
-    """Those line windows that have two independent occurrences. A file's own occurrences are the largest group."""
-    found = line_windows(files, size, least_lines)
-    own = found.groupBy("h", "path").agg(F.sort_array(F.collect_list("place")).alias("starts")).select("h", independent(F.col("starts"), size).alias("n"))
-    repeated = own.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
-    return found.join(repeated, "h", "left_semi")
+def independent_places(starts: Column, size: int) -> Column:
+    """Those of the sorted structs (place, ...) that do not overlap, taken greedily from the left; size tokens each."""
+    nothing = F.slice(starts, 1, 0)
+
+    def step(kept: Column, s: Column) -> Column:
+        free = (F.size(kept) == 0) | (s["place"] - F.element_at(kept, -1)["place"] >= size)
+        return F.when(free, F.concat(kept, F.array(s))).otherwise(kept)
+
+    return F.when(F.size(starts) == 1, starts).otherwise(F.aggregate(starts, nothing, step))
+
+
+def independent_windows(found: DataFrame, size: int) -> DataFrame:
+    """found (path, place, line, end_line, h) -> its independent windows, of fingerprints that have two or more of them.
+
+    A file's own windows with one fingerprint are the largest group.
+    """
+    own = found.groupBy("h", "path").agg(F.sort_array(F.collect_list(F.struct("place", "line", "end_line"))).alias("starts"))
+    own = held(own, "kept", independent_places(F.col("starts"), size)).select("h", "path", "kept")
+    several = own.groupBy("h").agg(F.sum(F.size("kept")).alias("n")).where("n > 1").select("h")
+    return own.join(several, "h", "left_semi").select("h", "path", F.explode("kept").alias("k")).select("path", "k.place", "k.line", "k.end_line", "h")
+
+
+def _long_enough(found: DataFrame, least_lines: int) -> DataFrame:
+    return found.where(F.col("end_line") - F.col("line") + 1 >= least_lines)
 
 
 def clone_density(files: DataFrame, size: int = 50, least_lines: int = 5) -> DataFrame:
-    """One row (duplicated_lines, total_lines, density): distinct lines under a repeated window, of all non-blank ones."""
-    repeated = repeated_line_windows(files, size, least_lines).select("path", "line", "end_line")
+    """One row (duplicated_lines, total_lines, density): distinct lines under an independent repeated window, of all non-blank ones."""
+    repeated = independent_windows(_repeating(_long_enough(windows(files, size), least_lines)), size)
     order = Window.partitionBy("path").orderBy("line", "end_line").rowsBetween(Window.unboundedPreceding, -1)
     seen = F.greatest(F.coalesce(F.max("end_line").over(order), F.lit(0)), F.col("line") - 1)  # lines up to here are counted
     lines = repeated.select(F.greatest(F.col("end_line") - seen, F.lit(0)).cast("long").alias("d"), F.lit(0).cast("long").alias("t"))
@@ -71,11 +102,158 @@ def clone_density(files: DataFrame, size: int = 50, least_lines: int = 5) -> Dat
     return both.select("duplicated_lines", "total_lines", percent(F.col("duplicated_lines"), F.col("total_lines")).alias("density"))
 
 
+def _alike(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, n, value) of the keys whose rows all have the same value, which is not null."""
+    each = rows.groupBy(key).agg(F.count("*").alias("n"), F.count(value).alias("_some"), F.min(value).alias("_low"), F.max(value).alias("_high"))
+    return each.where("n = _some and _low = _high").select(key, "n", F.col("_low").alias(value))
+
+
+def _ladder(repeated: DataFrame) -> tuple[DataFrame, int]:
+    """repeated windows -> (path, place, d0, d1, ...) and how many: dj is a fingerprint of the 2^j windows behind this one.
+
+    It is null where one of them does not repeat or the run ends before. Each is made of two of the one before, in one
+    order of each file's windows.
+    """
+    order, levels = Window.partitionBy("path").orderBy("place"), 0
+    longest = repeated.agg(F.max("place")).first()[0] or 0
+    reaches = lambda far: (F.lead("place", far).over(order) == F.col("place") + far) & (F.lead("last", far).over(order) == F.col("last"))
+    rows = repeated.select("path", "place", "last", F.xxhash64("h.a", "h.b").alias("own"))
+    rows = rows.withColumn("d0", F.when(reaches(1), F.lead("own").over(order)))
+    while 2 << levels <= longest:
+        before, far = f"d{levels}", 1 << levels
+        rows = rows.withColumn(f"d{levels + 1}", F.when(reaches(far) & F.lead(before, far).over(order).isNotNull(), F.xxhash64(before, F.lead(before, far).over(order))))
+        levels += 1
+    return written(rows.drop("last", "own"), "clone-ladder"), levels + 1
+
+
+def _segments(members: DataFrame) -> DataFrame:
+    """members (path, place, h) -> (head, path, start, stop): stretches of windows whose members move on together, named after their first fingerprint."""
+    order = Window.partitionBy("path").orderBy("place")
+    rows = members.select("path", "place", "h", F.when(F.lag("place").over(order) == F.col("place") - 1, F.lag("h").over(order)).alias("before"))
+    counts = members.groupBy(F.col("h").alias("before")).agg(F.count("*").alias("_before_n"))
+    goes_on = _alike(rows, "h", "before").join(counts, "before").where("n = _before_n").select("h", F.lit(True).alias("_on"))
+    marked = rows.join(goes_on, "h", "left")
+    start = F.last(F.when(F.col("_on").isNull(), F.col("place")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return marked.withColumn("start", start).groupBy("path", "start").agg(F.min_by("h", "place").alias("head"), F.max("place").alias("stop")).select("head", "path", "start", "stop")
+
+
+def _lengths(segments: DataFrame, repeated: DataFrame, size: int) -> DataFrame:
+    """segments (head, path, start) -> (head, tokens): how far all members of a head are alike, up to the end of a run.
+
+    Each round takes the largest power of two by which all members of a head go on alike; those that follow are smaller,
+    so there are at most as many rounds as the ladder has steps.
+    """
+    ladder, levels = _ladder(repeated)
+    steps, done = [f"d{j}" for j in range(levels)], None
+    pending = segments.select("head", "path", "start", F.col("start").alias("place"))
+    while True:
+        looked = pending.join(ladder, ["path", "place"])
+        same = looked.groupBy("head").agg(F.count("*").alias("n"), F.min(F.col("place") - F.col("start")).alias("far"), *[f(c).alias(f"{c}{x}") for c in steps for x, f in (("n", F.count), ("a", F.min), ("b", F.max))])
+        jump = F.coalesce(*[F.when((F.col(f"d{j}n") == F.col("n")) & (F.col(f"d{j}a") == F.col(f"d{j}b")), F.lit(1 << j)) for j in reversed(range(levels))])
+        same = written(same.select("head", "far", jump.cast("long").alias("jump")), "clone-walk")
+        ended = same.where("jump is null").select("head", (F.col("far") + size).alias("tokens"))
+        done = ended if done is None else done.unionByName(ended)
+        on = same.where("jump is not null")
+        if on.isEmpty():
+            return done
+        pending = segments.select("head", "path", "start").join(on, "head").select("head", "path", "start", (F.col("start") + F.col("far") + F.col("jump")).alias("place"))
+
+
+def _scan(segments: DataFrame) -> DataFrame:
+    """segments (head, path, start, stop, tokens, from) -> (head, path, place, offset): where a file's windows that nothing covers begin regions.
+
+    from is the least offset at which a region in an earlier file covers a segment (null: none). One sweep over a file's
+    segments in the order of places; an offset counts from a segment's start.
+    """
+    schema = "head struct<a: long, b: long>, path string, place long, offset long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, until, own = None, 0, {}
+        for batch in batches:
+            out = []
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("head", "path", "start", "stop", "tokens", "from")]
+            for head, path, start, stop, count, covered in zip(*columns):
+                if path != now:
+                    now, until, own = path, 0, {}
+                key = (head["a"], head["b"])
+                known = min((x for x in (covered, own.get(key)) if x is not None), default=None)
+                free = max(start, until)
+                if free <= stop and (known is None or free < start + known):
+                    own[key] = free - start
+                    out.append((head, path, free, free - start))
+                elif known is None:
+                    continue
+                until = max(until, start + count)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), (batch.schema.field("head").type, pa.string(), pa.int64(), pa.int64()))], names=["head", "path", "place", "offset"])
+
+    return segments.repartition("path").sortWithinPartitions("path", "start").select("head", "path", "start", "stop", "tokens", "from").mapInArrow(run, schema)
+
+
+def _regions(segments: DataFrame) -> DataFrame:
+    """segments (head, path, start, stop, tokens) -> (head, path, place, offset) of the regions that are reported.
+
+    Windows are taken in the order of paths and places; one that no earlier region covers begins a region, which covers
+    all its members. Files are swept apart, with what regions of earlier files covered in the round before, until nothing
+    changes: the first files are right after one round, those they cover after the next, and so on, so the end is that of
+    one long sweep.
+    """
+    nothing = segments.withColumn("from", F.lit(None).cast("long"))
+    found = written(_scan(nothing), "clone-regions")
+    state = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("head", "path", "place") % 1_000_000_007)).first()
+    seen = state(found)
+    while True:
+        # of a head there are as many offsets as regions cut into one stretch: few
+        earliest = found.groupBy("head", "offset").agg(F.min("path").alias("_path"))
+        covered = segments.join(earliest, "head").where("_path < path").groupBy("head", "path", "start").agg(F.min("offset").alias("from"))
+        found = written(_scan(segments.join(covered, ["head", "path", "start"], "left")), "clone-regions")
+        now = state(found)
+        if now == seen:
+            return found
+        seen = now
+
+
+def _repeats(files: DataFrame, size: int, least_lines: int) -> tuple[DataFrame, DataFrame]:
+    """(repeated windows, segments with tokens), both written."""
+    repeated = written(_repeating(windows(files, size)), "clone-windows")
+    members = written(independent_windows(_long_enough(repeated, least_lines), size).select("path", "place", "h"), "clone-members")
+    segments = written(_segments(members), "clone-segments")
+    lengths = _lengths(segments, repeated, size)
+    return repeated, written(segments.join(lengths, "head"), "clone-segments")
+
+
+def maximal_repeats(files: DataFrame, size: int = 50, least_lines: int = 5) -> DataFrame:
+    """(path, start, tokens, copies): the places of repeated windows whose members do not all move on from one window before.
+
+    Members are independent occurrences of a window that stretches over least_lines lines or more; tokens is how far all of
+    them are alike inside their runs, and copies how many there are.
+    """
+    segments = _repeats(files, size, least_lines)[1]
+    copies = segments.groupBy("head").agg(F.count("*").alias("copies"))
+    return segments.join(copies, "head").select("path", "start", "tokens", "copies")
+
+
+def clone_groups(files: DataFrame, size: int = 50, least_lines: int = 5) -> DataFrame:
+    """(clone, tokens, path, start, stop, line, end_line): a row for each member of each region of repeated tokens.
+
+    A region's members are the independent occurrences of a window that stretches over least_lines lines or more; it is as
+    long as all of them stay alike inside their runs. Windows are taken in the order of paths (UTF-8) and places, and those
+    inside an earlier region begin none. clone is (path, place) of the window that began the region; start and stop are
+    places of tokens, from 1. The same path in several rows of files is an error of the caller's. No files: no rows.
+    """
+    repeated, segments = _repeats(files, size, least_lines)
+    seeds = _regions(segments).select("head", "offset", F.struct("path", "place").alias("clone"))
+    found = seeds.join(segments, "head").select("clone", (F.col("tokens") - F.col("offset")).alias("tokens"), "path", (F.col("start") + F.col("offset")).alias("start"), (F.col("start") + F.col("tokens") - 1).alias("stop"))
+    begins = repeated.select("path", F.col("place").alias("start"), "line")
+    ends = repeated.select("path", (F.col("place") + (size - 1)).alias("stop"), "end_line")
+    return found.join(begins, ["path", "start"]).join(ends, ["path", "stop"]).select("clone", "tokens", "path", "start", "stop", "line", "end_line")
+
+
 def clone_findings(groups: DataFrame) -> DataFrame:
     """groups (clone, tokens, file, symbol, start, stop), a row for each copy -> (key, clone, copies, lines, message).
 
     The key names the files, with the function where there is one, of all copies, and from the second clone with the
-    same names on its number in the order of clone. lines are those of all copies together.
+    same names on its number in the order of clone. start and stop are lines; lines are those of all copies together.
     """
     member = F.concat("file", F.when(F.coalesce("symbol", F.lit("")) != "", F.concat(F.lit("::"), "symbol")).otherwise(""))
     each = groups.groupBy("clone", "tokens").agg(clone_key(F.collect_list(member)).alias("base"), F.count("*").alias("copies"), F.sum(F.col("stop") - F.col("start") + 1).cast("long").alias("lines"))
@@ -86,12 +264,12 @@ def clone_findings(groups: DataFrame) -> DataFrame:
 
 
 def clone_regions(files: DataFrame, size: int = 50) -> DataFrame:
-    """(path, start, tokens, copies): maximal runs of windows that repeat together.
+    """(path, start, tokens, copies): maximal runs of windows that repeat equally often.
 
     Windows that follow each other in a file belong to one region while they repeat equally often; the region of n
     windows has n + size - 1 tokens. Gaps and islands by file, in place order.
     """
-    found = windows(files, size)
+    found = _repeating(windows(files, size)).select("path", "place", "h")
     counts = found.groupBy("h").agg(F.count("*").alias("copies")).where("copies > 1")
     marked = found.join(counts, "h")
     order = Window.partitionBy("path").orderBy("place")

@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.python_facts import facts
-from plumbline.functions.scalars import glob_any, tokens
+from plumbline.functions.scalars import glob_any, short_id, tokens
 from plumbline.operators import clones, coverage, files, graph, policy, resolve, scopes
 from plumbline.operators.tables import written
 from plumbline.sources import config as configuration
 from plumbline.sources.tree import read_tree
 
-FACTS = """path string, error string, imports array<struct<specifier: string, line: int, kind: string>>,
+FACTS = """path string, error string, imports array<struct<specifier: string, line: int, kind: string>>, spans array<struct<line: int, end_line: int>>,
     functions array<struct<name: string, line: int, end_line: int, cyclomatic: double, cognitive: double, nesting_depth: double, function_lines: double, parameter_count: double>>"""
 FUNCTION_METRICS = {"cyclomatic": "complexity.cyclomatic", "cognitive": "complexity.cognitive", "nesting_depth": "complexity.nesting_depth", "function_lines": "size.function_lines", "parameter_count": "size.parameter_count"}
 
@@ -31,23 +31,44 @@ class Report:
 
 
 def python_facts(sources: DataFrame) -> DataFrame:
-    """(path, error, imports, functions) of each Python file; a file that cannot be parsed is a row with its error."""
+    """(path, error, imports, spans, functions) of each Python file; a file that cannot be parsed is a row with its error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [facts(code) for code in batch["code"]]
-            yield pd.DataFrame({"path": batch["path"], "error": [f["error"] for f in found], "imports": [f["imports"] for f in found], "functions": [f["functions"] for f in found]})
+            yield pd.DataFrame({"path": batch["path"], "error": [f["error"] for f in found], "imports": [f["imports"] for f in found], "spans": [f["spans"] for f in found], "functions": [f["functions"] for f in found]})
 
     return sources.select("path", "code").mapInPandas(run, FACTS)
 
 
+def named_functions(parsed: DataFrame) -> DataFrame:
+    """parsed (path, functions) -> (path, symbol, line, end_line, and five numbers) of each function."""
+    functions = parsed.select("path", F.posexplode("functions").alias("n", "f")).select("path", "n", "f.*")
+    return scopes.symbol_ordinals(functions, ["path"], "name", ["line", "n"])
+
+
 def function_measurements(parsed: DataFrame) -> DataFrame:
     """parsed (path, functions) -> (key, metric, value), five of each function."""
-    functions = parsed.select("path", F.posexplode("functions").alias("n", "f")).select("path", "n", "f.*")
-    named = scopes.symbol_ordinals(functions, ["path"], "name", ["line", "n"]).withColumn("key", F.concat_ws("::", "path", "symbol"))
+    named = named_functions(parsed).withColumn("key", F.concat_ws("::", "path", "symbol"))
     return named.unpivot(["key"], list(FUNCTION_METRICS), "metric", "value").replace(FUNCTION_METRICS, subset=["metric"])
 
 
+def clone_findings(sources: DataFrame, functions: DataFrame, config: dict) -> DataFrame:
+    """sources (path, code, spans) and functions (path, symbol, line, end_line) -> a finding for each region of copies.
+
+    A copy is named after the innermost function around its first line. current is the lines of all copies; there is no
+    threshold of its own, and severity and blocking are those of the density.
+    """
+    groups = clones.clone_groups(sources, config["clones"]["minTokens"], config["clones"]["minLines"])
+    places = groups.select("path", F.col("line").alias("point_id"), F.col("line").alias("at")).distinct()
+    spans = functions.select("path", F.col("symbol").alias("span_id"), F.col("line").alias("start"), F.col("end_line").alias("stop"))
+    owners = scopes.enclosing_span(places, spans, "path").select("path", F.col("point_id").alias("line"), F.col("span_id").alias("symbol"))
+    copies = groups.join(owners, ["path", "line"], "left").select("clone", "tokens", F.col("path").alias("file"), "symbol", F.col("line").alias("start"), F.col("end_line").alias("stop"))
+    policy_of, rule = config["policies"]["duplication.token_clone_density"], "duplication.token_clone"
+    found = clones.clone_findings(copies)
+    return found.select(short_id(F.lit(rule), F.col("key")).alias("finding_id"), F.lit(rule).alias("rule"), "key", F.col("lines").cast("double").alias("current"), F.lit(None).cast("double").alias("threshold"), F.lit(policy_of["severity"]).alias("severity"), F.lit(policy_of["blocking"]).alias("blocking"), "message")
+
+
 def check_files(sources: DataFrame, config: dict | None = None, lcov: DataFrame | None = None, changed: DataFrame | None = None) -> Report:
     """sources (path, code) -> the report. Excluded before included; other languages are measured by file only.
 
@@ -59,7 +80,9 @@ def check_files(sources: DataFrame, config: dict | None = None, lcov: DataFrame
 
     measured = function_measurements(parsed)
     size = taken.join(parsed.where("error is not null").select("path"), "path", "left_anti").select(F.col("path").alias("key"), F.lit("size.file_tokens").alias("metric"), F.size(tokens(F.col("code"))).cast("double").alias("value"))
-    density = clones.clone_density(taken, config["clones"]["minTokens"], config["clones"]["minLines"]).select(F.lit("repository").alias("key"), F.lit("duplication.token_clone_density").alias("metric"), F.col("density").alias("value"))
+    cloned = taken.select("path", "code").join(parsed.select("path", "spans"), "path", "left")
+    share = written(clones.clone_density(cloned, config["clones"]["minTokens"], config["clones"]["minLines"]), "density")  # one row
+    density = share.select(F.lit("repository").alias("key"), F.lit("duplication.token_clone_density").alias("metric"), F.col("density").alias("value"))
 
     imports = parsed.select("path", F.posexplode("imports").alias("seq", "i")).select("path", "seq", "i.*")
     resolved = written(resolve.resolve_python(imports, taken.where("language = 'Python'")), "imports")
@@ -76,6 +99,9 @@ def check_files(sources: DataFrame, config: dict | None = None, lcov: DataFrame
     loops = graph.cycles(edges).select("cycle_key", "members").distinct()
     found = policy.threshold_findings(measurements, configuration.policies(spark, config))
     found = found.unionByName(loops.select(*rules("dependency.cycle", F.col("cycle_key"), F.concat(F.lit("a cycle of "), F.col("members").cast("string"), F.lit(" modules")))))
+    limit, measured_share = config["policies"]["duplication.token_clone_density"], share.first()["density"]
+    if limit["enabled"] and measured_share is not None and measured_share > limit["threshold"]:
+        found = found.unionByName(clone_findings(cloned, named_functions(parsed), config))
     if config["layers"]:
         owners = taken.select(F.col("path").alias("node"), graph.owner(F.col("path"), [(x["name"], x["include"]) for x in config["layers"]]).alias("layer"))
         broken = graph.layer_violations(edges, owners, {x["name"]: x["mayDependOn"] for x in config["layers"]})

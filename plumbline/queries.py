@@ -219,15 +219,41 @@ def q_clone_windows(spark, d):
     toks as (select path, no, unnest({TOKENS}) as t, generate_subscripts({TOKENS}, 1) as k from lines),
     per as (select path, list(t order by no, k) as t, list(no order by no, k) as n from toks group by path),
     wins as (select path, i as place, n[i] as line, n[i + 49] as end_line, sha256(array_to_string(t[i:i + 49], chr(0))) as h from (select *, unnest(generate_series(1, len(t) - 49)) as i from per where len(t) >= 50) where n[i + 49] - n[i] + 1 >= 5),
-    own as (select h, path, list_reduce(list_prepend([0::bigint, -1000000000], list_transform(list(place order by place), lambda x: [0, x])), lambda a, b: case when b[2] - a[2] >= 50 then [a[1] + 1, b[2]] else a end)[1] as n from wins group by h, path),
-    rep as (select h from own group by h having sum(n) > 1),
-    cov as (select count(*) as c from (select distinct path, unnest(generate_series(line, end_line)) as line from wins where h in (select h from rep))),
+    own as (select h, path, list_reduce(list_prepend([]::bigint[], list_transform(list(place order by place), lambda x: [x])), lambda a, b: case when len(a) = 0 or b[1] - a[len(a)] >= 50 then list_append(a, b[1]) else a end) as kept from wins group by h, path),
+    rep as (select h from own group by h having sum(len(kept)) > 1),
+    cov as (select count(*) as c from (select distinct path, unnest(generate_series(line, end_line)) as line from wins join (select h, path, unnest(kept) as place from own where h in (select h from rep)) using (h, path, place))),
     tot as (select cast(sum({NONBLANK}) as bigint) as t from {DOCS})
     select c as duplicated_lines, t as total_lines, round(c / t * 100.0 * 100) / 100 as density from cov, tot""")
 def q_clone_density(spark, d):
     return clones.clone_density(documents(spark, d))
 
 
+_WINDOWS = f"""lines as (select path, unnest(string_split(code, chr(10))) as code, generate_subscripts(string_split(code, chr(10)), 1) as no from {DOCS}),
+    toks as (select path, no, unnest({TOKENS}) as t, generate_subscripts({TOKENS}, 1) as k from lines),
+    per as (select path, list(t order by no, k) as t, list(no order by no, k) as n from toks group by path),
+    wins as (select path, i as place, sha256(array_to_string(t[i:i + 49], chr(0))) as h from (select *, unnest(generate_series(1, len(t) - 49)) as i from per where len(t) >= 50) where n[i + 49] - n[i] + 1 >= 5),
+    own as (select h, path, list_reduce(list_prepend([]::bigint[], list_transform(list(place order by place), lambda x: [x])), lambda a, b: case when len(a) = 0 or b[1] - a[len(a)] >= 50 then list_append(a, b[1]) else a end) as kept from wins group by h, path),
+    mem as (select path, place, h, count(*) over (partition by h) as copies from (select h, path, unnest(kept) as place from own) qualify count(*) over (partition by h) > 1)"""
+
+
+@query(f"""with {_WINDOWS},
+    prev as (select m.h, count(*) as n, count(p.h) as known, min(p.h) as low, max(p.h) as high, any_value(p.copies) as before from mem m left join mem p on p.path = m.path and p.place = m.place - 1 group by m.h),
+    heads as (select * from mem where h not in (select h from prev where known = n and low = high and before = n)),
+    one as (select h, arg_min(path, (path, place)) as path, arg_min(place, (path, place)) as place from heads group by h),
+    grown as (select b.h, min(list_position(list_transform(list_zip(x.t[a.place:], y.t[b.place:]), lambda z: coalesce(z[1] = z[2], false)) || [false], false) - 1) as tokens
+        from heads b join one a on a.h = b.h join per x on x.path = a.path join per y on y.path = b.path where (a.path, a.place) <> (b.path, b.place) group by b.h)
+    select path, place as start, cast(tokens as bigint) as tokens, copies from heads join grown using (h)""")
+def q_clone_repeats(spark, d):
+    return clones.maximal_repeats(documents(spark, d))
+
+
+@query()
+def q_clone_groups(spark, d):
+    """Tested against one long sweep in plain Python; SQL would have to take the windows one after the other."""
+    found = clones.clone_groups(documents(spark, d))
+    return found.select(F.col("clone.path").alias("first_path"), F.col("clone.place").alias("first_start"), "tokens", "path", "start", "stop", "line", "end_line")
+
+
 @query(f"""with t as (select path, {TOKENS} as t from {DOCS}), w as (select path, i as place, sha256(array_to_string(t[i:i + 49], chr(0))) as h from (select path, t, unnest(generate_series(1, len(t) - 49)) as i from t where len(t) >= 50)),
     m as (select path, place, n as copies from (select *, count(*) over (partition by h) as n from w) where n > 1),
     r as (select *, sum(new) over (partition by path order by place) as run from (select *, case when place - lag(place) over o = 1 and copies = lag(copies) over o then 0 else 1 end as new from m window o as (partition by path order by place)))

@@ -178,3 +178,17 @@ def test_snapshots_follow_moves(spark, tmp_path):
     assert same.gate.first()["status"] == "failed"
     assert snapshots.gate_against(same, snapshots.against(spark, same, str(tmp_path), "main")[1]).first()["status"] == "passed"
     assert [(r["section"], r["rank"], r["key"], r["omitted"]) for r in snapshots.to_fix(now, 1).collect()] == [("hotspots", 1, "new.py::deep", 1)]
+
+
+def test_copied_functions_are_findings_and_imports_are_not(spark):
+    body = "(items):\n    total = 0\n    for item in items:\n        total += item * 2\n        total -= 1\n    return total\n"
+    imports = "import os\nfrom a.b import (\n    c,\n    d,\n)\nimport sys\n"
+    rows = [("a.py", imports + "\n\ndef alpha" + body), ("b.py", imports + "\n\nclass Beta:\n    def run(self):\n        pass\n\n\ndef beta" + body), ("c.txt", "words")]
+    sources = spark.createDataFrame(rows, "path string, code string")
+    rules = config.default_config() | {"clones": {"minTokens": 8, "minLines": 2}}
+    found = plan.check_files(sources, rules)
+    clone = [r for r in found.findings.collect() if r["rule"] == "duplication.token_clone"]
+    assert [(r["key"], r["current"], r["threshold"], r["blocking"]) for r in clone] == [("clone:a.py::alpha|b.py::beta", 10.0, None, True)]
+    assert clone[0]["message"] == "The same 17-token block appears in 2 locations, 10 lines in all"
+    rules["policies"]["duplication.token_clone_density"] = dict(rules["policies"]["duplication.token_clone_density"], threshold=100.0)
+    assert not plan.check_files(sources, rules).findings.where("rule = 'duplication.token_clone'").count()
