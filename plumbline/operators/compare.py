@@ -9,14 +9,15 @@ from plumbline.operators.tables import fresh
 
 
 def compare_measurements(current: DataFrame, previous: DataFrame, keys: list[str]) -> DataFrame:
-    """Each current row with baseline, delta and classification; all three null where there is no measured baseline.
+    """Each current row with baseline, delta and classification; all three null where either side has no measured value.
 
     Of previous rows with the same keys the last one (largest ord) counts; both sides have keys and value.
     """
     last = previous.groupBy(*keys).agg(F.max_by("value", "ord").alias("baseline"))
+    baseline = F.when(F.col("value").isNotNull(), F.col("baseline"))
     delta = F.col("value") - F.col("baseline")
     kind = F.when(delta > 0, "worsened").when(delta < 0, "improved").when(delta == 0, "existing")
-    return current.join(last, keys, "left").select(*keys, "value", "baseline", delta.alias("delta"), kind.alias("classification"))
+    return current.join(last, keys, "left").select(*keys, "value", baseline.alias("baseline"), delta.alias("delta"), kind.alias("classification"))
 
 
 def compare_findings(current: DataFrame, previous: DataFrame, keys: list[str], measured: DataFrame | None = None) -> DataFrame:

@@ -2,33 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import percent
+from plumbline.operators.scopes import carried
 from plumbline.operators.tables import fresh
 
 
+def _whole(text: Column) -> Column:
+    """A whole number of 64 bits; null for any other text, also for one that is too large."""
+    return F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("bigint"))
+
+
 def lcov_entries(lines: DataFrame) -> DataFrame:
     """lines (report, no, text) -> (report, source, kind, line, branch, hits): DA and BRDA entries of each record.
 
     A record begins with SF and ends with end_of_record or the end of the report; one that another SF cuts off is
-    dropped. Entries outside of records and those with bad numbers are skipped; of several DA entries for a line the last
-    counts; a taken count that is no number is null. Carriage returns at the end of lines do not count.
+    dropped. Entries outside of records and those with bad or too large numbers are skipped; of several DA entries for a
+    line the last counts; a taken count that is no number is null. Carriage returns at the end of lines do not count. What
+    record a line is in is carried along blocks of lines, so that one huge report is many tasks.
     """
     read = lines.select("report", "no", F.regexp_replace("text", r"\r+$", "").alias("text"))
-    order = Window.partitionBy("report").orderBy("no")
-    before, after = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(1, Window.unboundedFollowing)
     begins, ends = F.col("text").startswith("SF:"), F.col("text") == "end_of_record"
     named = F.when(begins, F.expr("substring(text, 4)")).when(ends, F.lit(""))
-    placed = read.withColumn("source", F.last(named, ignorenulls=True).over(before)).withColumn("record", F.sum(begins.cast("int")).over(before))
-    placed = placed.withColumn("next", F.first(F.when(begins, "SF").when(ends, "end"), ignorenulls=True).over(after)).where("source <> '' and coalesce(next, 'end') = 'end'")
-    whole = r"[+-]?\d+"
-    da = placed.where(F.col("text").rlike(rf"^DA:{whole},{whole}(,.*)?$")).select("report", "record", "source", "no", F.regexp_extract("text", rf"^DA:({whole})", 1).cast("int").alias("line"), F.regexp_extract("text", rf"^DA:{whole},({whole})", 1).cast("long").alias("hits"))
-    last = da.groupBy("report", "record", "source", "line").agg(F.max_by("hits", "no").alias("hits")).select("report", "source", F.lit("line").alias("kind"), "line", F.lit(None).cast("string").alias("branch"), "hits")
-    taken = F.regexp_extract("text", rf"^BRDA:{whole},[^,]*,[^,]*,([^,]*)", 1)
-    br = placed.where(F.col("text").rlike(rf"^BRDA:{whole}(,.*)?$")).select("report", "source", F.lit("branch").alias("kind"), F.regexp_extract("text", rf"^BRDA:({whole})", 1).cast("int").alias("line"), F.regexp_extract("text", rf"^BRDA:{whole},([^,]*,[^,]*)", 1).alias("branch"), F.when(taken.rlike(rf"^{whole}$"), taken).cast("long").alias("hits"))
-    return last.unionByName(br)
+    placed = carried(read, "report", "no", {"source": named}, {"record": begins}, {"next": F.when(begins, "SF").when(ends, "end")})
+    kind = F.when(F.col("text").startswith("DA:"), "line").when(F.col("text").startswith("BRDA:"), "branch")
+    inside = placed.where("source <> '' and coalesce(next, 'end') = 'end'").withColumn("kind", kind).where("kind is not null")
+    fields = inside.withColumn("f", F.split(F.regexp_replace("text", "^[A-Z]+:", ""), ","))
+    is_line = F.col("kind") == "line"
+    branch = F.when(~is_line, F.when(F.size("f") > 2, F.concat_ws(",", F.get("f", 1), F.get("f", 2))).otherwise(""))
+    read = fields.select("report", "record", "source", "no", "kind", _whole(F.get("f", 0)).alias("line"), branch.alias("branch"), _whole(F.when(is_line, F.get("f", 1)).otherwise(F.get("f", 3))).alias("hits"))
+    good = read.where(F.col("line").isNotNull() & (~is_line | F.col("hits").isNotNull()))
+    each = good.groupBy("report", "record", "source", "kind", "line", "branch", F.when(~is_line, F.col("no")).alias("_entry"))  # branch entries stay apart
+    return each.agg(F.max_by("hits", "no").alias("hits")).select("report", "source", "kind", "line", "branch", "hits")
 
 
 def covered(entries: DataFrame, by: list[str]) -> DataFrame:
@@ -43,19 +50,21 @@ def on_changed_lines(entries: DataFrame, changed: DataFrame) -> DataFrame:
     return entries.join(changed.select("source", "line"), ["source", "line"], "left_semi")
 
 
+#: Fixed value: the header of a hunk in a unified diff, with the start and count of its new lines.
+HUNK = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
+
+
 def added_lines(lines: DataFrame) -> DataFrame:
     """lines (diff, no, text) -> (diff, file, line) of added lines.
 
-    '+++ b/x' names the file, any other '+++ ' clears it. A hunk's missing count is 1, and a count of 0 adds nothing.
+    '+++ b/x' names the file, any other '+++ ' clears it. A hunk's missing count is 1, and a count of 0 adds nothing; one
+    with a number of more than 64 bits is skipped. The file is carried along blocks of lines.
     """
     lines = lines.select("diff", "no", F.regexp_replace("text", r"\r+$", "").alias("text"))
-    order = Window.partitionBy("diff").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
     named = F.when(F.col("text").startswith("+++ b/"), F.expr("substring(text, 7)")).when(F.col("text").startswith("+++ "), F.lit(""))
-    hunk = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
-    at = lines.withColumn("file", F.last(named, ignorenulls=True).over(order)).where(F.col("text").rlike(hunk) & (F.col("file") != ""))
-    start = F.regexp_extract("text", hunk, 1).cast("int")
-    count = F.coalesce(F.expr(f"try_cast(nullif(regexp_extract(text, '{hunk}', 2), '') as int)".replace("\\", "\\\\")), F.lit(1))
-    sized = at.select("diff", "file", start.alias("start"), count.alias("n")).where("n > 0")
+    at = carried(lines, "diff", "no", {"file": named}, {}, {}).where(F.col("text").rlike(HUNK) & (F.col("file") != ""))
+    start, count = (F.regexp_extract("text", HUNK, i) for i in (1, 2))
+    sized = at.select("diff", "file", _whole(start).alias("start"), F.when(count == "", F.lit(1)).otherwise(_whole(count)).alias("n")).where("n > 0 and start is not null")
     return sized.select("diff", "file", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("line"))
 
 
@@ -90,10 +99,16 @@ def measurements(entries: DataFrame, changed: DataFrame | None = None) -> DataFr
 
     changed (source, line) adds those of the changed lines, for files that it names.
     """
-    sets = [(entries, False)] + ([(on_changed_lines(entries, changed), True)] if changed is not None else [])
-    out = None
-    for rows, is_changed in sets:
-        kinds = F.create_map(*[F.lit(x) for (k, c), m in METRICS.items() if c == is_changed for x in (k, m)])
-        found = covered(rows, ["source"]).select(kinds[F.col("kind")].alias("metric"), F.col("source").alias("key"), F.col("percent").alias("value"))
-        out = found if out is None else out.unionByName(found)
-    return out
+    known = (F.col("kind") == "line") | F.col("hits").isNotNull()
+    hit = known & (F.col("hits") > 0)
+    if changed is None:
+        marked = entries.withColumn("_changed", F.lit(False))
+    else:
+        lines = changed.select("source", "line").distinct().withColumn("_changed", F.lit(True))
+        marked = entries.join(lines, ["source", "line"], "left").withColumn("_changed", F.coalesce("_changed", F.lit(False)))
+    on = F.col("_changed")
+    counts = marked.groupBy("source", "kind").agg(F.count_if(hit).alias("c"), F.count_if(known).alias("t"), F.count_if(hit & on).alias("cc"), F.count_if(known & on).alias("tc"), F.count_if(on).alias("nc"))
+    names = F.create_map(*[F.lit(x) for (k, c), m in METRICS.items() for x in (f"{k} {c}".lower(), m)])
+    row = lambda is_changed, c, t: F.struct(names[F.concat("kind", F.lit(f" {is_changed}".lower()))].alias("metric"), percent(F.col(c), F.col(t)).alias("value"))
+    both = F.when(F.col("nc") > 0, F.array(row(False, "c", "t"), row(True, "cc", "tc"))).otherwise(F.array(row(False, "c", "t")))
+    return counts.select("source", F.explode(both).alias("m")).select("m.metric", F.col("source").alias("key"), "m.value")

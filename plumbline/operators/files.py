@@ -65,9 +65,12 @@ def evidence(rows: DataFrame, column: str, fields: dict[str, str]) -> DataFrame:
 
 
 def snapshot_digest(files: DataFrame) -> DataFrame:
-    """One row (files, digest): equal for equal sets of (path, content), whatever the order; partial results combine.
+    """One row (files, digest): equal for equal collections of (path, content), whatever the order; partial results combine.
 
-    The digest is the exclusive or of the first 60 bits of a SHA-256 of each file's path and content hash.
+    Each file's path and content hash give a SHA-256, whose eight lanes of 32 bits are added up apart (exactly, in
+    decimals); the digest is the SHA-256 of the sums. Repeated rows count each: they do not cancel.
     """
-    each = F.sha2(F.concat_ws("\0", "path", F.sha2("code", 256)).cast("binary"), 256)
-    return files.select(F.conv(F.substring(each, 1, 15), 16, 10).cast("long").alias("h")).agg(F.count("*").alias("files"), F.bit_xor("h").alias("digest"))
+    each = files.select(F.sha2(F.concat_ws("\0", "path", F.sha2("code", 256)).cast("binary"), 256).alias("h"))
+    lanes = [F.conv(F.substring("h", 1 + 8 * i, 8), 16, 10).cast("decimal(20, 0)") for i in range(8)]
+    sums = each.agg(F.count("*").alias("files"), *[F.coalesce(F.sum(x), F.lit(0)).cast("string").alias(f"l{i}") for i, x in enumerate(lanes)])
+    return sums.select("files", F.sha2(F.concat_ws("-", *[f"l{i}" for i in range(8)]).cast("binary"), 256).alias("digest"))

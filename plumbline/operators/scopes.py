@@ -8,6 +8,33 @@ from pyspark.sql import functions as F
 from plumbline.operators.tables import written
 
 
+def carried(rows: DataFrame, by: str, no: str, last: dict[str, Column], counts: dict[str, Column], ahead: dict[str, Column], size: int = 1 << 16) -> DataFrame:
+    """rows with what is carried along each key's order of no (a whole number), however many rows a key has.
+
+    last: the last value up to a row that is not null; counts: how often a condition held up to a row; ahead: the first
+    value behind a row that is not null. A segmented scan: blocks of size places are scanned apart, and each gets the
+    state of the blocks before (or behind) it, one row for each block; so one huge key is many tasks. A null key is one.
+    """
+    values = [*last.values(), *counts.values(), *ahead.values()]
+    cols = [f"_v{i}" for i in range(len(values))]
+    kinds = ["last"] * len(last) + ["count"] * len(counts) + ["ahead"] * len(ahead)
+    marked = rows.select("*", F.expr(f"`{no}` div {size}").alias("_block"), *[v.alias(c) for v, c in zip(values, cols)])
+    place = lambda c: F.when(F.col(c).isNotNull(), F.col(no))
+    ends = {"last": lambda c: F.max_by(c, place(c)), "count": lambda c: F.count_if(F.col(c)), "ahead": lambda c: F.min_by(c, place(c))}
+    blocks = marked.groupBy(F.col(by).alias("_by"), F.col("_block").alias("_at")).agg(*[ends[k](c).alias(c) for k, c in zip(kinds, cols)])
+    order = Window.partitionBy("_by").orderBy("_at")
+    before, behind = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    outer = {"last": lambda c: F.last(c, ignorenulls=True).over(before), "count": lambda c: F.coalesce(F.sum(c).over(before), F.lit(0)), "ahead": lambda c: F.first(c, ignorenulls=True).over(behind)}
+    states = blocks.select("_by", "_at", *[outer[k](c).alias(f"{c}s") for k, c in zip(kinds, cols)])
+    own = Window.partitionBy(by, "_block").orderBy(no)
+    upto, after = own.rowsBetween(Window.unboundedPreceding, 0), own.rowsBetween(1, Window.unboundedFollowing)
+    inner = {"last": lambda c: F.last(c, ignorenulls=True).over(upto), "count": lambda c: F.count_if(F.col(c)).over(upto), "ahead": lambda c: F.first(c, ignorenulls=True).over(after)}
+    local = marked.select("*", *[inner[k](c).alias(f"{c}l") for k, c in zip(kinds, cols)])
+    joined = local.join(states, F.col(by).eqNullSafe(F.col("_by")) & F.col("_block").eqNullSafe(F.col("_at")))
+    found = [(F.col(f"{c}l") + F.col(f"{c}s") if k == "count" else F.coalesce(f"{c}l", f"{c}s")).alias(n) for n, k, c in zip([*last, *counts, *ahead], kinds, cols)]
+    return joined.select(*[F.col(f"`{c}`") for c in rows.columns], *found)
+
+
 def symbol_ordinals(functions: DataFrame, by: list[str], name: str, order: list[str]) -> DataFrame:
     """Adds symbol: the name, with #n from its second occurrence on."""
     n = F.row_number().over(Window.partitionBy(*by, name).orderBy(*order))

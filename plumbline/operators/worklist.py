@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import excess, glob_any
+from plumbline.operators.tables import written
 
 
 def kept(findings: DataFrame, rules: list[str] = (), paths: list[str] = ()) -> DataFrame:
@@ -32,6 +33,43 @@ def places(findings: DataFrame) -> DataFrame:
     return findings.groupBy("section", "key").agg(F.count_distinct("rule").alias("rules"), F.max(excess(F.col("current"), F.col("threshold"))).alias("excess"))
 
 
+def nested(findings: DataFrame) -> DataFrame:
+    """findings (file, symbol, line, rule, current, threshold) -> (file, symbol, line, parent, root, depth, trail, rules, excess) of each place.
+
+    A place is a function (symbol) of a file, or a file (null or empty symbol). A function is folded into the longest one
+    of the same file that has findings and whose dotted name begins its own; a file takes no functions in. rules counts
+    the different rules of a place and of the places folded directly into it; excess is the largest of all that is folded
+    into it at any depth. root and depth name the outermost place and the steps to it, trail has (line, symbol) of all of
+    them and of the place. Rows of a place with several lines
+    have the first one's; null files are one file. Only names are compared, so functions of one file meet nowhere.
+    """
+    symbol = F.coalesce("symbol", F.lit(""))
+    rows = findings.select("file", symbol.alias("symbol"), "line", "rule", excess(F.col("current"), F.col("threshold")).alias("excess"))
+    own = rows.groupBy("file", "symbol").agg(F.min("line").alias("line"), F.collect_set("rule").alias("rules"), F.max("excess").alias("excess"))
+    own = written(own.withColumn("file", F.coalesce("file", F.lit(""))), "places")
+    parts = F.split("symbol", r"\.")
+    outer = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "."))
+    prefixes = own.where(F.size(parts) > 1).select("file", "symbol", F.explode(outer).alias("above"))
+    # every place above, the nearest last: names are short, so this is the whole chain of each place
+    above = prefixes.join(own.where("symbol <> ''").select("file", F.col("symbol").alias("above"), F.col("line").alias("_line")), ["file", "above"])
+    chain = above.groupBy("file", "symbol").agg(F.min_by("above", F.length("above")).alias("root"), F.max_by("above", F.length("above")).alias("parent"), F.count("*").alias("depth"), F.sort_array(F.collect_list(F.struct(F.length("above").alias("n"), F.col("_line").alias("line"), F.col("above").alias("symbol")))).alias("_up"))
+    placed = written(own.join(chain, ["file", "symbol"], "left"), "places")
+    direct = placed.where("parent is not null").select("file", F.col("parent").alias("symbol"), F.explode("rules").alias("rule"))
+    counted = direct.unionByName(placed.select("file", "symbol", F.explode("rules").alias("rule"))).groupBy("file", "symbol").agg(F.count_distinct("rule").alias("rules"))
+    inside = above.join(own.select("file", "symbol", "excess"), ["file", "symbol"]).select("file", F.col("above").alias("symbol"), "excess")
+    most = inside.unionByName(own.select("file", "symbol", "excess")).groupBy("file", "symbol").agg(F.max("excess").alias("excess"))
+    itself = F.array(F.struct("line", "symbol"))
+    trail = F.coalesce(F.concat(F.transform("_up", lambda x: F.struct(x["line"].alias("line"), x["symbol"].alias("symbol"))), itself), itself)
+    joined = placed.select("file", "symbol", "line", "parent", F.coalesce("root", "symbol").alias("root"), F.coalesce("depth", F.lit(0)).alias("depth"), trail.alias("trail"))
+    return joined.join(counted, ["file", "symbol"]).join(most, ["file", "symbol"])
+
+
+def nested_order(places: DataFrame) -> DataFrame:
+    """places of nested(): the outermost by rules and excess from the largest, file, line and symbol, each followed by what is folded into it, by line at each level."""
+    roots = places.where("depth = 0").select("file", F.col("symbol").alias("root"), F.struct((-F.col("rules")).alias("rules"), (-F.col("excess")).alias("excess"), "file", "line", "symbol").alias("_first"))
+    return places.join(roots, ["file", "root"]).orderBy("_first", "trail").drop("_first")
+
+
 def top_places(found: DataFrame, n: int) -> DataFrame:
     """The n first places of each section (0: all), by rules and excess from the largest, with rank and how many are left out.
 

@@ -2,18 +2,41 @@
 
 from __future__ import annotations
 
+import hashlib
+import sys
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions.scalars import stable_json
 from plumbline.operators import compare, policy, worklist
 from plumbline.plans.check import Report
 from plumbline.sources import baseline
+from plumbline.sources import config as configuration
+
+
+def identity(config: dict | None = None) -> dict:
+    """What has to be alike for a comparison: the analysers and the configuration."""
+    text = stable_json(config or configuration.default_config())
+    return {"adapters": {"python": ".".join(map(str, sys.version_info[:2]))}, "configHash": hashlib.sha256(text.encode()).hexdigest()}
+
+
+def incompatible(spark: SparkSession, root: str, name: str, config: dict | None = None) -> DataFrame:
+    """Diagnostics (code, severity, message, file, required): one row if the baseline was made by other analysers or settings, else none.
+
+    Nothing is to be compared with such a baseline, and the diagnostic makes the gate incomplete.
+    """
+    was, now = baseline.properties(spark, root, name), identity(config)
+    reasons = {"adapters": ("baseline.analyzers_incompatible", "language adapters differ from those of the baseline; make a new baseline"), "configHash": ("baseline.config_incompatible", "the configuration differs from that of the baseline; make a new baseline")}
+    rows = [(code, "error", message, "", True) for field, (code, message) in reasons.items() if was.get(field) != now[field]][:1]
+    return spark.createDataFrame(rows, "code string, severity string, message string, file string, required boolean")
 
 
-def save(report: Report, root: str, name: str, replace: bool = False) -> None:
-    """Measurements, findings and the files' hashes; comparison columns are never stored."""
+def save(report: Report, root: str, name: str, replace: bool = False, config: dict | None = None) -> None:
+    """Measurements, findings and the files' hashes, with what was analysed how; comparison columns are never stored."""
     hashes = report.files.select("path", F.sha2("code", 256).alias("hash"))
-    baseline.save({"measurements": report.measurements.select("metric", "key", "value"), "findings": report.findings.select("rule", "key", "current"), "files": hashes}, root, name, replace)
+    tables = {"measurements": report.measurements.select("metric", "key", "value"), "findings": report.findings.select("rule", "key", "current", "severity", "message"), "files": hashes}
+    baseline.save(tables, root, name, replace, identity(config))
 
 
 def _renamed(rows: DataFrame, renames: DataFrame) -> DataFrame:
@@ -27,15 +50,23 @@ def _renamed(rows: DataFrame, renames: DataFrame) -> DataFrame:
 def against(spark: SparkSession, report: Report, root: str, name: str) -> tuple[DataFrame, DataFrame]:
     """(measurements, findings) with baseline, delta and classification. Unedited moves are followed.
 
-    A finding's baseline is that of its measurement, else of the previous finding. Findings have severity and blocking
-    for the gate; both are null for resolved ones.
+    Of a baseline's measurements with one key the last stored counts. A finding's baseline is that of its measurement,
+    else of the previous finding. Findings have severity, blocking and message for the gate and reports; a resolved one has
+    those of the baseline, does not block, and says that it is resolved.
     """
     old = {t: baseline.load(spark, root, name, t) for t in ("measurements", "findings", "files")}
     renames = compare.infer_renames(report.files.select("path", F.sha2("code", 256).alias("hash")), old["files"])
-    measured = compare.compare_measurements(report.measurements.select("metric", "key", "value"), _renamed(old["measurements"], renames).withColumn("ord", F.lit(0)), ["metric", "key"])
+    before = _renamed(old["measurements"].withColumn("ord", F.monotonically_increasing_id()), renames)
+    measured = compare.compare_measurements(report.measurements.select("metric", "key", "value"), before, ["metric", "key"])
     baselines = measured.where("baseline is not null").select(F.col("metric").alias("rule"), "key", "baseline")
-    found = compare.compare_findings(report.findings.select("rule", "key", "current"), _renamed(old["findings"], renames), ["rule", "key"], baselines)
-    return measured, found.join(report.findings.select("rule", "key", "severity", "blocking").distinct(), ["rule", "key"], "left")
+    previous = _renamed(old["findings"], renames)
+    found = compare.compare_findings(report.findings.select("rule", "key", "current"), previous.select("rule", "key", "current"), ["rule", "key"], baselines)
+    now = report.findings.select("rule", "key", "severity", "blocking", "message").distinct()
+    gone = previous.select("rule", "key", F.col("severity").alias("_severity"), F.concat(F.lit("Resolved: "), "message").alias("_message")).distinct()
+    both = found.join(now, ["rule", "key"], "left").join(gone, ["rule", "key"], "left")
+    resolved = F.col("classification") == "resolved"
+    pick = lambda c, other: F.when(resolved, other).otherwise(F.col(c)).alias(c)
+    return measured, both.select(*found.columns, pick("severity", F.col("_severity")), pick("blocking", F.lit(False)), pick("message", F.col("_message")))
 
 
 def gate_against(report: Report, found: DataFrame) -> DataFrame:
