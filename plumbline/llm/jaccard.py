@@ -321,7 +321,7 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "d
     rank = F.struct(F.col("id").isNull().alias("no_id"), "id", "doc_id")
     first = classes.join(ids, "doc_id").groupBy("component_id").agg(F.min(rank)["doc_id"].alias(stays))
     kept = keyed.join(first.select(stays), F.col(key) == F.col(stays), "left_semi")
-    same = Window.partitionBy(key, own_id, own_text).orderBy(own_id)
+    same = Window.partitionBy(key).orderBy(key)  # as the join leaves the rows: texts are neither dealt nor sorted again
     once = kept.withColumn(place, F.row_number().over(same))
     wordless = own_id.isNull() & ~F.coalesce(own_text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     return once.where((F.col(place) == 1) | wordless).select(*[F.col(f"`{c}`") for c in names])
