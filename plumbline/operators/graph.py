@@ -33,44 +33,110 @@ def _spread(links: DataFrame, labels: DataFrame) -> DataFrame:
             return labels
 
 
-def cycles(edges: DataFrame) -> DataFrame:
-    """(cycle_key, members, member) of each strongly connected component of two or more nodes.
+def _trimmed(left: DataFrame) -> DataFrame:
+    """Links whose ends both have links in and out."""
+    starts, stops = left.select(F.col("b").alias("a")).distinct(), left.select(F.col("a").alias("b")).distinct()
+    return written(left.join(starts, "a", "left_semi").join(stops, "b", "left_semi"), "edges")
+
+
+def _contracted(left: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """(links, lines, rings) with nodes that have one link in and one out taken out, or None if there are none.
+
+    A line has (node, u, w): the nearest other nodes before and behind it; the node is in a cycle if u and w are in one, and
+    a link u -> w stands for the line. A ring, which has no other nodes, is a component itself: (node, label). Pointers
+    to both sides jump twice as far each round, so a line of n nodes takes log2(n) rounds.
+    """
+    ends = left.select(F.col("a").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(left.select(F.col("b").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+    single = ends.groupBy("node").agg(F.sum("o").alias("o"), F.sum("i").alias("i")).where("o = 1 and i = 1").select("node")
+    state = single.join(left.select(F.col("a").alias("node"), F.col("b").alias("w")), "node").join(left.select(F.col("b").alias("node"), F.col("a").alias("u")), "node")
+    state = written(state.select("node", "u", "w", F.col("node").alias("low"), F.lit(True).alias("open")), "lines")
+    if state.isEmpty():
+        return None
+    single, was, reach = state.select("node"), None, 1
+    while True:
+        ahead = state.select(F.col("node").alias("w"), F.col("w").alias("_w"), F.col("low").alias("_low"))
+        back = state.select(F.col("node").alias("u"), F.col("u").alias("_u"))
+        far = state.join(ahead, "w", "left").join(back, "u", "left")
+        state = written(far.select("node", F.coalesce("_u", "u").alias("u"), F.coalesce("_w", "w").alias("w"), F.least("low", "_low").alias("low"), F.col("_w").isNotNull().alias("open")), "lines")
+        now, reach = state.where("open").count(), 2 * reach
+        if not now or (now == was and reach >= now):  # what still has a pointer to its like is a ring
+            break
+        was = now
+    lines = state.where("not open").select("node", "u", "w")
+    rest = left.join(single.withColumnRenamed("node", "a"), "a", "left_anti").join(single.withColumnRenamed("node", "b"), "b", "left_anti")
+    return written(rest.select("a", "b").unionByName(lines.select(F.col("u").alias("a"), F.col("w").alias("b"))).distinct(), "edges"), lines, state.where("open").select("node", F.col("low").alias("label"))
+
 
-    Colouring: the smallest label spreads forwards; what reaches a label's own node backwards within its colour is that
-    node's component, which is taken out. Nodes without an edge in or out are trimmed first. Every round works on
-    the remaining edges and is a written table.
+def _core(left: DataFrame) -> DataFrame:
+    """(node, label) of some components of a graph by colouring.
+
+    The smallest label spreads forwards; what reaches a label's own node backwards within its colour is that node's
+    component. Each label finds one component, so many come out at once.
+    """
+    nodes = left.select(F.col("a").alias("node")).union(left.select("b")).distinct()
+    colour = _spread(left, nodes.withColumn("label", F.col("node")))
+    a, b = colour.select(F.col("node").alias("a"), F.col("label").alias("ca")), colour.select(F.col("node").alias("b"), F.col("label").alias("cb"))
+    inside = written(left.join(a, "a").join(b, "b").where("ca = cb").select("a", "b", "ca"), "edges")
+    back = inside.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    reach = colour.where("node = label")
+    while True:
+        more = back.join(reach.select(F.col("node").alias("a"), "label"), "a").select(F.col("b").alias("node"), "label")
+        new = written(reach.unionByName(more).distinct(), "reach")
+        grown = new.count() > reach.count()
+        reach = new
+        if not grown:
+            return reach
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(component, member) of each strongly connected component of two nodes or more; component is the smallest member.
+
+    Nodes without a link in or out are trimmed, and lines and rings of nodes with one link each way are contracted, in
+    turn until nothing changes; so long chains and rings of n nodes take log2(n) rounds and not n. What is left is
+    coloured. Every round is a written table. A null end or a link to itself counts for nothing.
     """
     left = written(edges.where("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct(), "edges")
-    found = None
+    found, taken = left.select(F.col("a").alias("node"), F.col("a").alias("label")).limit(0), []
     while not left.isEmpty():
-        while True:  # trim
-            inner = written(left.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(left.select(F.col("a").alias("b")).distinct(), "b", "left_semi"), "edges")
-            if inner.count() == left.count():
-                break
-            left = inner
+        size = None
+        while size != (size := left.count()) and size:
+            shorter = _contracted(_trimmed(left).where("a <> b"))
+            if shorter is None:
+                left = _trimmed(left).where("a <> b")
+                continue
+            left, lines, rings = shorter
+            left = left.where("a <> b")
+            taken.append(lines)
+            found = found.unionByName(rings)
+        left = written(left, "edges")
         if left.isEmpty():
             break
-        nodes = left.select(F.col("a").alias("node")).union(left.select("b")).distinct()
-        colour = _spread(left, nodes.withColumn("label", F.col("node")))
-        a, b = colour.select(F.col("node").alias("a"), F.col("label").alias("ca")), colour.select(F.col("node").alias("b"), F.col("label").alias("cb"))
-        inside = written(left.join(a, "a").join(b, "b").where("ca = cb").select("a", "b", "ca"), "edges")
-        back = inside.select(F.col("b").alias("a"), F.col("a").alias("b"))
-        reach = colour.where("node = label")
-        while True:
-            more = back.join(reach.select(F.col("node").alias("a"), "label"), "a").select(F.col("b").alias("node"), "label")
-            new = written(reach.unionByName(more).distinct(), "reach")
-            grown = new.count() > reach.count()
-            reach = new
-            if not grown:
-                break
-        found = reach if found is None else found.unionByName(reach)
+        reach = _core(left)
+        found = written(found.unionByName(reach), "components")
         out = reach.select("node")
         left = written(left.join(out.withColumnRenamed("node", "a"), "a", "left_anti").join(out.withColumnRenamed("node", "b"), "b", "left_anti"), "edges")
-    if found is None:
-        found = edges.select(F.col("src").alias("node"), F.col("src").alias("label")).limit(0)
-    # a module cycle has as many members as it has: its key names them all
-    keyed = found.groupBy("label").agg(F.sort_array(F.collect_set(F.col("node").cast("string"))).alias("m")).where("size(m) > 1")
-    return keyed.select(F.array_join("m", "|").alias("cycle_key"), F.size("m").cast("long").alias("members"), F.explode("m").alias("member"))
+    # a node that is alone in its colour has no cycle there; a line that begins and ends at it gives it one
+    found = written(found.join(found.groupBy("label").count().where("count > 1").select("label"), "label", "left_semi").select("node", "label"), "components")
+    for lines in reversed(taken):
+        label = lambda name: found.select(F.col("node").alias(name), F.col("label").alias(f"_{name}"))  # noqa: E731, B023
+        both = lines.join(label("u"), "u", "left").join(label("w"), "w", "left")
+        own = F.when(F.col("u") == F.col("w"), F.coalesce("_u", "u")).when(F.col("_u") == F.col("_w"), F.col("_u"))
+        new = written(both.select("node", "u", F.col("_u").isNull().alias("alone"), own.alias("label")).where("label is not null"), "components")
+        found = written(found.unionByName(new.select("node", "label")).unionByName(new.where("alone").select(F.col("u").alias("node"), "label").distinct()), "components")
+    smallest = found.groupBy("label").agg(F.min("node").alias("component"))
+    return found.join(smallest, "label").select("component", F.col("node").alias("member"))
+
+
+def cycle_keys(found: DataFrame) -> DataFrame:
+    """found of components() -> (component, cycle_key, members), a row for each. A cycle's key names all its members."""
+    named = found.groupBy("component").agg(F.sort_array(F.collect_set(F.col("member").cast("string"))).alias("m"))
+    return named.select("component", F.array_join("m", "|").alias("cycle_key"), F.size("m").cast("long").alias("members"))
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """(cycle_key, members, member) of each strongly connected component of two or more nodes, a row for each member."""
+    found = components(edges)
+    return found.join(cycle_keys(found), "component").select("cycle_key", "members", F.col("member").cast("string").alias("member"))
 
 
 def external_diagnostic(imports: DataFrame) -> DataFrame:

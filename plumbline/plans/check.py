@@ -96,7 +96,7 @@ def check_files(sources: DataFrame, config: dict | None = None, lcov: DataFrame
         measurements = measurements.unionByName(coverage.measurements(lcov, changed))
 
     rules = lambda rule, key, message: [F.sha2(F.concat_ws("\0", F.lit(rule), key), 256).substr(1, 20).alias("finding_id"), F.lit(rule).alias("rule"), key.alias("key"), F.lit(1.0).alias("current"), F.lit(0.0).alias("threshold"), F.lit("error").alias("severity"), F.lit(True).alias("blocking"), message.alias("message")]
-    loops = graph.cycles(edges).select("cycle_key", "members").distinct()
+    loops = graph.cycle_keys(graph.components(edges))
     found = policy.threshold_findings(measurements, configuration.policies(spark, config))
     found = found.unionByName(loops.select(*rules("dependency.cycle", F.col("cycle_key"), F.concat(F.lit("a cycle of "), F.col("members").cast("string"), F.lit(" modules")))))
     limit, measured_share = config["policies"]["duplication.token_clone_density"], share.first()["density"]

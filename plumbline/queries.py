@@ -177,6 +177,17 @@ def q_cycles(spark, d):
     return graph.cycles(steps.where("src <> dst and gap <= interval '25' second").select("src", "dst"))
 
 
+@query(f"""with recursive e as (select distinct u, v from ({_STEPS}) where u <> v and gap <= interval 10 second),
+    r(a, b) as (select u, v from e union select r.a, e.v from r join e on r.b = e.u),
+    c as (select x.a as member, x.b as other from r x join r y on x.a = y.b and x.b = y.a)
+    select min(other) as component, member from c group by member having count(*) > 1""")
+def q_cycle_components(spark, d):
+    """Users who follow each other within ten seconds: a sparse graph, with long lines between its cycles."""
+    w = "over (partition by event_type, date_trunc('hour', ts) order by ts, event_id)"
+    steps = table(spark, d, "events").selectExpr("user_id as dst", f"lag(user_id) {w} as src", f"ts - lag(ts) {w} as gap")
+    return graph.components(steps.where("src <> dst and gap <= interval '10' second").select("src", "dst"))
+
+
 LAYERS = [("english", ["**/en/**"]), ("romance", ["**/{fr,es}/**", "*.example.org/**"]), ("numbered", ["*/*/[0-9]*"]), ("rest", ["*.example.com/**"])]
 
 

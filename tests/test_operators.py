@@ -103,6 +103,19 @@ def test_cycles_equal_brute_force(spark, seed):
     assert got == {s for s in expected if len(s) > 1}
 
 
+def test_long_chains_and_rings(spark, monkeypatch):
+    """A chain and a ring of 10,000 nodes, a ring with chords, and a chain between two rings, in a few dozen rounds."""
+    n, rounds = 10_000, []
+    links = [(i, i + 1) for i in range(n)] + [(20_000 + i, 20_000 + (i + 1) % n) for i in range(n)]
+    links += [(40_000 + i, 40_000 + (i + 1) % 3000) for i in range(3000)] + [(40_000 + i, 40_000 + i + 700) for i in range(0, 2000, 500)]
+    links += [(50_000, 50_001), (50_001, 50_000), (60_000, 60_001), (60_001, 60_000), (50_000, 50_100)] + [(50_100 + i, 50_101 + i) for i in range(400)] + [(50_500, 60_000)]
+    links += [(70_000, 70_001), (70_001, 70_002), (70_002, 70_000), (70_000, 70_003), (70_003, 70_004), (70_004, 70_000)]  # two lines at one node
+    real = graph.written
+    monkeypatch.setattr(graph, "written", lambda df, tag: rounds.append(tag) or real(df, tag))
+    sizes = {r["component"]: r["n"] for r in graph.components(spark.createDataFrame(links, "src long, dst long")).groupBy("component").agg(F.count("*").alias("n")).collect()}
+    assert sizes == {20_000: n, 40_000: 3000, 50_000: 2, 60_000: 2, 70_000: 5} and len(rounds) < 80
+
+
 def test_no_cycles(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 3)], "src long, dst long")
     assert graph.cycles(edges).count() == 0
