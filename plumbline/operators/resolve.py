@@ -1,8 +1,8 @@
-"""Python imports to files: ranked candidates, one equi-join, and the best that exists."""
+"""Imports, includes and packages to files: ranked candidates, an equi-join with an index, and the best that exists."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -56,3 +56,143 @@ def resolve_python(imports: DataFrame, files: DataFrame) -> DataFrame:
     best = exists.groupBy("path", "specifier").agg(F.min_by("target", F.when((F.col("way") < 9) & ~itself, F.struct("rank", "way"))).alias("target"), F.count_if(F.col("way") == 9).alias("known"))
     kind = F.when(F.col("target").isNotNull(), "internal").when(F.col("specifier").startswith(".") | (F.col("known") > 0), "unresolved").otherwise("external")
     return imports.join(best, ["path", "specifier"], "left").withColumn("resolution", kind).drop("known")
+
+
+#: Salts of look-ups whose key may be that of most rows.
+SALTS = 16
+
+
+def _salted(asked: DataFrame, index: DataFrame, on: list[str], by: list[str]) -> DataFrame:
+    """asked left join index on the columns on; a key that most of asked has is dealt to SALTS tasks. index has a row for each key."""
+    wide = index.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return asked.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).join(wide, [*on, "_salt"], "left").drop("_salt")
+
+
+def clean_path(path: Column) -> Column:
+    """A path without empty parts, `.` and, where something stands before it, `..`; a leading slash stays."""
+    rooted = path.startswith("/")
+
+    def step(kept: Column, part: Column) -> Column:
+        up = F.coalesce(F.try_element_at(kept, F.lit(-1)) != "..", F.lit(False))
+        back = F.when(up, F.slice(kept, 1, F.size(kept) - 1)).when(rooted, kept).otherwise(F.concat(kept, F.array(part)))
+        return F.when((part == "") | (part == "."), kept).when(part == "..", back).otherwise(F.concat(kept, F.array(part)))
+
+    parts = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
+    return F.concat(F.when(rooted, "/").otherwise(""), F.array_join(parts, "/"))
+
+
+def suffix_index(files: DataFrame) -> DataFrame:
+    """files (path) -> (name, n, low, high, whole) for every trailing path of a file: how many end in it, the first and last of them, and whether it is one."""
+    parts = F.split("path", "/")
+    every = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+    names = files.select("path").distinct().select("path", F.explode(every).alias("name"))
+    return names.groupBy("name").agg(F.count("*").alias("n"), F.min("path").alias("low"), F.max("path").alias("high"), F.bool_or(F.col("name") == F.col("path")).alias("whole"))
+
+
+def resolve_includes(includes: DataFrame, files: DataFrame) -> DataFrame:
+    """includes (path, specifier) with target and resolution: internal, unresolved or external.
+
+    A quoted name is looked up beside its file, then from the root, then as the one file whose path ends in it; a name in
+    angle brackets likewise but for the first, and without a folder it is external. More than one file that ends in it:
+    unresolved. A file never includes itself. files are the C and C++ files to be found. The suffixes of all paths are
+    one index with counts, so a name that many files end in is one row of it; a null or too short specifier is external.
+    """
+    spec = F.regexp_replace(F.expr("substring(specifier, 2, length(specifier) - 2)"), r"\\", "/")
+    base = includes.select("path", "specifier").distinct().where(F.length("specifier") >= 3)
+    named = base.withColumn("quoted", F.col("specifier").startswith('"')).withColumn("name", clean_path(spec))
+    near = F.when(F.col("quoted"), clean_path(F.concat_ws("/", _folder(F.col("path")), spec)))
+    open_to_all = F.when(F.col("quoted") | F.col("name").contains("/"), F.col("name"))
+    asked = named.select("path", "specifier", F.explode(F.array(F.struct(F.lit(1).alias("way"), near.alias("name")), F.struct(F.lit(2).alias("way"), open_to_all.alias("name")))).alias("a")).select("path", "specifier", "a.*").where("name is not null")
+    found = _salted(asked, suffix_index(files), ["name"], ["path"]).where("n is not null")
+    itself, ends = F.col("path") == F.col("name"), (F.col("path") == F.col("name")) | F.col("path").endswith(F.concat(F.lit("/"), "name"))
+    known = F.col("whole") & ~itself
+    one_of = F.when(F.col("low") == F.col("path"), F.col("high")).otherwise(F.col("low"))
+    # the including file may be one that ends in the name; whether it was analysed shows in the index only if it is low or high of one or two
+    others = F.col("n") - F.when(ends & F.col("own"), 1).otherwise(0)
+    mine = files.select("path").distinct().withColumn("own", F.lit(True))
+    found = found.join(mine, "path", "left").withColumn("own", F.coalesce("own", F.lit(False)))
+    beside = F.when((F.col("way") == 1) & known, F.struct(F.lit(1).alias("r"), F.col("name").alias("target")))
+    root = F.when((F.col("way") == 2) & known, F.struct(F.lit(2).alias("r"), F.col("name").alias("target")))
+    tail = F.when((F.col("way") == 2) & (others > 0), F.struct(F.when(others == 1, 3).otherwise(4).alias("r"), F.when(others == 1, one_of).alias("target")))
+    best = found.groupBy("path", "specifier").agg(F.min(F.coalesce(beside, root, tail)).alias("best"))
+    kind = F.when(F.col("best.r") <= 3, "internal").when(F.col("best.r") == 4, "unresolved").otherwise("external")
+    return includes.join(best, ["path", "specifier"], "left").withColumn("target", F.col("best.target")).withColumn("resolution", kind).drop("best")
+
+
+def _prefixes(parts: Column, sep: str, most: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), most), lambda n: F.array_join(F.slice(parts, 1, n), sep))
+
+
+def nearest_modules(files: DataFrame, modules: DataFrame) -> DataFrame:
+    """files (path) and modules (folder, module) -> (path, module, package): the module of the nearest folder above that has one, or nulls.
+
+    The package is the module with the way down to the file's folder. Every folder is looked up once with all folders
+    above it: one equi-join, of which the longest match counts. Of a folder with several modules the smallest is taken.
+    """
+    folders = files.select(_folder(F.col("path")).alias("folder")).distinct()
+    parts = F.when(F.col("folder") == "", F.array().cast("array<string>")).otherwise(F.split("folder", "/"))
+    above = folders.select("folder", F.explode(_prefixes(parts, "/", F.size(parts))).alias("above"))
+    index = modules.groupBy(F.col("folder").alias("above")).agg(F.min("module").alias("module"))
+    found = _salted(above, index, ["above"], ["folder"]).where("module is not null")
+    best = found.groupBy("folder").agg(F.max(F.struct(F.length("above").alias("n"), "above", "module")).alias("b"))
+    rest = F.expr("substring(folder, if(b.n = 0, 1, b.n + 2))")
+    named = best.select("folder", F.col("b.module").alias("module"), F.when(rest == "", F.col("b.module")).otherwise(F.concat("b.module", F.lit("/"), rest)).alias("package"))
+    return files.select("path", _folder(F.col("path")).alias("folder")).join(named, "folder", "left").select("path", "module", "package")
+
+
+def resolve_packages(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """imports (path, specifier) by module rules, with target and resolution; files (path, module, package) of nearest_modules().
+
+    A package is imported by its first file in the order of names that is no test. What begins with an analysed module and
+    is no package is unresolved, all else external.
+    """
+    known = files.where("module is not null")
+    packages = known.where(~F.col("path").endswith("_test.go")).groupBy(F.col("package").alias("specifier")).agg(F.min("path").alias("target"))
+    parts = F.split("specifier", "/")
+    asked = imports.select("specifier").where("specifier is not null").distinct()
+    roots = known.select(F.col("module").alias("prefix")).distinct()
+    inside = asked.select("specifier", F.explode(_prefixes(parts, "/", F.size(parts))).alias("prefix")).join(roots, "prefix", "left_semi").select("specifier").distinct().withColumn("_inside", F.lit(True))
+    answers = asked.join(packages, "specifier", "left").join(inside, "specifier", "left")
+    kind = F.when(F.col("target").isNotNull(), "internal").when(F.col("_inside"), "unresolved").otherwise("external")
+    joined = _salted(imports, answers.withColumn("_kind", kind).drop("_inside"), ["specifier"], ["path"])
+    return joined.withColumn("resolution", F.coalesce("_kind", F.lit("external"))).drop("_kind")
+
+
+def resolve_classes(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """imports (path, specifier, kind, seq) by package declarations, with target and resolution; files are (path, package).
+
+    A declared name is split into a package and a class from the longest package on, so that nested classes and static
+    members resolve; several folders of one package are taken in order. A name of a known package that has no such class is
+    unresolved, `.*` and all else external. A name of kind implicit that has dots is looked up likewise, then its first
+    part in the file's own folder, in the other folders of its package, and in the packages that the file imports with
+    `.*`, in the order of seq; it is never unresolved. No file resolves to itself.
+    """
+    name = F.regexp_extract("path", r"([^/]*)\.java$", 1)
+    sources = files.where(F.col("path").endswith(".java")).select("path", _folder(F.col("path")).alias("folder"), F.coalesce("package", F.lit("")).alias("package"))
+    folders = sources.select("package", "folder").distinct()
+    classes = sources.select("folder", "path", name.alias("class")).distinct()
+    # of each class of a package the two first files answer every question, as one of them may be the one that asks
+    place = F.row_number().over(Window.partitionBy("package", "class").orderBy("folder"))
+    index = folders.join(classes, "folder").withColumn("_p", place).where("_p <= 2").groupBy("package", "class").agg(F.sort_array(F.collect_list(F.struct("folder", "path"))).alias("places"))
+
+    asked = imports.select("path", "specifier", "kind").distinct().where("specifier is not null and not endswith(specifier, '.*')")
+    parts, implicit = F.split("specifier", r"\."), F.col("kind") == "implicit"
+    split = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.struct(F.lit(0).alias("way"), (-n).alias("a"), F.array_join(F.slice(parts, 1, n), ".").alias("package"), F.get(parts, n).alias("class")))
+    named = asked.where(~implicit | (F.size(parts) > 1)).select("path", "specifier", "kind", F.explode(split).alias("q")).select("path", "specifier", "kind", "q.*")
+    hidden = asked.where(implicit).withColumn("class", F.get(parts, 0))
+    declared = files.select("path", F.coalesce("package", F.lit("")).alias("package")).distinct()
+    same = hidden.join(declared, "path").select("path", "specifier", "kind", F.lit(2).alias("way"), F.lit(0).alias("a"), "package", "class")
+    stars = imports.where("endswith(specifier, '.*')").select("path", F.col("seq").cast("int").alias("a"), F.expr("substring(specifier, 1, length(specifier) - 2)").alias("package"))
+    starred = hidden.join(stars, "path").select("path", "specifier", "kind", F.lit(3).alias("way"), "a", "package", "class")
+    tried = _salted(named.unionByName(same).unionByName(starred), index, ["package", "class"], ["path", "specifier"]).where("places is not null")
+    first = F.get(F.filter("places", lambda x: x["path"] != F.col("path")), 0)
+    tried = tried.withColumn("first", first).where("first is not null").select("path", "specifier", "kind", F.struct("way", "a", F.col("first.folder").alias("folder"), F.col("first.path").alias("target")).alias("rank"))
+    beside = hidden.withColumn("_folder", _folder(F.col("path"))).withColumn("_at", F.when(F.col("_folder") == "", F.concat("class", F.lit(".java"))).otherwise(F.concat("_folder", F.lit("/"), "class", F.lit(".java"))))
+    own = beside.join(files.select(F.col("path").alias("_at")).distinct(), "_at").where(F.col("_at") != F.col("path")).select("path", "specifier", "kind", F.struct(F.lit(1).alias("way"), F.lit(0).alias("a"), F.col("_folder").alias("folder"), F.col("_at").alias("target")).alias("rank"))
+    best = tried.unionByName(own).groupBy("path", "specifier", "kind").agg(F.min("rank")["target"].alias("target"))
+    outer = F.array_join(F.slice(parts, 1, F.size(parts) - 1), ".")
+    packages = folders.select("package").distinct()
+    known = asked.where(~implicit & (F.size(parts) > 1)).select("path", "specifier", "kind", outer.alias("package")).join(packages, "package", "left_semi").select("path", "specifier", "kind").withColumn("_known", F.lit(True))
+    joined = imports.join(best, ["path", "specifier", "kind"], "left").join(known, ["path", "specifier", "kind"], "left")
+    kind = F.when(F.col("target").isNotNull(), "internal").when(F.col("_known"), "unresolved").otherwise("external")
+    return joined.withColumn("resolution", kind).drop("_known")

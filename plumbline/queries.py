@@ -177,15 +177,15 @@ def q_cycles(spark, d):
     return graph.cycles(steps.where("src <> dst and gap <= interval '25' second").select("src", "dst"))
 
 
-@query(f"""with recursive e as (select distinct u, v from ({_STEPS}) where u <> v and gap <= interval 10 second),
+@query(f"""with recursive e as (select distinct u, v from ({_STEPS}) where u <> v and gap <= interval 40 second),
     r(a, b) as (select u, v from e union select r.a, e.v from r join e on r.b = e.u),
     c as (select x.a as member, x.b as other from r x join r y on x.a = y.b and x.b = y.a)
     select min(other) as component, member from c group by member having count(*) > 1""")
 def q_cycle_components(spark, d):
-    """Users who follow each other within ten seconds: a sparse graph, with long lines between its cycles."""
+    """Users who follow each other within 40 seconds."""
     w = "over (partition by event_type, date_trunc('hour', ts) order by ts, event_id)"
     steps = table(spark, d, "events").selectExpr("user_id as dst", f"lag(user_id) {w} as src", f"ts - lag(ts) {w} as gap")
-    return graph.components(steps.where("src <> dst and gap <= interval '10' second").select("src", "dst"))
+    return graph.components(steps.where("src <> dst and gap <= interval '40' second").select("src", "dst"))
 
 
 LAYERS = [("english", ["**/en/**"]), ("romance", ["**/{fr,es}/**", "*.example.org/**"]), ("numbered", ["*/*/[0-9]*"]), ("rest", ["*.example.com/**"])]
@@ -477,6 +477,78 @@ def q_external_imports(spark, d):
     return graph.external_diagnostic(resolve.resolve_python(*imports_of_suppliers(spark, d)))
 
 
+def source_files(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as files: a folder for each nation, one in it for each of seven modules, and at most fifty names."""
+    text = lambda c: c.cast("string")
+    path = F.concat(F.lit("r"), text(F.col("s_nationkey")), F.lit("/m"), text(F.col("s_suppkey") % 7), F.lit("/s"), text(F.col("s_suppkey") % 50), F.lit(".h"))
+    return table(spark, d, "supplier").select("s_suppkey", path.alias("path"))
+
+
+_FILES = "(select s_suppkey, 'r' || s_nationkey || '/m' || s_suppkey % 7 || '/s' || s_suppkey % 50 || '.h' as path from supplier)"
+
+
+def spelled(spark: SparkSession, d: str, *forms: str) -> DataFrame:
+    """(path, specifier) of each line item: its supplier's file, and one of the forms in turn, with x, y and n of the line item."""
+    cases = " ".join(f"when {i} then {form}" for i, form in enumerate(forms))
+    lines = table(spark, d, "lineitem").selectExpr("l_suppkey", "l_linenumber", "cast(l_partkey % 60 as string) as x", "cast(l_orderkey % 7 as string) as y", "cast(l_orderkey % 25 as string) as n")
+    return lines.join(source_files(spark, d), F.col("l_suppkey") == F.col("s_suppkey")).select("path", F.expr(f"case l_linenumber % {len(forms)} {cases} end").alias("specifier"))
+
+
+def _spelled_sql(*forms: str) -> str:
+    cases = " ".join(f"when {i} then {form}" for i, form in enumerate(forms))
+    return f"(select path, case l_linenumber % {len(forms)} {cases} end as specifier from (select l_suppkey, l_linenumber, l_partkey % 60 as x, l_orderkey % 7 as y, l_orderkey % 25 as n from lineitem) join {_FILES} on l_suppkey = s_suppkey)"
+
+
+INCLUDES = ("'\"s' || x || '.h\"'", "'\"../m' || y || '/s' || x || '.h\"'", "'<m' || y || '/s' || x || '.h>'", "'\"r' || n || '/m' || y || '/s' || x || '.h\"'", "'<s' || x || '.h>'")
+
+
+@query(f"""with f as (select distinct path from {_FILES}), i as (select path, specifier, count(*) as uses from {_spelled_sql(*INCLUDES)} group by all),
+    n as (select *, specifier[1] = '"' as quoted, specifier[2:-2] as name, regexp_replace(path, '/[^/]*$', '') as folder from i),
+    a as (select n.*, case when quoted then case when starts_with(name, '../') then regexp_replace(folder, '/[^/]*$', '') || name[3:] else folder || '/' || name end end as near from n),
+    g as (select a.path, specifier, uses, quoted or contains(name, '/') as open, min(f.path) filter (where f.path = near) as beside, min(f.path) filter (where f.path = name) as root, count(f.path) filter (where f.path = name or ends_with(f.path, '/' || name)) as ends, min(f.path) filter (where f.path = name or ends_with(f.path, '/' || name)) as one
+        from a left join f on f.path <> a.path and (f.path = near or f.path = name or ends_with(f.path, '/' || name)) group by a.path, specifier, uses, quoted, name)
+    select path, specifier, uses, case when beside is not null then beside when not open then null when root is not null then root when ends = 1 then one end as target,
+        case when beside is not null then 'internal' when not open then 'external' when root is not null or ends = 1 then 'internal' when ends > 1 then 'unresolved' else 'external' end as resolution from g""")
+def q_includes(spark, d):
+    found = resolve.resolve_includes(spelled(spark, d, *INCLUDES), source_files(spark, d))
+    return found.groupBy("path", "specifier", "target", "resolution").agg(F.count("*").alias("uses"))
+
+
+PACKAGES = ("'mod.org/r' || n || '/m' || y", "'deep.org/' || n", "'mod.org/r' || n || '/none'", "'fmt'", "'deep.org/' || n || '/more/' || x")
+
+
+@query(f"""with m as (select 'r' || n_nationkey as folder, 'mod.org/r' || n_nationkey as module from nation where n_nationkey % 3 < 2 union all select 'r' || n_nationkey || '/m3', 'deep.org/' || n_nationkey from nation where n_nationkey % 2 = 0),
+    f as (select path, folder, module, case when folder is null then null else module || regexp_replace(path, '/[^/]*$', '')[length(folder) + 1:] end as package
+        from (select f.path, arg_max(m.folder, length(m.folder)) as folder, arg_max(m.module, length(m.folder)) as module from (select distinct path from {_FILES}) f left join m on starts_with(f.path, m.folder || '/') group by f.path)),
+    p as (select package, min(path) as target from f where package is not null group by package), r as (select distinct module from f where module is not null),
+    i as (select path, specifier, count(*) as uses from {_spelled_sql(*PACKAGES)} group by all)
+    select path, specifier, uses, target, case when target is not null then 'internal' when exists (select 1 from r where specifier = module or starts_with(specifier, module || '/')) then 'unresolved' else 'external' end as resolution from i left join p on package = specifier""")
+def q_module_packages(spark, d):
+    nation = table(spark, d, "nation")
+    key = F.col("n_nationkey").cast("string")
+    tops = nation.where("n_nationkey % 3 < 2").select(F.concat(F.lit("r"), key).alias("folder"), F.concat(F.lit("mod.org/r"), key).alias("module"))
+    deep = nation.where("n_nationkey % 2 = 0").select(F.concat(F.lit("r"), key, F.lit("/m3")).alias("folder"), F.concat(F.lit("deep.org/"), key).alias("module"))
+    files_of = resolve.nearest_modules(source_files(spark, d).select("path").distinct(), tops.unionByName(deep))
+    found = resolve.resolve_packages(spelled(spark, d, *PACKAGES), files_of)
+    return found.groupBy("path", "specifier", "target", "resolution").agg(F.count("*").alias("uses"))
+
+
+CLASSES = ("'pkg.m' || y || '.S' || x", "'pkg.m' || y || '.S' || x || '.Inner'", "'java.util.S' || x", "'pkg.m' || y || '.*'")
+
+
+@query(f"""with s as (select path, regexp_replace(path, '/[^/]*$', '') as folder, 'pkg.' || split_part(path, '/', 2) as package, 'S' || regexp_extract(path, '/s([0-9]+)[.]', 1) as class from (select distinct path from {_FILES})),
+    f as (select folder || '/' || class || '.java' as path, folder, package, class from s), i as (select regexp_replace(path, '/s([0-9]+)[.]h$', '/S\\1.java') as path, specifier, count(*) as uses from {_spelled_sql(*CLASSES)} group by all),
+    q as (select path, specifier, k, array_to_string(string_split(specifier, '.')[1:k], '.') as package, string_split(specifier, '.')[k + 1] as class from (select *, unnest(generate_series(0, len(string_split(specifier, '.')) - 1)) as k from i where not ends_with(specifier, '.*'))),
+    b as (select q.path, q.specifier, arg_min(f.path, (-k, f.folder)) as target from q join f on f.package = q.package and f.class = q.class and f.path <> q.path group by all)
+    select path, specifier, uses, target, case when target is not null then 'internal' when not ends_with(specifier, '.*') and regexp_replace(specifier, '[.][^.]*$', '') in (select package from f) then 'unresolved' else 'external' end as resolution from i left join b using (path, specifier)""")
+def q_class_imports(spark, d):
+    as_class = lambda c: F.regexp_replace(c, r"/s(\d+)[.]h$", "/S$1.java")
+    sources = source_files(spark, d).select(as_class(F.col("path")).alias("path"), F.concat(F.lit("pkg."), F.split("path", "/")[1]).alias("package")).distinct()
+    imports = spelled(spark, d, *CLASSES).select(as_class(F.col("path")).alias("path"), "specifier", F.lit("static").alias("kind"), F.lit(0).alias("seq"))
+    found = resolve.resolve_classes(imports, sources)
+    return found.groupBy("path", "specifier", "target", "resolution").agg(F.count("*").alias("uses"))
+
+
 def python_sources(spark: SparkSession, d: str) -> DataFrame:
     """A Python file of each order: imports, and a function with as many ifs inside each other as the key says; some cannot be parsed."""
     deep, names = F.col("o_orderkey") % 5, F.col("o_custkey") % 4
