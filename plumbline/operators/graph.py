@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import glob_regex
-from plumbline.operators.tables import written
+from plumbline.operators.tables import counted, written
 
 
 def edges_of(imports: DataFrame) -> DataFrame:
@@ -33,14 +33,14 @@ def _spread(links: DataFrame, labels: DataFrame) -> DataFrame:
             return labels
 
 
-def _trimmed(left: DataFrame) -> DataFrame:
-    """Links whose ends both have links in and out."""
+def _trimmed(left: DataFrame) -> tuple[DataFrame, int]:
+    """Links whose ends both have links in and out, and how many."""
     starts, stops = left.select(F.col("b").alias("a")).distinct(), left.select(F.col("a").alias("b")).distinct()
-    return written(left.join(starts, "a", "left_semi").join(stops, "b", "left_semi"), "edges")
+    return counted(left.join(starts, "a", "left_semi").join(stops, "b", "left_semi"), "edges")
 
 
-def _contracted(left: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame] | None:
-    """(links, lines, rings) with nodes that have one link in and one out taken out, or None if there are none.
+def _contracted(left: DataFrame) -> tuple[DataFrame, int, DataFrame, DataFrame] | None:
+    """(links, their number, lines, rings) with nodes that have one link in and one out taken out, or None if there are none.
 
     A line has (node, u, w): the nearest other nodes before and behind it; the node is in a cycle if u and w are in one, and
     a link u -> w stands for the line. A ring, which has no other nodes, is a component itself: (node, label). Pointers
@@ -49,8 +49,8 @@ def _contracted(left: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame] | Non
     ends = left.select(F.col("a").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(left.select(F.col("b").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))
     single = ends.groupBy("node").agg(F.sum("o").alias("o"), F.sum("i").alias("i")).where("o = 1 and i = 1").select("node")
     state = single.join(left.select(F.col("a").alias("node"), F.col("b").alias("w")), "node").join(left.select(F.col("b").alias("node"), F.col("a").alias("u")), "node")
-    state = written(state.select("node", "u", "w", F.col("node").alias("low"), F.lit(True).alias("open")), "lines")
-    if state.isEmpty():
+    state, now = counted(state.select("node", "u", "w", F.col("node").alias("low"), F.lit(True).alias("open")), "lines")
+    if not now:
         return None
     single, was, reach = state.select("node"), None, 1
     while True:
@@ -64,7 +64,8 @@ def _contracted(left: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame] | Non
         was = now
     lines = state.where("not open").select("node", "u", "w")
     rest = left.join(single.withColumnRenamed("node", "a"), "a", "left_anti").join(single.withColumnRenamed("node", "b"), "b", "left_anti")
-    return written(rest.select("a", "b").unionByName(lines.select(F.col("u").alias("a"), F.col("w").alias("b"))).distinct(), "edges"), lines, state.where("open").select("node", F.col("low").alias("label"))
+    links = rest.select("a", "b").unionByName(lines.where("u <> w").select(F.col("u").alias("a"), F.col("w").alias("b"))).distinct()
+    return *counted(links, "edges"), lines, state.where("open").select("node", F.col("low").alias("label"))
 
 
 def _core(left: DataFrame) -> DataFrame:
@@ -78,43 +79,60 @@ def _core(left: DataFrame) -> DataFrame:
     a, b = colour.select(F.col("node").alias("a"), F.col("label").alias("ca")), colour.select(F.col("node").alias("b"), F.col("label").alias("cb"))
     inside = written(left.join(a, "a").join(b, "b").where("ca = cb").select("a", "b", "ca"), "edges")
     back = inside.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    reach = colour.where("node = label")
+    reach, size = counted(colour.where("node = label"), "reach")
     while True:
         more = back.join(reach.select(F.col("node").alias("a"), "label"), "a").select(F.col("b").alias("node"), "label")
-        new = written(reach.unionByName(more).distinct(), "reach")
-        grown = new.count() > reach.count()
-        reach = new
-        if not grown:
+        reach, now = counted(reach.unionByName(more).distinct(), "reach")
+        if now == size:
             return reach
+        size = now
+
+
+#: Trimming, and then contraction, go on while a round takes away such a part of the links.
+WORTH = 0.1
+
+
+def _reduced(left: DataFrame, size: int) -> tuple[DataFrame, int, list[DataFrame], list[DataFrame]]:
+    """(links, their number, lines, rings): trimmed and contracted as long as that is worth it."""
+    lines, rings = [], []
+    while size:
+        begun = size
+        while size:
+            was = size
+            left, size = _trimmed(left)
+            if size > was * (1 - WORTH):
+                break
+        shorter = _contracted(left) if size else None
+        if shorter is None:
+            break
+        left, size, line, ring = shorter
+        lines.append(line)
+        rings.append(ring)
+        if size > begun * (1 - WORTH):
+            break
+    return left, size, lines, rings
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(component, member) of each strongly connected component of two nodes or more; component is the smallest member.
 
     Nodes without a link in or out are trimmed, and lines and rings of nodes with one link each way are contracted, in
-    turn until nothing changes; so long chains and rings of n nodes take log2(n) rounds and not n. What is left is
-    coloured. Every round is a written table. A null end or a link to itself counts for nothing.
+    turn while that takes away a good part of the links; so long chains and rings of n nodes take log2(n) rounds and not
+    n. What is left is coloured. Every round is a written table. A null end or a link to itself counts for nothing.
     """
-    left = written(edges.where("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct(), "edges")
+    left, size = counted(edges.where("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct(), "edges")
     found, taken = left.select(F.col("a").alias("node"), F.col("a").alias("label")).limit(0), []
-    while not left.isEmpty():
-        size = None
-        while size != (size := left.count()) and size:
-            shorter = _contracted(_trimmed(left).where("a <> b"))
-            if shorter is None:
-                left = _trimmed(left).where("a <> b")
-                continue
-            left, lines, rings = shorter
-            left = left.where("a <> b")
-            taken.append(lines)
-            found = found.unionByName(rings)
-        left = written(left, "edges")
-        if left.isEmpty():
+    while size:
+        left, size, lines, rings = _reduced(left, size)
+        taken += lines
+        for ring in rings:
+            found = found.unionByName(ring)
+        if not size:
             break
         reach = _core(left)
         found = written(found.unionByName(reach), "components")
         out = reach.select("node")
-        left = written(left.join(out.withColumnRenamed("node", "a"), "a", "left_anti").join(out.withColumnRenamed("node", "b"), "b", "left_anti"), "edges")
+        left, size = counted(left.join(out.withColumnRenamed("node", "a"), "a", "left_anti").join(out.withColumnRenamed("node", "b"), "b", "left_anti"), "edges")
     # a node that is alone in its colour has no cycle there; a line that begins and ends at it gives it one
     found = written(found.join(found.groupBy("label").count().where("count > 1").select("label"), "label", "left_semi").select("node", "label"), "components")
     for lines in reversed(taken):

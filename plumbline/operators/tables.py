@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -42,6 +42,13 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, tag: str) -> tuple[DataFrame, int]:
+    """written(df), and how many rows it has, which are counted while they are written."""
+    seen = Observation()
+    made = written(df.observe(seen, F.count(F.lit(1)).alias("n")), tag)
+    return made, seen.get["n"]
+
+
 def held(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Adds a column that is computed once. A plain one would be written out wherever lambdas and filters use it."""
     return df.select("*", F.explode(F.array(value)).alias(name))
