@@ -14,7 +14,7 @@ from plumbline.functions.scalars import glob_any, short_id, tokens
 from plumbline.operators import clones, coverage, files, graph, policy, resolve, scopes
 from plumbline.operators.tables import written
 from plumbline.sources import config as configuration
-from plumbline.sources.tree import read_tree
+from plumbline.sources.tree import exclusions, list_tree, read_files
 
 FACTS = """path string, error string, imports array<struct<specifier: string, line: int, kind: string>>, spans array<struct<line: int, end_line: int>>,
     functions array<struct<name: string, line: int, end_line: int, cyclomatic: double, cognitive: double, nesting_depth: double, function_lines: double, parameter_count: double>>"""
@@ -28,6 +28,9 @@ class Report:
     findings: DataFrame
     diagnostics: DataFrame
     gate: DataFrame
+    adapters: DataFrame | None = None  # (adapter, files, complete)
+    languages: DataFrame | None = None  # (language, files)
+    exclusions: DataFrame | None = None  # (files, directories), of a tree
 
 
 def python_facts(sources: DataFrame) -> DataFrame:
@@ -112,9 +115,15 @@ def check_files(sources: DataFrame, config: dict | None = None, lcov: DataFrame
     diagnostics = failed.unionByName(lost).withColumnRenamed("error", "message").withColumnRenamed("path", "file")
     external = graph.external_diagnostic(resolved).select("code", "severity", "message", F.lit("").alias("file"), F.lit(False).alias("required"))
     diagnostics = diagnostics.unionByName(external)
-    return Report(taken, measurements, found, diagnostics, policy.gate(found, diagnostics))
+    analysed = parsed.select(F.lit("python").alias("adapter"), F.col("error").isNull().alias("ok"))
+    histogram = taken.groupBy("language").agg(F.count("*").alias("files"))
+    return Report(taken, measurements, found, diagnostics, policy.gate(found, diagnostics), files.adapter_summary(analysed, ["python"]), histogram)
 
 
 def check(spark: SparkSession, root: str, config_path: str | None = None) -> Report:
-    """The report of the tree under root."""
-    return check_files(read_tree(spark, root), configuration.load(config_path))
+    """The report of the tree under root. Files that the configuration leaves out are listed and counted, and never opened."""
+    config = configuration.load(config_path)
+    entries = list_tree(spark, root, config["include"], config["exclude"])
+    report = check_files(read_files(entries, root), config)
+    report.exclusions = exclusions(entries)
+    return report
