@@ -60,6 +60,21 @@ def _position(df: DataFrame, name: str) -> Column:
     return F.unix_micros(F.col(name).cast("timestamp")) if kind in ("date", "timestamp", "timestamp_ntz") else F.col(name).cast("long")
 
 
+def _covered_blocks(spans: DataFrame, by: str, rank: Column) -> tuple[DataFrame, Column]:
+    """((_by, _level, _block, _rank), levels): the aligned blocks of 2^level places that make up spans, each with its least rank, a written table, and the levels there are."""
+    level = F.col("_level").cast("int")
+    ends = spans.select("*", F.col(by).alias("_by"), _position(spans, "start").alias("_lo"), (_position(spans, "stop") + 1).alias("_hi")).where("_lo < _hi and _by is not null")
+    cut = ends.select("*", F.explode(F.expr("sequence(0, cast(ceil(log2(_hi - _lo)) as int))")).alias("_level"))
+    # the bounds in blocks of this level, and the blocks at the bounds that no block of a higher level takes in
+    first = F.call_function("shiftright", F.col("_lo") + F.call_function("shiftleft", F.lit(1).cast("long"), level) - 1, level)
+    cut = cut.select("*", first.alias("_first"), F.call_function("shiftright", F.col("_hi"), level).alias("_end")).where("_first < _end")
+    blocks = F.expr("filter(array(if(_first & 1 = 1, _first, null), if(_end & 1 = 1, _end - 1, null)), b -> b is not null)")
+    covered = cut.select("_by", "_level", F.explode(blocks).alias("_block"), rank.alias("_rank")).groupBy("_by", "_level", "_block").agg(F.min("_rank").alias("_rank"))
+    covered = written(covered, "blocks")
+    levels = [r["_level"] for r in covered.select("_level").distinct().collect()]  # at most 64
+    return covered, F.array(*[F.lit(n) for n in levels] or [F.lit(0)])
+
+
 def enclosing_span(points: DataFrame, spans: DataFrame, by: str) -> DataFrame:
     """points (by, point_id, at) with the innermost span (by, span_id, start, stop) around each: of equal extents the smallest id.
 
@@ -69,18 +84,10 @@ def enclosing_span(points: DataFrame, spans: DataFrame, by: str) -> DataFrame:
     the same block only the innermost is kept; a point looks up its block of each level. So a key with any number of
     spans and points is an equi-join of many blocks, not of all its pairs.
     """
-    level = F.col("_level").cast("int")
-    ends = spans.select(F.col(by).alias("_by"), "span_id", _position(spans, "start").alias("_lo"), (_position(spans, "stop") + 1).alias("_hi")).where("_lo < _hi and _by is not null and span_id is not null")
-    cut = ends.select("*", F.explode(F.expr("sequence(0, cast(ceil(log2(_hi - _lo)) as int))")).alias("_level"))
-    # the bounds in blocks of this level, and the blocks at the bounds that no block of a higher level takes in
-    first = F.call_function("shiftright", F.col("_lo") + F.call_function("shiftleft", F.lit(1).cast("long"), level) - 1, level)
-    cut = cut.select("*", first.alias("_first"), F.call_function("shiftright", F.col("_hi"), level).alias("_end")).where("_first < _end")
-    blocks = F.expr("filter(array(if(_first & 1 = 1, _first, null), if(_end & 1 = 1, _end - 1, null)), b -> b is not null)")
     rank = F.struct((F.col("_hi") - F.col("_lo")).alias("extent"), F.col("span_id").alias("id"))
-    covered = cut.select("_by", "_level", F.explode(blocks).alias("_block"), rank.alias("_rank")).groupBy("_by", "_level", "_block").agg(F.min("_rank").alias("_rank"))
-    covered = written(covered, "blocks")
-    levels = [r["_level"] for r in covered.select("_level").distinct().collect()]  # at most 64
-    own = points.select(F.col(by).alias("_by"), "point_id", _position(points, "at").alias("_at"), F.explode(F.array(*[F.lit(n) for n in levels] or [F.lit(0)])).alias("_level"))
+    covered, levels = _covered_blocks(spans.where("span_id is not null"), by, rank)
+    level = F.col("_level").cast("int")
+    own = points.select(F.col(by).alias("_by"), "point_id", _position(points, "at").alias("_at"), F.explode(levels).alias("_level"))
     own = own.select("_by", "point_id", "_level", F.call_function("shiftright", F.col("_at"), level).alias("_block"))
     found = own.join(covered, ["_by", "_level", "_block"]).where("point_id is not null")
     return found.groupBy(F.col("_by").alias(by), "point_id").agg(F.min("_rank")["id"].alias("span_id"))
@@ -109,10 +116,17 @@ def nesting_depth(opened: Column) -> Column:
 def outside_spans(points: DataFrame, spans: DataFrame, by: str) -> DataFrame:
     """points (by, at, ...) that lie in none of the spans (by, start, stop), whose ends belong to them.
 
-    In the order of places, a point is inside if the largest stop of the spans that began is not before it: one sort of
-    each key's points and spans, no pairs. Points with a null key or place stay, spans with a null are in no one's way;
-    repeated points stay as often as they come.
+    Points with a null key or place stay, spans with a null are in no one's way; repeated points stay as often as they come.
+    Whole numbers, dates and times are looked up in aligned blocks of places, so a key with any number of points and spans
+    is many rows of an equi-join. Other places are swept in one sort of each key's points and spans.
     """
+    exact = {"byte", "short", "integer", "long", "date", "timestamp", "timestamp_ntz"}
+    if all(df.schema[c].dataType.typeName() in exact for df, c in ((points, "at"), (spans, "start"), (spans, "stop"))):
+        covered, levels = _covered_blocks(spans, by, F.lit(0))
+        places = points.select(F.col(by).alias("_by"), F.col("at").alias("_place"), _position(points, "at").alias("_at")).where("_by is not null and _at is not null").distinct()
+        own = places.select("*", F.explode(levels).alias("_level")).withColumn("_block", F.call_function("shiftright", F.col("_at"), F.col("_level").cast("int")))
+        inside = own.join(covered, ["_by", "_level", "_block"], "left_semi").select("_by", "_place").distinct()
+        return points.join(inside, (points[by] == inside["_by"]) & (points["at"] == inside["_place"]), "left_anti")
     kind = points.schema["at"].dataType
     row = F.struct(*[F.col(f"`{c}`") for c in points.columns])
     events = points.select(F.col(by).alias("_by"), F.col("at").alias("_at"), F.lit(1).alias("_is_point"), F.lit(None).cast(spans.schema["stop"].dataType).alias("_stop"), row.alias("_row"))
