@@ -6,6 +6,12 @@ bounded sample of labelled rows, shared out over the labels; other rows of the s
 the scores probabilities, and the limits of rejection. A text is rejected where its score, or the share of its n-grams that
 training met, is well below what all but a few of the calibrating rows reach. Met n-grams are marked apart from the
 buckets of the embeddings, of which unrelated n-grams share many.
+
+A text of a language that was not learned reads like some other one, but weakly: its largest logit, before the softmax,
+is small. How small is seen by rotation: labels are left out of training in turn (at most ROTATIONS), and the texts of
+each are measured by the model that never saw it. A text is rejected, too, where its logit is below what nearly all
+of those reach, unless more than a few of the calibrating rows are there; short texts, whose mean is uncertain, are
+given the benefit of the doubt.
 """
 
 from __future__ import annotations
@@ -19,11 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import binary_list, fresh, mix
+from plumbline.llm.common import binary_list, fresh, mix, written
 
 NGRAMS = (2, 3, 4)
 #: The limits of rejection, as parts of the lowest score and share of known n-grams among calibrating rows (but for a few).
 SCORE_MARGIN, SHARE_MARGIN = 0.75, 0.7
+BUCKETS = 1 << 16
+#: Labels that are left out in turn, what part of their texts is to be rejected, and how many standard errors of its mean logit a text is given.
+ROTATIONS, REJECTED, DOUBT = 4, 0.95, 6.0
 #: Texts whose words are held at once.
 TEXTS = 500
 
@@ -79,6 +88,11 @@ class LanguageModel:
     temperature: float = 1.0
     threshold: float = 0.0
     familiar: float = 0.0  # the least share of features that training met
+    weak: float = -math.inf  # the least strength
+
+    def strength(self, sums: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The largest mean logit, and what a text of so many features is given besides."""
+        return (sums / np.maximum(counts, 1)[:, None] + self.bias).max(1) + DOUBT / np.sqrt(counts + 1)
 
     def probabilities(self, sums: np.ndarray, counts: np.ndarray) -> np.ndarray:
         z = (sums / np.maximum(counts, 1)[:, None] + self.bias) / self.temperature
@@ -99,12 +113,17 @@ def _sparse(texts: list[bytes], buckets: int) -> tuple[list[tuple[np.ndarray, np
     return out, np.unique(np.concatenate(met))
 
 
-def fit(texts: list[bytes], labels: list[str], buckets: int = 1 << 16, dim: int = 16, epochs: int = 4, rate: float = 20.0, seed: int = 7) -> LanguageModel:
+def fit(texts: list[bytes], labels: list[str], buckets: int = BUCKETS, **how) -> LanguageModel:
     """Train on texts. Until it is calibrated, the temperature is 1 and nothing is rejected but what has no letter."""
+    rows, met = _sparse(texts, buckets)
+    return _learned(rows, labels, met, buckets, **how)
+
+
+def _learned(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], met: np.ndarray, buckets: int = BUCKETS, dim: int = 16, epochs: int = 4, rate: float = 20.0, seed: int = 7) -> LanguageModel:
+    """The model of rows of _sparse(), whose n-grams are met."""
     names = sorted(set(labels))
     index = {x: i for i, x in enumerate(names)}
     y = np.array([index[x] for x in labels], np.int64)
-    rows, met = _sparse(texts, buckets)
     rng = np.random.default_rng(seed)
     emb = (rng.standard_normal((buckets, dim)) * 0.1).astype(np.float32)
     lin = (rng.standard_normal((dim, len(names))) * 0.1).astype(np.float32)
@@ -130,7 +149,8 @@ def fit(texts: list[bytes], labels: list[str], buckets: int = 1 << 16, dim: int
     # an n-gram that training did not meet says nothing; at most a thirty-second of the marks is set, up to 2^21 n-grams
     table = emb @ lin
     unseen = np.ones(buckets, bool)
-    unseen[_bucket(met, buckets)] = False
+    for ids, _ in rows:
+        unseen[ids] = False
     table[unseen] = 0
     known = np.zeros(1 << int(np.clip(np.ceil(np.log2(32 * max(1, len(met)))), 16, 26)), bool)
     known[_mark(met, len(known))] = True
@@ -152,6 +172,7 @@ def calibrate(model: LanguageModel, labels: list[str], measured: np.ndarray, fal
         losses.append(-np.log(np.maximum(p[np.arange(len(truth)), truth], 1e-12)).mean())
     model.temperature = float(grid[int(np.argmin(losses))])
     # below what all but a few reach, as other texts of known languages may be shorter or more mixed than these
+    model.weak = min(model.weak, float(np.quantile(model.strength(sums, counts), false_rejections)))
     model.threshold = float(np.quantile(model.probabilities(sums, counts).max(1), false_rejections) * SCORE_MARGIN)
     model.familiar = float(np.quantile(met / counts, false_rejections) * SHARE_MARGIN)
 
@@ -237,21 +258,43 @@ def train(labelled: DataFrame, text: str = "text", label: str = "lang", id_colum
     of_label = lambda numbers: F.create_map(*[F.lit(v) for kv in numbers.items() for v in kv])[F.col("label")]
     thin = usable.withColumn("place", F.expr("pmod(xxhash64(id, text), 1000000)")).where(F.col("place") < of_label(share))
     ranked = thin.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("place", "id")))
-    own = ranked.where(F.col("rank") <= of_label(trains)).orderBy("label", "rank").select("text", "label").toArrow()
-    model = fit(binary_list(own.column(0).combine_chunks()), own.column(1).to_pylist())
+    sample = written(ranked.where(F.col("rank") <= of_label(quota)).select("text", "label", "rank"), "language-sample")
+    own = sample.where(F.col("rank") <= of_label(trains)).orderBy("label", "rank").select("text", "label").toArrow()
+    labels_of = own.column(1).to_pylist()
+    sparse, met = _sparse(binary_list(own.column(0).combine_chunks()), BUCKETS)
+    del own
+    model = _learned(sparse, labels_of, met)
     # the texts that calibrate stay with the executors
-    others = measure(ranked.where((F.col("rank") > of_label(trains)) & (F.col("rank") <= of_label(quota))), model).collect()
+    rest = sample.where(F.col("rank") > of_label(trains))
+    others = measure(rest, model).collect()
     if others:
+        model.weak = _strength_of_unlearned(sparse, labels_of, rest)
         calibrate(model, [r["label"] for r in others], np.array([r["measured"] for r in others]))
     return model
 
 
+def _strength_of_unlearned(sparse: list, labels: list[str], rest: DataFrame) -> float:
+    """What nearly all texts of a label that was left out stay below, the most of all labels that are left out; without three labels nothing is known."""
+    names = sorted(set(labels))
+    if len(names) < 3:
+        return -math.inf
+    found = []
+    for left in names[:: -(-len(names) // ROTATIONS)]:
+        some = [i for i, x in enumerate(labels) if x != left]
+        model = _learned([sparse[i] for i in some], [labels[i] for i in some], np.empty(0, np.uint64))
+        rows = np.array([r["measured"] for r in measure(rest.where(F.col("label") == left), model).collect()])
+        rows = rows[rows[:, -1] > 0] if len(rows) else rows
+        if len(rows) >= 20:
+            found.append(float(np.quantile(model.strength(rows[:, :-2], rows[:, -1]), REJECTED)))
+    return max(found, default=-math.inf)
+
+
 def predict(docs: DataFrame, model: LanguageModel | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Add lang_pred, score (0 to 1, calibrated) and rejected to the columns keep (all by default) of each row.
 
     A null text, or one without a letter, is `und` with score 0, and rejected; so is everything if there is no model.
-    Else lang_pred is a learned label, and rejected says that its score, or the share of its
-    subwords that training met, is below the calibrated limit. Columns of these
+    Else lang_pred is a learned label, and rejected says that its score, the share of its subwords that training met, or
+    its largest logit is below the calibrated limit. Columns of these
     names are replaced. Whole texts count. A row comes out for each row in.
     """
     made = ("lang_pred", "score", "rejected")
@@ -269,14 +312,14 @@ def predict(docs: DataFrame, model: LanguageModel | None, text: str = "text", ke
                 part = batch.slice(at, TEXTS)
                 texts = [t or b"" for t in binary_list(part.column(part.num_columns - 1))]
                 readable = np.array([own is not None and has_letter(t) for t in texts], bool)
-                lang, score, share = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+                lang, score, share, strength = ["und"] * len(texts), *(np.zeros(len(texts)) for _ in range(3))
                 if readable.any():
                     sums, counts, met = known.texts(texts)
-                    p, share = own.probabilities(sums, counts), met / np.maximum(counts, 1)
+                    p, share, strength = own.probabilities(sums, counts), met / np.maximum(counts, 1), own.strength(sums, counts)
                     best = p.argmax(1)
                     lang = [own.labels[b] if r else "und" for b, r in zip(best.tolist(), readable.tolist())]
                     score = np.where(readable, p.max(1), 0.0)
-                rejected = ~readable | (score < (own.threshold if own else 1.0)) | (share < (own.familiar if own else 1.0))
+                rejected = ~readable | (score < (own.threshold if own else 1.0)) | (share < (own.familiar if own else 1.0)) | (strength < (own.weak if own else 1.0))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected)], names=schema.names)
 
     return source.mapInArrow(run, schema)

@@ -362,3 +362,16 @@ def test_run_encoder_on_random_text(library):
     texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 40))) for _ in range(3000)] + ["", " ", "x" * 3000]
     ids, sizes = coder.texts([t.encode() for t in texts])
     assert ids.tolist() == [i for t in texts for i in library.encode(t, add_special_tokens=False).ids] and sizes.sum() == len(ids)
+
+
+def test_texts_of_a_language_left_out_are_rejected(spark):
+    """A language that training never saw is rejected though it shares its letters; learned ones stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = langid.held_out(F.col("doc_id"), 3)
+    for left in ("de", "fr"):
+        model = langid.train(docs.where(~held & (F.col("lang") != left)), sample_rows=400, calibration_rows=400)
+        assert model.weak > 0 and left not in model.labels
+        counts = {r["other"]: (r["rejected"], r["n"]) for r in langid.predict(docs.where(held), model).groupBy((F.col("lang") == left).alias("other")).agg(F.count_if("rejected").alias("rejected"), F.count("*").alias("n")).collect()}
+        assert counts[True][0] >= 0.8 * counts[True][1] and counts[False][0] <= 0.02 * counts[False][1]
+    two = langid.train(docs.where("lang in ('en', 'es')"), sample_rows=200, calibration_rows=100)
+    assert two.labels == ["en", "es"] and two.weak == -float("inf")
