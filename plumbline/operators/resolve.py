@@ -14,6 +14,20 @@ def _folder(path: Column) -> Column:
     return F.regexp_replace(path, "/?[^/]*$", "")
 
 
+def _below_tops(paths: DataFrame, tops: DataFrame) -> DataFrame:
+    """(rel, places): names below the folders of top-level packages, each with the two files that go first by the folder's depth and name.
+
+    So an import looks its name up once, and is not paired with every package of that name; the second file answers the
+    first one's own imports.
+    """
+    parts = F.split("path", "/")
+    cut = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, 1, n), "/").alias("root"), F.array_join(F.slice(parts, n + 1, F.size(parts)), "/").alias("rel")))
+    below = paths.select("path", F.explode(cut).alias("c")).select(F.col("path").alias("target"), "c.*").withColumn("first", F.regexp_replace(F.regexp_extract("rel", "^[^/]*", 0), r"\.py$", ""))
+    known = below.join(tops.select("root", "first").distinct(), ["root", "first"], "left_semi")
+    place = F.row_number().over(Window.partitionBy("rel").orderBy("depth", "root"))
+    return known.withColumn("_p", place).where("_p <= 2").groupBy("rel").agg(F.sort_array(F.collect_list(F.struct("depth", "root", "target"))).alias("places"))
+
+
 def resolve_python(imports: DataFrame, files: DataFrame) -> DataFrame:
     """imports (path, specifier, ...) with target and resolution: internal, unresolved or external.
 
@@ -37,9 +51,6 @@ def resolve_python(imports: DataFrame, files: DataFrame) -> DataFrame:
     ups = absolute.withColumn("p", parts).select("path", "specifier", "rest", "dots", "p", F.explode(F.sequence(F.lit(0), F.size("p"))).alias("up"))
     own = ups.select("path", "specifier", "rest", "dots", F.array_join(F.slice("p", 1, F.size("p") - F.col("up")), "/").alias("root"), F.struct(F.lit(0).alias("a"), F.col("up").alias("b"), F.lit("").alias("c")).alias("rank"))
     own = own.join(packages.withColumnRenamed("folder", "root"), "root", "left_anti").select(near.columns)
-    depth = F.when(F.col("root") == "", 0).otherwise(F.size(F.split("root", "/")))
-    far = absolute.join(tops, "first").select("path", "specifier", "rest", "dots", "root", F.struct(F.lit(1).alias("a"), depth.alias("b"), F.col("root").alias("c")).alias("rank"))
-
     parent = F.regexp_replace("rest", "/?[^/]*$", "")
     may_drop = (F.col("rest") != "") & ((F.col("dots") > 0) | F.col("rest").contains("/"))
     first = F.regexp_extract("rest", "^[^/]*", 0)
@@ -50,8 +61,14 @@ def resolve_python(imports: DataFrame, files: DataFrame) -> DataFrame:
         file = F.when(folder == "", F.lit(end.lstrip("/"))).otherwise(F.concat(folder, F.lit(end)))
         return F.when((names == "") & F.lit(end == ".py"), F.lit(None)).otherwise(file)
 
-    tried = near.unionByName(own).unionByName(far).select("path", "specifier", "rank", F.explode(F.array(*[F.struct(F.lit(n).alias("way"), F.when(ok, place(names, end)).alias("target")) for n, names, ok, end in ways])).alias("t"))
-    exists = tried.select("path", "specifier", "rank", "t.way", "t.target").join(paths.withColumnRenamed("path", "target"), "target")
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("way"), F.when(ok, place(names, end)).alias("target")) for n, names, ok, end in ways])).alias("t")
+    tried = near.unionByName(own).select("path", "specifier", "rank", each)
+    exists = tried.select("path", "specifier", "rank", "t.way", "t.target").join(paths.withColumnRenamed("path", "target"), "target").select("path", "specifier", "rank", "way", "target")
+    asked = absolute.withColumn("root", F.lit("")).select("path", "specifier", each).select("path", "specifier", "t.way", F.col("t.target").alias("rel")).where("rel is not null")
+    far = _salted(asked, _below_tops(paths, tops), ["rel"], ["path", "specifier"]).where("places is not null")
+    other = F.coalesce(F.get(F.filter("places", lambda x: x["target"] != F.col("path")), 0), F.get("places", 0))
+    far = far.withColumn("p", other).select("path", "specifier", F.struct(F.lit(1).alias("a"), F.col("p.depth").alias("b"), F.col("p.root").alias("c")).alias("rank"), "way", "p.target")
+    exists = exists.unionByName(far)
     itself = (F.col("target") == F.col("path")) & ~F.col("specifier").startswith(".")
     best = exists.groupBy("path", "specifier").agg(F.min_by("target", F.when((F.col("way") < 9) & ~itself, F.struct("rank", "way"))).alias("target"), F.count_if(F.col("way") == 9).alias("known"))
     kind = F.when(F.col("target").isNotNull(), "internal").when(F.col("specifier").startswith(".") | (F.col("known") > 0), "unresolved").otherwise("external")
