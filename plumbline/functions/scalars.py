@@ -119,7 +119,9 @@ def glob_regex(pattern: str) -> str:
         if c == "\\" and i + 1 < len(pattern):
             out, i = out + re.escape(pattern[i + 1]), i + 2
             continue
-        if c == "[" and "]" in pattern[i + 2 :]:
+        if c == "[" and "]" not in pattern[i + 2 :] or c == "\\" and i + 1 == len(pattern):
+            raise ValueError(f"invalid pattern: {pattern}")
+        if c == "[":
             end = pattern.index("]", i + 2)
             body = pattern[i + 1 : end]
             out, i = out + "[" + ("^" + body[1:] if body[0] in "!^" else body).replace("\\", "\\\\") + "]", end + 1

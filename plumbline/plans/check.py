@@ -30,6 +30,7 @@ class Report:
     gate: DataFrame
     adapters: DataFrame | None = None  # (adapter, files, complete)
     languages: DataFrame | None = None  # (language, files)
+    corpus: DataFrame | None = None  # (language, files, parsed, failed, functions, bytes)
     exclusions: DataFrame | None = None  # (files, directories), of a tree
 
 
@@ -98,6 +99,10 @@ def check_files(sources: DataFrame, config: dict | None = None, lcov: DataFrame
     if lcov is not None:
         measurements = measurements.unionByName(coverage.measurements(lcov, changed))
 
+    # a measurement is compared with one of the same variant only
+    variant = f"tokens:{config['clones']['minTokens']},lines:{config['clones']['minLines']}"
+    measurements = measurements.withColumn("variant", F.when(F.col("metric") == "duplication.token_clone_density", variant).otherwise(""))
+
     rules = lambda rule, key, message: [F.sha2(F.concat_ws("\0", F.lit(rule), key), 256).substr(1, 20).alias("finding_id"), F.lit(rule).alias("rule"), key.alias("key"), F.lit(1.0).alias("current"), F.lit(0.0).alias("threshold"), F.lit("error").alias("severity"), F.lit(True).alias("blocking"), message.alias("message")]
     loops = graph.cycle_keys(graph.components(edges))
     found = policy.threshold_findings(measurements, configuration.policies(spark, config))
@@ -117,7 +122,9 @@ def check_files(sources: DataFrame, config: dict | None = None, lcov: DataFrame
     diagnostics = diagnostics.unionByName(external)
     analysed = parsed.select(F.lit("python").alias("adapter"), F.col("error").isNull().alias("ok"))
     histogram = taken.groupBy("language").agg(F.count("*").alias("files"))
-    return Report(taken, measurements, found, diagnostics, policy.gate(found, diagnostics), files.adapter_summary(analysed, ["python"]), histogram)
+    facts_of = parsed.select("path", F.col("error").isNull().alias("ok"), F.size("functions").alias("functions"))
+    corpus = files.corpus_report(taken.join(facts_of, "path", "left").withColumn("ok", F.coalesce("ok", F.lit(True))), ["language"])
+    return Report(taken, measurements, found, diagnostics, policy.gate(found, diagnostics), files.adapter_summary(analysed, ["python"]), histogram, corpus)
 
 
 def check(spark: SparkSession, root: str, config_path: str | None = None) -> Report:

@@ -35,7 +35,7 @@ def incompatible(spark: SparkSession, root: str, name: str, config: dict | None
 def save(report: Report, root: str, name: str, replace: bool = False, config: dict | None = None) -> None:
     """Measurements, findings and the files' hashes, with what was analysed how; comparison columns are never stored."""
     hashes = report.files.select("path", F.sha2("code", 256).alias("hash"))
-    tables = {"measurements": report.measurements.select("metric", "key", "value"), "findings": report.findings.select("rule", "key", "current", "severity", "message"), "files": hashes}
+    tables = {"measurements": report.measurements.select("metric", "variant", "key", "value"), "findings": report.findings.select("rule", "key", "current", "severity", "message"), "files": hashes}
     baseline.save(tables, root, name, replace, identity(config))
 
 
@@ -50,14 +50,14 @@ def _renamed(rows: DataFrame, renames: DataFrame) -> DataFrame:
 def against(spark: SparkSession, report: Report, root: str, name: str) -> tuple[DataFrame, DataFrame]:
     """(measurements, findings) with baseline, delta and classification. Unedited moves are followed.
 
-    Of a baseline's measurements with one key the last stored counts. A finding's baseline is that of its measurement,
+    Of a baseline's measurements with one metric, variant and key the last stored counts. A finding's baseline is that of its measurement,
     else of the previous finding. Findings have severity, blocking and message for the gate and reports; a resolved one has
     those of the baseline, does not block, and says that it is resolved.
     """
     old = {t: baseline.load(spark, root, name, t) for t in ("measurements", "findings", "files")}
     renames = compare.infer_renames(report.files.select("path", F.sha2("code", 256).alias("hash")), old["files"])
     before = _renamed(old["measurements"].withColumn("ord", F.monotonically_increasing_id()), renames)
-    measured = compare.compare_measurements(report.measurements.select("metric", "key", "value"), before, ["metric", "key"])
+    measured = compare.compare_measurements(report.measurements.select("metric", "variant", "key", "value"), before, ["metric", "variant", "key"])
     baselines = measured.where("baseline is not null").select(F.col("metric").alias("rule"), "key", "baseline")
     previous = _renamed(old["findings"], renames)
     found = compare.compare_findings(report.findings.select("rule", "key", "current"), previous.select("rule", "key", "current"), ["rule", "key"], baselines)

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import json
 import math
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbline.functions.scalars import glob_regex
+
 #: Metric, default threshold.
 THRESHOLDS = {
     "complexity.cyclomatic": 12.0,
@@ -33,12 +36,20 @@ def checked(config: dict) -> dict:
         if not isinstance(value, dict) or set(value) != set(names):
             raise ValueError(f"{where}: expected exactly the fields {sorted(names)}")
 
+    def patterns(globs, where):
+        for g in globs:
+            try:
+                re.compile(glob_regex(g))
+            except (ValueError, re.error) as e:
+                raise ValueError(f"{where}: invalid pattern {g!r}") from e
+
     fields(config, default_config(), "configuration")
     if config["schemaVersion"] != "1.0":
         raise ValueError("schemaVersion: only 1.0 is known")
     for name in ("include", "exclude"):
         if not all(isinstance(p, str) for p in config[name]):
             raise ValueError(f"{name}: patterns are texts")
+        patterns(config[name], name)
     fields(config["policies"], THRESHOLDS, "policies")
     for metric, rule in config["policies"].items():
         fields(rule, ("enabled", "threshold", "severity", "blocking"), metric)
@@ -53,6 +64,7 @@ def checked(config: dict) -> dict:
     names = [layer.get("name") for layer in config["layers"]]
     for layer in config["layers"]:
         fields(layer, ("name", "include", "mayDependOn"), "layers")
+        patterns(layer["include"], f"layers: {layer['name']}")
         if not set(layer["mayDependOn"]) <= set(names):
             raise ValueError(f"layers: {layer['name']} names an unknown layer")
     if len(set(names)) != len(names):

@@ -81,6 +81,8 @@ def test_incompatible_baselines_and_resolved_findings(spark, tmp_path):
     assert (row["classification"], row["blocking"], row["severity"], row["baseline"], row["delta"]) == ("resolved", False, "error", 6.0, -6.0)
     assert row["message"] == "Resolved: size.parameter_count is 6; the limit is 5"
     assert snapshots.incompatible(spark, str(tmp_path), "main").count() == 0
+    density = lambda rules: snapshots.against(spark, plan.check_files(frame(code), rules), str(tmp_path), "main")[0].where("metric = 'duplication.token_clone_density'").first()["baseline"]
+    assert density(None) == 0 and density(config.default_config() | {"clones": {"minTokens": 9, "minLines": 5}}) is None  # another variant
     other = config.default_config() | {"exclude": ["x"]}
     assert [r["code"] for r in snapshots.incompatible(spark, str(tmp_path), "main", other).collect()] == ["baseline.config_incompatible"] and stable_json(other)
 

@@ -132,7 +132,7 @@ def test_check(spark, tree, tmp_path):
     assert [r["key"] for r in again.findings.where("rule = 'architecture.boundary_violation'").collect()] == ["pkg/a.py->pkg/b.py"]
 
 
-@pytest.mark.parametrize("change", [{"extra": 1}, {"schemaVersion": "2"}, {"clones": {"minTokens": 0, "minLines": 5}}, {"clones": {}}, {"layers": [{"name": "a", "include": [], "mayDependOn": ["z"]}]}, {"exclude": [1]}])
+@pytest.mark.parametrize("change", [{"extra": 1}, {"schemaVersion": "2"}, {"clones": {"minTokens": 0, "minLines": 5}}, {"clones": {}}, {"layers": [{"name": "a", "include": [], "mayDependOn": ["z"]}]}, {"exclude": [1]}, {"include": ["a{b"]}, {"layers": [{"name": "a", "include": ["["], "mayDependOn": []}]}])
 def test_config_is_strict(change):
     assert config.checked(config.default_config())
     with pytest.raises(ValueError):
