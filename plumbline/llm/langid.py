@@ -32,7 +32,7 @@ NGRAMS = (2, 3, 4)
 SCORE_MARGIN, SHARE_MARGIN = 0.75, 0.7
 BUCKETS = 1 << 16
 #: Labels that are left out in turn, what part of their texts is to be rejected, and how many standard errors of its mean logit a text is given.
-ROTATIONS, REJECTED, DOUBT = 4, 0.95, 6.0
+ROTATIONS, REJECTED, DOUBT = 4, 0.9, 6.0
 #: Texts whose words are held at once.
 TEXTS = 500
 
@@ -172,7 +172,7 @@ def calibrate(model: LanguageModel, labels: list[str], measured: np.ndarray, fal
         losses.append(-np.log(np.maximum(p[np.arange(len(truth)), truth], 1e-12)).mean())
     model.temperature = float(grid[int(np.argmin(losses))])
     # below what all but a few reach, as other texts of known languages may be shorter or more mixed than these
-    model.weak = min(model.weak, float(np.quantile(model.strength(sums, counts), false_rejections)))
+    model.weak = min(model.weak, float(np.quantile(model.strength(sums, counts), false_rejections * 0.4)))
     model.threshold = float(np.quantile(model.probabilities(sums, counts).max(1), false_rejections) * SCORE_MARGIN)
     model.familiar = float(np.quantile(met / counts, false_rejections) * SHARE_MARGIN)
 
