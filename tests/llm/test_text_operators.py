@@ -375,3 +375,40 @@ def test_texts_of_a_language_left_out_are_rejected(spark):
         assert counts[True][0] >= 0.8 * counts[True][1] and counts[False][0] <= 0.02 * counts[False][1]
     two = langid.train(docs.where("lang in ('en', 'es')"), sample_rows=200, calibration_rows=100)
     assert two.labels == ["en", "es"] and two.weak == -float("inf")
+
+
+def test_lm_histories_tell_words_apart():
+    """Two words of one class give different histories, and another token of one class another share of it."""
+    ids, sizes = np.array([0, 2, 1, 2], np.uint32), np.array([2, 2])
+    symbols = np.array([maxent.TOP + 1, maxent.TOP + 2, 0], np.int32)
+    history, c, last = maxent._histories(ids, sizes, np.full(3, maxent.TOP, np.int32), symbols)
+    assert history[0] == history[2] and history[1] != history[3] and last.tolist() == [0, maxent.TOP + 1, 0, maxent.TOP + 2]
+    rng = np.random.default_rng(1)
+    weights, squares, met = np.zeros((maxent.FEATURES, maxent.CLASSES), np.float32), np.zeros((maxent.FEATURES, maxent.CLASSES), np.float32), np.zeros(maxent.FEATURES)
+    long, kinds = np.tile(history[[1, 3]], 500), np.tile(np.array([3, 4], np.int32), 500)  # the word before decides, the classes are equal
+    for _ in range(20):
+        maxent._descend(weights, squares, met, long, kinds, rng, 0.15, 2)
+    assert (maxent._class_scores(weights, long[:2], kinds[:2]) > np.log10(0.9)).all()
+
+
+def test_lm_pairs_are_a_distribution_and_learn():
+    import pyarrow as pa
+
+    side, of = 4, np.array([0, maxent.TOP, maxent.TOP, maxent.TOP])
+    share = np.array([0, 0.2, 0.3, 0.1])  # 0.4 of the class is other tokens
+    n, sums = np.zeros((side, side), np.int64), np.zeros((side, maxent.CLASSES), np.int64)
+    n[1], sums[1, maxent.TOP] = (0, 5000, 100, 0), 10_000
+    batch = pa.RecordBatch.from_pydict({"block": pa.array([0], pa.int32()), "pairs": [n.tobytes()], "sums": [sums.tobytes()]})
+    got = next(maxent._fit_pairs(iter([batch]), share, of))
+    weights = np.frombuffer(got.column(1)[0].as_py(), np.float32).reshape(side, side)
+    z = np.exp(np.frombuffer(got.column(2)[0].as_py(), np.float32).reshape(side, -1)[1, maxent.TOP])
+    p = share * np.exp(weights[1])
+    assert abs((p[1:].sum() + 0.4) / z - 1) < 1e-4 and abs(p[1] / z - 0.5) < 0.01 and p[2] / z < 0.02 and (weights[0] == 0).all()
+
+
+def test_lm_words_help(spark):
+    """A text whose words follow each other as in training scores better than the same words in another order."""
+    rows = [(i, " ".join(["alpha1 beta1", "gamma1 delta1", *(f"w{i % 97}x{k}" for k in range(40))][:: 1 if i % 2 else -1]), True) for i in range(400)]
+    rows += [(1000, "alpha1 beta1 gamma1 delta1", False), (1001, "beta1 delta1 alpha1 gamma1", False)]
+    got = {r["doc_id"]: r for r in maxent.lm_scores(spark.createDataFrame(rows, "doc_id long, text string, t boolean"), train=F.col("t")).collect()}
+    assert abs(got[1000]["base_score"] - got[1001]["base_score"]) < 1e-9 and got[1000]["score"] > got[1001]["score"] + 1
