@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import binary_list, mix, written
 
 LONGEST = 4
-#: Blocks of text have about so many bytes; a task holds so many fingerprints before it sends their counts.
-PIECE, HELD = 1 << 20, 1 << 21
+#: Blocks of text have about so many bytes; a task holds so many fingerprints before it sends their counts, so many at a time.
+PIECE, HELD, SENT = 1 << 20, 1 << 19, 1 << 16
+#: Rows of texts that are taken out of Arrow together.
+ROWS = 2000
 _BASE, _SECOND = 0x9E3779B97F4A7C15, 0xA0761D6478BD642F
 #: The pointer of a null doc_id.
 _NONE = -(1 << 63)
@@ -220,13 +222,13 @@ def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, list[byte
 def _text_blocks(batches: Iterator[pa.RecordBatch], key_bits: int) -> Iterator[tuple[str, Block, np.ndarray, np.ndarray]]:
     """(language, block, pointers of its words' documents, places of its words in those documents)"""
     powers, second = Powers(), Powers(_SECOND)
-    for batch in batches:
-        for lang, ids, texts in _by_lang(batch):
+    for part in (batch.slice(at, ROWS) for batch in batches for at in range(0, batch.num_rows, ROWS)):
+        for lang, ids, texts in _by_lang(part):
             for data, carried, parts in blocks(texts):
                 block = Block(data, carried, _seed(lang), powers, second, key_bits)
                 begins, owner, offset = (np.array(x, np.int64) for x in zip(*parts))
-                part = np.searchsorted(begins, block.raw_starts, "right") - 1
-                yield lang, block, ids[owner[part]], block.raw_starts - begins[part] + offset[part]
+                own = np.searchsorted(begins, block.raw_starts, "right") - 1
+                yield lang, block, ids[owner[own]], block.raw_starts - begins[own] + offset[own]
 
 
 def _summed(columns: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
@@ -240,6 +242,12 @@ def _summed(columns: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     return key[first], np.add.reduceat(n[order], first), np.add.reduceat(check[order], first), np.minimum.reduceat(doc[order], first)
 
 
+def _sent(rows: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(rows[0]), SENT):
+        columns = [c[at : at + SENT] for c in (rows[0].view(np.int64), *rows[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "n", "check", "doc"])
+
+
 def _counted(source: DataFrame, step: int, filters: list, least: int, filter_bits: int, key_bits: int) -> DataFrame:
     """(key, n, check, doc) of the fingerprints that step counts and that occur least times or more in a language: a written table."""
 
@@ -248,9 +256,6 @@ def _counted(source: DataFrame, step: int, filters: list, least: int, filter_bit
         found: list[tuple[np.ndarray, ...]] = []
         size = 0
 
-        def sent(rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(rows[0].view(np.int64)), *(pa.array(c) for c in rows[1:])], names=["key", "n", "check", "doc"])
-
         for _, block, docs, _ in _text_blocks(batches, key_bits):
             for at, n in wanted(block, step, known, filter_bits):
                 found.append(_summed([(block.keys(at, n), np.ones(len(at), np.int64), block.checks(at, n), docs[at])]))
@@ -259,10 +264,10 @@ def _counted(source: DataFrame, step: int, filters: list, least: int, filter_bit
                 found = [_summed(found)]
                 size = len(found[0][0])
                 if size > HELD // 2:
-                    yield sent(found[0])
+                    yield from _sent(found[0])
                     found, size = [], 0
         if size:
-            yield sent(_summed(found))
+            yield from _sent(_summed(found))
 
     each = source.mapInArrow(run, "key long, n long, check long, doc long")
     return written(each.groupBy("key").agg(F.sum("n").alias("n"), F.sum("check").alias("check"), F.min("doc").alias("doc")).where(F.col("n") >= least), "fingerprints")

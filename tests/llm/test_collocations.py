@@ -99,3 +99,15 @@ def test_fingerprints_are_those_of_the_bytes():
     one, two = C.Block(b"x Foo  bar baz", 0, 9, powers), C.Block(b"foo\tBAR q", 0, 9, powers)
     assert one.keys(np.array([1]), 2) == two.keys(np.array([0]), 2)
     assert one.keys(np.array([1]), 1) == two.keys(np.array([0]), 1) != two.keys(np.array([1]), 1)
+
+
+def test_counts_travel_in_small_batches():
+    """What a task holds at once is bounded by rows: of texts that come in one batch, and of counts that it sends."""
+    import pyarrow as pa
+
+    n = 2 * C.ROWS + 1
+    batch = pa.RecordBatch.from_pydict({"lang": ["x"] * n, "text": ["one two"] * n, "doc": list(range(n))})
+    found = list(C._text_blocks(iter([batch]), 64))
+    assert [block.words() for _, block, _, _ in found] == [2 * C.ROWS, 2 * C.ROWS, 2]
+    rows = tuple(np.arange(2 * C.SENT + 1).astype(t) for t in (np.uint64, np.int64, np.int64, np.int64))
+    assert [b.num_rows for b in C._sent(rows)] == [C.SENT, C.SENT, 1] and C.HELD <= 1 << 19
