@@ -2,8 +2,9 @@
 
 Each piece of text is a doubly linked list of symbols. A heap holds (rank, position) of the merges that are
 possible; the lowest is taken, and entries that no longer describe the list are skipped. A run of bytes
-between white space encodes alike wherever it stands, so each task remembers the runs it has met (bounded in
-bytes, and gone with the task), and the heap works once for each different run.
+between white space encodes and decodes alike wherever it stands, so each task remembers the runs it has met (bounded in
+bytes, and gone with the task), and the heap works once for each different run. Runs that were met lately are kept when the
+bound is reached.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import struct
 import unicodedata
 from collections.abc import Iterator
@@ -48,10 +50,12 @@ class BpeModel:
         self.suffix: str = model.get("end_of_word_suffix") or ""
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.strings: dict[int, str] = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
-        self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
+        self.ranks: dict[int, int] = {}  # left id << 32 | right id -> rank
+        self.made: list[int] = []  # by rank
         for rank, pair in enumerate(model["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.ranks[self.vocab[left], self.vocab[right]] = (rank, self.vocab[left + right])
+            self.ranks[self.vocab[left] << 32 | self.vocab[right]] = rank
+            self.made.append(self.vocab[left + right])
         symbols = byte_symbols()
         self.inner = [self.vocab.get(s) for s in symbols]
         self.last = [self.vocab.get(s + self.suffix) for s in symbols]
@@ -71,23 +75,31 @@ class BpeModel:
         ids = [self.inner[b] for b in piece[:-1]] + [self.last[piece[-1]]]
         ids = [i for i in ids if i is not None]
         n = len(ids)
-        before, after, ranks = list(range(-1, n - 1)), [*range(1, n), -1], self.ranks
-        heap = [(*found, i) for i in range(n - 1) if (found := ranks.get((ids[i], ids[i + 1])))]
+        if n < 2:
+            return ids
+        before, after, rank_of, made = list(range(-1, n - 1)), [*range(1, n), -1], self.ranks.get, self.made
+        ranks = [rank_of(left << 32 | right, -1) for left, right in zip(ids, ids[1:])] + [-1]  # of the pair that begins at each symbol
+        heap = [rank << 32 | i for i, rank in enumerate(ranks) if rank >= 0]
         heapq.heapify(heap)
         while heap:
-            rank, made, i = heapq.heappop(heap)
-            j = after[i]
-            if ids[i] < 0 or j < 0 or ranks.get((ids[i], ids[j])) != (rank, made):
+            top = heapq.heappop(heap)
+            rank, i = top >> 32, top & 0xFFFFFFFF
+            if ranks[i] != rank:
                 continue  # stale: a neighbour was merged since
-            ids[i], ids[j] = made, -1
+            j = after[i]
+            new = ids[i] = made[rank]
+            ids[j] = ranks[j] = ranks[i] = -1
             k = after[i] = after[j]
             if k >= 0:
                 before[k] = i
-                if found := ranks.get((made, ids[k])):
-                    heapq.heappush(heap, (*found, i))
+                if (found := rank_of(new << 32 | ids[k], -1)) >= 0:
+                    ranks[i] = found
+                    heapq.heappush(heap, found << 32 | i)
             h = before[i]
-            if h >= 0 and (found := ranks.get((ids[h], made))):
-                heapq.heappush(heap, (*found, h))
+            if h >= 0:
+                found = ranks[h] = rank_of(ids[h] << 32 | new, -1)
+                if found >= 0:
+                    heapq.heappush(heap, found << 32 | h)
         return [i for i in ids if i >= 0]
 
     def normalise(self, text: str) -> str:
@@ -121,7 +133,7 @@ class BpeModel:
 
 
 #: A word of letters up to U+00FF, and a mark.
-WORD = regex.compile(r"([a-zß-öø-ÿ]+)([.,;:!?]?)")
+WORD = re.compile(r"([a-zß-öø-ÿ]+)([.,;:!?]?)")
 
 
 def packed(ids: list[int]) -> bytes:
@@ -129,49 +141,73 @@ def packed(ids: list[int]) -> bytes:
 
 
 class RunEncoder(dict):
-    """run of non-space bytes -> its ids as little-endian unsigned 32-bit integers; forgets all at a bound of bytes."""
+    """run of non-space bytes -> (its ids as little-endian unsigned 32-bit integers, what they decode to).
+
+    Runs and pieces are kept up to a bound of bytes. Half of it is for those met since the last cut; then these become the older
+    half, of which what is met again moves on, and the rest is forgotten at the next cut.
+    """
 
     #: What an entry takes beside its bytes.
-    ENTRY = 200
+    ENTRY = 300
 
-    def __init__(self, model: BpeModel, limit: int = 48 << 20):
+    def __init__(self, model: BpeModel, limit: int = 160 << 20):
         super().__init__()
         self.model, self.limit, self.held = model, limit, 0
-        self.pieces: dict[bytes, bytes] = {}
+        self.older: dict[bytes, tuple[bytes, bytes]] = {}
+        self.pieces: dict[bytes, tuple[bytes, bytes]] = {}
+        self.older_pieces: dict[bytes, tuple[bytes, bytes]] = {}
 
-    def _room(self, key: bytes, value: bytes) -> bool:
+    def _room(self, key: bytes, size: int) -> bool:
         """Makes room for an entry; long ones are not kept."""
         if len(key) >= 256:
             return False
-        self.held += len(key) + len(value) + self.ENTRY
-        if self.held > self.limit:
+        self.held += len(key) + size + self.ENTRY
+        if self.held > self.limit // 2:
+            self.older, self.older_pieces = dict(self), self.pieces
             self.clear()
-            self.pieces.clear()
-            self.held = len(key) + len(value) + self.ENTRY
+            self.pieces = {}
+            self.held = len(key) + size + self.ENTRY
         return True
 
-    def __missing__(self, run: bytes) -> bytes:
+    def __missing__(self, run: bytes) -> tuple[bytes, bytes]:
+        if (value := self.older.get(run)) is None:
+            value = self.made(run)
+        if self._room(run, len(value[0]) + len(value[1])):
+            self[run] = value
+        return value
+
+    def made(self, run: bytes) -> tuple[bytes, bytes]:
         model, text = self.model, run.decode()
         if found := WORD.fullmatch(text.lower()):  # a word and a mark are single pieces, and NFC leaves them as they are
-            value = b"".join([self.piece(p.encode()) for p in found.groups() if p])
+            word, mark = found.groups()
+            if not mark:
+                return self.piece(word.encode())
+            pieces = [self.piece(word.encode()), self.piece(mark.encode())]
         elif model.special_pattern and model.special_pattern.search(text):
-            value = packed(model.encode(text))
+            pieces = [self._packed(model.encode(text))]
         else:
-            value = b"".join(map(self.piece, model.pieces(text)))
-        if self._room(run, value):
-            self[run] = value
+            pieces = list(map(self.piece, model.pieces(text)))
+        return b"".join([ids for ids, _ in pieces]), b" ".join([decoded for ids, decoded in pieces if ids])
+
+    def _packed(self, ids: list[int]) -> tuple[bytes, bytes]:
+        return packed(ids), self.model.decode(ids).encode()
+
+    def piece(self, piece: bytes) -> tuple[bytes, bytes]:
+        """The ids of one piece, and what they decode to."""
+        if (value := self.pieces.get(piece)) is None:
+            if (value := self.older_pieces.get(piece)) is None:
+                value = self._packed(self.model.merge(piece))
+            if self._room(piece, len(value[0]) + len(value[1])):
+                self.pieces[piece] = value
         return value
 
-    def piece(self, piece: bytes) -> bytes:
-        """The ids of one piece."""
-        if (ids := self.pieces.get(piece)) is None:
-            ids = packed(self.model.merge(piece))
-            if self._room(piece, ids):
-                self.pieces[piece] = ids
-        return ids
-
     def text(self, data: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, data.split()))
+        return b"".join([ids for ids, _ in map(self.__getitem__, data.split())])
+
+    def both(self, data: bytes) -> tuple[bytes, bytes]:
+        """(ids, what they decode to): a run's strings stand with one space between them, as those of a text do."""
+        found = list(map(self.__getitem__, data.split()))
+        return b"".join([ids for ids, _ in found]), b" ".join([decoded for ids, decoded in found if ids])
 
 
 _models: dict[str, BpeModel] = {}
@@ -202,12 +238,11 @@ def encode_decode(docs: DataFrame, vocabulary: str, text: str = "text", keep: li
         for batch in batches:
             for at in range(0, batch.num_rows, 500):  # the ids of long texts are several times their bytes
                 part = batch.slice(at, 500)
-                raw = [coder.text(t or b"") for t in binary_list(part.column(part.num_columns - 1))]
+                raw, decoded = zip(*(coder.both(t or b"") for t in binary_list(part.column(part.num_columns - 1))))
                 ends = np.cumsum([0, *(len(r) // 4 for r in raw)], dtype=np.int64)
                 ids = np.frombuffer(b"".join(raw), "<u4").astype(np.int32)
-                decoded = [coder.model.decode(np.frombuffer(r, "<u4").tolist()) for r in raw]
                 listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], listed, pa.array(decoded, pa.string())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], listed, pa.array(decoded, pa.binary()).cast(pa.string())], names=schema.names)
 
     return source.mapInArrow(run, schema)
 
@@ -225,10 +260,10 @@ def digests(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text: s
         for batch in batches:
             counts, ids_hex, text_hex = [], [], []
             for data in binary_list(batch.column(1)):
-                ids = coder.text(data or b"")
+                ids, decoded = coder.both(data or b"")
                 counts.append(len(ids) // 4)
                 ids_hex.append(hashlib.sha256(ids).hexdigest())
-                text_hex.append(hashlib.sha256(coder.model.decode(np.frombuffer(ids, "<u4").tolist()).encode()).hexdigest())
+                text_hex.append(hashlib.sha256(decoded).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_hex), pa.array(text_hex)], names=schema.names)
 
     return source.mapInArrow(run, schema)

@@ -412,3 +412,16 @@ def test_lm_words_help(spark):
     rows += [(1000, "alpha1 beta1 gamma1 delta1", False), (1001, "beta1 delta1 alpha1 gamma1", False)]
     got = {r["doc_id"]: r for r in maxent.lm_scores(spark.createDataFrame(rows, "doc_id long, text string, t boolean"), train=F.col("t")).collect()}
     assert abs(got[1000]["base_score"] - got[1001]["base_score"]) < 1e-9 and got[1000]["score"] > got[1001]["score"] + 1
+
+
+def test_bpe_keeps_what_was_met_lately():
+    """At the bound a run that comes again and again is encoded once, and ids and decoded text stay those of the whole text."""
+    coder = bpe.RunEncoder(bpe.BpeModel.load(PATH), limit=20_000)
+    merged = []
+    merge = coder.model.merge
+    coder.model.merge = lambda piece: merged.append(piece) or merge(piece)
+    text = b" ".join(b"common %s, x\xc3\xa9%d" % (bytes([97 + i % 26, 97 + i // 26 % 26, 97 + i // 676]), i) for i in range(500))
+    parts = [coder.both(part) for part in (text[:3000], text[3000:].strip(), b"", b" \t")]
+    assert merged.count(b"common") == 1 and len(merged) > 400
+    for data, (ids, decoded) in zip((text[:3000], text[3000:].strip(), b"", b" \t"), parts):
+        assert coder.text(data) == ids and coder.model.decode(np.frombuffer(ids, "<u4").tolist()).encode() == decoded
