@@ -18,6 +18,7 @@ sequence          little-endian uint32 symbols
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
 import zlib
@@ -35,69 +36,111 @@ from plumbline.llm.common import binary_list, partitions, run_keys, written
 SHARD_SCHEMA = "part int, shard int, offset long, n_ids long, doc_ids array<long>, ends array<long>, base int, generations array<int>, rules binary, lengths binary, sequence binary"
 
 
+def among(values: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the values that are in known, number in known of each). Both are of one unsigned type; known is sorted and has no repeats.
+
+    A table of slots has one number each. The few others that want a taken slot mark it, and are searched for.
+    """
+    width = 8 * known.dtype.itemsize
+    bits = min(width, len(known).bit_length() + 3)
+    factor, shift = known.dtype.type(0x9E3779B97F4A7C15 >> (64 - width) | 1), known.dtype.type(width - bits)
+    slot, number = ((known * factor) >> shift).astype(np.int64), np.arange(len(known), dtype=np.int32)
+    table = np.zeros(1 << bits, np.int32)
+    table[slot] = number
+    others = np.flatnonzero(table[slot] != number)
+    table[slot[others]] |= np.int32(-1 << 31)
+    found = table.take(((values * factor) >> shift).astype(np.int64))
+    again = np.flatnonzero(found < 0)
+    found &= np.int32((1 << 31) - 1)
+    hit = known.take(found) == values
+    again = again[~hit[again]]
+    if len(again):
+        found[again] = others[np.minimum(np.searchsorted(known[others], values[again]), len(others) - 1)]
+        hit[again] = known[found[again]] == values[again]
+    at = np.flatnonzero(hit)
+    return at, found.take(at)
+
+
 def compress(ids: np.ndarray, least_use: int = 4, least_gain: float = 0.0) -> tuple[int, list[int], np.ndarray, np.ndarray, np.ndarray]:
     """(base, rules of each round, rules, lengths, sequence). A round that shortens the sequence by less than least_gain is the last.
 
     Counts are exact, and of x x x only every second pair counts. The pair with the highest count wins wherever it
     stands, so each round makes a rule until no pair is left with least_use places. A pair that is too rare stays so, as
     replacing makes pairs of new symbols only: each round looks at the frequent places and those beside new symbols.
+    Symbols are moved together only when there are many gaps, and linked else, so late rounds cost what they look at.
     """
     base = int(ids.max()) + 1 if len(ids) else 1
-    sequence, following = ids.astype(np.int64), base
-    live = np.ones(len(sequence), bool)  # places whose pair may be frequent
+    sequence, following, held = ids.astype(np.uint32), base, len(ids)
+    after = before = None  # the links, where there are gaps
+    there, live = np.ones(held, bool), np.ones(held + 1, bool)  # live: places whose pair may be frequent; the one beyond the end never is
     rules, generations = [], []
-    known = np.ones(base, np.int64)
-    while len(sequence) > 1:
-        live[-1] = False
+    while held > 1:
+        live[[-1, -2 if before is None else before[-1]]] = False
         place = np.flatnonzero(live)
-        left, right = sequence[place], sequence[place + 1]
-        pair = left << 32 | right
-        slot = ((pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
-        may = np.bincount(slot, minlength=1 << 20)[slot] >= least_use  # of all pairs in a slot: at least the pair's own count
-        place, pair, same = place[may], pair[may], (left == right)[may]
-        order = np.argsort(pair)
-        kinds = np.concatenate([[True], pair[order][1:] != pair[order][:-1]])[: len(order)]
-        kind = np.empty(len(pair), np.int64)
-        kind[order] = np.cumsum(kinds) - 1
-        counts = np.ones(len(pair), bool)
-        if same.any():
-            at = np.flatnonzero(same)
-            begins = np.concatenate([[True], (place[at[1:]] != place[at[:-1]] + 1)])
-            counts[at] = (np.arange(len(at)) - np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))) % 2 == 0
-        n = np.bincount(kind[counts], minlength=int(kinds.sum()))
-        frequent = n[kind] >= least_use
-        taken = frequent & counts
-        rank = np.zeros(len(sequence), np.int64)
-        rank[place[taken]] = n[kind[taken]] << 32 | kind[taken]
-        own = np.flatnonzero(taken)
-        here = place[own]
-        best = (rank[here] > rank[here - 1]) | (here == 0)
-        best &= rank[here] > rank[here + 1]
-        own = own[best]
-        used = np.bincount(kind[own], minlength=len(n)) >= least_use
-        own = own[used[kind[own]]]
-        if len(own) < max(1, least_gain * len(sequence)):
+        beside = place + 1 if after is None else after.take(place)
+        left, right = sequence.take(place), sequence.take(beside)
+        kind_type = np.uint32 if following <= 1 << 16 else np.uint64
+        pair = left.astype(kind_type)
+        pair *= kind_type(following)
+        pair += right
+        ordered, second = pair.copy(), np.empty(0, np.int64)  # second: the places of x x x that do not count
+        if len(at := np.flatnonzero(left == right)):
+            begins = np.concatenate([[True], place[at[1:]] != beside[at[:-1]]])
+            second = at[(np.arange(len(at)) - np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))) % 2 == 1]
+            ordered[second] = np.iinfo(kind_type).max  # to the end, where they are cut off
+        ordered.sort()
+        ordered = ordered[: len(ordered) - len(second)]
+        starts = np.concatenate([[0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1])
+        n = np.diff(starts, append=len(ordered))
+        often = np.flatnonzero(n >= least_use)
+        if not len(often):
+            break
+        kinds, n = ordered.take(starts.take(often)), n.take(often)
+        frequent, kind = among(pair, kinds)
+        here, next_to = place.take(frequent), beside.take(frequent)
+        rank = np.empty(len(n), np.int32)
+        rank[np.argsort(n, kind="stable")] = np.arange(len(n))
+        strength = rank.take(kind)
+        if len(second):
+            at = np.minimum(np.searchsorted(frequent, second), len(frequent) - 1)
+            strength[at[frequent[at] == second]] = -1  # below the one before it
+        apart = here[1:] != next_to[:-1]
+        best = np.ones(len(here), bool)
+        best[1:] &= apart | (strength[1:] > strength[:-1])
+        best[:-1] &= apart | (strength[:-1] > strength[1:])
+        own = np.flatnonzero(best)
+        used = np.bincount(kind.take(own), minlength=len(n)) >= least_use
+        own = own.take(np.flatnonzero(used.take(kind.take(own))))
+        if len(own) < max(1, least_gain * held):
             break
-        at, made_of = place[own], np.flatnonzero(used)
-        number = np.empty(len(n), np.int64)
+        at, gone, made_of = here.take(own), next_to.take(own), np.flatnonzero(used)
+        number = np.empty(len(n), np.uint32)
         number[made_of] = np.arange(following, following + len(made_of))
-        some = pair[order[np.flatnonzero(kinds)[made_of]]]
-        made = np.stack([some >> 32, some & 0xFFFFFFFF], 1)
-        sequence[at] = number[kind[own]]
+        made = np.stack(np.divmod(kinds[made_of].astype(np.int64), following), 1)
+        sequence[at] = number.take(kind.take(own))
         live[:] = False
-        live[place[frequent]] = True
-        keep = np.ones(len(sequence), bool)
-        keep[at + 1] = False
-        sequence, live = sequence[keep], live[keep]
-        at = at - np.arange(len(at))
-        live[at] = True
-        live[np.maximum(at - 1, 0)] = True
+        live[here] = True
+        live[at] = live[at - 1 if before is None else before[at]] = True
+        live[gone] = there[gone] = False
+        held -= len(at)
+        if held < 0.9 * len(sequence):
+            keep = np.flatnonzero(there)
+            sequence, live = sequence.take(keep), np.append(live.take(keep), False)
+            after, before, there = None, None, np.ones(held, bool)
+        else:
+            if after is None:
+                after, before = np.arange(1, len(sequence) + 1), np.arange(-1, len(sequence))
+            after[at] = after[gone]
+            before[after[at]] = at
         rules.append(made)
         generations.append(len(made_of))
-        known = np.concatenate([known, known[made].sum(1)])
         following += len(made_of)
+    lengths, at = np.ones(following, np.int64), base
+    for made in rules:
+        lengths[at : at + len(made)] = lengths[made].sum(1)
+        at += len(made)
     made = np.concatenate(rules) if rules else np.empty((0, 2), np.int64)
-    return base, generations, made.astype("<u4"), known[base:].astype("<u4"), sequence.astype("<u4")
+    return base, generations, made.astype("<u4"), lengths[base:].astype("<u4"), sequence[there].astype("<u4")
 
 
 class Grammar:
@@ -187,14 +230,16 @@ class LibraryRuns:
     """Encodes texts with the tokenizers library, once for each different run of non-space bytes (remembered up to a bound).
 
     White space is a border of the file's pieces, and neither normalising nor merging reaches over it, so a text's ids
-    are those of its runs. Letters count in lower case, and one mark after letters is a piece of its own. Runs are told
+    are those of its runs. Letters count in lower case, and the marks after letters are a piece of their own. Runs are told
     apart by 64-bit keys.
     """
 
-    LIMIT = 600_000
-    #: Of each line: a word of letters up to U+00FF, which NFC leaves as they are, and a mark; else nothing.
-    WORD = re.compile(r"^(?:([a-zß-öø-ÿ]+)([.,;:!?]?)$)?", re.MULTILINE)
-    SYMBOLS = str.maketrans({chr(b): c for b, c in enumerate(byte_symbols())})
+    LIMIT = 100_000  # different marks
+    #: The symbol of each byte; runs are joined by line breaks, which stay.
+    SYMBOLS = "".join("\n" if b == 10 else c for b, c in enumerate(byte_symbols()))
+    #: Of each line of symbols: a word of letters up to U+00FF, which NFC leaves as they are, and ASCII marks; else nothing.
+    #: C3 and the bytes after it are symbols of their own, but in UTF-8 they only come as the pairs of those letters.
+    WORD = re.compile(rf"^(?:([a-z{SYMBOLS[0xC3]}{SYMBOLS[0x9F:0xB7]}{SYMBOLS[0xB8:0xC0]}]+)([!-/:-@\[-`{{-~]*)$)?", re.MULTILINE)
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -203,35 +248,33 @@ class LibraryRuns:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.table, self.cores = RunTable(), {}
+        self.tokenize = self.tokenizer.model.tokenize
+        self.table, self.marks = RunTable(), {}
 
     def encode(self, runs: list[bytes]) -> list[bytes]:
         """The ids of each run. Words and marks are single pieces, and go straight to the library's model."""
-        if len(self.cores) > self.LIMIT:
-            self.cores.clear()
-        cores, out, other = self.cores, [], []
-        joined = b"\n".join(runs).decode()
-        texts = joined.split("\n")
-        for i, (word, mark) in enumerate(self.WORD.findall(joined.lower())):
-            if word:
-                if (ids := cores.get(word)) is None:
-                    ids = cores[word] = self.piece(word)
-                if mark:
-                    if mark not in cores:
-                        cores[mark] = self.piece(mark)
-                    ids += cores[mark]
-                out.append(ids)
-            else:
-                other.append((i, texts[i]))
+        if len(self.marks) > self.LIMIT:
+            self.marks.clear()
+        known, out, other = self.marks, [], []
+        lower = b"\n".join(runs).decode().lower().encode()
+        for i, (word, marks) in enumerate(self.WORD.findall(codecs.charmap_decode(lower, "strict", self.SYMBOLS)[0])):
+            if not word:
+                other.append(i)
                 out.append(b"")
-        for (i, _), found in zip(other, self.tokenizer.encode_batch_fast([t for _, t in other], add_special_tokens=False)):
+                continue
+            ids = self.piece(word)
+            if marks:
+                if (last := known.get(marks)) is None:
+                    last = known[marks] = self.piece(marks)
+                ids += last
+            out.append(array("I", ids).tobytes())
+        for i, found in zip(other, self.tokenizer.encode_batch_fast([runs[i].decode() for i in other], add_special_tokens=False)):
             out[i] = array("I", found.ids).tobytes()
         return out
 
-    def piece(self, text: str) -> bytes:
-        """The ids of a single piece in lower case, by the library's model; its symbols stand for UTF-8 bytes."""
-        symbols = text if text.isascii() else text.encode().decode("latin-1").translate(self.SYMBOLS)
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(symbols)]).tobytes()
+    def piece(self, symbols: str) -> list[int]:
+        """The ids of a single piece in lower case, given as symbols, by the library's model."""
+        return [t.id for t in self.tokenize(symbols)]
 
     def texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids one after the other, how many each text has)."""

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -91,6 +92,36 @@ def test_grammar_leaves_no_pair_that_is_worth_a_rule(seed):
     assert max(uses.values()) < 4
 
 
+def test_late_rounds_of_a_grammar_cost_what_they_look_at():
+    """A phrase that grows by one symbol a round takes 60 rounds beside a million rare ids, which no round looks at twice."""
+    rare = np.random.default_rng(4).permutation(1_000_000)
+    chain = np.concatenate([np.arange(n) for n in range(2, 62) for _ in range(4)])
+
+    def seconds(ids):
+        found = []
+        for _ in range(3):
+            start = time.process_time()
+            made = grammar_ids.compress(ids.astype("<u4"))
+            found.append(time.process_time() - start)
+        return min(found), made
+
+    alone, _ = seconds(rare)
+    both, (base, generations, rules, lengths, sequence) = seconds(np.concatenate([chain, rare]))
+    assert len(generations) >= 50 and both < 2.5 * alone
+    assert (grammar_ids.Grammar(base, generations, rules.tobytes(), lengths.tobytes(), sequence.tobytes()).ids() == np.concatenate([chain, rare])).all()
+
+
+@pytest.mark.parametrize("dtype, high", [("<u4", 1 << 32), ("<u8", 1 << 63)])
+def test_values_among_known_ones(dtype, high):
+    """Also where known values want one slot, where nearly all are known, and the type's ends."""
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 50, 20_000):
+        known = np.unique(np.concatenate([rng.integers(0, high, n, "u8"), [0] * (n > 1)])).astype(dtype)
+        values = np.concatenate([rng.permutation(known), known[:7], rng.integers(0, high, 5000, "u8").astype(dtype), np.array([0, np.iinfo(dtype).max], dtype)])
+        at, number = grammar_ids.among(values, known)
+        assert at.tolist() == np.flatnonzero(np.isin(values, known)).tolist() and (known[number] == values[at]).all()
+
+
 def sets_of(text, k):
     words = (text or "").encode().lower().split()
     return set() if not words else {tuple(words)} if len(words) < k else {tuple(words[i : i + k]) for i in range(len(words) - k + 1)}
@@ -364,6 +395,22 @@ def test_run_encoder_on_random_text(library):
     assert ids.tolist() == [i for t in texts for i in library.encode(t, add_special_tokens=False).ids] and sizes.sum() == len(ids)
 
 
+def test_words_with_marks_go_straight_to_the_model(library):
+    """Words and any marks after them need no normalising and splitting; other runs do."""
+    coder, split = grammar_ids.LibraryRuns(PATH), []
+
+    class Recorded:
+        def encode_batch_fast(self, texts, **options):
+            split.extend(texts)
+            return library.encode_batch_fast(texts, **options)
+
+    coder.tokenizer = Recorded()
+    texts = ["Word*** ÉTÉ!! naïve.&&& don't", "x'' (y) Straße,### o\u0301.. a÷b 1.5%", "\u212aelvin!? ' <|endoftext|>"]
+    ids, _ = coder.texts([t.encode() for t in texts])
+    assert ids.tolist() == [i for t in texts for i in library.encode(t, add_special_tokens=False).ids]
+    assert sorted(split) == sorted(["don't", "(y)", "o\u0301..", "a÷b", "1.5%", "'", "<|endoftext|>"])
+
+
 def test_texts_of_a_language_left_out_are_rejected(spark):
     """A language that training never saw is rejected though it shares its letters; learned ones stay."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
