@@ -36,17 +36,17 @@ from plumbline.llm.common import binary_list, partitions, run_keys, written
 SHARD_SCHEMA = "part int, shard int, offset long, n_ids long, doc_ids array<long>, ends array<long>, base int, generations array<int>, rules binary, lengths binary, sequence binary"
 
 
-def among(values: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def among(values: np.ndarray, known: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(places of the values that are in known, number in known of each). Both are of one unsigned type; known is sorted and has no repeats.
 
-    A table of slots has one number each. The few others that want a taken slot mark it, and are searched for.
+    A table of slots has one number each, of those that want it the last in order. The few others mark it, and are searched for.
     """
     width = 8 * known.dtype.itemsize
     bits = min(width, len(known).bit_length() + 3)
     factor, shift = known.dtype.type(0x9E3779B97F4A7C15 >> (64 - width) | 1), known.dtype.type(width - bits)
     slot, number = ((known * factor) >> shift).astype(np.int64), np.arange(len(known), dtype=np.int32)
     table = np.zeros(1 << bits, np.int32)
-    table[slot] = number
+    table[slot.take(order)] = order
     others = np.flatnonzero(table[slot] != number)
     table[slot[others]] |= np.int32(-1 << 31)
     found = table.take(((values * factor) >> shift).astype(np.int64))
@@ -96,10 +96,11 @@ def compress(ids: np.ndarray, least_use: int = 4, least_gain: float = 0.0) -> tu
         if not len(often):
             break
         kinds, n = ordered.take(starts.take(often)), n.take(often)
-        frequent, kind = among(pair, kinds)
+        order = np.argsort(n, kind="stable")
+        frequent, kind = among(pair, kinds, order)
         here, next_to = place.take(frequent), beside.take(frequent)
         rank = np.empty(len(n), np.int32)
-        rank[np.argsort(n, kind="stable")] = np.arange(len(n))
+        rank[order] = np.arange(len(n))
         strength = rank.take(kind)
         if len(second):
             at = np.minimum(np.searchsorted(frequent, second), len(frequent) - 1)
@@ -174,18 +175,26 @@ class Grammar:
 
 
 class RunTable:
-    """64-bit keys -> stretches of ids: open addressing in numpy, so that a batch of runs is looked up at once."""
+    """64-bit keys -> stretches of ids: open addressing in numpy, so that a batch of runs is looked up at once.
 
-    def __init__(self, bits: int = 22, limit: int = 1_500_000):
-        self.bits, self.limit = bits, limit
+    Beyond limit entries, cut keeps those that were met again since the last cut.
+    """
+
+    def __init__(self, bits: int = 21, limit: int = 600_000):
+        self.least_bits, self.limit = bits, limit
         self.clear()
 
     def clear(self) -> None:
-        self.keys = np.zeros(1 << self.bits, np.uint64)  # 0 is a free place
-        self.entry = np.zeros(1 << self.bits, np.int32)
+        self._slots(self.least_bits)
         self.start, self.size, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(4096, np.uint32)
+        self.met = np.zeros(1024, bool)
         self.entries = self.used = 0
 
+    def _slots(self, bits: int) -> None:
+        self.bits = bits
+        self.keys = np.zeros(1 << bits, np.uint64)  # 0 is a free place
+        self.entry = np.zeros(1 << bits, np.int32)
+
     def _places(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
@@ -200,17 +209,24 @@ class RunTable:
             place[left] = (place[left] + 1) & (len(self.keys) - 1)
         return out
 
-    def add(self, keys: np.ndarray, ids: list[bytes]) -> None:
-        """Different keys that are not there yet."""
-        size = np.array([len(x) // 4 for x in ids], np.int32)
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        grown = lambda a, n: a if n <= len(a) else np.concatenate([a, np.zeros(max(n - len(a), len(a)), a.dtype)])
+    def add(self, keys: np.ndarray, size: np.ndarray, flat: np.ndarray) -> None:
+        """Different keys that are not there yet, how many ids each has, and all their ids."""
+        grown = lambda a, n: a if n <= len(a) else np.concatenate([a, np.zeros(max(n - len(a), len(a) // 2), a.dtype)])
         first, self.entries = self.entries, self.entries + len(keys)
+        if 2 * self.entries > len(self.keys):
+            there = np.flatnonzero(self.keys)
+            old, number = self.keys[there], self.entry[there]
+            self._slots((2 * self.entries).bit_length())
+            self._put(old, number)
         self.start, self.size, self.ids = grown(self.start, self.entries), grown(self.size, self.entries), grown(self.ids, self.used + len(flat))
+        self.met = grown(self.met, self.entries)
         self.start[first : self.entries], self.size[first : self.entries] = self.used + np.cumsum(size) - size, size
         self.ids[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
-        number, place, left = np.arange(first, self.entries), self._places(keys), np.arange(len(keys))
+        self._put(keys, np.arange(first, self.entries))
+
+    def _put(self, keys: np.ndarray, number: np.ndarray) -> None:
+        place, left = self._places(keys), np.arange(len(keys))
         while len(left):
             free = left[self.keys[place[left]] == 0]
             self.keys[place[free]] = keys[free]  # of those that want one place, the last gets it
@@ -219,6 +235,16 @@ class RunTable:
             left = left[self.keys[place[left]] != keys[left]]
             place[left] = (place[left] + 1) & (len(self.keys) - 1)
 
+    def cut(self) -> None:
+        """Keeps what was met again, where that is at most half of the limit."""
+        there = np.flatnonzero(self.keys)
+        there = there[self.met[self.entry[there]]]
+        keys, entries = self.keys[there], self.entry[there]
+        size, flat = self.size[entries], self.gather(entries)
+        self.clear()
+        if 2 * len(keys) <= self.limit:
+            self.add(keys, size, flat)
+
     def gather(self, entries: np.ndarray) -> np.ndarray:
         """All ids of the entries, one after the other."""
         size = self.size[entries]
@@ -252,42 +278,40 @@ class LibraryRuns:
         self.table, self.marks = RunTable(), {}
 
     def encode(self, runs: list[bytes]) -> list[bytes]:
-        """The ids of each run. Words and marks are single pieces, and go straight to the library's model."""
+        """The ids of each run. Words and marks are single pieces, and go straight to the library's model as symbols."""
         if len(self.marks) > self.LIMIT:
             self.marks.clear()
-        known, out, other = self.marks, [], []
+        tokenize, known, out, other = self.tokenize, self.marks, [], []
         lower = b"\n".join(runs).decode().lower().encode()
         for i, (word, marks) in enumerate(self.WORD.findall(codecs.charmap_decode(lower, "strict", self.SYMBOLS)[0])):
             if not word:
                 other.append(i)
                 out.append(b"")
                 continue
-            ids = self.piece(word)
+            ids = [t.id for t in tokenize(word)]
             if marks:
                 if (last := known.get(marks)) is None:
-                    last = known[marks] = self.piece(marks)
+                    last = known[marks] = [t.id for t in tokenize(marks)]
                 ids += last
             out.append(array("I", ids).tobytes())
         for i, found in zip(other, self.tokenizer.encode_batch_fast([runs[i].decode() for i in other], add_special_tokens=False)):
             out[i] = array("I", found.ids).tobytes()
         return out
 
-    def piece(self, symbols: str) -> list[int]:
-        """The ids of a single piece in lower case, given as symbols, by the library's model."""
-        return [t.id for t in self.tokenize(symbols)]
-
     def texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids one after the other, how many each text has)."""
         data = b"\n".join(texts)
         starts, ends, keys = run_keys(data)
         if self.table.entries > self.table.limit:
-            self.table.clear()
+            self.table.cut()
         found = self.table.find(keys)
         new = np.flatnonzero(found < 0)
+        self.table.met[found[np.flatnonzero(found >= 0)]] = True
         if len(new):
             unique, first = np.unique(keys[new], return_index=True)
             at = new[first]
-            self.table.add(unique, self.encode([data[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())]))
+            ids = self.encode([data[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())])
+            self.table.add(unique, np.array([len(x) // 4 for x in ids], np.int32), np.frombuffer(b"".join(ids), "<u4"))
             found[new] = self.table.find(keys[new])
         borders = np.cumsum([len(t) + 1 for t in texts])
         of = np.searchsorted(borders, starts, "right")

@@ -118,7 +118,7 @@ def test_values_among_known_ones(dtype, high):
     for n in (1, 2, 50, 20_000):
         known = np.unique(np.concatenate([rng.integers(0, high, n, "u8"), [0] * (n > 1)])).astype(dtype)
         values = np.concatenate([rng.permutation(known), known[:7], rng.integers(0, high, 5000, "u8").astype(dtype), np.array([0, np.iinfo(dtype).max], dtype)])
-        at, number = grammar_ids.among(values, known)
+        at, number = grammar_ids.among(values, known, rng.permutation(len(known)))
         assert at.tolist() == np.flatnonzero(np.isin(values, known)).tolist() and (known[number] == values[at]).all()
 
 
@@ -395,6 +395,29 @@ def test_run_encoder_on_random_text(library):
     assert ids.tolist() == [i for t in texts for i in library.encode(t, add_special_tokens=False).ids] and sizes.sum() == len(ids)
 
 
+def test_run_table_grows_and_keeps_what_was_met(library):
+    """One batch may have more runs than places; a cut forgets what was not met again."""
+    table, rng = grammar_ids.RunTable(bits=4, limit=4000), np.random.default_rng(2)
+    keys = np.unique(rng.integers(1, 1 << 63, 5000, "u8"))
+    size = rng.integers(0, 5, len(keys)).astype(np.int32)
+    flat = rng.integers(0, 99, size.sum()).astype("<u4")
+    table.add(keys, size, flat)
+    assert table.find(keys).tolist() == list(range(len(keys))) and (table.gather(table.find(keys)) == flat).all()
+    table.met[table.find(keys[::3])] = True
+    kept = table.gather(table.find(keys[::3]))
+    table.cut()
+    assert (table.find(keys) >= 0).tolist() == [i % 3 == 0 for i in range(len(keys))]
+    assert (table.gather(table.find(keys[::3])) == kept).all()
+    table.cut()
+    assert table.entries == 0
+    coder, r = grammar_ids.LibraryRuns(PATH), random.Random(9)
+    coder.table = grammar_ids.RunTable(bits=4, limit=60)
+    for _ in range(40):
+        texts = [" ".join(r.choice(["the", "a", "be"]) if r.random() < 0.6 else f"w{r.randrange(10**6)}!" for _ in range(20)) for _ in range(3)]
+        ids, _ = coder.texts([t.encode() for t in texts])
+        assert ids.tolist() == [i for t in texts for i in library.encode(t, add_special_tokens=False).ids]
+
+
 def test_words_with_marks_go_straight_to_the_model(library):
     """Words and any marks after them need no normalising and splitting; other runs do."""
     coder, split = grammar_ids.LibraryRuns(PATH), []
