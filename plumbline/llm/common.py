@@ -32,11 +32,11 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: cuts lineage, survives lost executors."""
+def written(df: DataFrame, tag: str, **options: str) -> DataFrame:
+    """Write df as Parquet in the shared folder (options: of the writer) and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/plumbline-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -9,7 +9,7 @@ the class, of the logarithm of the smoothed count and a weight for the pair of t
 among the WORDS most frequent ones. Only such pairs differ from the smoothed relative frequency, so that the sum over a class
 is 1 and a correction for each of its frequent tokens, and is the same for all histories with one last word.
 
-Work goes by chunks of documents, written once as numbers of the chunk's own vocabulary:
+Work goes by chunks of documents, written once as numbers of the chunk's own vocabulary, each chunk read by itself:
 1. Every chunk deals its distinct tokens, counted, by hash range; where a range meets they are summed up, and the
    sums go back to the chunks (so a token that is in every document costs one row a chunk).
 2. Every task counts pairs of frequent words; the sums are dealt by last word, and gradient steps on them give the
@@ -32,7 +32,10 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import batched_groups, binary_list, mix, partitions, written
 
-CHUNK_TOKENS, CHUNK_DOCS = 2_000_000, 20_000
+CHUNK_TOKENS, CHUNK_DOCS = 1_000_000, 20_000
+WIDE = 0xFFFF  # numbers of tokens from here on do not fit into 16 bits
+#: A chunk is a page and a row group, so that neither writing nor reading holds those of a whole file.
+CHUNK_FILES = {"parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size": str(1 << 20)}
 TOP, ENDINGS = 39, 24
 CLASSES = TOP + ENDINGS
 PAD = CLASSES  # the history before a text
@@ -42,7 +45,7 @@ BLOCK = 256  # rows of weights that travel together
 WORDS, NEAR_WORDS, WORD_BLOCK = 1024, 256, 64
 PAIR_STEPS, PAIR_VARIANCE = 30, 1.0
 END = b" "  # the end of a text as a token: no word has a space
-CHUNK_SCHEMA = "chunk long, doc_ids array<long>, sizes array<long>, trains array<boolean>, ids binary, vocab binary, counts binary, endings binary"
+CHUNK_SCHEMA = "chunk long, doc_ids array<long>, sizes array<long>, trains array<boolean>, ids binary, wide binary, vocab binary, counts binary, endings binary"
 
 
 class Numbers(dict):
@@ -53,13 +56,24 @@ class Numbers(dict):
         return number
 
 
+def _packed(ids: np.ndarray) -> tuple[bytes, bytes]:
+    """16 bits of each number, and the whole numbers of those that need more. Numbers go by first use, so few do."""
+    return np.minimum(ids, WIDE).astype("<u2").tobytes(), ids[ids >= WIDE].astype("<u4").tobytes()
+
+
+def _unpacked(ids, wide) -> np.ndarray:
+    out = np.frombuffer(ids, "<u2").astype(np.uint32)
+    out[out == WIDE] = np.frombuffer(wide, "<u4")
+    return out
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
     from pyspark import TaskContext
 
     chunk = TaskContext.get().partitionId() << 32
     names = [x.split()[0] for x in CHUNK_SCHEMA.split(", ")]
-    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 4]
+    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 5]
     numbers, docs, sizes, trains, ids, held = Numbers(), [], [], [], [], 0
 
     def row() -> pa.RecordBatch:
@@ -68,7 +82,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.bincount(flat[weight], minlength=len(numbers))
         vocab = np.fromiter((xxhash.xxh3_64_intdigest(t) for t in numbers), np.uint64, len(numbers))
         endings = np.fromiter((xxhash.xxh3_64_intdigest(t.rstrip(b".,;:!?\"'")[-2:]) % ENDINGS for t in numbers), np.uint8, len(numbers))
-        made = [chunk, docs[:], sizes[:], trains[:], flat.astype("<u4").tobytes(), vocab.tobytes(), counts.astype("<u4").tobytes(), endings.tobytes()]
+        made = [chunk, docs[:], sizes[:], trains[:], *_packed(flat), vocab.tobytes(), counts.astype("<u4").tobytes(), endings.tobytes()]
         return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(made, kinds)], names=names)
 
     for batch in batches:
@@ -301,9 +315,10 @@ def _descend(weights: np.ndarray, squares: np.ndarray, met: np.ndarray, history:
 
 
 def _opened(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, ...]:
-    """(sizes, trains, ids, vocab, endings) of a chunk, the first five columns after those that are read apart."""
-    sizes, trains, ids, vocab, endings = (batch.column(c)[i].as_py() for c in ("sizes", "trains", "ids", "vocab", "endings"))
-    return np.array(sizes), np.array(trains, bool), np.frombuffer(ids, "<u4"), np.frombuffer(vocab, np.uint64), np.frombuffer(endings, np.uint8)
+    """(sizes, trains, ids, vocab, endings) of a chunk, as far as they can be the batch's own bytes."""
+    sizes, trains = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("sizes", "trains"))
+    ids, wide, vocab, endings = (batch.column(c)[i].as_buffer() for c in ("ids", "wide", "vocab", "endings"))
+    return sizes, trains.astype(bool), _unpacked(ids, wide), np.frombuffer(vocab, np.uint64), np.frombuffer(endings, np.uint8)
 
 
 def _pair_counts(batches: Iterator[pa.RecordBatch], classes: Classes) -> Iterator[pa.RecordBatch]:
@@ -347,18 +362,25 @@ def _fit_pairs(batches: Iterator[pa.RecordBatch], share: np.ndarray, of: np.ndar
         yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([weights.astype(np.float32).tobytes()], pa.binary()), pa.array([log_sums.astype(np.float32).tobytes()], pa.binary())], names=["block", "weights", "sums"])
 
 
+def _learnt(batch: pa.RecordBatch, i: int, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
+    """(history, class) of a chunk's training tokens."""
+    sizes, trains, ids, vocab, endings = _opened(batch, i)
+    symbols = classes.symbols(vocab)
+    history, c, _ = _histories(ids, sizes, classes.of(symbols, endings), symbols)
+    keep = np.repeat(trains, sizes)
+    return history[keep], c[keep]
+
+
 def _train(batches: Iterator[pa.RecordBatch], weights: np.ndarray, classes: Classes, rate: float, epochs: int) -> Iterator[pa.RecordBatch]:
     own, squares, met = weights.copy(), np.zeros_like(weights), np.zeros(FEATURES)
     any_rows = False
     for batch in batches:
         for i in range(batch.num_rows):
-            sizes, trains, ids, vocab, endings = _opened(batch, i)
-            keep = np.repeat(trains, sizes)
-            symbols = classes.symbols(vocab)
-            history, c, _ = _histories(ids, sizes, classes.of(symbols, endings), symbols)
-            if keep.any():
+            history, c = _learnt(batch, i, classes)
+            if len(history):
                 any_rows = True
-                _descend(own, squares, met, history[keep], c[keep], np.random.default_rng(batch.column("chunk")[i].as_py() & 0x7FFFFFFF), rate, epochs)
+                _descend(own, squares, met, history, c, np.random.default_rng(batch.column("chunk")[i].as_py() & 0x7FFFFFFF), rate, epochs)
+            del history, c
     if any_rows:
         blocks = [b for b in range(FEATURES // BLOCK) if met[b * BLOCK : (b + 1) * BLOCK].any()]
         at = [slice(b * BLOCK, (b + 1) * BLOCK) for b in blocks]
@@ -405,24 +427,29 @@ def _class_scores(weights: np.ndarray, history: np.ndarray, c: np.ndarray, block
 
 
 def _score(batches: Iterator[pa.RecordBatch], weights: np.ndarray, classes: Classes, pairs: Pairs, n: int, v: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     for batch in batches:
         for i in range(batch.num_rows):
-            doc_ids, sums = (batch.column(c)[i].as_py() for c in ("doc_ids", "sums"))
-            sizes, trains, ids, vocab, endings = _opened(batch, i)
-            count = np.empty(len(vocab), np.int64)
-            count[np.argsort(_bucket(vocab, buckets), kind="stable")] = np.frombuffer(b"".join(s["data"] for s in sorted(sums, key=lambda s: s["bucket"])), np.int64)
-            symbols = classes.symbols(vocab)
-            own = classes.of(symbols, endings)
-            inside = np.where(own < TOP, 0.0, np.log10((count + 0.1) / (classes.n[own] + 0.1 * (classes.v[own] + 1))))
-            history, c, last = _histories(ids, sizes, own, symbols)
-            of_pair = (pairs.weights[last, symbols[ids]] - pairs.sums[last, c]) / np.log(10)
-            start = np.cumsum(sizes) - sizes
-            add = lambda x: np.add.reduceat(x, start)
-            base = np.log10((count + 0.1) / (n + 0.1 * (v + 1)))
-            score = add(inside[ids]) + add(of_pair.astype(np.float64)) + add(_class_scores(weights, history, c).astype(np.float64))
-            made = [pa.array(doc_ids, pa.int64()), pa.array(~trains), pa.array(sizes, pa.int64()), pa.array(add((count > 0).astype(np.int64)[ids]), pa.int64()), pa.array(np.full(len(sizes), n), pa.int64()), pa.array(add(base[ids])), pa.array(score)]
-            yield pa.RecordBatch.from_arrays(made, names=names)
+            yield _chunk_scores(batch, i, weights, classes, pairs, n, v, buckets)
+
+
+def _chunk_scores(batch: pa.RecordBatch, i: int, weights: np.ndarray, classes: Classes, pairs: Pairs, n: int, v: int, buckets: int) -> pa.RecordBatch:
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    sizes, trains, ids, vocab, endings = _opened(batch, i)
+    sums = batch.column("sums")[i].as_py()
+    count = np.empty(len(vocab), np.int64)
+    count[np.argsort(_bucket(vocab, buckets), kind="stable")] = np.frombuffer(b"".join(s["data"] for s in sorted(sums, key=lambda s: s["bucket"])), np.int64)
+    del sums
+    start = np.cumsum(sizes) - sizes
+    add = lambda x: np.add.reduceat(x, start)
+    known, base = add((count > 0).astype(np.int64)[ids]), add(np.log10((count + 0.1) / (n + 0.1 * (v + 1)))[ids])
+    symbols = classes.symbols(vocab)
+    own = classes.of(symbols, endings)
+    score = add(np.where(own < TOP, 0.0, np.log10((count + 0.1) / (classes.n[own] + 0.1 * (classes.v[own] + 1))))[ids])
+    history, c, last = _histories(ids, sizes, own, symbols)
+    score += add(((pairs.weights[last, symbols[ids]] - pairs.sums[last, c]) / np.log(10)).astype(np.float64))
+    score += add(_class_scores(weights, history, c).astype(np.float64))
+    made = [batch.column("doc_ids")[i].values.cast(pa.int64()), pa.array(~trains), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(sizes), n), pa.int64()), pa.array(base), pa.array(score)]
+    return pa.RecordBatch.from_arrays(made, names=names)
 
 
 def lm_scores(docs: DataFrame, train: Column, id_column: str = "doc_id", text: str = "text", rounds: int = 2, epochs: int = 2, rate: float = 0.15) -> DataFrame:
@@ -437,7 +464,7 @@ def lm_scores(docs: DataFrame, train: Column, id_column: str = "doc_id", text: s
     spark = docs.sparkSession
     parts = partitions(spark)
     source = docs.select(docs[id_column].cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), docs[text].cast("string").alias("text"))
-    chunks = written(source.mapInArrow(_chunks, CHUNK_SCHEMA), "lm-chunks")
+    chunks = written(source.mapInArrow(_chunks, CHUNK_SCHEMA), "lm-chunks", **CHUNK_FILES)
     dealt = chunks.select("chunk", "vocab", "counts", "endings").mapInArrow(lambda b: _deal(b, parts), "bucket int, chunk long, vocab binary, counts binary, endings binary")
     sums = written(dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_sum_up, "bucket int, chunk long, data binary, top array<struct<token: long, n: long, ending: int>>, totals array<long>"), "lm-counts")
 
@@ -453,7 +480,7 @@ def lm_scores(docs: DataFrame, train: Column, id_column: str = "doc_id", text: s
         by_v[t["ending"]] -= 1
     empty = np.zeros(TOP)
     classes = Classes(np.array([t["token"] for t in top], np.int64).view(np.uint64), np.concatenate([empty, by_n]), np.concatenate([empty, by_v]))
-    columns = ["chunk", "sizes", "trains", "ids", "vocab", "endings"]
+    columns = ["chunk", "sizes", "trains", "ids", "wide", "vocab", "endings"]
 
     side = len(top) + 1
     of = np.concatenate([[0], classes.of(np.arange(1, side), np.array([t["ending"] for t in top], np.uint8))])

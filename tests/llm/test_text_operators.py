@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from plumbline.llm import bpe, decontam, grammar_ids, jaccard, langid, maxent
-from plumbline.llm.common import connected_components
+from plumbline.llm.common import connected_components, shared_dir
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 DATA = "/root/testdata/sf0.001"
@@ -495,3 +495,24 @@ def test_bpe_keeps_what_was_met_lately():
     assert merged.count(b"common") == 1 and len(merged) > 400
     for data, (ids, decoded) in zip((text[:3000], text[3000:].strip(), b"", b" \t"), parts):
         assert coder.text(data) == ids and coder.model.decode(np.frombuffer(ids, "<u4").tolist()).encode() == decoded
+
+
+def test_lm_chunks_are_small_and_read_one_by_one(spark):
+    """A file of several chunks has a row group for each, of a few MB; tokens beyond 16 bits of a chunk's numbers stay what they are."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    rng, known = np.random.default_rng(3), set(glob.glob(f"{shared_dir(spark)}/plumbline-lm-chunks-*"))
+    words = rng.integers(0, 150_000, (23, 100_000))
+    docs = spark.createDataFrame([(i, " ".join(map(str, w))) for i, w in enumerate(words.tolist())], "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r for r in maxent.lm_scores(docs, train=F.col("doc_id") < 20).collect()}
+    counts = np.bincount(words[:20].ravel(), minlength=150_000)
+    n, v = counts.sum() + 20, (counts > 0).sum() + 1
+    log = lambda c: np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
+    for i, w in enumerate(words):
+        base = log(counts[w]).sum() + log(20)
+        assert (got[i]["n_tokens"], got[i]["n_known"]) == (100_001, (counts[w] > 0).sum() + 1) and abs(got[i]["base_score"] - base) < 1e-6 * abs(base)
+    path = (set(glob.glob(f"{shared_dir(spark)}/plumbline-lm-chunks-*")) - known).pop()
+    groups = [f.row_group(k) for p in glob.glob(f"{path}/*.parquet") for f in [pq.ParquetFile(p).metadata] for k in range(f.num_row_groups)]
+    assert len(groups) == 3 and all(g.num_rows == 1 and g.total_byte_size < 8 << 20 for g in groups)
