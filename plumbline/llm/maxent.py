@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import batched_groups, binary_list, mix, partitions, written
 
 CHUNK_TOKENS, CHUNK_DOCS = 1_000_000, 20_000
+STEP_TOKENS = 1_500_000  # training tokens (at least, if there are more) whose histories are counted together
 WIDE = 0xFFFF  # numbers of tokens from here on do not fit into 16 bits
 #: A chunk is a page and a row group, so that neither writing nor reading holds those of a whole file.
 CHUNK_FILES = {"parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size": str(1 << 20)}
@@ -274,7 +275,9 @@ def _descend(weights: np.ndarray, squares: np.ndarray, met: np.ndarray, history:
 
     Equal histories are one row; rows with the same classes share what the features of classes give.
     """
-    pair, n = np.unique(history << 6 | c, return_counts=True)
+    pair = history << 6
+    pair |= c
+    pair, n = np.unique(pair, return_counts=True)
     starts = _cuts(pair >> 6)
     rows, kind, n = (pair >> 6)[starts[:-1]], (pair & 63).astype(np.int32), n.astype(np.float32)
     tokens = np.add.reduceat(n, starts[:-1])
@@ -362,25 +365,42 @@ def _fit_pairs(batches: Iterator[pa.RecordBatch], share: np.ndarray, of: np.ndar
         yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([weights.astype(np.float32).tobytes()], pa.binary()), pa.array([log_sums.astype(np.float32).tobytes()], pa.binary())], names=["block", "weights", "sums"])
 
 
-def _learnt(batch: pa.RecordBatch, i: int, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
-    """(history, class) of a chunk's training tokens."""
-    sizes, trains, ids, vocab, endings = _opened(batch, i)
-    symbols = classes.symbols(vocab)
-    history, c, _ = _histories(ids, sizes, classes.of(symbols, endings), symbols)
-    keep = np.repeat(trains, sizes)
-    return history[keep], c[keep]
+def _learnt(batches: Iterator[pa.RecordBatch], classes: Classes) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(number of the first chunk, history, class) of the training tokens of a few chunks at a time: the more tokens, the more histories are equal."""
+
+    def one(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
+        sizes, trains, ids, vocab, endings = _opened(batch, i)
+        symbols = classes.symbols(vocab)
+        history, c, _ = _histories(ids, sizes, classes.of(symbols, endings), symbols)
+        keep = np.repeat(trains, sizes)
+        return history[keep], c[keep].astype(np.uint8)
+
+    def together() -> tuple[int, np.ndarray, np.ndarray]:
+        made = first, *(np.concatenate(x) for x in zip(*held))
+        held.clear()
+        return made
+
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    first = size = 0
+    for batch in batches:
+        for i in range(batch.num_rows):
+            first = first if held else batch.column("chunk")[i].as_py()
+            held.append(one(batch, i))
+            size += len(held[-1][0])
+            if size >= STEP_TOKENS:
+                yield together()
+                size = 0
+    if size:
+        yield together()
 
 
 def _train(batches: Iterator[pa.RecordBatch], weights: np.ndarray, classes: Classes, rate: float, epochs: int) -> Iterator[pa.RecordBatch]:
     own, squares, met = weights.copy(), np.zeros_like(weights), np.zeros(FEATURES)
     any_rows = False
-    for batch in batches:
-        for i in range(batch.num_rows):
-            history, c = _learnt(batch, i, classes)
-            if len(history):
-                any_rows = True
-                _descend(own, squares, met, history, c, np.random.default_rng(batch.column("chunk")[i].as_py() & 0x7FFFFFFF), rate, epochs)
-            del history, c
+    for first, history, c in _learnt(batches, classes):
+        any_rows = True
+        _descend(own, squares, met, history, c, np.random.default_rng(first & 0x7FFFFFFF), rate, epochs)
+        del history, c
     if any_rows:
         blocks = [b for b in range(FEATURES // BLOCK) if met[b * BLOCK : (b + 1) * BLOCK].any()]
         at = [slice(b * BLOCK, (b + 1) * BLOCK) for b in blocks]

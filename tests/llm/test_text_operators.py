@@ -516,3 +516,24 @@ def test_lm_chunks_are_small_and_read_one_by_one(spark):
     path = (set(glob.glob(f"{shared_dir(spark)}/plumbline-lm-chunks-*")) - known).pop()
     groups = [f.row_group(k) for p in glob.glob(f"{path}/*.parquet") for f in [pq.ParquetFile(p).metadata] for k in range(f.num_row_groups)]
     assert len(groups) == 3 and all(g.num_rows == 1 and g.total_byte_size < 8 << 20 for g in groups)
+
+
+def test_lm_training_tokens_of_chunks_come_together(monkeypatch):
+    """All training tokens come once, two chunks at a time here; a chunk without any gives none."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(maxent, "STEP_TOKENS", 8)
+    classes = maxent.Classes(np.arange(3, dtype=np.uint64), np.zeros(maxent.CLASSES), np.zeros(maxent.CLASSES))
+    sizes, endings, expected, rows = np.array([3, 2, 4]), np.zeros(70_000, np.uint8), [], []
+    for chunk, trains in enumerate([[True, False, True], [False] * 3, [False, True, True], [True, True, False]]):
+        vocab, ids = np.arange(70_000, dtype=np.uint64), np.array([0, 1, 65_534, 65_535, 2, 65_536, 69_999, 0, 1], np.uint32) if chunk % 2 else np.array([2, 1, 0, 5, 0, 1, 1, 65_535, 2], np.uint32)
+        low, wide = maxent._packed(ids)
+        assert maxent._unpacked(low, wide).tolist() == ids.tolist() and len(low) == 18
+        symbols = classes.symbols(vocab)
+        history, c, _ = maxent._histories(ids, sizes, classes.of(symbols, endings), symbols)
+        keep = np.repeat(trains, sizes)
+        expected.append((history[keep].tolist(), c[keep].tolist()))
+        rows.append({"chunk": chunk, "sizes": sizes.tolist(), "trains": trains, "ids": low, "wide": wide, "vocab": vocab.tobytes(), "endings": endings.tobytes()})
+    got = [(k, h.tolist(), c.tolist()) for k, h, c in maxent._learnt(iter(pa.Table.from_pylist(rows).to_batches(max_chunksize=3)), classes)]
+    both = [expected[0][x] + expected[1][x] + expected[2][x] for x in (0, 1)]
+    assert got == [(0, *both), (3, *expected[3])]
