@@ -1,5 +1,6 @@
 """Small cases of the operators: nulls, empty tables, ties, and comparisons with brute force."""
 
+import hashlib
 import random
 
 import pytest
@@ -116,6 +117,24 @@ def test_long_chains_and_rings(spark, monkeypatch):
     assert sizes == {20_000: n, 40_000: 3000, 50_000: 2, 60_000: 2, 70_000: 5} and len(rounds) < 80
 
 
+def test_a_large_cycle_is_written_in_several_tasks_and_its_key_once_a_file(spark, tmp_path):
+    """300 rows with a key of 1.2 MB: a page of 100 rows that each hold the key is 120 MB of a task's memory."""
+    import pyarrow.parquet as pq
+
+    names = [f"{i:04d}" + "x" * 4000 for i in range(300)]
+    kept = {k: spark.conf.get(k, None) for k in ("parquet.dictionary.page.size", "parquet.page.size.row.check.min", "parquet.column.statistics.enabled#cycle_key")}
+    try:
+        graph.cycles(spark.createDataFrame(list(zip(names, names[1:] + names[:1])), "src string, dst string")).write.parquet(str(tmp_path / "out"))
+    finally:
+        for k, v in kept.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    rows = spark.read.parquet(str(tmp_path / "out")).selectExpr("md5(cycle_key) as k", "members", "member").collect()
+    assert {r["member"] for r in rows} == set(names) and len(rows) == 300 and {(r["k"], r["members"]) for r in rows} == {(hashlib.md5("|".join(names).encode()).hexdigest(), 300)}
+    files = [f for f in map(pq.ParquetFile, (tmp_path / "out").glob("part-*")) if f.metadata.num_rows]
+    size = sum(f.metadata.row_group(i).total_byte_size for f in files for i in range(f.metadata.num_row_groups))
+    assert len(files) > 1 and size < 20e6
+
+
 def test_no_cycles(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 3)], "src long, dst long")
     assert graph.cycles(edges).count() == 0
