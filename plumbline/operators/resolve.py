@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.tables import fresh, written
+
 
 def _joined(folder: Column, rest: Column) -> Column:
     return F.when(folder == "", rest).when(rest == "", folder).otherwise(F.concat_ws("/", folder, rest))
@@ -41,15 +43,19 @@ def resolve_python(imports: DataFrame, files: DataFrame) -> DataFrame:
     above = packages.withColumn("above", _folder(F.col("folder")))
     tops = above.join(packages.select(F.col("folder").alias("above")), "above", "left_anti").select(F.col("above").alias("root"), F.regexp_extract("folder", "[^/]*$", 0).alias("first"))
 
+    names = imports.columns
+    folder = fresh("_dir", names)
     spec = F.regexp_replace("specifier", r"\.\*$|^(\.+)\*$", "$1")
     dots = F.length(F.regexp_extract("specifier", r"^\.*", 0))
-    base = imports.select("path", "specifier").distinct().withColumn("dots", dots).withColumn("rest", F.replace(F.regexp_replace(spec, r"^\.+", ""), F.lit("."), F.lit("/"))).withColumn("dir", _folder(F.col("path")))
+    # answers depend on a file's folder and not on the file, but for the file itself, which the second best target stands for
+    asking = written(imports.select(_folder(F.col("path")).alias("dir"), "specifier").where("dir is not null and specifier is not null").distinct(), "imports")
+    base = asking.withColumn("dots", dots).withColumn("rest", F.replace(F.regexp_replace(spec, r"^\.+", ""), F.lit("."), F.lit("/")))
     parts = F.when(F.col("dir") == "", F.array().cast("array<string>")).otherwise(F.split("dir", "/"))
 
-    near = base.where("dots > 0").withColumn("p", parts).where("size(p) >= dots - 1").select("path", "specifier", "rest", "dots", F.array_join(F.slice("p", 1, F.size("p") - F.col("dots") + 1), "/").alias("root"), F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit("").alias("c")).alias("rank"))
-    absolute = base.where("dots = 0").withColumn("first", F.regexp_extract("rest", "^[^/]*", 0))
-    ups = absolute.withColumn("p", parts).select("path", "specifier", "rest", "dots", "p", F.explode(F.sequence(F.lit(0), F.size("p"))).alias("up"))
-    own = ups.select("path", "specifier", "rest", "dots", F.array_join(F.slice("p", 1, F.size("p") - F.col("up")), "/").alias("root"), F.struct(F.lit(0).alias("a"), F.col("up").alias("b"), F.lit("").alias("c")).alias("rank"))
+    near = base.where("dots > 0").withColumn("p", parts).where("size(p) >= dots - 1").select("dir", "specifier", "rest", "dots", F.array_join(F.slice("p", 1, F.size("p") - F.col("dots") + 1), "/").alias("root"), F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit("").alias("c")).alias("rank"))
+    absolute = base.where("dots = 0")
+    ups = absolute.withColumn("p", parts).select("dir", "specifier", "rest", "dots", "p", F.explode(F.sequence(F.lit(0), F.size("p"))).alias("up"))
+    own = ups.select("dir", "specifier", "rest", "dots", F.array_join(F.slice("p", 1, F.size("p") - F.col("up")), "/").alias("root"), F.struct(F.lit(0).alias("a"), F.col("up").alias("b"), F.lit("").alias("c")).alias("rank"))
     own = own.join(packages.withColumnRenamed("folder", "root"), "root", "left_anti").select(near.columns)
     parent = F.regexp_replace("rest", "/?[^/]*$", "")
     may_drop = (F.col("rest") != "") & ((F.col("dots") > 0) | F.col("rest").contains("/"))
@@ -62,17 +68,22 @@ def resolve_python(imports: DataFrame, files: DataFrame) -> DataFrame:
         return F.when((names == "") & F.lit(end == ".py"), F.lit(None)).otherwise(file)
 
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("way"), F.when(ok, place(names, end)).alias("target")) for n, names, ok, end in ways])).alias("t")
-    tried = near.unionByName(own).select("path", "specifier", "rank", each)
-    exists = tried.select("path", "specifier", "rank", "t.way", "t.target").join(paths.withColumnRenamed("path", "target"), "target").select("path", "specifier", "rank", "way", "target")
-    asked = absolute.withColumn("root", F.lit("")).select("path", "specifier", each).select("path", "specifier", "t.way", F.col("t.target").alias("rel")).where("rel is not null")
-    far = _salted(asked, _below_tops(paths, tops), ["rel"], ["path", "specifier"]).where("places is not null")
-    other = F.coalesce(F.get(F.filter("places", lambda x: x["target"] != F.col("path")), 0), F.get("places", 0))
-    far = far.withColumn("p", other).select("path", "specifier", F.struct(F.lit(1).alias("a"), F.col("p.depth").alias("b"), F.col("p.root").alias("c")).alias("rank"), "way", "p.target")
-    exists = exists.unionByName(far)
-    itself = (F.col("target") == F.col("path")) & ~F.col("specifier").startswith(".")
-    best = exists.groupBy("path", "specifier").agg(F.min_by("target", F.when((F.col("way") < 9) & ~itself, F.struct("rank", "way"))).alias("target"), F.count_if(F.col("way") == 9).alias("known"))
-    kind = F.when(F.col("target").isNotNull(), "internal").when(F.col("specifier").startswith(".") | (F.col("known") > 0), "unresolved").otherwise("external")
-    return imports.join(best, ["path", "specifier"], "left").withColumn("resolution", kind).drop("known")
+    tried = near.unionByName(own).select("dir", "specifier", "rank", each).select("dir", "specifier", "rank", "t.way", "t.target").where("target is not null")
+    there = paths.select(F.col("path").alias("target")).join(tried.select("target").distinct(), "target", "left_semi").withColumn("_there", F.lit(True))
+    exists = _salted(tried, there, ["target"], ["dir", "specifier"]).where("_there").select("dir", "specifier", "rank", "way", "target")
+    asked = absolute.select("specifier", "rest", "dots").distinct().withColumn("root", F.lit("")).select("specifier", each).select("specifier", "t.way", F.col("t.target").alias("rel")).where("rel is not null")
+    below = _below_tops(paths, tops).join(asked.select("rel").distinct(), "rel", "left_semi")
+    far = _salted(asked, below, ["rel"], ["specifier"]).where("places is not null").select("specifier", "way", F.explode("places").alias("p"))
+    found = far.groupBy("specifier").agg(F.collect_list(F.struct(F.struct(F.lit(1).alias("a"), F.col("p.depth").alias("b"), F.col("p.root").alias("c")).alias("rank"), "way", F.col("p.target").alias("target"))).alias("found"))
+    far = _salted(absolute.select("dir", "specifier"), found, ["specifier"], ["dir"]).where("found is not null").select("dir", "specifier", F.explode("found").alias("f")).select("dir", "specifier", "f.*")
+    each_target = exists.unionByName(far).groupBy("dir", "specifier", "target").agg(F.min(F.when(F.col("way") < 9, F.struct("rank", "way"))).alias("rank"), F.bool_or(F.col("way") == 9).alias("known"))
+    best = each_target.groupBy("dir", "specifier").agg(F.slice(F.sort_array(F.collect_list(F.when(F.col("rank").isNotNull(), F.struct("rank", "target")))), 1, 2).alias("_best"), F.bool_or("known").alias("_known"))
+    best = best.select(F.col("dir").alias(folder), "specifier", F.get("_best", 0)["target"].alias("_one"), F.get("_best", 1)["target"].alias("_two"), "_known")
+    relative = F.col("specifier").startswith(".")
+    target = F.when((F.col("_one") == F.col("path")) & ~relative, F.col("_two")).otherwise(F.col("_one"))
+    joined = imports.withColumn(folder, _folder(F.col("path"))).join(best, [folder, "specifier"], "left").withColumn("target", target)
+    kind = F.when(F.col("target").isNotNull(), "internal").when(relative | F.col("_known"), "unresolved").otherwise("external")
+    return joined.withColumn("resolution", kind).select("path", "specifier", *[c for c in names if c not in ("path", "specifier")], "target", "resolution")
 
 
 #: Salts of look-ups whose key may be that of most rows.
@@ -80,8 +91,11 @@ SALTS = 16
 
 
 def _salted(asked: DataFrame, index: DataFrame, on: list[str], by: list[str]) -> DataFrame:
-    """asked left join index on the columns on; a key that most of asked has is dealt to SALTS tasks. index has a row for each key."""
-    wide = index.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    """asked left join index on the columns on; a key that most of asked has is dealt to SALTS tasks. index has a row for each key.
+
+    It is a merge join whatever Spark makes of sizes: it takes no notice of the copies, and would broadcast all of them.
+    """
+    wide = index.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
     return asked.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).join(wide, [*on, "_salt"], "left").drop("_salt")
 
 

@@ -109,3 +109,15 @@ def test_classes(spark):
     got = answers(resolve.resolve_classes(imports, spark.createDataFrame(list(files.items()), "path string, package string")))
     assert {k: v for k, v in got.items()} == {x: java(*x[:3], files, stars) for x in rows}
     assert len({v[0] for v in got.values()}) == 3
+
+
+def test_files_of_a_folder_share_their_look_ups(spark, monkeypatch):
+    """300 files of a folder import the same three names, one of them the file of that name too, and each gets its own answers."""
+    asked, real = [], resolve.written
+    monkeypatch.setattr(resolve, "written", lambda df, tag: asked.append(real(df, tag)) or asked[-1])
+    files = spark.createDataFrame([(f"src/m{i}.py",) for i in range(300)] + [("m7/__init__.py",)], "path string")
+    imports = files.where("path like 'src/%'").selectExpr("path", "explode(array('m7', '.m8', 'os')) as specifier")
+    got = {(r["path"], r["specifier"]): (r["target"], r["resolution"]) for r in resolve.resolve_python(imports, files).collect()}
+    assert [a.count() for a in asked] == [3] and len(got) == 900
+    assert got["src/m7.py", "m7"] == ("m7/__init__.py", "internal") and got["src/m9.py", "m7"] == ("src/m7.py", "internal")
+    assert got["src/m8.py", ".m8"] == ("src/m8.py", "internal") and got["src/m8.py", "os"] == (None, "external")
