@@ -3,7 +3,7 @@
 import posixpath
 import random
 
-from plumbline.operators import resolve
+from plumbline.operators import graph, resolve
 
 
 def answers(df):
@@ -121,3 +121,15 @@ def test_files_of_a_folder_share_their_look_ups(spark, monkeypatch):
     assert [a.count() for a in asked] == [3] and len(got) == 900
     assert got["src/m7.py", "m7"] == ("m7/__init__.py", "internal") and got["src/m9.py", "m7"] == ("src/m7.py", "internal")
     assert got["src/m8.py", ".m8"] == ("src/m8.py", "internal") and got["src/m8.py", "os"] == (None, "external")
+
+
+def test_copies_of_an_index_are_not_broadcast(spark):
+    """An index has a copy for each salt, of which Spark's estimate knows nothing; external imports are counted without one of them on the driver."""
+    asked = spark.createDataFrame([("a", "x"), ("b", "y")], "path string, name string")
+    index = spark.createDataFrame([("x", 1)], "name string, n int")
+    found = resolve._salted(asked, index, ["name"], ["path"])
+    assert sorted((r["path"], r["n"]) for r in found.collect()) == [("a", 1), ("b", None)]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    files = spark.createDataFrame([("a/__init__.py",), ("a/b.py",)], "path string")
+    imports = spark.createDataFrame([("a/b.py", "a"), ("a/b.py", "os"), ("a/b.py", "sys")], "path string, specifier string")
+    assert [r["message"] for r in graph.external_diagnostic(resolve.resolve_python(imports, files)).collect()] == ["2 imports are external"]
