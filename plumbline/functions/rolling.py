@@ -7,8 +7,8 @@ import numpy as np
 #: Tokens are the runs between these bytes; the line break counts lines.
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-#: Odd bases of the polynomials modulo 2^64: of a token's bytes, and two of a window's tokens.
-BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+#: Odd bases of the polynomials modulo 2^64: of a token's bytes, two of a window's tokens, and one of parts of windows.
+BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -50,12 +50,54 @@ def run_ends(lines: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
     return np.where(inside, 0, borders[np.searchsorted(borders, np.arange(len(lines)), "left")])
 
 
-def windows(code: bytes, size: int, spans: list[tuple[int, int]] = ()) -> dict[str, np.ndarray]:
-    """Of each window of size tokens inside a run: place (of its first token, from 1), line, end_line, last (place of the run's last token), a and b."""
+def _marks(values: np.ndarray, width: int) -> np.ndarray:
+    """Of each run of width values the place of its first smallest one."""
+    return np.arange(len(values) - width + 1) + np.lib.stride_tricks.sliding_window_view(values, width).argmin(axis=1)
+
+
+def _minimizers(tokens: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprints of the parts of half a window that begin at each token, and of each window the place of the part with the smallest one).
+
+    Equal windows have equal such parts at equal distances, so a window that occurs twice has a part that is chosen at
+    two places. Windows that follow each other mostly choose the same place: about 4 in size tokens are chosen.
+    """
+    part = (size + 1) // 2
+    if len(tokens) < size:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    at = np.arange(len(tokens) - part + 1)
+    values = _slices(tokens, BASES[3], at, at + part)
+    pieces = [_marks(values[i : i + (1 << 16) + size - part], size - part + 1) + i for i in range(0, len(tokens) - size + 1, 1 << 16)]
+    return values, np.concatenate(pieces)
+
+
+def minimizers(code: bytes, size: int, spans: list[tuple[int, int]] = ()) -> np.ndarray:
+    """The fingerprint of each part that a window of size tokens inside a run chooses, once a place."""
+    starts, ends, lines = token_places(code)
+    tokens = _slices(np.frombuffer(code, np.uint8).astype(np.uint64) + np.uint64(1), BASES[0], starts, ends)
+    values, chosen = _minimizers(tokens, size)
+    inside = np.arange(len(chosen)) + size <= run_ends(lines, spans)[: len(chosen)]
+    return values[np.unique(chosen[inside])]
+
+
+def has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys' first bits are set in a bitmap of a power of two of bits."""
+    place = keys >> np.uint64(64 - (8 * len(bits) - 1).bit_length())
+    return (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def windows(code: bytes, size: int, spans: list[tuple[int, int]] = (), wanted: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """Of each window of size tokens inside a run: place (of its first token, from 1), line, end_line, last (place of the run's last token), a and b.
+
+    wanted is a bitmap of minimizers: windows that chose others are left out.
+    """
     starts, ends, lines = token_places(code)
     raw = np.frombuffer(code, np.uint8).astype(np.uint64) + np.uint64(1)
     tokens = _slices(raw, BASES[0], starts, ends)
     stop = run_ends(lines, spans)
-    at = np.flatnonzero(np.arange(len(tokens)) + size <= stop)
+    inside = np.arange(len(tokens)) + size <= stop
+    if wanted is not None:
+        values, chosen = _minimizers(tokens, size)
+        inside[: len(chosen)] &= has(wanted, values[chosen])
+    at = np.flatnonzero(inside)
     found = {"place": at + 1, "line": lines[at], "end_line": lines[at + size - 1], "last": stop[at]}
-    return found | {name: _slices(tokens, base, at, at + size).view(np.int64) for name, base in zip("ab", BASES[1:])}
+    return found | {name: _slices(tokens, base, at, at + size).view(np.int64) for name, base in zip("ab", BASES[1:3])}
