@@ -86,7 +86,7 @@ def has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def windows(code: bytes, size: int, spans: list[tuple[int, int]] = (), wanted: np.ndarray | None = None) -> dict[str, np.ndarray]:
-    """Of each window of size tokens inside a run: place (of its first token, from 1), line, end_line, last (place of the run's last token), a and b.
+    """Of each window of size tokens inside a run: place (of its first token, from 1), line, end_line, last (place of the run's last token), prev (31 bits of the token before, from 1; 0 at the beginning of the file), a and b.
 
     wanted is a bitmap of minimizers: windows that chose others are left out.
     """
@@ -99,5 +99,38 @@ def windows(code: bytes, size: int, spans: list[tuple[int, int]] = (), wanted: n
         values, chosen = _minimizers(tokens, size)
         inside[: len(chosen)] &= has(wanted, values[chosen])
     at = np.flatnonzero(inside)
-    found = {"place": at + 1, "line": lines[at], "end_line": lines[at + size - 1], "last": stop[at]}
+    before = (np.append(np.uint64(0), _mix(tokens) >> np.uint64(33)) + np.uint64(1)).astype(np.int64)[at]
+    found = {"place": at + 1, "line": lines[at], "end_line": lines[at + size - 1], "last": stop[at], "prev": np.where(at > 0, before, 0)}
     return found | {name: _slices(tokens, base, at, at + size).view(np.int64) for name, base in zip("ab", BASES[1:3])}
+
+
+def kept(found: dict[str, np.ndarray], size: int, least_lines: int) -> np.ndarray:
+    """Which windows of a file stretch over least_lines lines or more and, of those alike, do not overlap, taken greedily from the left."""
+    out = found["end_line"] - found["line"] + 1 >= least_lines
+    at = np.flatnonzero(out)
+    order = at[np.lexsort((found["b"][at], found["a"][at]))]  # stable: places stay in order
+    same = (found["a"][order][1:] == found["a"][order][:-1]) & (found["b"][order][1:] == found["b"][order][:-1])
+    until = 0
+    for i in (np.flatnonzero(same) + 1).tolist():
+        here = order[i]
+        if i < 2 or not same[i - 2]:  # the one before is the first of those alike
+            until = found["place"][order[i - 1]] + size
+        if found["place"][here] < until:
+            out[here] = False
+        else:
+            until = found["place"][here] + size
+    return out
+
+
+def chains(places: np.ndarray, keys: np.ndarray, at: np.ndarray, levels: int) -> list[np.ndarray]:
+    """Of each level j the fingerprints of the 2^j windows behind those at the places at, and 0 where they do not follow each other; keys are of the windows at places."""
+    i = np.searchsorted(places, at)
+    out = []
+    for j in range(levels):
+        end = i + (1 << j)
+        there = np.flatnonzero(end < len(places))
+        there = there[places[end[there]] == at[there] + (1 << j)]
+        d = np.zeros(len(at), np.uint64)
+        d[there] = np.maximum(_slices(_mix(keys.view(np.uint64)), BASES[1], i[there] + 1, end[there] + 1), np.uint64(1))
+        out.append(d.view(np.int64))
+    return out
